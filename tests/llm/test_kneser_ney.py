@@ -22,11 +22,11 @@ class Slow:
         for (a, _), c in self.pairs.items():
             self.total[a] += c
             self.free[a] += float(self.d2.of(np.array([c]))[0])
+        self.share = sum(float(self.d1.of(np.array([c]))[0]) for c in self.before.values()) / len(self.pairs) if self.pairs else 1.0
 
     def p(self, a, b):
         m = len(self.pairs)
-        share = sum(float(self.d1.of(np.array([c]))[0]) for c in self.before.values()) / m if m else 1.0
-        low = (max(self.before[b] - float(self.d1.of(np.array([self.before[b]]))[0]), 0) / m if m else 0) + share / (self.v + 1)
+        low = (max(self.before[b] - float(self.d1.of(np.array([self.before[b]]))[0]), 0) / m if m else 0) + self.share / (self.v + 1)
         if not self.total[a]:
             return low
         c = self.pairs[(a, b)]

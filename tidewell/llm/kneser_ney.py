@@ -336,7 +336,7 @@ class Scorer:
         count[known], prior[known] = self._take(self.count, kinds[known]), self._take(self.before, kinds[known])
         b1, b2, b3 = m.before_kinds
         share = (d1.one * b1 + d1.two * b2 + d1.more * b3) / m.pairs if m.pairs else 1.0
-        single = share / (m.distinct + 1) + ((prior - d1.of(prior)) / m.pairs if m.pairs else 0.0)
+        single = share / (m.distinct + 1) + (prior - d1.of(prior)) / max(m.pairs, 1)
         p = single[back]
         ctx, ctx_back = np.unique(before, return_inverse=True)
         seen = (ctx != UNSEEN) & (ctx != BEGIN)
