@@ -2,7 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
-from tidewell.llm.exact_dedup import exact_dedup
+from tidewell.llm.exact_dedup import exact_dedup, winners
 
 
 def brute(rows):
@@ -31,3 +31,10 @@ def test_hot_text_is_one_group(spark):
 
 def test_no_rows(nothing):
     assert exact_dedup(nothing).count() == 0
+
+
+def test_texts_of_one_digest_are_told_apart(spark):
+    rows = [(k, f"text {k % 3}", bytearray([k % 3 // 2])) for k in range(30)]
+    got = winners(spark.createDataFrame(rows, "doc_id long, content string, digest binary")).collect()
+    assert len(got) == 30
+    assert all((r["keep_id"], r["group_size"]) == (r["doc_id"] % 3, 10) for r in got)
