@@ -168,7 +168,7 @@ def test_damage_is_found(spark, small, store):
 
     token_store.write_store(small.limit(5), store, PATH, 0)
     staged = spark.read.parquet(f"{store}/staged")
-    bad = staged.withColumn("payload", F.when(F.col("chunk"), F.concat(F.col("payload"), F.lit(bytearray(b"\0\0")))))
+    bad = staged.withColumn("payload", F.when(F.col("chunk").cast("boolean"), F.concat(F.col("payload"), F.lit(bytearray(b"\0\0")))))
     bad.write.partitionBy("chunk").parquet(f"{store}-bad/staged")
     spark.read.parquet(f"{store}/recipes").write.parquet(f"{store}-bad/recipes")
     with pytest.raises(Exception, match="does not hold what its digest says"):
