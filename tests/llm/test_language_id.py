@@ -105,3 +105,9 @@ def test_odd_rows(messy, messy_rows, nothing, small):
     assert li.predict_corpus(unlabelled).where("lang_pred != 'und'").count() == 0
     kept = li.identify(messy, li.train(small))
     assert kept.columns == [c for c in messy.columns if c != "lang_pred"] + ["lang_pred", "score"]
+
+
+def test_numbers_and_signs_are_no_letters(spark, small):
+    rows = [(1, "½ ² ③"), (2, "_ 7 \u0301"), (3, "42 é"), (4, "語")]
+    got = li.identify(spark.createDataFrame(rows, "doc_id long, text string"), li.train(small)).collect()
+    assert {r["doc_id"] for r in got if r["lang_pred"] == "und"} == {1, 2}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +14,6 @@ from tidewell.llm.text import crc_mod
 
 ORDER = 3
 PAD = b"\n" * ORDER
-_LETTER = re.compile(r"[^\W\d_]")
 _SLICE = 1 << 19
 
 
@@ -172,7 +170,7 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFr
                 part = batch.slice(lo, hi - lo)
                 texts = part.column(at).to_pylist()
                 pred, score = ["und"] * len(texts), np.zeros(len(texts))
-                ok = [k for k, t in enumerate(texts) if t and ppm.languages and _LETTER.search(t)]
+                ok = [k for k, t in enumerate(texts) if t and ppm.languages and any(map(str.isalpha, t))]
                 if ok:
                     length = ppm.code_lengths(*_packed([texts[k] for k in ok]))
                     best = length.argmin(1)
