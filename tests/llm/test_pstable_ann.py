@@ -61,3 +61,49 @@ def test_probes_are_different_buckets_best_first():
     assert len(sets) == 80 and len(sets[0]) == 0
     assert all(len(set(k.tolist())) == 80 for k in keys)
     assert (keys[:, 0] == ann.key_of(np.floor(h.slots(x, 0)), 0)).all()
+
+
+def mixed(seed, tight, loose):
+    """Unit vectors, two thirds in tight clusters and a third in loose ones or spread (0); queries from the thin third."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    dense = unit(np.repeat(unit(r.normal(size=(40, 64))), 50, axis=0) + tight * r.normal(size=(2_000, 64)))
+    middle = np.repeat(unit(r.normal(size=(20, 64))), 50, axis=0)
+    thin = unit(middle + loose * r.normal(size=(1_000, 64)) if loose else r.normal(size=(1_000, 64)))
+    return [(i, x.tolist()) for i, x in enumerate(np.concatenate([dense, thin]))], list(range(2_000, 3_000, 50))
+
+
+@pytest.mark.parametrize(("tight", "loose"), [(0.05, 0), (0.02, 0.06)])
+def test_mixed_density_with_production_defaults(spark, tight, loose):
+    rows, thin = mixed(7, tight, loose)
+    asked = thin + list(range(0, 2_000, 100))
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got, want = found(ann.nearest(v, v.where(v.vec_id.isin(asked)))), brute(rows, asked, 10)
+    assert {q: len(x) for q, x in got.items()} == dict.fromkeys(asked, 10)
+    recall = {q: len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 10 for q in asked}
+    assert np.mean([recall[q] for q in thin]) >= 0.9 and np.mean([recall[q] for q in asked if q < 2_000]) >= 0.9
+
+
+def test_wider_levels_and_the_scan_settle_what_is_left(spark):
+    rows, thin = mixed(8, 0.02, 0.06)
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = brute(rows, thin, 10)
+    got = found(ann.nearest(v, v.where(v.vec_id.isin(thin)), scan_queries=0, most_levels=3))
+    assert {q: len(x) for q, x in got.items()} == dict.fromkeys(thin, 10)
+    assert np.mean([len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 10 for q in thin]) >= 0.9
+
+
+def test_scan_is_exact_in_blocks_and_with_ids_on_several_vectors(spark):
+    r = np.random.default_rng(5)
+    rows = [(k % 150, (1e3 + r.integers(0, 4, size=3)).tolist()) for k in range(300)]
+    kept = spark.createDataFrame(rows, "vec_id long, v array<double>").distinct().repartition(4)
+    asked = spark.createDataFrame(rows[:150], "query_id long, q array<double>")
+    got = {}
+    for x in ann.scan(kept, asked, 7, block_rows=40).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    for i, q in rows[:150]:
+        near = {}
+        for j, x in rows:
+            if j != i:
+                near[j] = min(near.get(j, np.inf), float(ann.distances(np.array(q), np.array([x]))[0]))
+        assert got[i] == sorted(near.items(), key=lambda t: (t[1], t[0]))[:7]

@@ -159,6 +159,85 @@ def _nearest(k: int):
     return group
 
 
+def reach(x: np.ndarray, hashes: Hashes, sets: list[np.ndarray], sure: float, seed: int = 23) -> float:
+    """The distance up to which the probes of all tables find a neighbour with a chance of ``sure``, tried on points around ``x``."""
+    rng = np.random.default_rng(seed)
+    q = np.repeat(x, -(-400 // len(x)), axis=0)
+    away = rng.standard_normal(q.shape)
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    probed = [np.sort(probe_keys(q, hashes, t, sets), axis=1) for t in range(len(hashes.a))]
+    last = 0.0
+    for c in hashes.slot * np.geomspace(0.01, 4, 40):
+        hit = np.zeros(len(q), bool)
+        for t, keys in enumerate(probed):
+            hit |= (keys == key_of(np.floor(hashes.slots(q + c * away, t)), t)[:, None]).any(1)
+        if hit.mean() < sure:
+            break
+        last = float(c)
+    return last
+
+
+def _scan(query_ids: np.ndarray, q: np.ndarray, k: int, block: int = 256):
+    """Exact ``k`` nearest rows of a task for each query: products rule rows out, differences decide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_ids = [np.zeros(0, np.int64)] * len(q)
+        best_d = [np.zeros(0)] * len(q)
+        q2 = (q**2).sum(1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = np.asarray(batch.column(0)), _matrix(batch.column(1))
+            x2 = (x**2).sum(1)
+            for at in range(0, len(q), block):
+                near = q2[at : at + block, None] + x2 - 2 * (q[at : at + block] @ x.T)
+                for i, row in enumerate(near, at):
+                    row[ids == query_ids[i]] = np.inf
+                    slack = 1e-9 * (q2[i] + x2.max())  # far above the rounding of the products
+                    if len(best_d[i]) >= k:
+                        take = np.flatnonzero(row <= best_d[i][-1] ** 2 + slack)
+                    elif len(row) > k:
+                        take = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + slack)
+                        if len(np.unique(ids[take])) < k:  # an id on several vectors
+                            take = np.arange(len(row))
+                    else:
+                        take = np.arange(len(row))
+                    take = take[ids[take] != query_ids[i]]
+                    if len(take):
+                        d = np.concatenate([best_d[i], distances(q[i], x[take])])
+                        who = np.concatenate([best_ids[i], ids[take]])
+                        order = np.lexsort((who, d))
+                        order = order[np.sort(np.unique(who[order], return_index=True)[1])][:k]
+                        best_ids[i], best_d[i] = who[order], d[order]
+        n = [len(b) for b in best_ids]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate(best_ids)), pa.array(np.concatenate(best_d))], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def scan(kept: DataFrame, asked: DataFrame, k: int, block_rows: int = 4_096) -> DataFrame | None:
+    """``query_id, vec_id, score``: all rows of ``kept`` compared with each of ``asked``, a block of queries a pass; None without queries.
+
+    A block travels to the tasks with the code, so the driver holds one block of queries at a time and no row of ``kept`` is shuffled.
+    """
+    per_block = asked.select("query_id", "q").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() * 2 // block_rows)))))
+    out = None
+    for b in [r["block"] for r in per_block.select("block").distinct().collect()]:
+        rows = per_block.where(F.col("block") == b).toArrow()
+        query_ids, q = np.asarray(rows["query_id"].combine_chunks()), _matrix(rows["q"].combine_chunks())
+        part = _best(kept.mapInArrow(_scan(query_ids, q, k), "query_id long, vec_id long, score double"), k)
+        part = materialize(part, "ann-scan")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -169,6 +248,9 @@ def nearest(
     slot_factor: float = 2.0,
     sample_rows: int = 1_000,
     shard_rows: int = 20_000,
+    sure: float = 0.95,
+    scan_queries: int = 4_000,
+    most_levels: int = 6,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
@@ -179,6 +261,11 @@ def nearest(
     distance taken on the original vectors. Slots are ``slot_factor`` times the median distance to
     the k-th neighbour within a sample of ``sample_rows`` rows (a fixed bound); every row is indexed.
 
+    A query is settled when it has k rows and the k-th lies where its probes find a neighbour with a chance of ``sure``
+    (see ``reach``). The others, in thin regions, go on to tables at doubled slot widths while more than
+    ``scan_queries`` are left, ``most_levels`` levels at most; what is left is compared with every row, exactly. So each query
+    gets k rows where there are as many others.
+
     Of vectors that are the same, the k + 1 smallest ids are enough for exact ties, so a vector that
     a third of all rows hold does not fill a bucket. Buckets are dealt to shards; one with more
     than ``shard_rows`` rows is salted, and its probes go to each salt. A task returns k rows a
@@ -198,10 +285,27 @@ def nearest(
         return vectors.sparkSession.createDataFrame([], schema)
     x = _matrix(sample["v"].combine_chunks())
     far = [np.sort(distances(q, x))[min(k, len(x) - 1)] for q in x[:200]]
-    hashes = Hashes.drawn(x.shape[1], max(slot_factor * float(np.median(far)), 1e-9), tables, width)
-    rows = kept.count()
-    shards = max(1, -(-rows // shard_rows))
+    slot = max(slot_factor * float(np.median(far)), 1e-9)
+    shards = max(1, -(-kept.count() // shard_rows))
     sets = perturbations(width, probes)
+    open_, done = materialize(asked, "ann-asked"), None
+    for level in range(most_levels):
+        hashes = Hashes.drawn(x.shape[1], slot * 2**level, tables, width)
+        found = materialize(_best(_level(kept, open_, k, hashes, sets, shards, shard_rows), k), f"ann-found-{level}")
+        ends = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("end"))
+        settled = ends.where((F.col("n") >= k) & (F.col("end") <= reach(x[:200], hashes, sets, sure))).select("query_id")
+        found = found.join(settled, "query_id", "left_semi")
+        done = found if done is None else done.unionByName(found)
+        open_ = materialize(open_.join(settled, "query_id", "left_anti"), f"ann-open-{level}")
+        if open_.count() <= scan_queries:
+            break
+    rest = scan(kept, open_, k)
+    done = done if rest is None else done.unionByName(rest)
+    return done.select("query_id", "rank", "vec_id", "score")
+
+
+def _level(kept: DataFrame, asked: DataFrame, k: int, hashes: Hashes, sets: list[np.ndarray], shards: int, shard_rows: int) -> DataFrame:
+    """What one set of tables finds: ``query_id, vec_id, score``, k rows a task at most."""
     entries = kept.mapInArrow(_base(hashes, shards), "t int, shard long, bucket long, vec_id long, v array<double>")
     hot = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
     hot = materialize(hot.select("bucket", F.ceil(F.col("n") / shard_rows).cast("long").alias("salts")), "ann-hot")
@@ -214,7 +318,4 @@ def nearest(
     else:
         wanted = wanted.join(salts, ["t", "shard"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "top"))).drop("top")
     key = ["t", "shard", "salt"]
-    found = entries.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return entries.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
