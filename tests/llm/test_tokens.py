@@ -184,3 +184,31 @@ def test_store_of_odd_rows(spark, messy, messy_rows, nothing, store):
     token_store.write_store(nothing, store + "-empty", PATH, 0)
     assert token_store.verify(spark, store + "-empty").count() == 0
     assert token_store.read_documents(spark, store + "-empty").count() == 0
+
+
+# --- markers in the text -----------------------------------------------------------
+
+UNTOUCHED = Tokenizer.from_file(PATH)
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  don't", "日本 <|endoftext|> ½", "plain <|endoftext", "no marker here"]
+
+
+def untouched_ids(text):
+    return UNTOUCHED.encode(text, add_special_tokens=False).ids
+
+
+def test_markers_have_the_ids_of_an_untouched_tokenizer():
+    e = Encoder(PATH, added=True)
+    assert np.frombuffer(e.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    for text in MARKED:
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == untouched_ids(text)
+
+
+def test_store_and_packing_keep_markers(spark, store):
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string").coalesce(1)
+    token_store.write_store(docs, store, PATH, end_id=0)
+    stored = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_store.verify(spark, store).collect()}
+    packed = {r["doc_id"]: bytes(r["ids"]) for r in packing.pack_documents(docs, PATH, 1).collect()}
+    for i, text in enumerate(MARKED):
+        ids = untouched_ids(text)
+        assert stored[i] == (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
+        assert packed[i] == np.array([*ids, 1], "<u4").tobytes()

@@ -104,7 +104,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bin_ = Encoder(tokenizer), Bin(limits)
+        encoder, bin_ = Encoder(tokenizer, added=True), Bin(limits)
         base = TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

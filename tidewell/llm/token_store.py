@@ -100,7 +100,7 @@ def _encode(tokenizer: str, end_id: int, width: int):
     """One row a document with its recipe, and one row a chunk that is new in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, added=True)
         end = np.array([end_id], "<u4").tobytes()
         seen: set[bytes] = set()
         for batch in batches:

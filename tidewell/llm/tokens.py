@@ -24,13 +24,18 @@ class Encoder:
 
     A text's pieces are encoded apart from each other, so the ids of a piece are asked of the library once
     and kept; the store is started anew at ``most`` pieces.
+
+    With ``added`` a marker such as <|endoftext|> in a text becomes its own id, as an untouched tokenizer has it: a text
+    with the content of an added token is encoded whole by the library. Without, markers are plain text.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 250_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.marks = re.compile("|".join(map(re.escape, contents))) if contents else None
         self.chars = _byte_chars()
         self.known: dict[str, bytes] = {}
         self.most = most
@@ -43,7 +48,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _OTHER.search(text):
+        if _OTHER.search(text) or (self.marks and self.marks.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = _PIECES.findall(text)
         known = self.known
