@@ -72,3 +72,22 @@ def test_pipeline_stages_take_odd_rows(spark, messy, nothing):
             assert out.columns == cols
             docs = spark.createDataFrame(out.collect(), docs.schema)
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_mixing_stage_gives_each_row_its_own_copies(spark, messy, messy_rows):
+    from collections import Counter
+
+    from tidewell.llm import mixing, queries
+
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    hot = spark.createDataFrame([(77, f"hot row {k}", "en", "a", 9) for k in range(40)], messy.select(*cols).schema)
+    docs = messy.select(*cols).unionByName(hot).repartition(3)
+    rows = Counter([r[0] for r in messy_rows] + [77] * 40)
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[r["doc_id"]] += r["copies"]
+    out = queries.stage_mixing(spark, docs, SF).collect()
+    got = Counter(r["doc_id"] for r in out)
+    assert got == +copies and got[None] and got[8] and got[77]
+    assert all(got[i] <= 2 * n for i, n in rows.items())
+    assert max(Counter(r["text"] for r in out if r["doc_id"] == 77).values()) <= 2

@@ -80,9 +80,9 @@ def pivot(ids: Iterable, sizes: Iterable[int], shares: Iterable[float], seed: in
     return out, at, p
 
 
-def _round(seed: int, last: bool):
+def _round(seed: int, last: bool, key: Sequence[str] = ()):
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["size", "doc_id", *key], ascending=[False, True, *(True for _ in key)], kind="stable", ignore_index=True)
         took, at, p = pivot(rows["doc_id"].tolist(), rows["size"].tolist(), rows["share"].tolist(), seed)
         if at >= 0 and last:
             took[at] = int(chance(seed, "last", rows["doc_id"][at]) < p)
@@ -96,7 +96,7 @@ def _round(seed: int, last: bool):
     return group
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), times: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 20_000, fan_in: int = 64) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), times: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 20_000, fan_in: int = 64, row_key: str | None = None) -> DataFrame:
     """How often each document enters a mix of its sources.
 
     Returns ``doc_id, size, source_size, target, taken, copies, source`` for every row; ``size`` counts
@@ -112,10 +112,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), times: float = 1.
 
     Nulls: a null text has size 0 and a null source is a source; rows of size 0 take
     the whole part only. Rows repeating an id are rounded each for itself. No rows
-    give no rows; other columns are ignored.
+    give no rows; other columns are ignored. ``row_key`` names a column of unique longs, fixed by being written,
+    that is returned as well, so that a row finds its own copies where ids repeat or are null; it takes no part in the draw.
     """
     spark = docs.sparkSession
+    key = [] if row_key is None else [row_key]
     sized = docs.select(
+        *(F.col(c).cast("long").alias(c) for c in key),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size"),
@@ -135,11 +138,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), times: float = 1.
     same = F.col("source").eqNullSafe(F.col("plan_source"))
     rows = sized.join(plan_df.drop("source_size", "target"), same, "left")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("buckets")))
-    rows = rows.select("doc_id", "source", "size", "floor", "share", F.lit(True).alias("open"), F.lit(0).alias("copies"), "bucket")
+    rows = rows.select(*key, "doc_id", "source", "size", "floor", "share", F.lit(True).alias("open"), F.lit(0).alias("copies"), "bucket")
+    schema = "".join(f"`{c}` long, " for c in key) + ROWS
     levels = 1 + max([math.ceil(math.log(b, fan_in)) if b > 1 else 0 for *_, b in plan], default=0)
     done = []
     for level in range(levels):
-        out = rows.groupBy("source", "bucket").applyInPandas(_round(seed + level, level == levels - 1), ROWS)
+        out = rows.groupBy("source", "bucket").applyInPandas(_round(seed + level, level == levels - 1, key), schema)
         out = materialize(out, f"mix-{level}")
         done.append(out.where(~F.col("open")))
         rows = out.where("open").withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("long"))
@@ -147,5 +151,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), times: float = 1.
     for more in done[1:]:
         every = every.unionByName(more)
     return every.join(plan_df.select("plan_source", "source_size", "target"), same, "left").select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source"
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", *key
     )

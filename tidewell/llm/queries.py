@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.llm import exact_dedup, hyperminhash, kneser_ney, language_id, line_dedup, mixing, packing, pstable_ann, token_store, warc_zst
 from tidewell.llm.text import documents
-from tidewell.storage import work_path
+from tidewell.storage import materialize, work_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -121,9 +121,13 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("__id")).withColumn("__k", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Each row as many times as the mix takes it, rows with a null or repeated id each for itself.
+
+    Rows are numbered in a written table before the mix, and its copies come back by that number.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    copies = mixing.mix(rows, row_key="__row").where("copies > 0").select("__row", "copies")
+    return rows.join(copies, "__row").withColumn("__k", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
