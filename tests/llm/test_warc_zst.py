@@ -96,3 +96,11 @@ def test_no_rows(spark):
     path = work_path(spark, "warc-none")
     assert w.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path) == 0
     assert w.read_archives(spark, path).count() == 0
+
+
+def test_repeated_page_ids_with_other_payloads_lose_nothing(spark, tmp_path):
+    rows = [(1, "u", "first"), (2, "u", "second"), (5, "u", "first"), (5, "u", "only here"), (5, "u", "second")]
+    w.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = w.read_archives(spark, f"file://{tmp_path}/w").collect()
+    have = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, bytes(r["payload"] or b"").decode()) for r in got)
+    assert have == [(1, "response", 0, "first"), (2, "response", 0, "second"), (5, "response", 0, "only here"), (5, "revisit", 1, ""), (5, "revisit", 2, "")]

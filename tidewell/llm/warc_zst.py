@@ -130,7 +130,7 @@ def _parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of each record that repeats an earlier payload of at least ``least_bytes``.
+    """(page_id, digest, size, refers_to) of each record that repeats an earlier payload of at least ``least_bytes``.
 
     Payloads are told apart by SHA-1 and length; the smallest page_id of equals stays a response. The
     digest groups are merged on the map side first, so a payload that a third of all
@@ -139,7 +139,7 @@ def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     p = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("b"))
     p = p.select("page_id", F.unhex(F.sha1("b")).alias("digest"), F.octet_length("b").alias("size")).where(F.col("size") >= least_bytes)
     first = p.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return p.join(first, ["digest", "size"]).where("page_id != refers_to").select("page_id", "refers_to").distinct()
+    return p.join(first, ["digest", "size"]).where("page_id != refers_to").select("page_id", "digest", "size", "refers_to").distinct()
 
 
 def _write(folder: str, dictionary: bytes, target_bytes: int, date: str):
@@ -191,13 +191,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, target_b
     the shared folder, mounted on the workers.
 
     Nulls: a null html is empty, a null url is empty, a null page_id is a response with an empty
-    id. Other columns are ignored; no rows give no files.
+    id. Rows repeating a page_id are a record each, told apart by payload. Other columns are ignored; no rows give no files.
     """
     sample = [(r["html"] or "").encode()[:65_536] for r in pages.select("html").limit(sample_pages).collect()]
     local = mounted(folder)
     os.makedirs(local, exist_ok=True)
-    refs = plan_revisits(pages, least_bytes).withColumnRenamed("page_id", "ref_page")
-    rows = pages.select("page_id", "url", "html").join(refs, F.col("page_id") == F.col("ref_page"), "left").select("page_id", "url", "html", "refers_to")
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size"))
+    rows = rows.join(plan_revisits(pages, least_bytes), ["page_id", "digest", "size"], "left").select("page_id", "url", "html", "refers_to")
     out = rows.mapInArrow(_write(local, train_dictionary(sample), target_bytes, date), "path string, records long")
     return int(out.agg(F.count("path")).first()[0])
 
