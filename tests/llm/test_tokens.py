@@ -4,13 +4,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tidewell.llm import packing, token_store
 from tidewell.llm.tokens import Encoder
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WHOLE = Tokenizer.from_file(PATH)
-WHOLE.encode_special_tokens = True
 ENCODER = Encoder(PATH)
 
 
@@ -18,8 +18,10 @@ def ids_of(text):
     return WHOLE.encode(text or "", add_special_tokens=False).ids
 
 
-def check(text):
-    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids_of(text)
+def check(*texts):
+    stream, ends = ENCODER.encode(list(texts), 1)
+    assert stream.tolist() == [i for t in texts for i in [*ids_of(t), 1]]
+    assert np.diff(ends, prepend=0).tolist() == [len(ids_of(t)) + 1 for t in texts]
 
 
 @settings(max_examples=300, deadline=None)
@@ -29,7 +31,7 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("ab'sdl _-1½²éß\t\n\r \x0b\x0c\x1c\x85\xa0—…жΩ¡", max_size=40))
+@given(st.text("ab'sdlrvet _-1½²éß\t\n\r \x0b\x0c\x1c\x85\xa0—…жΩ¡", max_size=40))
 def test_pieces_at_word_borders(text):
     check(text)
 
@@ -38,14 +40,16 @@ def test_prose_and_special_words(small):
     for r in small.limit(60).collect():
         check(r["text"])
     check("<|endoftext|> don't  stop\n\n 12 3a_b")
-    check(None)
+    check(None, "", "  ", "a日 b", None, "x")
+    check()
+    check("ends in blanks \n ", " begins", "it's 's '' 's don'tx I'll've 'r", "'", "x'", "x's", "x'v")
 
 
 def test_known_pieces_are_bounded():
     e = Encoder(PATH, most=50)
     for k in range(200):
-        assert np.frombuffer(e.encode(f"word{k} and"), "<u4").tolist() == ids_of(f"word{k} and")
-    assert len(e.known) <= 60
+        assert e.encode([f"word{k} and"], 0)[0].tolist() == [*ids_of(f"word{k} and"), 0]
+    assert len(e.known) <= 50 and len(e.known.older) <= 50
 
 
 # --- packing ----------------------------------------------------------------------
@@ -84,6 +88,12 @@ def test_each_id_lies_in_one_piece_under_all_limits(small, limits):
         assert padding < limits.tokens  # one task leaves one sequence short
 
 
+def test_limits_below_one_are_refused():
+    for bad in ((0, 1, 1), (1, 0, 1), (1, 1, 0)):
+        with pytest.raises(ValueError, match="1 at least"):
+            packing.Limits(*bad)
+
+
 def test_packing_odd_rows(messy, messy_rows, nothing):
     rows = packing.pack_documents(messy, PATH).collect()
     once = {i: [*ids_of(t), 1] for i, t, *_ in messy_rows if i not in (8, None)}
@@ -127,9 +137,9 @@ def test_cuts_follow_the_content():
     n = np.diff([0, *ends])
     assert ends[-1] == len(ids) and n.max() <= 2_048 and n[:-1].min() >= 128 and 300 < n.mean() < 900
     moved = token_store.cuts(np.concatenate([r.integers(0, 50_000, 777).astype("<u4"), ids]))
-    assert len(set((moved - 777).tolist()) & set(ends.tolist())) > 0.9 * len(ends)
-    assert token_store.cuts(ids[:5]).tolist() == [5]
-    assert token_store.cuts(ids[:0]).tolist() == []
+    assert len({m - 777 for m in moved} & set(ends)) > 0.9 * len(ends)
+    assert token_store.cuts(ids[:5]) == [5]
+    assert token_store.cuts(ids[:0]) == []
     assert token_store.cuts(np.zeros(10_000, "<u4"))[-1] == 10_000
 
 
@@ -163,16 +173,62 @@ def test_exact_round_trip(spark, small, store):
         assert bytes(r["root"]) == token_store.merkle(roots)
 
 
-def test_damage_is_found(spark, small, store):
-    from pyspark.sql import functions as F
+@pytest.fixture
+def damaged(spark, small, store):
+    """A store of ten documents, and a copy of it with one of its three tables changed."""
+    token_store.write_store(small.limit(10), store, PATH, 0)
+
+    def copy(name, change):
+        for k, table in enumerate(("staged", "recipes", "manifest")):
+            df = spark.read.parquet(f"{store}/{table}")
+            df = change(df) if table == name else df
+            writer = df.write.partitionBy("chunk") if table == "staged" else df.write
+            writer.parquet(f"{store}-{name}/{table}")
+        return f"{store}-{name}"
+
+    return copy
 
-    token_store.write_store(small.limit(5), store, PATH, 0)
-    staged = spark.read.parquet(f"{store}/staged")
-    bad = staged.withColumn("payload", F.when(F.col("chunk").cast("boolean"), F.concat(F.col("payload"), F.lit(bytearray(b"\0\0")))))
-    bad.write.partitionBy("chunk").parquet(f"{store}-bad/staged")
-    spark.read.parquet(f"{store}/recipes").write.parquet(f"{store}-bad/recipes")
+
+def test_a_changed_chunk_is_found(spark, damaged):
+    change = lambda df: df.withColumn("payload", F.when(F.col("chunk").cast("boolean"), F.concat("payload", F.lit(bytearray(b"\0\0")))))
     with pytest.raises(Exception, match="does not hold what its digest says"):
-        token_store.verify(spark, f"{store}-bad").collect()
+        token_store.verify(spark, damaged("staged", change)).collect()
+
+
+@pytest.mark.parametrize("change", [lambda df: df.where("start != 0"), lambda df: df.limit(0), lambda df: df.withColumn("n_tokens", F.col("n_tokens") + 1)])
+def test_lost_and_changed_recipes_are_found(spark, damaged, change):
+    with pytest.raises(ValueError, match="manifest states"):
+        token_store.verify(spark, damaged("recipes", change))
+
+
+def test_a_lost_manifest_is_found(spark, damaged):
+    with pytest.raises(ValueError, match="manifest states"):
+        token_store.verify(spark, damaged("manifest", lambda df: df.limit(0)))
+
+
+def test_files_of_the_manifest(spark, store, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_DOCS", 7)
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"text {i % 5}") for i in range(40)], "doc_id long, text string")
+    token_store.write_store(docs, store, PATH, 0, range_docs=9)
+    rows = sorted(token_store.manifest(spark, store).collect(), key=lambda r: r["file"])
+    assert [r["documents"] for r in rows] == [7, 7, 7, 7, 7, 5]
+    assert [r["base"] for r in rows] == [sum(x["tokens"] for x in rows[:k]) for k in range(6)]
+    assert token_store.verify(spark, store).count() == 40
+
+
+def test_ids_wider_than_the_store_are_refused(spark, small, store):
+    with pytest.raises(Exception, match="does not fit into 1 bytes"):
+        token_store.write_store(small.limit(3), store, PATH, 0, width=1)
+
+
+def test_chunks_of_a_stream_are_those_of_its_documents():
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 50_000, n).astype("<u4") for n in (1, 5_000, 128, 129, 3, 9_000, 2_048)]
+    ends = np.cumsum([len(d) for d in docs])
+    alone = [int(e - len(d) + c) for d, e in zip(docs, ends) for c in token_store.cuts(d)]
+    assert token_store.cuts(np.concatenate(docs), ends) == alone
+    slow = [sum((int(x) * 0x9E3779B1 + 1) * pow(0x5851F42D, k, 1 << 32) for k, x in enumerate(docs[1][i - 15 : i + 1][::-1])) % (1 << 32) for i in range(15, 60)]
+    assert token_store.rolling(docs[1])[15:60].tolist() == slow
 
 
 def test_store_of_odd_rows(spark, messy, messy_rows, nothing, store):
@@ -188,19 +244,12 @@ def test_store_of_odd_rows(spark, messy, messy_rows, nothing, store):
 
 # --- markers in the text -----------------------------------------------------------
 
-UNTOUCHED = Tokenizer.from_file(PATH)
 MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  don't", "日本 <|endoftext|> ½", "plain <|endoftext", "no marker here"]
 
 
-def untouched_ids(text):
-    return UNTOUCHED.encode(text, add_special_tokens=False).ids
-
-
 def test_markers_have_the_ids_of_an_untouched_tokenizer():
-    e = Encoder(PATH, added=True)
-    assert np.frombuffer(e.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
-    for text in MARKED:
-        assert np.frombuffer(e.encode(text), "<u4").tolist() == untouched_ids(text)
+    assert ENCODER.encode(["a <|endoftext|> b"], 1)[0].tolist() == [64, 220, 50256, 275, 1]
+    check(*MARKED)
 
 
 def test_store_and_packing_keep_markers(spark, store):
@@ -209,6 +258,6 @@ def test_store_and_packing_keep_markers(spark, store):
     stored = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_store.verify(spark, store).collect()}
     packed = {r["doc_id"]: bytes(r["ids"]) for r in packing.pack_documents(docs, PATH, 1).collect()}
     for i, text in enumerate(MARKED):
-        ids = untouched_ids(text)
+        ids = ids_of(text)
         assert stored[i] == (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
         assert packed[i] == np.array([*ids, 1], "<u4").tobytes()

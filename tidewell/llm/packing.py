@@ -11,17 +11,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.tokens import Encoder
+from tidewell.llm.tokens import encoder, stretches
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What a sequence holds at most."""
+    """What a sequence holds at most, each at least 1.
+
+    Plain documents bear loss on nearly every token, so the default ``loss`` leaves the other two limits to bind;
+    instruction data with masked prompts give it a meaning of its own.
+    """
 
     tokens: int = 2048
     segments: int = 256
     loss: int = 2048
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss) < 1:
+            raise ValueError(f"limits must be 1 at least: {self}")
+
 
 class Bin:
     """The open sequence of a task and the room it has left."""
@@ -40,8 +48,6 @@ class Bin:
         return bool((self.left < 1).any())
 
 
-
-
 def pack(n_tokens: np.ndarray, loss: list[np.ndarray], bin_: Bin) -> list[tuple[int, int, int, int, int]]:
     """Place every token of the items, going on with the open ``bin_``: (item, start, length, sequence, offset).
 
@@ -104,33 +110,33 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bin_ = Encoder(tokenizer, added=True), Bin(limits)
+        encode, bin_ = encoder(tokenizer).encode, Bin(limits)
         base = TaskContext.get().partitionId() << 36
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, batch_docs):
-                part = batch.slice(lo, batch_docs)
-                ids = [encoder.encode(t.as_py()) + end for t in part.column(1)]
-                n = np.array([len(x) // 4 for x in ids])
-                loss = [np.maximum(np.arange(-1, k), 0) for k in n]
-                rows = pack(n, loss, bin_)
-                pieces = [ids[i][4 * s : 4 * (s + k)] for i, s, k, _, _ in rows]
-                col = list(zip(*rows, strict=True)) or [()] * 5
-                item = np.array(col[0], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(item)),
-                        pa.array(col[1], pa.int64()),
-                        pa.array(col[2], pa.int64()),
-                        pa.array([zlib.crc32(p) for p in pieces], pa.int64()),
-                        pa.array(n[item], pa.int64()),
-                        pa.array([base + k for k in col[3]], pa.int64()),
-                        pa.array(col[4], pa.int64()),
-                        pa.array([int(loss[i][s + k] - loss[i][s]) for i, s, k, _, _ in rows], pa.int64()),
-                        pa.array(pieces if with_ids else [None] * len(pieces), pa.binary()),
-                    ],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "ids"],
-                )
+            for lo, texts in stretches(batch.column(1)):
+                stream, ends = encode(texts, end_id)
+                data, n = stream.astype("<u4").tobytes(), np.diff(ends, prepend=0)
+                for k in range(0, len(texts), batch_docs):
+                    many = n[k : k + batch_docs]
+                    rows = pack(many, [np.maximum(np.arange(-1, m), 0) for m in many.tolist()], bin_)
+                    item, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+                    item += k
+                    at = ends[item] - n[item] + start
+                    pieces = [data[4 * i : 4 * j] for i, j in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(lo + item)),
+                            pa.array(start),
+                            pa.array(length),
+                            pa.array([zlib.crc32(p) for p in pieces], pa.int64()),
+                            pa.array(n[item]),
+                            pa.array(base + sequence),
+                            pa.array(offset),
+                            pa.array(length - (start == 0)),
+                            pa.array(pieces if with_ids else [None] * len(pieces), pa.binary()),
+                        ],
+                        ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "ids"],
+                    )
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, {_OUT}")
 

@@ -11,38 +11,49 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidewell.llm.tokens import Encoder
+from tidewell.llm.tokens import encoder, stretches
 from tidewell.storage import delete, materialize
 
-#: Rolling hash over the last 16 ids; a cut where its low bits are zero.
+#: Rolling hash over the last 16 ids; a cut where it is small.
 WINDOW = 16
-_POWERS = np.cumprod(np.full(WINDOW, 0x5DEECE66D, np.uint64))
+_FACTOR = 0x5851F42D
+MEAN, LEAST, MOST = 512, 128, 2048
+FILE_DOCS = 65_536
+MANIFEST = "file long, documents long, tokens long, base long, root binary"
 
 
-def cuts(ids: np.ndarray, mean: int = 512, least: int = 128, most: int = 2048) -> np.ndarray:
-    """Ends of the chunks of a stream of ids.
+def rolling(ids: np.ndarray) -> np.ndarray:
+    """Polynomial hash, modulo 2^32, of the WINDOW ids that end at each place; nothing stands before the first.
 
-    A polynomial over the last WINDOW ids is rolled along; where its upper bits say so, and at least
-    ``least`` ids after the last cut, a chunk ends, and at the latest after ``most``. Cuts depend
-    on the ids near them only, so streams that share a passage share its inner chunks.
+    Built by doubling: the hash of 2w ids is that of the last w plus factor^w times that of the w before.
     """
-    n = len(ids)
-    if n <= least:
-        return np.array([n] if n else [], np.int64)
-    x = ids.astype(np.uint64) + np.uint64(1)
-    h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        h[k:] += x[: n - k] * _POWERS[k]
-    marks = np.flatnonzero((h >> np.uint64(40)) % np.uint64(mean - least) == 0) + 1
-    out, last = [], 0
-    for m in [*marks.tolist(), n]:
-        while m - last > most:
-            last += most
+    h, w, factor = ids.astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(1), 1, _FACTOR
+    while w < WINDOW:
+        more = h.copy()
+        more[w:] += h[:-w] * np.uint32(factor)
+        h, w, factor = more, 2 * w, factor * factor & 0xFFFFFFFF
+    return h
+
+
+def cuts(ids: np.ndarray, ends: np.ndarray | None = None, mean: int = MEAN, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of a stream of ids, in which documents end at ``ends`` (default: one document).
+
+    A polynomial over the last WINDOW ids is rolled along the stream; where it is small, and at least ``least``
+    ids after the last cut, a chunk ends, at the latest after ``most``, and with its document. As ``least`` is
+    above WINDOW, a cut depends on the ids of its own document near it only, so documents
+    that share a passage share its inner chunks.
+    """
+    ends = np.array([len(ids)]) if ends is None else ends
+    marks = (np.flatnonzero(rolling(ids) < (1 << 32) // (mean - least)) + 1).tolist() if len(ids) else []
+    out, last, k = [], 0, 0
+    marks.append(len(ids) + most)
+    for end in ends.tolist():
+        while last < end:
+            while marks[k] < last + least:
+                k += 1
+            last = min(marks[k], last + most, end)
             out.append(last)
-        if m == n or m - last >= least:
-            out.append(m)
-            last = m
-    return np.unique(np.array(out, np.int64))
+    return out
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -100,47 +111,51 @@ def _encode(tokenizer: str, end_id: int, width: int):
     """One row a document with its recipe, and one row a chunk that is new in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, added=True)
-        end = np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer).encode
         seen: set[bytes] = set()
         for batch in batches:
-            docs, n, recipe, digest, payload = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encoder.encode(text.as_py()) + end, "<u4")
-                parts = []
-                for lo, hi in _spans(cuts(ids)):
-                    data = ids[lo:hi].astype(f"<u{width}").tobytes()
+            for lo, texts in stretches(batch.column(1)):
+                stream, ends = encode(texts, end_id)
+                if int(stream.max()) >> 8 * width:
+                    raise ValueError(f"id {int(stream.max())} does not fit into {width} bytes")
+                payload = stream.astype(f"<u{width}").tobytes()
+                recipes, root, new, held, at = [], [], [], [], 0
+                doc_ends = iter(ends.tolist())
+                doc_end = next(doc_ends)
+                recipe: list[bytes] = []
+                steps: list[bytes] = []
+                for cut in cuts(stream, ends):
+                    data = payload[width * at : width * cut]
                     d = hashlib.sha256(data).digest()
-                    parts.append((d, hi - lo))
+                    steps.append(d)
+                    recipe.append(d + (cut - at).to_bytes(4, "little"))
                     if d not in seen:
                         seen.add(d)
-                        docs.append(None)
-                        n.append(None)
-                        recipe.append(None)
-                        digest.append(d)
-                        payload.append(data)
-                        if len(seen) > 500_000:
-                            seen.clear()
-                docs.append(i)
-                n.append(len(ids))
-                recipe.append(b"".join(d + k.to_bytes(4, "little") for d, k in parts))
-                digest.append(merkle([d for d, _ in parts]))
-                payload.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(recipe, pa.binary()), pa.array(digest, pa.binary()), pa.array(payload, pa.binary())],
-                ["doc_id", "n_tokens", "recipe", "digest", "payload"],
-            )
+                        new.append(d)
+                        held.append(data)
+                    at = cut
+                    if cut == doc_end:
+                        recipes.append(b"".join(recipe))
+                        root.append(merkle(steps))
+                        recipe, steps, doc_end = [], [], next(doc_ends, None)
+                if len(seen) > 500_000:
+                    seen.clear()
+                none = [None] * len(new)
+                n = np.diff(ends, prepend=0).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([batch.column(0).slice(lo, len(texts)), pa.array(none, pa.int64())]),
+                        pa.array(n + none, pa.int64()),
+                        pa.array(recipes + none, pa.binary()),
+                        pa.array(root + new, pa.binary()),
+                        pa.array([None] * len(root) + held, pa.binary()),
+                    ],
+                    ["doc_id", "n_tokens", "recipe", "digest", "payload"],
+                )
 
     return run
 
 
-def _spans(ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    lo = 0
-    for hi in ends.tolist():
-        yield lo, hi
-        lo = hi
-
-
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first row of each chunk digest in rows that lie sorted; all document rows."""
     last = None
@@ -154,53 +169,62 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.take(pa.array(keep, pa.int64()))
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text", range_docs: int = 250_000) -> None:
     """Encode whole texts, append ``end_id`` to each and write a store at ``path``.
 
     ``chunks``: one row a distinct chunk, (digest, payload); the payload is its ids as little-endian unsigned
-    integers of ``width`` bytes (2 holds vocabularies to 65,536), the digest their SHA-256.
+    integers of ``width`` bytes (2 holds vocabularies to 65,536; a larger id is an error), the digest their SHA-256.
     ``recipes``: in ascending id order over the files, one row a document: doc_id, file, n_tokens, start
     (ids of all documents before it), root (Merkle root over its chunk digests), recipe (digest and
-    length of each chunk in order, 36 bytes each). ``manifest``: one row a recipe file: file, documents,
-    tokens, root (Merkle root over its documents' roots).
+    length of each chunk in order, 36 bytes each); FILE_DOCS documents make a file. ``manifest``: one row a
+    file: file, documents, tokens, base (ids before it), root (Merkle root over its documents' roots).
 
     Texts are encoded where they are read. A task sends on each chunk once, and one shuffle by digest
     leaves one copy of each: a passage that a third of all documents share is a row a task.
-    Running starts need one row a file on the driver.
+    Running starts need one row a range of ids on the driver.
 
-    Nulls: a null text is empty, a null id sorts first. Rows repeating an id are documents of their own. No
-    rows give an empty store.
+    Nulls: a null text is empty, a null id sorts first. Rows repeating an id are documents of their own, in
+    the order of their roots. No rows give an empty store.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.mapInArrow(_encode(tokenizer, end_id, width), "doc_id long, n_tokens long, recipe binary, digest binary, payload binary")
     rows = rows.withColumn("chunk", F.col("payload").isNotNull())
-    key = F.when(F.col("chunk"), F.col("digest")).otherwise(F.unhex(F.sha2(F.col("doc_id").cast("string"), 256)))
-    rows = rows.withColumn("key", F.xxhash64(key, "chunk"))
-    rows = rows.repartition("key").sortWithinPartitions("chunk", "digest").drop("key")
+    rows = rows.repartition("digest", "doc_id").sortWithinPartitions("chunk", "digest")
     rows = rows.mapInArrow(_first_of_each, "doc_id long, n_tokens long, recipe binary, digest binary, payload binary, chunk boolean")
     rows.write.option("compression", "zstd").partitionBy("chunk").parquet(f"{path}/staged")
     staged = spark.read.schema("doc_id long, n_tokens long, recipe binary, digest binary, payload binary, chunk boolean").parquet(f"{path}/staged")
-    recipes = staged.where("NOT chunk").select("doc_id", "n_tokens", "recipe", F.col("digest").alias("root"))
-    recipes = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root").withColumn("file", F.spark_partition_id())
-    recipes = materialize(recipes, "recipes")
-    files = recipes.groupBy("file").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
-    start, starts = 0, []
-    for r in sorted(files.collect(), key=lambda r: r["file"]):
-        starts.append((r["file"], start, r["documents"], r["tokens"]))
-        start += r["tokens"]
-    before = F.broadcast(spark.createDataFrame(starts, "file int, base long, documents long, tokens long"))
-    running = Window.partitionBy("file").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = recipes.join(before.select("file", "base"), "file").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(running), F.lit(0)))
-    ordered = ordered.select("doc_id", "file", "n_tokens", "start", "root", "recipe").repartitionByRange("start").sortWithinPartitions("start")
-    ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    roots = spark.read.parquet(f"{path}/recipes").select("file", "doc_id", "root").groupBy("file").applyInPandas(_file_root, "file int, root binary")
-    roots.join(before.select("file", "documents", "tokens"), "file").write.parquet(f"{path}/manifest")
-
-
-def _file_root(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["doc_id", "root"])
-    return pd.DataFrame({"file": [rows["file"].iloc[0]], "root": [merkle(list(rows["root"]))]})
+    docs_only = staged.where("NOT chunk").select("doc_id", "n_tokens", "recipe", F.col("digest").alias("root"))
+    ranges = max(1, -(-docs_only.count() // range_docs))
+    docs_only = docs_only.repartitionByRange(ranges, "doc_id", "root").withColumn("range", F.spark_partition_id())
+    docs_only = materialize(docs_only, "recipes")
+    sums = docs_only.groupBy("range").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens")).collect()
+    bases, place, base = [], 0, 0
+    for r in sorted(sums, key=lambda r: r["range"]):
+        bases.append((r["range"], place, base))
+        place, base = place + r["documents"], base + r["tokens"]
+    before = F.broadcast(spark.createDataFrame(bases, "range int, place long, base long"))
+    running = Window.partitionBy("range").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = docs_only.join(before, "range").select(
+        "doc_id",
+        F.floor((F.col("place") + F.count(F.lit(1)).over(running) - 1) / FILE_DOCS).cast("long").alias("file"),
+        "n_tokens",
+        (F.col("base") + F.sum("n_tokens").over(running) - F.col("n_tokens")).alias("start"),
+        "root",
+        "recipe",
+    )
+    ordered.repartitionByRange(ranges, "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    _files(recipes(spark, path)).write.parquet(f"{path}/manifest")
+
+
+def _files(found: DataFrame) -> DataFrame:
+    """One manifest row a file of the recipes ``found``."""
+    return found.select("file", "start", "n_tokens", "root").groupBy("file").applyInPandas(_file_row, MANIFEST)
+
+
+def _file_row(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("start")
+    return pd.DataFrame({"file": rows["file"].iloc[:1], "documents": len(rows), "tokens": rows["n_tokens"].sum(), "base": rows["start"].iloc[:1], "root": [merkle(list(rows["root"]))]})
 
 
 # --- reading --------------------------------------------------------------------
@@ -212,7 +236,25 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, file int, n_tokens long, start long, root binary, recipe binary").parquet(f"{path}/recipes")
+    return spark.read.schema("doc_id long, file long, n_tokens long, start long, root binary, recipe binary").parquet(f"{path}/recipes")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raise ValueError if the recipes are not those that the manifest states, file by file and in one gapless stream."""
+    stated, found = manifest(spark, path), _files(recipes(spark, path))
+    keys = ["documents", "tokens", "base", "root"]
+    both = stated.join(found.select("file", *(F.col(k).alias(f"found_{k}") for k in keys)), "file", "full")
+    differ = both.where(~F.array(*(F.col(k).eqNullSafe(F.col(f"found_{k}")) for k in keys)).eqNullSafe(F.array(*[F.lit(True)] * len(keys))))
+    ends = stated.select((F.col("file") + 1).alias("file"), (F.col("base") + F.col("tokens")).alias("due"))
+    ends = ends.unionByName(spark.createDataFrame([(0, 0)], "file long, due long"))
+    gaps = stated.join(ends, "file", "left").where(~F.col("due").eqNullSafe(F.col("base")))
+    bad = differ.select("file").unionByName(gaps.select("file")).head(1)
+    if bad:
+        raise ValueError(f"recipe file {bad[0]['file']} is not what the manifest states")
 
 
 def _steps(df: DataFrame) -> DataFrame:
@@ -263,9 +305,11 @@ def verify(spark: SparkSession, path: str, width: int = 2, bucket_tokens: int =
     Each chunk's payload is read once and checked against its digest; a document's crc32
     is put together from its chunks' (a crc of a concatenation follows from the parts' and
     lengths), so what is shuffled is a few bytes a chunk and not the ids again. Each
-    document is checked against its length and Merkle root. Documents are joined up in
+    document is checked against its length and Merkle root, and all of them against the
+    manifest: a file or document that was lost, added or moved raises. Documents are joined up in
     groups that lie close together in the stream, of about ``bucket_tokens`` ids.
     """
+    check_manifest(spark, path)
     sums = chunks(spark, path).mapInArrow(_sums(width), "digest binary, crc long, n long")
     steps = _steps(recipes(spark, path)).withColumnRenamed("digest", "want")
     found = steps.join(sums, steps["want"] == sums["digest"], "left").drop("digest").withColumnRenamed("want", "digest")

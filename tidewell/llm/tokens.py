@@ -3,13 +3,57 @@
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-#: Fixed by the vocabulary: how byte-level BPE cuts a text before merging, for texts of common characters.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Texts with any other character are encoded whole by the library.
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-©«-±´¶·»¿-ɏΑ-ΡΣ-Ωα-ωА-я–—‘-„…]")
+#: Fixed by the vocabulary: byte-level BPE first cuts a text into a word, a number or other signs, each with one space
+#: before it, the contractions below, and what white space is left. Characters that are sorted into these kinds here:
+_WORD = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-я"
+_NUMBER = "0-9²³¹¼-¾"
+_SPACE = "\t\n\r "
+_SIGN = "!-/:-@\\[-`{-~¡-©«-±´¶·»¿×÷–—‘-„…"
+#: A text with any other character is encoded whole by the library.
+_OTHER = re.compile(f"[^{_WORD}{_NUMBER}{_SPACE}{_SIGN}]")
+_END, _W, _N, _S, _BLANK = range(5)
+_TOP = 0x2027
+
+
+def _kinds() -> np.ndarray:
+    out = np.zeros(_TOP, np.uint8)
+    for kind, chars in ((_S, _SIGN), (_W, _WORD), (_N, _NUMBER), (_BLANK, _SPACE)):
+        out[[ord(c) for c in re.findall(f"[{chars}]", "".join(map(chr, range(_TOP))))]] = kind
+    return out
+
+
+_KIND = _kinds()
+
+
+def starts_of_pieces(cp: np.ndarray) -> np.ndarray:
+    """Places where pieces begin, in code points of texts that each end in a 0, which is a piece of its own."""
+    kind = _KIND[cp]
+    start = np.empty(len(cp), bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == _END
+    # The last blank before a word, number or sign leaves the others; if a space, it belongs to what follows.
+    blank = kind == _BLANK
+    last = np.flatnonzero(blank[:-1] & ~blank[1:] & (kind[1:] != _END))
+    start[last] = True
+    start[last[cp[last] == 0x20] + 1] = False
+    # 's 't 'm 'd 're 've 'll, where the apostrophe begins a piece and a word follows.
+    at = np.flatnonzero(cp == 0x27)
+    at = at[start[at] & (kind[at + 1] == _W)]
+    one, two = cp[at + 1], cp[at + 2] if len(at) else at
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    start[at[short | long] + 1] = False
+    start[at[short] + 2] = True
+    start[at[long] + 3] = True
+    return np.flatnonzero(start)
 
 
 def _byte_chars() -> dict[int, str]:
@@ -19,41 +63,99 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(moved)}
 
 
-class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers.
+class _Pieces(dict):
+    """piece (UTF-32) -> its ids as bytes, asked of the library once.
 
-    A text's pieces are encoded apart from each other, so the ids of a piece are asked of the library once
-    and kept; the store is started anew at ``most`` pieces.
+    At ``most`` entries the store becomes the older generation and a new one begins, so common
+    pieces stay known and memory is bounded by twice that.
+    """
 
-    With ``added`` a marker such as <|endoftext|> in a text becomes its own id, as an untouched tokenizer has it: a text
-    with the content of an added token is encoded whole by the library. Without, markers are plain text.
+    def __init__(self, tokenize, most: int):
+        super().__init__()
+        self.tokenize, self.most, self.older, self.chars = tokenize, most, {}, _byte_chars()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            written = piece.decode("utf-32-le").encode().decode("latin-1").translate(self.chars)
+            ids = array("I", [t.id for t in self.tokenize(written)]).tobytes()
+        self[piece] = ids
+        return ids
+
+
+class Encoder:
+    """Ids of whole texts, each with an end id behind it.
+
+    A text's pieces are encoded apart from each other, so the library is asked once for a piece: the different pieces of a
+    stretch of texts are found by arrays and looked up in ``_Pieces``. Encoding whole texts with the library takes
+    several times as long. The ids are those of the tokenizer as the library loads it: a marker such as
+    <|endoftext|> in a text is its own id, so a text with the content of an added token is encoded whole by the library.
     """
 
-    def __init__(self, path: str, most: int = 250_000, added: bool = False):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
-        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = re.compile("|".join(map(re.escape, contents))) if contents else None
-        self.chars = _byte_chars()
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        self.known = _Pieces(self.tokenizer.model.tokenize, most)
+
+    def _by_library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts as one stream, and where each text ends in it; null is empty."""
+        texts = [t or "" for t in texts]
+        whole = [k for k, t in enumerate(texts) if _OTHER.search(t) or (self.marks and self.marks.search(t))]
+        parts = texts if not whole else texts.copy()
+        for k in whole:
+            parts[k] = ""
+        data = "\0".join([*parts, ""]).encode("utf-32-le")
+        cp = np.frombuffer(data, np.uint32)
+        if not len(cp):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        at = starts_of_pieces(cp)
+        edges = np.append(at, len(cp)).astype(np.int64) * 4
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        self.known[b"\0\0\0\0"] = np.array([end_id], np.uint32).tobytes()
+        ids = [*map(self.known.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False))]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = np.asarray(pieces.indices)
+        count = n[place]
+        stop = np.cumsum(count)
+        source = np.repeat((np.cumsum(n) - n)[place] - (stop - count), count)
+        source += np.arange(len(source))
+        stream = np.frombuffer(b"".join(ids), np.uint32)[source]
+        ends = stop[cp[at] == 0]
+        if not whole:
+            return stream, ends
+        extra = [self._by_library(texts[k]) for k in whole]
+        cut = np.split(stream, ends[whole] - 1)
+        stream = np.concatenate([cut[0], *(x for pair in zip(extra, cut[1:], strict=True) for x in pair)])
+        more = np.zeros(len(ends), np.int64)
+        more[whole] = [len(x) for x in extra]
+        return stream, ends + np.cumsum(more)
+
+
+def stretches(texts: pa.Array, most_chars: int = 6_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of parts of about ``most_chars`` characters; a longer text is a part alone."""
+    held, size, first = [], 0, 0
+    for k, text in enumerate(texts):
+        text = text.as_py()
+        n = len(text or "")
+        if held and size + n > most_chars:
+            yield first, held
+            held, size, first = [], 0, k
+        held.append(text)
+        size += n
+    if held:
+        yield first, held
 
-    def _piece(self, piece: str) -> bytes:
-        written = piece.encode().decode("latin-1").translate(self.chars)
-        ids = self.known[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u4").tobytes()
-        return ids
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _OTHER.search(text) or (self.marks and self.marks.search(text)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = _PIECES.findall(text)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for p in set(pieces).difference(known):
-            self._piece(p)
-        return b"".join(map(known.__getitem__, pieces))
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The process's own encoder, kept with the pieces it knows from one task to the next."""
+    return Encoder(path)
