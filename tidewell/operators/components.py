@@ -10,21 +10,23 @@ from tidewell.storage import materialize
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of an edge; ``component`` is the smallest node reachable.
 
-    Each round links every node to the smallest of its neighbours and is one
-    aggregation and one join; it ends when a round changes nothing. The edge list is a
-    written table after each round, so lineage stays short. Null ends and self
-    loops are ignored; repeated edges count once; no edges give no rows.
+    Each round links every node to the smallest of its neighbours and is two
+    aggregations and joins; it ends when a round changes nothing. The edge list is a
+    written table after each round, so lineage stays short. What a node learns is a written
+    table too: both sides of each join are then shuffled as they are read, and Spark splits the edges of a node that a
+    large part of all edges meet. Null ends and self loops are ignored; repeated edges count
+    once; no edges give no rows.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     e = materialize(e.where(F.col("u") > F.col("v")).distinct(), "cc")
     for _ in range(max_rounds):
         # Large star: each node sends its larger neighbours to its smallest one.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+        large = e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u > v").distinct(), "cc-large")
         # Small star: each node sends its smaller neighbours, and itself, to the smallest.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = materialize(small, "cc")
