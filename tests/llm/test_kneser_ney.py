@@ -78,6 +78,33 @@ def test_many_small_ranges_and_frequent_pairs(spark):
         assert got[i] == pytest.approx(slow.score(t), rel=1e-9)
 
 
+def test_the_tree_of_blocks_gives_the_same_model(spark, monkeypatch):
+    """Several steps, hot first and second words cut into ranges, more blocks than a step merges."""
+    monkeypatch.setattr(kn, "FAN", 3)
+    rows = [(k, " ".join(f"hot w{(k * 31 + j * 7) % 301} x{j % 13}" for j in range(60))) for k in range(50)] + [(99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    m = kn.train(docs, range_tokens=150)
+    assert kn._first_span(len(m.first_pair)) > 3 and kn._first_span(len(m.first_id)) > 3
+    heads = [int(p) >> 32 for p in m.first_pair]
+    assert max(heads.count(h) for h in set(heads) - {kn.BEGIN}) > 10
+    slow = Slow([t for _, t in rows])
+    assert (m.tokens, m.distinct, m.texts, m.pairs) == (slow.n, slow.v, 51, len(slow.pairs))
+    odd = spark.createDataFrame([(1_000, "never seen hot w1 x1 hot hot")], "doc_id long, text string")
+    for r in kn.score(docs.unionByName(odd), m).collect():
+        text = dict([*rows, (1_000, "never seen hot w1 x1 hot hot")])[r["doc_id"]]
+        assert r["score"] == pytest.approx(slow.score(text), rel=1e-9)
+        assert r["base_score"] == pytest.approx(slow.base(text), rel=1e-9)
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["", " a  B\x0b\n", "é\x1cÉ ÿ", "x"], ["one", None, "two  "]])
+def test_tokens_by_arrays(texts):
+    t = kn.Tokens.of(texts)
+    words = [t.words[k] for k in t.place]
+    assert words == [w for x in texts for w in kn.words_of(x)]
+    assert len(set(t.words)) == len(t.words)
+    assert t.starts.tolist() == [sum(len(kn.words_of(x)) for x in texts[:k]) for k in range(len(texts))]
+
+
 def test_held_out_text_is_better_than_single_words(small):
     got = kn.score_corpus(small).where("held_out").collect()
     assert sum(r["score"] > r["base_score"] for r in got) >= 0.95 * len(got)

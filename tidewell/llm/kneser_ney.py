@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,13 +15,17 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.text import crc_mod
+from tidewell.llm.text import SPACE_BYTES, crc_mod
+from tidewell.llm.tokens import stretches
 from tidewell.storage import materialize, mounted, work_path
 
 #: Ids that are no word's: a word that was never seen, and what stands before a text.
 UNSEEN, BEGIN = 0xFFFFFFFF, 0xFFFFFFFE
-#: Written in place of the end of a text; no word can hold a space.
-END = b" end"
+#: Written in place of the end of a text; no UTF-8 text holds this byte.
+END = b"\xff"
+_BLANK = np.isin(np.arange(256), list(SPACE_BYTES))
+#: A step of a spreading tree cuts what it holds into this many ranges, and merges this many parts of each.
+FAN = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -29,6 +33,34 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """The tokens of some texts: different words, the place of each token's word among them, and where texts begin."""
+
+    words: list[bytes]
+    place: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Tokens:
+        """Same as ``words_of`` for each text; the different words are found by arrays."""
+        data = b"".join([x for t in texts for x in ((t or "").encode(), b" \xff ")]).lower()
+        chars = np.frombuffer(data, np.uint8)
+        if not len(chars):
+            return cls([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+        blank = _BLANK[chars]
+        at = np.concatenate([[0], np.flatnonzero(blank[1:] != blank[:-1]) + 1])
+        edges = np.append(at, len(chars)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        every = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        is_word = np.array([not _BLANK[p[0]] for p in every])
+        number = np.cumsum(is_word) - 1
+        inside = np.asarray(pieces.indices)
+        inside = inside[~blank[at]]
+        ends = np.flatnonzero(chars[at[~blank[at]]] == END[0])
+        return cls([p for p, w in zip(every, is_word, strict=True) if w], number[inside], np.concatenate([[0], ends[:-1] + 1]))
+
+
 def hash_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
@@ -61,14 +93,16 @@ class Model:
 
     For each range k of ids (a word's id is the place of its hash among all sorted hashes):
     ``hash-k`` the sorted word hashes, ``count-k`` their counts, ``before-k`` the number of different words before
-    each, ``after-k`` how many words follow it once, twice and more often, ``pair-k`` the
-    sorted pairs (id of the first word times 2^32 plus that of the second), ``times-k`` their
-    counts up to 254, ``often-k`` places and counts of the others.
+    each, ``after-k`` how many words follow it once, twice and more often. For each range k of pairs (id of the
+    first word times 2^32 plus that of the second), which begins at ``first_pair[k]``: ``pair-k`` the sorted pairs,
+    ``times-k`` their counts up to 254, ``often-k`` places and counts of the others. A frequent word's pairs are
+    several ranges.
     """
 
     folder: str
     first_hash: np.ndarray
     first_id: np.ndarray
+    first_pair: np.ndarray
     tokens: int
     distinct: int
     texts: int
@@ -79,7 +113,9 @@ class Model:
     before_kinds: tuple[int, int, int]
 
 
+@lru_cache(maxsize=4_096)
 def _array(folder: str, name: str, kind: str) -> np.ndarray:
+    """A mapped array; the process keeps those it used last."""
     path = f"{folder}/{name}"
     if not os.path.getsize(path):
         return np.zeros(0, kind)
@@ -93,43 +129,32 @@ def _save(folder: str, name: str, data: np.ndarray) -> None:
 
 
 class _Ids(dict):
-    """word -> its id as four bytes, from the mapped hashes; started anew when it has grown large."""
+    """word -> its id, from the mapped hashes; started anew when it has grown large."""
 
     def __init__(self, folder: str, first_hash: np.ndarray, first_id: np.ndarray):
         super().__init__()
-        self.first_hash, self.first_id = first_hash, first_id
-        self.parts = [_array(folder, f"hash-{k}", "<i8") for k in range(len(first_hash))]
+        self.folder, self.first_hash, self.first_id = folder, first_hash, first_id
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > 250_000:
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > 400_000:
             self.clear()
-        new = list(words.difference(self))
+        new = [w for w in words if w not in self]
         h = np.array([hash_of(w) for w in new], np.int64)
         part = np.searchsorted(self.first_hash, h, "right") - 1
-        ids = np.full(len(new), UNSEEN, "<u4")
-        for k in np.unique(part[part >= 0]):
+        ids = np.full(len(new), UNSEEN, np.int64)
+        for k in np.unique(part[part >= 0]).tolist():
+            held = _array(self.folder, f"hash-{k}", "<i8")
             at = np.flatnonzero(part == k)
-            place = np.searchsorted(self.parts[k], h[at])
-            ok = place < len(self.parts[k])
-            ok[ok] = self.parts[k][place[ok]] == h[at[ok]]
+            place = np.searchsorted(held, h[at])
+            ok = place < len(held)
+            ok[ok] = held[place[ok]] == h[at[ok]]
             ids[at[ok]] = self.first_id[k] + place[ok]
-        data = ids.tobytes()
-        self.update(zip(new, [data[i : i + 4] for i in range(0, len(data), 4)], strict=True))
-
-    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all tokens of the texts, of those before them, and where each text begins."""
-        split = [words_of(t) for t in texts]
-        self.learn(set().union(*split))
-        ids = np.frombuffer(b"".join([self[w] for s in split for w in s]), "<u4")
-        starts = np.cumsum([0, *map(len, split[:-1])])
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[starts] = BEGIN
-        return ids, before, starts
+        self.update(zip(new, ids.tolist(), strict=True))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter[bytes] = Counter()
+    count: dict[bytes, int] = {}
 
     def block() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array([hash_of(w) for w in count], pa.int64()), pa.array(count.values(), pa.int64())], ["hash", "n"])
@@ -137,8 +162,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for text in batch.column(0):
-            count.update(words_of(text.as_py()))
+        for _, texts in stretches(batch.column(0)):
+            t = Tokens.of(texts)
+            for w, n in zip(t.words, np.bincount(t.place, minlength=len(t.words)).tolist(), strict=True):
+                count[w] = count.get(w, 0) + n
             if len(count) > 400_000:
                 yield block()
     yield block()
@@ -183,56 +210,135 @@ def _add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _count_pairs(folder: str, first_hash: np.ndarray, first_id: np.ndarray, block_tokens: int = 2_500_000):
+def _pack(n: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(n.astype("<u4").tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").astype(np.int64)
+
+
+BLOCK = "range long, part long, keys binary, counts binary"
+
+
+def _cut(key: np.ndarray, n: np.ndarray, edges: np.ndarray, span: int, part: int, first: int = 0, last: int | None = None) -> list[tuple[int, int, bytes, bytes]]:
+    """Rows of BLOCK, one a stretch of ``span`` ranges from ``first`` to ``last`` that holds any of the sorted keys."""
+    ranges = np.arange(first, len(edges) if last is None else last, span)
+    at = [0, *np.searchsorted(key, edges[ranges[1:]]).tolist(), len(key)]
+    return [(int(r), part, _squeeze(key[lo:hi]), _pack(n[lo:hi])) for r, lo, hi in zip(ranges.tolist(), at[:-1], at[1:], strict=True) if hi > lo]
+
+
+def _narrow(edges: np.ndarray, span: int):
+    """Merges the parts of a stretch of ``span`` ranges and cuts the sum into FAN stretches."""
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        key, n = _merge([(_swell(k, "<u8"), _unpack(c)) for k, c in zip(rows["keys"], rows["counts"], strict=True)], "<u8")
+        first = int(rows["range"].iloc[0])
+        cut = _cut(key, n, edges, span // FAN, int(rows["part"].iloc[0]), first, min(first + span, len(edges)))
+        return pd.DataFrame(cut, columns=["range", "part", "keys", "counts"])
+
+    return group
+
+
+def _spread(blocks: DataFrame, edges: np.ndarray, n_blocks: int) -> DataFrame:
+    """Rows of BLOCK whose ranges are stretches become rows by single range, few of each.
+
+    A tree: each step groups the rows of one stretch by FAN blocks or so, merges their counts, and cuts the sum into FAN narrower
+    stretches. Each step passes on as many rows as it got at most, however many ranges and blocks there are.
+    """
+    span = _first_span(len(edges))
+    while span > 1:
+        n_blocks = -(-n_blocks // FAN)
+        blocks = blocks.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(n_blocks)).cast("long"))
+        blocks = materialize(blocks.groupBy("range", "part").applyInPandas(_narrow(edges, span), BLOCK), "spread")
+        span //= FAN
+    return blocks
+
+
+def _first_span(ranges: int) -> int:
+    """The power of FAN by which a first cut into FAN stretches at most is done."""
+    span = 1
+    while span * FAN < ranges:
+        span *= FAN
+    return span
+
+
+def _count_pairs(folder: str, first_hash: np.ndarray, first_id: np.ndarray, first_pair: np.ndarray, block_tokens: int):
+    span = _first_span(len(first_pair))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(folder, first_hash, first_id)
         held: list[np.ndarray] = []
+        base, made = TaskContext.get().partitionId() << 32, 0
 
-        def blocks() -> pa.RecordBatch:
+        def block() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
             held.clear()
-            edge = np.searchsorted(key, np.append(first_id.astype(np.uint64), np.uint64(BEGIN)) << np.uint64(32))
-            edge[0], part = 0, []
-            for k in [*range(len(first_id)), len(first_id)]:
-                lo, hi = edge[k], edge[k + 1] if k + 1 < len(edge) else len(key)
-                if hi > lo:
-                    part.append((k, _squeeze(key[lo:hi]), zstandard.ZstdCompressor(level=1).compress(n[lo:hi].astype("<u4").tobytes())))
-            col = list(zip(*part, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(col, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "keys", "counts"])
+            col = list(zip(*_cut(key, n, first_pair, span, base + made), strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(col, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "part", "keys", "counts"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 250):
-                now, before, _ = ids.pairs(batch.column(0).slice(lo, 250).to_pylist())
-                held.append(before.astype(np.uint64) << np.uint64(32) | now)
+            for _, texts in stretches(batch.column(0)):
+                t = Tokens.of(texts)
+                now = ids.of(t.words)[t.place].astype(np.uint64)
+                before = np.empty_like(now)
+                before[1:] = now[:-1]
+                before[t.starts] = BEGIN
+                held.append(before << np.uint64(32) | now)
                 if sum(map(len, held)) >= block_tokens:
-                    yield blocks()
-        yield blocks()
+                    yield block()
+                    made += 1
+        yield block()
 
     return run
 
 
-def _save_pairs(folder: str, first_id: np.ndarray):
-    """A range's pairs as files; its counts of counts, and what it knows of the second words as blocks by range."""
+AFTER, BEFORE, BEGINS, KINDS = range(4)
+
+
+def _save_pairs(folder: str, first_id: np.ndarray, first_pair: np.ndarray):
+    """A range's pairs as files; what it knows of its first and second words as blocks by range of ids, and its counts of counts."""
+    span = _first_span(len(first_id))
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         k = int(rows["range"].iloc[0])
-        parts = [(_swell(a, "<u8"), np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<u4").astype(np.int64)) for a, b in zip(rows["keys"], rows["counts"], strict=True)]
-        key, n = _merge(parts, "<u8")
+        key, n = _merge([(_swell(a, "<u8"), _unpack(b)) for a, b in zip(rows["keys"], rows["counts"], strict=True)], "<u8")
         _save(folder, f"pair-{k}", key.astype("<u8"))
         _save(folder, f"times-{k}", np.minimum(n, 255).astype(np.uint8))
         often = np.flatnonzero(n >= 255)
         _save(folder, f"often-{k}", np.stack([often, n[often]], 1).astype("<i8") if len(often) else np.zeros((0, 2), "<i8"))
-        one = (key >> np.uint64(32)).astype(np.int64)
-        base = int(first_id[k]) if k < len(first_id) else BEGIN
-        wide = int(first_id[k + 1]) - base if k + 1 < len(first_id) else (int(one.max()) - base + 1 if len(one) else 0)
-        after = np.stack([np.bincount(one[sel] - base, minlength=wide) for sel in (n == 1, n == 2, n >= 3)], 1).astype("<u4")
-        _save(folder, f"after-{k}", after)
-        kinds = [int((n == c).sum()) for c in (1, 2, 3, 4)]
-        begin = after[0].tolist() if k == len(first_id) and len(after) else [0, 0, 0]
+        kinds = [len(key), *(int((n == c).sum()) for c in (1, 2, 3, 4))]
+        out = [(KINDS, 0, k, None, None, kinds)]
+        one = key >> np.uint64(32)
+        if int(first_pair[k]) >> 32 == BEGIN:
+            out.append((BEGINS, 0, k, None, None, [int((n == 1).sum()), int((n == 2).sum()), int((n >= 3).sum())]))
+        else:
+            word, at = np.unique(one, return_index=True)
+            after = np.stack([np.add.reduceat(sel.astype(np.int64), at) for sel in (n == 1, n == 2, n >= 3)], 1)
+            r = int(np.searchsorted(first_id, word[0], "right")) - 1
+            out.append((AFTER, r, k, _squeeze(word), _pack(after.ravel()), None))
         two, m = np.unique(key & np.uint64(0xFFFFFFFF), return_counts=True)
-        edge = np.append(np.searchsorted(two, first_id.astype(np.uint64)), len(two))
-        out = [(r, _squeeze(two[lo:hi]), m[lo:hi].astype("<u4").tobytes(), [], []) for r, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if hi > lo]
-        return pd.DataFrame([*out, (-1, None, None, [len(key), *kinds], begin)], columns=["range", "keys", "counts", "kinds", "begin"])
+        out += [(BEFORE, *row, None) for row in _cut(two, m, first_id.astype(np.uint64), span, k)]
+        return pd.DataFrame(out, columns=["what", "range", "part", "keys", "counts", "kinds"])
+
+    return group
+
+
+def _words_in_range(first_id: np.ndarray, distinct: int, k: int) -> tuple[int, int]:
+    """The first id of range k, and how many there are."""
+    first = int(first_id[k])
+    return first, (int(first_id[k + 1]) if k + 1 < len(first_id) else distinct) - first
+
+
+def _save_after(folder: str, first_id: np.ndarray, distinct: int):
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        k = int(rows["range"].iloc[0])
+        first, size = _words_in_range(first_id, distinct, k)
+        full = np.zeros((size, 3), np.int64)
+        for a, b in zip(rows["keys"], rows["counts"], strict=True):
+            full[_swell(a, "<u8").astype(np.int64) - first] += _unpack(b).reshape(-1, 3)
+        _save(folder, f"after-{k}", full.astype("<u4"))
+        return pd.DataFrame({"range": [k]})
 
     return group
 
@@ -240,23 +346,46 @@ def _save_pairs(folder: str, first_id: np.ndarray):
 def _save_before(folder: str, first_id: np.ndarray, distinct: int):
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         k = int(rows["range"].iloc[0])
-        key, n = _merge([(_swell(a, "<u8"), np.frombuffer(b, "<u4").astype(np.int64)) for a, b in zip(rows["keys"], rows["counts"], strict=True)], "<u8")
-        end = int(first_id[k + 1]) if k + 1 < len(first_id) else distinct
-        full = np.zeros(end - int(first_id[k]), "<u4")
-        full[key.astype(np.int64) - int(first_id[k])] = n
+        key, n = _merge([(_swell(a, "<u8"), _unpack(b)) for a, b in zip(rows["keys"], rows["counts"], strict=True)], "<u8")
+        first, size = _words_in_range(first_id, distinct, k)
+        full = np.zeros(size, "<u4")
+        full[key.astype(np.int64) - first] = n
         _save(folder, f"before-{k}", full)
         return pd.DataFrame({"range": [k], "kinds": [[*(int((n == c).sum()) for c in (1, 2, 3, 4)), int((n >= 3).sum())]]})
 
     return group
 
 
+def _pair_ranges(hot: list[tuple[int, int]], first_id: np.ndarray, distinct: int, texts: int, range_tokens: int) -> np.ndarray:
+    """Where ranges of pairs begin: with each range of ids, and within and behind a frequent first word, at even steps of its second word.
+
+    ``hot`` has (id, count). Ids lie in the order of hashes, so even steps hold about as many different words.
+    """
+    edges = {int(i) << 32 for i in first_id}
+    for i, n in [*hot, (BEGIN, texts)]:
+        parts = max(1, -(-n // range_tokens))
+        edges |= {i << 32 | k * distinct // parts for k in range(parts)}
+        edges.add(i + 1 << 32)
+    edges.discard(BEGIN + 1 << 32)
+    if len(first_id):
+        edges.discard(distinct << 32)
+    return np.array(sorted(edges), np.uint64)
+
+
+def _sums(rows: DataFrame, width: int) -> list[int]:
+    """Sum of the arrays ``kinds``, place by place."""
+    return [int(x or 0) for x in rows.agg(*(F.sum(F.col("kinds")[k]) for k in range(width))).first()]
+
+
 def train(docs: DataFrame, text_col: str = "text", range_tokens: int = 2_500_000) -> Model:
     """Count all texts of ``docs`` and write the model's arrays into the shared folder.
 
-    Tasks count what they read before anything is shuffled, and ship sorted, compressed blocks by range of the first
-    word, so a word or pair that is a third of the corpus is one entry a block; a range is what about
-    ``range_tokens`` tokens leave. The driver gets a row a range and a task. A null text is an
-    end alone; no rows give a model that has seen nothing. Other columns are ignored.
+    Tasks count what they read before anything is shuffled, so a word or pair that is a third of the corpus is
+    one entry a block of ``range_tokens`` tokens. Words are summed by hash and lie in ranges of ids. Blocks of pairs are merged and
+    spread over ranges of pairs by a tree of steps (``_spread``), each a shuffle of about what all blocks hold, so
+    rows grow with the tokens and no group with the corpus; a word before more than ``range_tokens`` others has ranges of its own.
+    The driver gets a row a range of ids and a frequent word. A null text is an end alone; no rows give a model
+    that has seen nothing. Other columns are ignored. A word is told by its 64-bit hash.
     """
     spark = docs.sparkSession
     path = work_path(spark, "kneser-ney")
@@ -264,7 +393,8 @@ def train(docs: DataFrame, text_col: str = "text", range_tokens: int = 2_500_000
     os.makedirs(folder, exist_ok=True)
     texts = docs.select(F.col(text_col).alias("text"))
     words = materialize(texts.mapInArrow(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
-    size = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    end = F.coalesce(F.max(F.when(F.col("hash") == hash_of(END), F.col("n"))), F.lit(0))
+    size = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), end.alias("texts")).first()
     if size["v"] >= BEGIN:
         raise ValueError("more than 2^32 - 2 different words")
     ranges = max(4, -(-size["n"] // range_tokens))
@@ -275,15 +405,22 @@ def train(docs: DataFrame, text_col: str = "text", range_tokens: int = 2_500_000
             os.replace(f"{folder}/words-{r['part']}.{name}", f"{folder}/{name}-{k}")
     first_hash = np.array([r["first"] for r in parts], np.int64)
     first_id = np.cumsum([0, *(r["words"] for r in parts)])[:-1].astype(np.int64) if parts else np.zeros(0, np.int64)
-    blocks = texts.mapInArrow(_count_pairs(folder, first_hash, first_id), "range long, keys binary, counts binary")
-    ranged = blocks.groupBy("range").applyInPandas(_save_pairs(folder, first_id), "range long, keys binary, counts binary, kinds array<long>, begin array<long>")
-    ranged = materialize(ranged, "pairs")
-    told = ranged.where("range < 0").select("kinds", "begin").collect()
-    pairs, *kinds = np.sum([r["kinds"] for r in told], axis=0).tolist() if told else [0] * 5
-    begin = np.sum([r["begin"] for r in told], axis=0).tolist() if told else [0] * 3
-    before = ranged.where("range >= 0").select("range", "keys", "counts").groupBy("range").applyInPandas(_save_before(folder, first_id, size["v"]), "range long, kinds array<long>").collect()
-    b1, b2, b3, b4, b3more = np.sum([r["kinds"] for r in before], axis=0).tolist() if before else [0] * 5
-    return Model(folder, first_hash, first_id, int(size["n"]), int(size["v"]), docs.count(), tuple(begin), int(pairs), Discounts.from_counts(kinds), Discounts.from_counts([b1, b2, b3, b4]), (b1, b2, b3more))
+    hot = words.where(F.col("n") > range_tokens // 4).collect()
+    places = [(int(np.searchsorted(first_hash, r["hash"], "right")) - 1, r["hash"], r["n"]) for r in hot]
+    hot = [(int(first_id[k]) + int(np.searchsorted(_array(folder, f"hash-{k}", "<i8"), h)), n) for k, h, n in places]
+    first_pair = _pair_ranges(hot, first_id, size["v"], size["texts"], range_tokens)
+
+    blocks = texts.mapInArrow(_count_pairs(folder, first_hash, first_id, first_pair, range_tokens), BLOCK)
+    blocks = _spread(blocks, first_pair, ranges)
+    told = materialize(blocks.groupBy("range").applyInPandas(_save_pairs(folder, first_id, first_pair), f"what int, {BLOCK}, kinds array<long>"), "pairs")
+    pairs, *kinds = _sums(told.where(F.col("what") == KINDS), 5)
+    begin = _sums(told.where(F.col("what") == BEGINS), 3)
+    by_word = lambda what: told.where(F.col("what") == what).select("range", "part", "keys", "counts")
+    by_word(AFTER).groupBy("range").applyInPandas(_save_after(folder, first_id, size["v"]), "range long").count()
+    before = _spread(by_word(BEFORE), first_id.astype(np.uint64), len(first_pair))
+    saved = materialize(before.groupBy("range").applyInPandas(_save_before(folder, first_id, size["v"]), "range long, kinds array<long>"), "before")
+    b1, b2, b3, b4, b3more = _sums(saved, 5)
+    return Model(folder, first_hash, first_id, first_pair, size["n"], size["v"], size["texts"], tuple(begin), pairs, Discounts.from_counts(kinds), Discounts.from_counts([b1, b2, b3, b4]), (b1, b2, b3more))
 
 
 class Scorer:
@@ -292,69 +429,65 @@ class Scorer:
     def __init__(self, model: Model):
         self.m = model
         self.ids = _Ids(model.folder, model.first_hash, model.first_id)
-        n = len(model.first_id)
-        self.count = [_array(model.folder, f"count-{k}", "<i8") for k in range(n)]
-        self.before = [_array(model.folder, f"before-{k}", "<u4") for k in range(n)]
-        self.after = [_array(model.folder, f"after-{k}", "<u4").reshape(-1, 3) for k in range(n)]
-        every = [*range(n), *([n] if model.texts else [])]
-        self.pair = [_array(model.folder, f"pair-{k}", "<u8") for k in every]
-        self.times = [_array(model.folder, f"times-{k}", "u1") for k in every]
-        self.often = [_array(model.folder, f"often-{k}", "<i8").reshape(-1, 2) for k in every]
-
-    def _take(self, arrays: list[np.ndarray], ids: np.ndarray, width: tuple = ()) -> np.ndarray:
+
+    def _take(self, name: str, kind: str, ids: np.ndarray, width: tuple = ()) -> np.ndarray:
+        """What the arrays ``name`` hold for the ids; a range that has no array holds zeros."""
         out = np.zeros((len(ids), *width), np.int64)
         part = np.searchsorted(self.m.first_id, ids, "right") - 1
-        for k in np.unique(part):
+        for k in np.unique(part).tolist():
             at = part == k
-            out[at] = arrays[k][ids[at] - self.m.first_id[k]]
+            if os.path.exists(f"{self.m.folder}/{name}-{k}"):
+                out[at] = _array(self.m.folder, f"{name}-{k}", kind).reshape(-1, *width)[ids[at] - self.m.first_id[k]]
         return out
 
-    def _pair_counts(self, key: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Counts of sorted pairs whose first words are known."""
+    def _pair_counts(self, key: np.ndarray) -> np.ndarray:
+        """Counts of sorted pairs."""
         out = np.zeros(len(key), np.int64)
-        part = np.where(first == BEGIN, len(self.m.first_id), np.searchsorted(self.m.first_id, first, "right") - 1)
-        for k in np.unique(part):
-            at = np.flatnonzero(part == k)
-            place = np.searchsorted(self.pair[k], key[at])
-            ok = place < len(self.pair[k])
-            ok[ok] = self.pair[k][place[ok]] == key[at[ok]]
-            n = self.times[k][place[ok]].astype(np.int64)
+        if not len(key):
+            return out
+        ranges, at = np.unique(np.searchsorted(self.m.first_pair, key, "right") - 1, return_index=True)
+        for k, lo, hi in zip(ranges.tolist(), at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
+            if not os.path.exists(f"{self.m.folder}/pair-{k}"):  # no pair of this range was seen
+                continue
+            pair = _array(self.m.folder, f"pair-{k}", "<u8")
+            place = np.searchsorted(pair, key[lo:hi])
+            ok = np.flatnonzero(place < len(pair))
+            ok = ok[pair[place[ok]] == key[lo + ok]]
+            n = _array(self.m.folder, f"times-{k}", "u1")[place[ok]].astype(np.int64)
             large = n == 255
             if large.any():
-                n[large] = self.often[k][np.searchsorted(self.often[k][:, 0], place[ok][large]), 1]
-            out[at[ok]] = n
+                often = _array(self.m.folder, f"often-{k}", "<i8").reshape(-1, 2)
+                n[large] = often[np.searchsorted(often[:, 0], place[ok][large]), 1]
+            out[lo + ok] = n
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, known tokens, score and base score of each text."""
         m, d1, d2 = self.m, self.m.word_discounts, self.m.pair_discounts
-        now, before, starts = self.ids.pairs(texts)
-        now, before = now.astype(np.int64), before.astype(np.int64)
-        kinds, back = np.unique(now, return_inverse=True)
-        known = kinds != UNSEEN
-        count, prior = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
-        count[known], prior[known] = self._take(self.count, kinds[known]), self._take(self.before, kinds[known])
+        t = Tokens.of(texts)
+        ids = self.ids.of(t.words)
+        known = ids != UNSEEN
+        # By different word, with one more entry for what stands before a text.
+        count, prior, after = np.zeros(len(ids) + 1, np.int64), np.zeros(len(ids), np.int64), np.zeros((len(ids) + 1, 3), np.int64)
+        at = np.flatnonzero(known)
+        count[at], prior[at], after[at] = self._take("count", "<i8", ids[at]), self._take("before", "<u4", ids[at]), self._take("after", "<u4", ids[at], (3,))
+        count[-1], after[-1] = m.texts, m.begin_after
         b1, b2, b3 = m.before_kinds
         share = (d1.one * b1 + d1.two * b2 + d1.more * b3) / m.pairs if m.pairs else 1.0
         single = share / (m.distinct + 1) + (prior - d1.of(prior)) / max(m.pairs, 1)
-        p = single[back]
-        ctx, ctx_back = np.unique(before, return_inverse=True)
-        seen = (ctx != UNSEEN) & (ctx != BEGIN)
-        total, after = np.zeros(len(ctx), np.int64), np.zeros((len(ctx), 3), np.int64)
-        total[seen], after[seen] = self._take(self.count, ctx[seen]), self._take(self.after, ctx[seen], (3,))
-        if m.texts:
-            total[ctx == BEGIN], after[ctx == BEGIN] = m.texts, m.begin_after
-        weight = np.where(total > 0, after @ np.array([d2.one, d2.two, d2.more]) / np.maximum(total, 1), 1.0)
-        p = p * weight[ctx_back]
-        ask = np.flatnonzero((total[ctx_back] > 0) & (now != UNSEEN))
-        key = before[ask].astype(np.uint64) << np.uint64(32) | now[ask].astype(np.uint64)
-        order = np.argsort(key)
-        n = np.empty(len(ask), np.int64)
-        n[order] = self._pair_counts(key[order], before[ask][order])
-        p[ask] += (n - d2.of(n)) / total[ctx_back[ask]]
-        base = np.log10((count + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))[back]
-        length = np.diff(np.append(starts, len(now)))
-        return length, np.add.reduceat((count > 0)[back].astype(np.int64), starts), np.add.reduceat(np.log10(p), starts), np.add.reduceat(base, starts)
+        weight = np.where(count > 0, after @ np.array([d2.one, d2.two, d2.more]) / np.maximum(count, 1), 1.0)
+        base = np.log10((count[:-1] + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))
+        before = np.empty_like(t.place)
+        before[1:] = t.place[:-1]
+        before[t.starts] = len(ids)
+        p = single[t.place] * weight[before]
+        ask = np.flatnonzero((count[before] > 0) & known[t.place])
+        key = np.append(ids, BEGIN).astype(np.uint64)[before[ask]] << np.uint64(32) | ids.astype(np.uint64)[t.place[ask]]
+        key, back = np.unique(key, return_inverse=True)
+        n = self._pair_counts(key)
+        p[ask] += (n - d2.of(n))[back] / count[before[ask]]
+        sums = (np.add.reduceat(x, t.starts) for x in (known[t.place].astype(np.int64), np.log10(p), base[t.place]))
+        return np.diff(np.append(t.starts, len(t.place))), *sums
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,10 +502,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 250):
-                part = batch.slice(lo, 250)
-                n, known, s, base = scorer.score(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (n, known, s, base))], ["doc_id", "n_tokens", "n_known", "score", "base_score"])
+            for lo, texts in stretches(batch.column(1)):
+                n, known, s, base = scorer.score(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), *map(pa.array, (n, known, s, base))], ["doc_id", "n_tokens", "n_known", "score", "base_score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, score double, base_score double")
 
