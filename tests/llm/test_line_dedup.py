@@ -54,6 +54,37 @@ def test_insertions_in_parts_and_deletions_are_reversible(spark, small):
     assert rows_of(nobody.apply(small)) == rows_of(whole.apply(small))
 
 
+def test_only_what_the_filters_report_is_looked_up(spark, small, monkeypatch):
+    one, two = small.where("doc_id % 2 = 0"), small.where("doc_id % 2 = 1")
+    first = LineIndex.build(one, shards=3)
+    asked = []
+    plain = LineIndex.lookup
+    monkeypatch.setattr(LineIndex, "lookup", lambda self, digests: asked.append(digests.count()) or plain(self, digests))
+    first.insert(two)
+    old, new = ({bytes(r[0]) for r in first.lines(x).select("digest").collect()} for x in (one, two))
+    assert len(old & new) <= asked[0] <= len(old & new) + max(3, 0.002 * len(new))
+    assert asked[0] < 0.7 * len(new)
+
+
+def test_decisions_rest_on_the_filters(spark):
+    """A filter that denies what it holds would hide a line that is in three documents of three insertions."""
+    docs = [spark.createDataFrame([(k, "a line that is long enough")], "doc_id long, text string") for k in range(3)]
+    index = LineIndex.empty(spark, shards=1)
+    blind = LineIndex.empty(spark, shards=1)
+    for d in docs:
+        index, blind = index.insert(d), blind.insert(d)
+        blind.filters = spark.createDataFrame([(0, CuckooFilter.sized(10).dump(), 0)], blind.filters.schema)
+    assert [r["n_docs"] for r in index.often().collect()] == [3]
+    assert blind.often().collect() == []
+
+
+def test_a_full_filter_is_built_again(spark, small):
+    index = LineIndex.build(small.where("doc_id < 3"), shards=1).insert(small.where("doc_id >= 3"))
+    held = CuckooFilter.load(index.filters.first()["filter"])
+    keys = np.frombuffer(b"".join(bytes(r[0]) for r in index.references().select("digest").collect()), np.uint64)[::2]
+    assert held.contains(keys).all()
+
+
 def test_no_rows(nothing, small):
     assert LineIndex.build(nothing).apply(nothing).count() == 0
     assert LineIndex.build(nothing).insert(small).references().count() > 0

@@ -91,18 +91,16 @@ def _digest(key: bytes) -> bytes:
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests, counts = [], [], []
+            ids, digests = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen: dict[bytes, int] = {}
+                seen = set()
                 for line in (text.as_py() or "").encode().split(b"\n"):
                     key = line_key(line)
                     if len(key) >= min_chars and _code_points(key) >= min_chars:
-                        d = _digest(key)
-                        seen[d] = seen.get(d, 0) + 1
+                        seen.add(_digest(key))
                 ids += [i] * len(seen)
-                digests += seen.keys()
-                counts += seen.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], ["doc_id", "digest", "lines"])
+                digests += seen
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "digest"])
 
     return run
 
@@ -111,82 +109,123 @@ def _key64(digests: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint64)[::2].copy() if len(digests) else np.zeros(0, np.uint64)
 
 
+REFS = "digest binary, n_docs long, last_doc long, again boolean"
+
+
 class LineIndex:
     """Which documents hold which lines, open to insertions and to deletions of documents.
 
-    ``postings`` is the exact table: one row a (line digest, document) with its lines there, whose
-    row count a digest is its reference count. ``filters`` holds, for each shard of
-    digests, a cuckoo filter with one fingerprint a digest that has a reference.
-    An insertion asks the filters first: what they deny is new, and only the rest is
-    looked up in the exact table. A deletion takes away postings, and the
-    fingerprints of digests that lose their last one, so the index returns to what it was.
-    A filter that runs full is built again from the exact table. Both tables are new Parquet
-    snapshots after each change; readers keep theirs.
+    ``postings`` is what each document holds: a row a (line digest, document). ``refs`` is the exact table of
+    reference counts: a row a (digest, insertion) with the documents that came with it, their largest id and ``again``,
+    true if the digest had references before. ``filters`` holds, for each shard of digests, a cuckoo
+    filter with one fingerprint a digest that has a reference.
+
+    An insertion asks the filters for each digest of its documents. What they deny is new and only gets its
+    fingerprint; what they report is looked up in the exact table, which gives ``again``. So a digest of
+    one insertion alone never meets the exact table, and lines in many documents are those that are often
+    within an insertion or came again. A deletion takes postings away, counts the digests of what it took anew, and
+    removes the fingerprints of those that lost their last reference: the index returns to what it was.
+    A filter that runs full is built again from the exact table. Insertions append to postings and
+    refs; all tables are Parquet, and readers keep the versions they have.
     """
 
-    def __init__(self, spark: SparkSession, postings: DataFrame, filters: DataFrame, shards: int, min_chars: int):
-        self.spark, self.postings, self.filters, self.shards, self.min_chars = spark, postings, filters, shards, min_chars
+    def __init__(self, spark: SparkSession, postings: DataFrame, refs: DataFrame, filters: DataFrame, shards: int, min_chars: int):
+        self.spark, self.postings, self.refs, self.filters, self.shards, self.min_chars = spark, postings, refs, filters, shards, min_chars
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int = 64, min_chars: int = 20) -> LineIndex:
-        postings = spark.createDataFrame([], "doc_id long, digest binary, lines long")
-        return cls(spark, postings, spark.createDataFrame([], "shard long, filter binary, keys long"), shards, min_chars)
+        tables = (spark.createDataFrame([], schema) for schema in ("doc_id long, digest binary", REFS, "shard long, filter binary, keys long"))
+        return cls(spark, *tables, shards, min_chars)
 
     @classmethod
-    def build(cls, docs: DataFrame, shards: int | None = None, min_chars: int = 20) -> LineIndex:
-        """An index of ``docs``; by default a shard for each 20,000 documents, 16 at least."""
-        return cls.empty(docs.sparkSession, shards or max(16, docs.count() // 20_000), min_chars).insert(docs)
+    def build(cls, docs: DataFrame, shards: int | None = None, min_chars: int = 20, insertions: int = 2) -> LineIndex:
+        """An index of ``docs``, read once and inserted in parts by id; by default a shard for each 20,000 documents, 16 at least."""
+        index = cls.empty(docs.sparkSession, shards or max(16, docs.count() // 20_000), min_chars)
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(insertions)).cast("int").alias("part")
+        lines = materialize(index.lines(docs).select("doc_id", "digest", part), "lines")
+        for k in range(insertions):
+            index = index.insert_lines(lines.where(F.col("part") == k).select("doc_id", "digest"))
+        return index
 
     def _shard(self):
         return F.pmod(F.xxhash64("digest"), F.lit(self.shards)).alias("shard")
 
     def lines(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, digest, lines) of the lines that are long enough; rows without an id are passed over."""
+        """(doc_id, digest) of the lines that are long enough, once a document; rows without an id are passed over."""
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).where("doc_id IS NOT NULL")
-        return rows.mapInArrow(_keys(self.min_chars), "doc_id long, digest binary, lines long")
+        return rows.mapInArrow(_keys(self.min_chars), "doc_id long, digest binary").dropDuplicates(["doc_id", "digest"])
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """With the documents of ``docs``, whose ids the index must not hold yet."""
-        batch = materialize(self.lines(docs, id_col, text_col).groupBy("doc_id", "digest").agg(F.max("lines").alias("lines")), "lines")
-        new = batch.select("digest").distinct().select("digest", self._shard())
-        first = self.filters.isEmpty()
-        postings = batch if first else materialize(self.postings.unionByName(batch), "postings")
-        if not first:
-            asked = new.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, "digest binary, shard long, maybe boolean")
-            asked = materialize(asked, "probe")
-            known = asked.where("maybe").join(self.postings.select("digest"), "digest", "left_semi")
-            new = asked.join(known.select("digest"), "digest", "left_anti").select("digest", "shard")
-        filters = materialize(new.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_fill, self.filters.schema), "filters")
+        return self.insert_lines(materialize(self.lines(docs, id_col, text_col), "lines"))
+
+    def insert_lines(self, batch: DataFrame) -> LineIndex:
+        """With the postings of new documents, a written table of ``lines``."""
+        new = batch.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")).withColumn("shard", self._shard())
+        if self.filters.isEmpty():
+            asked = materialize(new.withColumn("again", F.lit(False)), "refs")
+            refs, fresh = asked.drop("shard"), asked
+        else:
+            told = new.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, f"{REFS}, shard long")
+            asked = materialize(told.withColumnRenamed("again", "maybe"), "probe")
+            maybe = asked.where("maybe")
+            held = self.lookup(maybe.select("digest")).select("digest", F.lit(True).alias("again"))
+            met = materialize(maybe.join(held, "digest", "left").withColumn("again", F.coalesce("again", F.lit(False))), "met")
+            unknown = asked.where("NOT maybe").withColumn("again", F.lit(False))
+            refs = self.refs.unionByName(unknown.unionByName(met).select(*self.refs.columns))
+            fresh = unknown.select("digest", "shard").unionByName(met.where("NOT again").select("digest", "shard"))
+        filters = materialize(fresh.select("digest", "shard").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_fill, self.filters.schema), "filters")
         full = filters.where("filter IS NULL").select("shard")
         if not full.isEmpty():
-            again = postings.select("digest").distinct().select("digest", self._shard()).join(full, "shard", "left_semi")
+            again = refs.select("digest").distinct().select("digest", self._shard()).join(full, "shard", "left_semi")
             again = again.groupBy("shard").applyInPandas(_build, self.filters.schema)
             filters = materialize(filters.where("filter IS NOT NULL").unionByName(again), "filters")
-        return LineIndex(self.spark, postings, filters, self.shards, self.min_chars)
+        postings = batch if self.postings.isEmpty() else self.postings.unionByName(batch)
+        return LineIndex(self.spark, postings, refs, filters, self.shards, self.min_chars)
+
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """``digest, n_docs, last_doc`` of those of the distinct ``digests`` that have references."""
+        found = self.refs.join(digests.select("digest"), "digest", "left_semi")
+        return found.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Without the documents whose ids are in ``ids``; unknown ids change nothing."""
         gone = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
         left = materialize(self.postings.join(gone, "doc_id", "left_anti"), "postings")
-        freed = self.postings.join(gone, "doc_id", "left_semi").select("digest").distinct()
-        freed = freed.join(left.select("digest"), "digest", "left_anti").select("digest", self._shard())
+        touched = materialize(self.postings.join(gone, "doc_id", "left_semi").select("digest").distinct(), "touched")
+        counted = left.join(touched, "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        refs = self.refs.join(touched, "digest", "left_anti").unionByName(counted.withColumn("again", F.lit(False)))
+        refs = materialize(refs.select(*self.refs.columns), "refs")
+        freed = touched.join(refs.select("digest"), "digest", "left_anti").select("digest", self._shard())
         filters = self.filters.groupBy("shard").cogroup(freed.groupBy("shard")).applyInPandas(_drop, self.filters.schema)
-        return LineIndex(self.spark, left, materialize(filters, "filters"), self.shards, self.min_chars)
+        return LineIndex(self.spark, left, refs, materialize(filters, "filters"), self.shards, self.min_chars)
 
     def references(self) -> DataFrame:
-        """digest, n_docs, last_doc."""
-        return self.postings.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        """digest, n_docs, last_doc of all digests."""
+        return self.refs.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+
+    def often(self, min_docs: int = 3) -> DataFrame:
+        """``digest, n_docs, last_doc`` of the digests in ``min_docs`` documents or more, a written table.
+
+        Only a digest that is often within one insertion, or that the filters reported and the exact table
+        confirmed as there before, can be one; the others are not looked up.
+        """
+        likely = self.refs.where(F.col("again") | (F.col("n_docs") >= min_docs)).select("digest").distinct()
+        return materialize(self.lookup(likely).where(F.col("n_docs") >= min_docs), "often")
 
     def drops(self, min_docs: int = 3) -> DataFrame:
-        """(doc_id, digests): the lines that a document loses, those in ``min_docs`` documents or more of which it is not the last."""
-        often = self.references().where(F.col("n_docs") >= min_docs)
-        lost = self.postings.join(often, "digest").where(F.col("doc_id") != F.col("last_doc"))
+        """(doc_id, digests): the lines that a document loses, those in ``min_docs`` documents or more of which it is not the last.
+
+        Both sides of the join are read from written tables, so Spark sends the frequent digests to all tasks where they
+        are few, and otherwise splits the postings of one that a large part of the documents hold.
+        """
+        lost = self.postings.join(self.often(min_docs), "digest").where(F.col("doc_id") != F.col("last_doc"))
         return lost.groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))
 
     def apply(self, docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` with ``kept_text, n_lines, n_dropped``.
 
-        A null text is one empty line. A row without an id keeps all. Rows repeating an id
+        A null text is one empty line; no rows give no rows. A row without an id keeps all. Rows repeating an id
         count once and get the same decisions. Columns of the three names are
         replaced, all others are kept.
         """
@@ -227,7 +266,7 @@ def _probe(asked: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     maybe = np.zeros(len(asked), bool)
     for data in filters["filter"]:
         maybe |= CuckooFilter.load(data).contains(keys)
-    return asked.assign(maybe=maybe)[["digest", "shard", "maybe"]]
+    return asked.assign(again=maybe)[["digest", "n_docs", "last_doc", "again", "shard"]]
 
 
 def _fill(new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
