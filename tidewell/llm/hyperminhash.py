@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewell.llm.text import whole
 from tidewell.operators.components import connected_components
@@ -119,55 +119,134 @@ def _signatures(width: int, bands: int):
     return run
 
 
-def link_group(sets: list[np.ndarray], percent: int, sure: int = 64, slack: float = 0.17) -> np.ndarray:
-    """Component number of each set, from links with 100 * intersection >= percent * union.
+def _hits(mark: np.ndarray, local: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of each stretch of ``local`` are marked; no stretch is empty."""
+    before = np.cumsum(sizes) - sizes
+    at = np.repeat(starts - before, sizes)
+    at += np.arange(len(at))
+    return np.add.reduceat(mark[local[at]].astype(np.int64), before)
 
-    Only pairs not yet in one component are looked at. The estimate from the registers
-    spares sets of ``sure`` hashes or more a comparison if it is ``slack`` (five standard
-    errors) below the threshold; smaller sets go straight to the exact comparison.
+
+def link_group(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) with 100 * intersection >= percent * union that tie all sets which such links tie.
+
+    Pairs that links tie already are passed over, so are those of one ``label`` and, if ``side`` is given, those of
+    one side. The others are compared in two steps. A set that is to share ``need`` of its n
+    hashes shares one of its n - need + 1 smallest with the other's smallest, for hashes in one order: a
+    pair without a common one there cannot be a link. What is left is compared on full sets.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets])
-    regs = np.stack([registers(s) for s in sets])
+    head = size - -(-percent * size // 100) + 1
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(size)
-    starts = ends - size
+    starts = np.cumsum(size) - size
     mark = np.zeros(int(local.max()) + 1, bool)
-    comp = np.arange(m)
-    for i in range(m - 1):
-        rest = np.arange(i + 1, m)
+    comp = np.arange(m) if label is None else np.unique(label, return_inverse=True)[1]
+    every = np.arange(m)
+    first, second = (every, every) if side is None else (every[side == side[0]], every[side != side[0]])
+    if len(first) > len(second):
+        first, second = second, first
+    links = []
+    for i in first.tolist():
+        rest = second if side is not None else second[i + 1 :]
         rest = rest[comp[rest] != comp[i]]
-        lo, hi = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
-        rest = rest[100 * lo >= percent * hi]
-        if len(rest) and size[i] >= sure:
-            near = estimate(regs[i], size[i], regs[rest], size[rest]) >= percent / 100 - slack
-            rest = rest[near | (size[rest] < sure)]
+        rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
         if not len(rest):
             continue
-        mark[local[starts[i] : ends[i]]] = True
-        for part in np.array_split(rest, -(-int(size[rest].sum()) // 4_000_000) or 1):
-            at = np.concatenate([local[starts[j] : ends[j]] for j in part])
-            both = np.add.reduceat(mark[at].astype(np.int64), np.cumsum([0, *size[part][:-1]]))
-            for j in part[100 * both >= percent * (size[part] + size[i] - both)]:
+        mine = local[starts[i] : starts[i] + size[i]]
+        mark[mine[: head[i]]] = True
+        rest = rest[_hits(mark, local, starts[rest], head[rest]) > 0]
+        mark[mine] = True
+        for part in np.array_split(rest, -(-int(size[rest].sum()) // 4_000_000) or 1) if len(rest) else ():
+            both = _hits(mark, local, starts[part], size[part])
+            for j in part[100 * both >= percent * (size[part] + size[i] - both)].tolist():
                 if comp[j] != comp[i]:
                     comp[comp == comp[j]] = comp[i]
-        mark[local[starts[i] : ends[i]]] = False
-    return comp
+                    links.append((i, j))
+        mark[mine] = False
+    return links
+
+
+def _sets(width: int):
+    """(doc_id, component, n, hashes): the full sets of texts, as sorted 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            sets = [shingles(t.as_py(), words, width) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "component", "n", "hashes"]
+            )
+
+    return run
 
 
-def _linker(width: int, percent: int):
+def _linker(percent: int):
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", ignore_index=True)
-        words = _Words()
-        comp = link_group([shingles(t, words, width) for t in rows["text"]], percent)
-        least = rows["doc_id"].groupby(comp).transform("min")
-        return pd.DataFrame({"a": rows["doc_id"], "b": least})
+        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+        side = rows["block"].to_numpy()
+        links = link_group(sets, percent, rows["label"].to_numpy(), side if (side != side[0]).any() else None)
+        ids = rows["doc_id"].to_numpy()
+        return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
     return group
 
 
+def _alike(percent: int):
+    """The rows (a, b, hashes of a, hashes of b) that are links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _link_large(sets: DataFrame, ties: DataFrame, percent: int, block_hashes: int, block_docs: int) -> DataFrame:
+    """Links within coarse components that are too large for one task: ``a, b``.
+
+    First each document is compared with the smallest document it is tied to. What these links tie is a label.
+    Then the documents of different labels are compared in blocks: a label above a block's size
+    has blocks of its own, which do not meet each other; the other labels share blocks. So a large cluster around
+    one document takes work in proportion to its size, times the blocks of the rest.
+    """
+    star = ties.groupBy("a").agg(F.min("b").alias("b"))
+    one = sets.join(star, sets["doc_id"] == star["a"]).select("a", "b", F.col("hashes").alias("x"))
+    pairs = one.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+    found = materialize(pairs.mapInArrow(_alike(percent), "a long, b long"), "star-links")
+    labels = connected_components(found)
+    told = sets.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left")
+    told = materialize(told.withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+
+    blocks = F.ceil(F.greatest(F.sum("n") / block_hashes, F.count(F.lit(1)) / block_docs)).cast("long")
+    load = materialize(told.groupBy("component", "label").agg(blocks.alias("blocks"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")), "labels")
+    shared = load.where("blocks = 1").groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / block_hashes, F.sum("docs") / block_docs)).cast("long").alias("shared"))
+    own = load.where("blocks > 1").select("component", "label", "blocks")
+    upto = F.sum("blocks").over(Window.partitionBy("component").orderBy("label"))
+    own = own.join(shared, "component", "left").select("component", "label", "blocks", (F.coalesce("shared", F.lit(0)) + upto - F.col("blocks")).alias("base"))
+    total = load.groupBy("component").agg(F.sum(F.when(F.col("blocks") > 1, F.col("blocks"))).alias("own"))
+    total = total.join(shared, "component", "left").select("component", F.coalesce("shared", F.lit(0)).alias("shared"), (F.coalesce("shared", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("total"))
+    own, total = materialize(own, "own-blocks"), materialize(total, "blocks")
+
+    dealt = told.join(total, "component").join(own, ["component", "label"], "left")
+    alone = F.col("base").isNull()
+    block = F.when(alone, F.pmod(F.xxhash64("label"), F.col("shared"))).otherwise(F.col("base") + F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    span = lambda lo, hi: F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<long>"))
+    zero = F.lit(0).cast("long")
+    others = F.when(alone, span(zero, F.col("total"))).otherwise(F.concat(span(zero, F.col("base")), span(F.col("base") + F.col("blocks"), F.col("total"))))
+    dealt = dealt.select("doc_id", "component", "label", "hashes", block.alias("block"), F.explode(others).alias("other"))
+    groups = dealt.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other")
+    return found.unionByName(groups.groupBy("component", "x", "y").applyInPandas(_linker(percent), "a long, b long"))
+
+
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 6_000_000, block_docs: int = 4_000
+    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, id_col: str = "doc_id", text_col: str = "text", block_hashes: int = 1_000_000, block_docs: int = 4_000
 ) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -176,9 +255,8 @@ def near_duplicates(
     Documents with the same set are one class, stood for by its smallest id. Each class
     has 128 registers in ``bands`` bands; classes with an equal band are tied to the smallest
     of the band (one row a class and band, never pairs), and ties make coarse components. All that
-    may be linked lies in one of these. Within it the registers estimate each similarity
-    and what comes near is compared on full sets; a coarse component with more text than ``block_chars`` or documents than ``block_docs``
-    is split into blocks, and each two blocks of it are compared in a task of their own.
+    may be linked lies in one of these, and within it every two sets that links do not tie already are compared exactly. A coarse
+    component with more than ``block_hashes`` hashes or ``block_docs`` documents is split, see ``_link_large``.
     At 85 % a link is missed with a chance of 6e-11 (128 registers, 32 bands), at 80 % of 5e-8.
 
     Nulls: a null or blank text has no shingles and is linked with nothing; rows without an id are
@@ -189,25 +267,26 @@ def near_duplicates(
     sig = rows.select("doc_id", "text").mapInArrow(_signatures(width, bands), "doc_id long, n_shingles long, digest binary, bands array<long>")
     sig = materialize(sig, "signatures")
     some = sig.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    least = reps.groupBy("band").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    least = materialize(reps.groupBy("band").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "bands")
     ties = reps.join(least, "band").where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    ties = materialize(ties, "ties")
     coarse = materialize(connected_components(ties), "coarse")
 
-    members = rows.join(coarse, rows["doc_id"] == coarse["node"]).select("doc_id", "text", "component").dropDuplicates(["doc_id"])
-    members = materialize(members, "members")
-    load = members.groupBy("component").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"))
-    blocks = load.select("component", F.ceil(F.greatest(F.col("chars") / block_chars, F.col("n") / block_docs)).cast("long").alias("blocks"))
-    dealt = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    # A member of block x meets each block y in group (min, max); one block is one group.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("doc_id", "text", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    links = dealt.groupBy("component", "x", "y").applyInPandas(_linker(width, percent), "a long, b long")
-    # Copies join their class in the same step as linked classes join each other.
-    copies = some.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = connected_components(links.where("a != b"))
-    found = copies.join(final, copies["b"] == final["node"], "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component_id")).distinct()
+    members = rows.join(coarse, rows["doc_id"] == coarse["node"]).select("doc_id", "component", "text").dropDuplicates(["doc_id"])
+    sets = materialize(members.mapInArrow(_sets(width), "doc_id long, component long, n long, hashes binary"), "sets")
+    load = sets.groupBy("component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    large = materialize(load.where((F.col("n") > block_hashes) | (F.col("docs") > block_docs)).select("component"), "large")
+    small = sets.join(large, "component", "left_anti").select("doc_id", "component", F.col("doc_id").alias("label"), F.lit(0).cast("long").alias("block"), "hashes")
+    links = small.groupBy("component").applyInPandas(_linker(percent), "a long, b long")
+    if not large.isEmpty():
+        links = links.unionByName(_link_large(sets.join(large, "component", "left_semi"), ties, percent, block_hashes, block_docs))
+    final = materialize(connected_components(links), "components")
+    # Copies take the component of the row that stands for their class.
+    copies = some.join(classes.where("n > 1"), "digest").where("doc_id != rep").select(F.col("doc_id").alias("copy"), "rep").distinct()
+    copies = copies.join(final, copies["rep"] == final["node"], "left").select(F.col("copy").alias("node"), F.coalesce("component", "rep").alias("component"))
+    found = final.unionByName(copies).groupBy("node").agg(F.min("component").alias("component_id"))
     out = sig.select("doc_id", "n_shingles").join(found, sig["doc_id"] == found["node"], "left")
     return out.select(
         "doc_id",
