@@ -169,7 +169,7 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.take(pa.array(keep, pa.int64()))
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text", range_docs: int = 250_000) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text", range_docs: int = 100_000) -> None:
     """Encode whole texts, append ``end_id`` to each and write a store at ``path``.
 
     ``chunks``: one row a distinct chunk, (digest, payload); the payload is its ids as little-endian unsigned

@@ -95,7 +95,7 @@ class Encoder:
     <|endoftext|> in a text is its own id, so a text with the content of an added token is encoded whole by the library.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -140,7 +140,7 @@ class Encoder:
         return stream, ends + np.cumsum(more)
 
 
-def stretches(texts: pa.Array, most_chars: int = 6_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def stretches(texts: pa.Array, most_chars: int = 3_000_000) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of parts of about ``most_chars`` characters; a longer text is a part alone."""
     held, size, first = [], 0, 0
     for k, text in enumerate(texts):
