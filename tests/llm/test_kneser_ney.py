@@ -84,7 +84,7 @@ def test_the_tree_of_blocks_gives_the_same_model(spark, monkeypatch):
     rows = [(k, " ".join(f"hot w{(k * 31 + j * 7) % 301} x{j % 13}" for j in range(60))) for k in range(50)] + [(99, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     m = kn.train(docs, range_tokens=150)
-    assert kn._first_span(len(m.first_pair)) > 3 and kn._first_span(len(m.first_id)) > 3
+    assert kn._tree(len(m.first_pair))[1] > 3 and kn._tree(len(m.first_id))[1] > 3
     heads = [int(p) >> 32 for p in m.first_pair]
     assert max(heads.count(h) for h in set(heads) - {kn.BEGIN}) > 10
     slow = Slow([t for _, t in rows])
@@ -96,6 +96,11 @@ def test_the_tree_of_blocks_gives_the_same_model(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(slow.base(text), rel=1e-9)
 
 
+def test_steps_of_the_tree_are_even():
+    assert kn._tree(1) == (1, 1) and kn._tree(256) == (256, 1) and kn._tree(257) == (17, 17)
+    assert all(f <= kn.FAN and f * s >= n for n in (1, 2, 70, 300, 65_536, 70_000, 10**7) for f, s in [kn._tree(n)])
+
+
 @pytest.mark.parametrize("texts", [[], [None], ["", " a  B\x0b\n", "é\x1cÉ ÿ", "x"], ["one", None, "two  "]])
 def test_tokens_by_arrays(texts):
     t = kn.Tokens.of(texts)

@@ -24,8 +24,8 @@ UNSEEN, BEGIN = 0xFFFFFFFF, 0xFFFFFFFE
 #: Written in place of the end of a text; no UTF-8 text holds this byte.
 END = b"\xff"
 _BLANK = np.isin(np.arange(256), list(SPACE_BYTES))
-#: A step of a spreading tree cuts what it holds into this many ranges, and merges this many parts of each.
-FAN = 64
+#: A step of a spreading tree cuts what it holds into this many ranges at most, and merges about as many parts of each.
+FAN = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -228,13 +228,22 @@ def _cut(key: np.ndarray, n: np.ndarray, edges: np.ndarray, span: int, part: int
     return [(int(r), part, _squeeze(key[lo:hi]), _pack(n[lo:hi])) for r, lo, hi in zip(ranges.tolist(), at[:-1], at[1:], strict=True) if hi > lo]
 
 
-def _narrow(edges: np.ndarray, span: int):
-    """Merges the parts of a stretch of ``span`` ranges and cuts the sum into FAN stretches."""
+def _tree(ranges: int) -> tuple[int, int]:
+    """(fan, span): the least number of steps of at most FAN stretches, all of one fan, and the ranges in a stretch of the first cut."""
+    steps = 1
+    while FAN**steps < ranges:
+        steps += 1
+    fan = next(f for f in range(1, FAN + 1) if f**steps >= ranges)
+    return fan, fan ** (steps - 1)
+
+
+def _narrow(edges: np.ndarray, fan: int, span: int):
+    """Merges the parts of a stretch of ``span`` ranges and cuts the sum into ``fan`` stretches."""
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         key, n = _merge([(_swell(k, "<u8"), _unpack(c)) for k, c in zip(rows["keys"], rows["counts"], strict=True)], "<u8")
         first = int(rows["range"].iloc[0])
-        cut = _cut(key, n, edges, span // FAN, int(rows["part"].iloc[0]), first, min(first + span, len(edges)))
+        cut = _cut(key, n, edges, span // fan, int(rows["part"].iloc[0]), first, min(first + span, len(edges)))
         return pd.DataFrame(cut, columns=["range", "part", "keys", "counts"])
 
     return group
@@ -243,28 +252,21 @@ def _narrow(edges: np.ndarray, span: int):
 def _spread(blocks: DataFrame, edges: np.ndarray, n_blocks: int) -> DataFrame:
     """Rows of BLOCK whose ranges are stretches become rows by single range, few of each.
 
-    A tree: each step groups the rows of one stretch by FAN blocks or so, merges their counts, and cuts the sum into FAN narrower
-    stretches. Each step passes on as many rows as it got at most, however many ranges and blocks there are.
+    A tree: each step groups the rows of one stretch by about as many blocks as a stretch is cut into, merges their counts, and
+    cuts the sum into narrower stretches. So a group holds about what a block held, and each step passes on as many
+    rows as it got at most, however many ranges and blocks there are.
     """
-    span = _first_span(len(edges))
+    fan, span = _tree(len(edges))
     while span > 1:
-        n_blocks = -(-n_blocks // FAN)
+        n_blocks = -(-n_blocks // fan)
         blocks = blocks.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(n_blocks)).cast("long"))
-        blocks = materialize(blocks.groupBy("range", "part").applyInPandas(_narrow(edges, span), BLOCK), "spread")
-        span //= FAN
+        blocks = materialize(blocks.groupBy("range", "part").applyInPandas(_narrow(edges, fan, span), BLOCK), "spread")
+        span //= fan
     return blocks
 
 
-def _first_span(ranges: int) -> int:
-    """The power of FAN by which a first cut into FAN stretches at most is done."""
-    span = 1
-    while span * FAN < ranges:
-        span *= FAN
-    return span
-
-
 def _count_pairs(folder: str, first_hash: np.ndarray, first_id: np.ndarray, first_pair: np.ndarray, block_tokens: int):
-    span = _first_span(len(first_pair))
+    _, span = _tree(len(first_pair))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(folder, first_hash, first_id)
@@ -298,7 +300,7 @@ AFTER, BEFORE, BEGINS, KINDS = range(4)
 
 def _save_pairs(folder: str, first_id: np.ndarray, first_pair: np.ndarray):
     """A range's pairs as files; what it knows of its first and second words as blocks by range of ids, and its counts of counts."""
-    span = _first_span(len(first_id))
+    _, span = _tree(len(first_id))
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         k = int(rows["range"].iloc[0])
