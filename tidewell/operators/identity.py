@@ -1,10 +1,8 @@
-"""Who is who: ordered matching of rows to leads, merges, namesakes."""
+"""Who is who: matching of rows to leads by keys, merges, namesakes."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,226 +10,257 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewell.functions import text as tx
 from tidewell.operators.components import connected_components
 from tidewell.operators.rows import RECEIVER
+from tidewell.storage import materialize
 
-ASSIGNED = "source_id string, row_id string, ord long, lead_key string, lead_id string, created boolean, key_conflict boolean"
 
-
-def lead_id_for(run_ms: int, key: str) -> str:
+def lead_id_for(run_ms: int, key: Column) -> Column:
     """A version 7 UUID from the run's clock and a key: a replay of the run gives the same id."""
-    h = int.from_bytes(uuid.uuid5(uuid.UUID(int=run_ms), key).bytes, "big")
-    value = (run_ms & ((1 << 48) - 1)) << 80 | 0x7 << 76 | (h >> 68 & 0xFFF) << 64 | 0b10 << 62 | h & ((1 << 62) - 1)
-    return str(uuid.UUID(int=value))
-
-
-@dataclass
-class _Lead:
-    id: str
-    key: str
-    created: bool
-    fields: dict[str, tuple[str, str]] = field(default_factory=dict)
-    has_linkedin: bool = False
-
+    h, ms = F.sha2(F.concat(F.lit(f"{run_ms}|"), key), 256), f"{run_ms & ((1 << 48) - 1):012x}"
+    variant = F.substring(F.translate(F.substring(h, 4, 1), "0123456789abcdef", "89ab89ab89ab89ab"), 1, 1)
+    return F.concat(F.lit(f"{ms[:8]}-{ms[8:]}-7"), F.substring(h, 1, 3), F.lit("-"), variant, F.substring(h, 5, 3), F.lit("-"), F.substring(h, 8, 12))
 
-class Fold:
-    """The sequential rules over one component of rows that may share leads.
 
-    A row goes to the lead of its own row id, else to that of its email, else, only if it has no email, to that of its
-    profile URL, else to the one namesake at its company where its source allows that; else it makes a
-    lead. An email of another lead and a second profile URL are conflicts and are not written. A row of the
-    receiver may correct the email it gave itself, if no other row vouched for it.
-    """
-
-    def __init__(self, run_ms: int):
-        self.run_ms = run_ms
-        self.leads: dict[str, _Lead] = {}
-        self.owner: dict[str, tuple[str, str]] = {}  # email or profile URL -> (lead id, source)
-        self.rows: dict[tuple[str, str], str] = {}  # (source, row id) -> lead id
-
-    def know(self, kind: str, key: str, source: str, lead: str, value: str | None = None) -> None:
-        """Something that was stored before: an identity, an applied row, or a field."""
-        x = self.leads.setdefault(lead, _Lead(lead, lead, False))
-        if kind == "applied":
-            self.rows[(source, key)] = lead
-        elif kind == "field":
-            x.fields[key] = (value or "", source)
-            x.has_linkedin |= key == "linkedin_url" and bool(value)
-        else:
-            self.owner[key] = (lead, source)
-            x.has_linkedin |= kind == "linkedin"
-
-    def row(self, source: str, row_id: str, f: dict[str, str], by_name: bool, unicode_name: str) -> tuple[_Lead, bool]:
-        email, li, domain = f.get("email", ""), f.get("linkedin_url", ""), f.get("company.domain", "")
-        lead, same = None, False
-        if (source, row_id) in self.rows:
-            lead, same = self.leads[self.rows[(source, row_id)]], True
-        elif email:
-            lead = self._of(email)
-        else:
-            lead = self._of(li) if li else None
-            if lead is None and by_name and domain and unicode_name:
-                lead = self._namesake(domain, unicode_name)
-        if lead is None:
-            key = f"{source}|{row_id}"
-            lead = _Lead(lead_id_for(self.run_ms, key), key, True)
-            self.leads[lead.id] = lead
-        conflict = False
-        for n, v in f.items():
-            if n not in ("email", "linkedin_url", "company.domain"):
-                lead.fields.setdefault(n, (v, source))
-        if email:
-            owner = self.owner.get(email)
-            if owner is None:
-                self.owner[email] = (lead.id, source)
-                now = lead.fields.get("email", ("", ""))[0]
-                if not now or (same and source == RECEIVER and not self._vouched(lead, now, source, row_id)):
-                    lead.fields["email"] = (email, source)
-            elif owner[0] == lead.id:
-                lead.fields.setdefault("email", (email, source))
-            else:
-                conflict = True
-        if li:
-            owner = self.owner.get(li)
-            if owner is not None and owner[0] == lead.id:
-                lead.fields.setdefault("linkedin_url", (li, source))
-            elif owner is not None or lead.has_linkedin:
-                conflict = True
-            else:
-                self.owner[li] = (lead.id, source)
-                lead.has_linkedin = True
-                lead.fields.setdefault("linkedin_url", (li, source))
-        if domain:
-            lead.fields.setdefault("company.domain", (domain, source))
-        elif f.get("__derived_domain"):
-            lead.fields.setdefault("company.domain", (f["__derived_domain"], source))
-        self.rows[(source, row_id)] = lead.id
-        return lead, conflict
-
-    def _of(self, key: str) -> _Lead | None:
-        return self.leads[self.owner[key][0]] if key in self.owner else None
-
-    def _namesake(self, domain: str, name: str) -> _Lead | None:
-        found = [x for x in self.leads.values() if x.fields.get("company.domain", ("",))[0] == domain and _plain_name(x.fields.get("full_name", ("",))[0]) == name]
-        return found[0] if len(found) == 1 else None
-
-    def _vouched(self, lead: _Lead, email: str, source: str, row_id: str) -> bool:
-        if email in self.owner and self.owner[email][1] != source:
-            return True
-        others = [(s, r) for (s, r), x in self.rows.items() if x == lead.id and (s, r) != (source, row_id)]
-        return any(s == RECEIVER or r == email for s, r in others)
-
-
-def _plain_name(name: str) -> str:
-    import unicodedata
-
-    return " ".join(unicodedata.normalize("NFC", name).lower().split())
-
-
-def _get(name: str) -> Column:
+def _field(name: str) -> Column:
     return F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit(""))
 
 
-def match_rows(rows: DataFrame, identities: DataFrame, applied: DataFrame, run_ms: int, by_name_sources: Iterable[str] = (), known_fields: DataFrame | None = None) -> DataFrame:
-    """Match normalized rows to leads in source order: ``source_id, row_id, ord, lead_key, lead_id, created, key_conflict``.
-
-    ``rows`` comes from ``rows.normalize`` (rejected rows are passed over), ``identities`` has key, kind, lead_id, source_id;
-    ``applied`` source_id, row_id, lead_id; ``known_fields`` lead_id, field, value, source_id, needed for name matching and email
-    corrections of stored leads.
-
-    Rows that share a row id, email or profile URL, and where a source matches by name also those at one company,
-    make a component together with what is stored under these keys. A component whose rows all
-    have an email, no profile URL and no receiver row is a group by email, worked out by aggregation alone; all
-    others are folded in order, each in one task. A component is bounded by the rows that share keys, not by the table; a company
-    that name matching ties together is the largest.
+def refusals(rows: DataFrame, by_name_sources: Iterable[str] = ()) -> DataFrame:
+    """``rows`` with the reason in ``reject`` also for those that have no key their source may be matched by."""
+    names = F.lit(False)
+    for n in by_name_sources:
+        names = names | (F.col("source_id") == n)
+    keyless = (_field("email") == "") & (_field("linkedin_url") == "") & ~names
+    return rows.withColumn("reject", F.coalesce("reject", F.when(keyless, F.lit("no email or profile URL, and this source is not matched by company and name"))))
+
+
+def match_rows(
+    rows: DataFrame, identities: DataFrame, applied: DataFrame, run_ms: int, by_name_sources: Iterable[str] = (), known_fields: DataFrame | None = None, live: DataFrame | None = None, unicode: bool = True
+) -> DataFrame:
+    """Match normalized rows to leads: ``source_id, row_id, ord, lead_key, lead_id, created, key_conflict, email_conflict, url_conflict, at``.
+
+    ``rows`` comes from ``rows.normalize``; those that ``refusals`` refuses are passed over. ``identities`` has key, kind
+    (email, linkedin), lead_id, source_id; ``applied`` source_id, row_id, lead_id; ``known_fields`` lead_id, field, value,
+    source_id; ``live`` lead_id, live_id, by which stored leads are followed to those they were merged into.
+
+    The rules. Rows of one source and row id are one group, which takes its turn where its first row stands and has
+    one lead: the one it had before; else the owner of its first row's email; else, if that row has no email, the owner of its
+    profile URL; else, where its source is matched by name, the only lead whose company and full name are the row's; else a new one.
+    An email belongs to the first lead that brings it. So does a profile URL, among leads that have none yet. A row whose email or URL
+    ends up with another lead is a conflict. A lead's company (stated, or else of its email) and name are the first it was given.
+
+    How. Emails and groups need no turn by turn work: who first brings an email is an aggregate, and a group points at the group that
+    owns its first email, which is an earlier one. Profile URLs are an aggregate too where no lead brings two and nobody is matched by name.
+    Only leads that bring several URLs, and groups that are to be matched by name, are settled in turn (``_take_turns``), a
+    component of those that share URLs or names at a time, from one event a lead and key; of all others
+    that bring one of their URLs only the first can matter. A URL or email that a large part of all rows hold is one event.
+    A company and a name that a lead has from rows of different ids, tied by a URL that is settled in turn, are not asked for by name.
     """
     names = list(by_name_sources)
-    r = rows.where("reject IS NULL").withColumns({"email": _get("email"), "li": _get("linkedin_url"), "domain": _get("company.domain")})
-    r = r.withColumn("__row", F.concat_ws("\x1f", F.lit("row"), "source_id", "row_id"))
-    key = lambda kind, c: F.when(c != "", F.concat(F.lit(kind), c))
-    links = [key("email:", F.col("email")), key("li:", F.col("li"))]
-    if names:
-        own = F.coalesce(F.nullif("domain", F.lit("")), tx.company_domain_of(F.col("email")))
-        links.append(key("domain:", own))
-    edges = r.select(F.col("__row").alias("a"), F.explode(F.array_compact(F.array(*links))).alias("b"))
-    stored = identities.select(F.concat(F.lit("lead:"), "lead_id").alias("a"), F.concat(F.when(F.col("kind") == "email", F.lit("email:")).otherwise(F.lit("li:")), "key").alias("b"))
-    stored = stored.unionByName(applied.where("lead_id IS NOT NULL").select(F.concat(F.lit("lead:"), "lead_id").alias("a"), F.concat_ws("\x1f", F.lit("row"), "source_id", "row_id").alias("b")))
-    plain = (F.col("email") != "") & (F.col("li") == "") & (F.col("source_id") != RECEIVER) & (F.col("row_id") == F.col("email"))
-    if names:
-        plain = plain & F.lit(False)
-    simple, rest = _split_simple(r.withColumn("__plain", plain), identities, applied)
-    quick = _by_email(simple, identities, run_ms)
-
-    touched = edges.join(rest.select(F.col("__row").alias("a")).distinct(), "a", "left_semi")
-    comp = connected_components(touched.unionByName(stored))
-    known = identities.select("lead_id", "kind", "key", "source_id", F.lit(None).cast("string").alias("value"))
-    known = known.unionByName(applied.where("lead_id IS NOT NULL").select("lead_id", F.lit("applied").alias("kind"), F.col("row_id").alias("key"), "source_id", F.lit(None).cast("string").alias("value")))
+    own, name = _field("company.domain"), tx.normalize_name(_field("full_name"), unicode)
+    base = refusals(rows, names).select("source_id", "row_id", "source_pos", "ord", _field("email").alias("email"), _field("linkedin_url").alias("url"), own.alias("own"), name.alias("name"), "reject")
+    base = materialize(base, "person-rows")
+    # A written table, so that the rows of one id that a large part of all rows have can be split in the join.
+    first = materialize(base.groupBy("source_id", "row_id").agg(F.min(F.struct("source_pos", "ord")).alias("first")), "groups-first")
+    place = lambda pos, ord_: F.concat_ws("|", F.lpad(F.col(pos).cast("string"), 10, "0"), F.lpad(F.col(ord_).cast("string"), 20, "0"))
+    r = base.where("reject IS NULL").drop("reject").join(first, ["source_id", "row_id"])
+    r = r.withColumn("domain", F.when(F.col("own") != "", F.col("own")).otherwise(F.coalesce(tx.company_domain_of(F.col("email")), F.lit(""))))
+    r = r.withColumn("node", F.concat_ws("|", place("first.source_pos", "first.ord"), "source_id", "row_id"))
+    r = materialize(r.withColumn("at", F.concat_ws("|", "node", place("source_pos", "ord"))).drop("first"), "person-turns")
+
+    follow = (lambda df: df) if live is None else lambda df: df.join(live.select("lead_id", "live_id"), "lead_id", "left").withColumn("lead_id", F.coalesce("live_id", "lead_id")).drop("live_id")
+    known = follow(identities.where("lead_id IS NOT NULL").select("kind", "key", "lead_id"))
+    before = follow(applied.where("lead_id IS NOT NULL").select("source_id", "row_id", "lead_id")).dropDuplicates(["source_id", "row_id"])
+
+    # Emails and groups.
+    brought = r.where("email != ''").groupBy("email").agg(F.min_by("node", "at").alias("node"))
+    emails = brought.join(known.where("kind = 'email'").select(F.col("key").alias("email"), F.col("lead_id").alias("held")), "email", "left")
+    emails = materialize(emails, "emails")
+    groups = r.groupBy("node", "source_id", "row_id").agg(F.min_by(F.struct("email", "url", "own", "name"), "at").alias("head"))
+    groups = groups.join(before, ["source_id", "row_id"], "left").select("node", "source_id", "row_id", "lead_id", "head.*")
+    up = emails.select("email", F.col("node").alias("owner"), "held")
+    groups = groups.join(up, "email", "left").select(
+        "node", "source_id", "row_id", "email", "url", "own", "name", F.coalesce("lead_id", "held").alias("stored"),
+        F.when(F.coalesce("lead_id", "held").isNull() & (F.col("email") != ""), F.col("owner")).otherwise(F.col("node")).alias("parent"),
+    )
+    groups = materialize(groups, "groups")
+    step = groups.where("parent != node").select("node", "parent")
+    if not step.join(step.select(F.col("node").alias("parent")), "parent", "left_semi").isEmpty():
+        roots = connected_components(step, "node", "parent").select("node", F.col("component").alias("root"))
+    else:
+        roots = step.select("node", F.col("parent").alias("root"))
+    groups = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    top = groups.where("root = node").select("node", F.coalesce(F.concat(F.lit("lead:"), "stored"), "node").alias("entity"), (F.col("stored").isNull() & (F.col("email") == "")).alias("open"), F.concat_ws("|", "source_id", "row_id").alias("made"))
+    groups = groups.select("node", "root", "source_id", "row_id", "url", "own", "name").join(top.withColumnRenamed("node", "root"), "root")
+    groups = materialize(groups, "entities")
+
+    # Profile URLs, and companies with names.
+    held = known.where("kind = 'linkedin'").select(F.col("key").alias("url"), F.concat(F.lit("lead:"), "lead_id").alias("owner"))
+    if known_fields is not None:
+        stored = follow(known_fields.where("lead_id IS NOT NULL AND value != ''").select("lead_id", "field", "value")).withColumn("entity", F.concat(F.lit("lead:"), "lead_id"))
+    else:
+        stored = rows.sparkSession.createDataFrame([], "lead_id string, field string, value string, entity string")
+    lines = r.join(groups.select("node", "entity", "open"), "node").select("entity", "open", "at", "url", "own", "domain", "name")
+    by_name = F.col("source_id").isin(names) & (F.col("own") != "") & (F.col("name") != "") if names else F.lit(False)
+    asks = groups.where(F.col("open") & (F.col("root") == F.col("node"))).select("entity", F.col("node").alias("at"), "url", F.when(by_name, F.concat_ws("\x1f", "own", "name")).alias("asked"))
+    claims = lines.where("url != ''").groupBy("entity", "open", "url").agg(F.min("at").alias("at"))
+    claims = materialize(claims, "url-claims")
+    if names or not claims.isEmpty():
+        owners, same = _profile_urls(claims, asks, lines, held, stored, bool(names), unicode)
+    else:
+        owners, same = held, held.select(F.col("url").alias("entity"), F.col("owner").alias("same")).limit(0)
+    moved = groups.join(same, "entity", "left").withColumn("entity", F.coalesce("same", "entity")).drop("same")
+    leads = moved.where("root = node").groupBy("entity").agg(F.min_by("made", "node").alias("made"))
+    old = F.when(F.col("entity").startswith("lead:"), F.substring("entity", 6, 1 << 20))
+    leads = leads.select("entity", F.coalesce(old, "made").alias("lead_key"), F.coalesce(old, lead_id_for(run_ms, F.col("made"))).alias("lead_id"), old.isNull().alias("created"))
+    final = materialize(moved.select("node", "entity").join(leads, "entity"), "leads")
+
+    # Each row with its lead, and whose its keys are.
+    mail = materialize(emails.join(final.select("node", F.col("entity").alias("of")), "node").select("email", F.coalesce(F.concat(F.lit("lead:"), "held"), "of").alias("email_of")), "email-owners")
+    urls = materialize(owners.join(same.select(F.col("entity").alias("owner"), "same"), "owner", "left").select("url", F.coalesce("same", "owner").alias("url_of")), "url-owners")
+    out = r.select("source_id", "row_id", "ord", "at", "node", "email", "url").join(final, "node").join(mail, "email", "left").join(urls, "url", "left")
+    odd = lambda key: (F.col(key) != "") & ~F.col(f"{key}_of").eqNullSafe(F.col("entity"))
+    return out.select("source_id", "row_id", "ord", "lead_key", "lead_id", "created", (odd("email") | odd("url")).alias("key_conflict"), odd("email").alias("email_conflict"), odd("url").alias("url_conflict"), "at")
+
+
+def lead_fields(rows: DataFrame, matched: DataFrame, known_fields: DataFrame | None = None) -> DataFrame:
+    """``lead_id, field, value, source_id, derived``: what leads are filled with, the first value of each field in turn.
+
+    ``rows`` are normalized, ``matched`` is what ``match_rows`` made of them; ``known_fields`` (lead_id, field, value, source_id) stay. Keys in
+    conflict are not written. A lead without a stated company gets that of its first work email, marked ``derived``.
+    The receiver may correct the email it gave itself: the last email that its group brought counts, unless
+    another group of the lead is the receiver's too or goes by an address that would be replaced.
+    """
+    r = rows.select("source_id", "row_id", "ord", "fields").join(matched, ["source_id", "row_id", "ord"])
+    skip = lambda k: ((k == "email") & F.col("email_conflict")) | ((k == "linkedin_url") & F.col("url_conflict"))
+    long = r.select("lead_id", "source_id", "row_id", "at", "email_conflict", F.explode(F.map_filter("fields", lambda k, v: ~skip(k))).alias("field", "value")).where("value != ''")
+    work = r.select("lead_id", "source_id", "at", tx.company_domain_of(_field("email")).alias("value")).where("value IS NOT NULL")
+    given = long.select("lead_id", "field", "value", "source_id", F.lit(False).alias("derived"), F.struct(F.lit(1).alias("k"), "at").alias("o"))
+    given = given.unionByName(work.select("lead_id", F.lit("company.domain").alias("field"), "value", "source_id", F.lit(True).alias("derived"), F.struct(F.lit(1).alias("k"), "at").alias("o")))
     if known_fields is not None:
-        known = known.unionByName(known_fields.select("lead_id", F.lit("field").alias("kind"), F.col("field").alias("key"), "source_id", "value"))
-    derived = F.coalesce(tx.company_domain_of(F.col("email")), F.lit(""))
-    fields = F.when(derived != "", F.map_concat(F.map_filter("fields", lambda k, v: k != "__derived_domain"), F.create_map(F.lit("__derived_domain"), derived))).otherwise(F.col("fields"))
-    left = rest.join(comp, rest["__row"] == comp["node"], "left").select(F.coalesce("component", "__row").alias("component"), "source_id", "source_pos", "ord", "row_id", fields.alias("fields"), F.lit(None).cast("string").alias("lead_id"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
-    right = known.withColumn("node", F.concat(F.lit("lead:"), "lead_id")).join(comp, "node").select("component", "source_id", F.lit(-1).alias("source_pos"), F.lit(-1).cast("long").alias("ord"), F.lit(None).cast("string").alias("row_id"), F.lit(None).cast("map<string,string>").alias("fields"), "lead_id", "kind", "key", "value")
-    right = right.join(left.select("component").distinct(), "component", "left_semi")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, out = Fold(run_ms), []
-        old = pdf[pdf["lead_id"].notna()].sort_values(["lead_id", "kind", "key"])
-        for k, key_, s, lead, v in zip(old["kind"], old["key"], old["source_id"], old["lead_id"], old["value"], strict=True):
-            f.know(k, key_, s, lead, v)
-        new = pdf[pdf["lead_id"].isna()].sort_values(["source_pos", "ord"])
-        for s, rid, o, m in zip(new["source_id"], new["row_id"], new["ord"], new["fields"], strict=True):
-            cells = dict(m)
-            lead, odd = f.row(s, rid, cells, s in names, _plain_name(cells.get("full_name", "")))
-            out.append((s, rid, o, lead.key, lead.id, lead.created, odd))
-        return pd.DataFrame(out, columns=["source_id", "row_id", "ord", "lead_key", "lead_id", "created", "key_conflict"])
-
-    slow = left.unionByName(right).groupBy("component").applyInPandas(fold, ASSIGNED)
-    return quick.unionByName(slow)
-
-
-def _split_simple(r: DataFrame, identities: DataFrame, applied: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose email is held by plain rows alone, with a stored lead that agrees with the applied one; and the others."""
-    by_email = r.where("email != ''").groupBy("email").agg(F.bool_and("__plain").alias("__all"))
-    ident = identities.where("kind = 'email'").select(F.col("key").alias("email"), F.col("lead_id").alias("__id_lead"))
-    linked = identities.where("kind = 'linkedin'").select(F.col("lead_id").alias("__id_lead")).distinct()
-    done = applied.groupBy(F.col("row_id").alias("email")).agg(F.min("lead_id").alias("__row_lead"), F.max("lead_id").alias("__row_lead2"))
-    by_email = by_email.join(ident, "email", "left").join(done, "email", "left")
-    agree = (F.col("__row_lead").isNull() & F.col("__row_lead2").isNull()) | ((F.col("__row_lead") == F.col("__id_lead")) & (F.col("__row_lead2") == F.col("__id_lead")))
-    good = by_email.where(F.col("__all") & agree).join(linked, "__id_lead", "left_anti").select("email")
-    return r.where("__plain").join(good, "email", "left_semi"), r.join(good, "email", "left_anti")
-
-
-def _by_email(r: DataFrame, identities: DataFrame, run_ms: int) -> DataFrame:
-    ident = identities.where("kind = 'email'").select(F.col("key").alias("email"), "lead_id")
-    first = r.groupBy("email").agg(F.min_by(F.concat_ws("|", "source_id", "row_id"), F.struct("source_pos", "ord")).alias("made"))
-    mint = F.udf(lambda k: lead_id_for(run_ms, k), "string", useArrow=True)
-    leads = first.join(ident, "email", "left").select("email", F.coalesce("lead_id", "made").alias("lead_key"), F.col("lead_id").isNull().alias("created"), F.col("lead_id").alias("__old"))
-    leads = leads.withColumn("lead_id", F.when(F.col("created"), mint("lead_key")).otherwise(F.col("__old")))
-    return r.join(leads, "email").select("source_id", "row_id", "ord", "lead_key", "lead_id", "created", F.lit(False).alias("key_conflict"))
+        kept = known_fields.where("value != ''").select("lead_id", "field", "value", "source_id", F.lit(False).alias("derived"), F.struct(F.lit(0).alias("k"), F.lit("").alias("at")).alias("o"))
+        given = given.unionByName(kept)
+    # A row's own company goes before the one of its email.
+    filled = given.groupBy("lead_id", "field").agg(F.min_by(F.struct("value", "source_id", "derived"), F.struct("o", "derived")).alias("v")).select("lead_id", "field", "v.*")
+    mails = long.where("field = 'email'")
+    groups = matched.groupBy("lead_id").agg(F.count_distinct(F.when(F.col("source_id") == RECEIVER, F.col("row_id"))).alias("receivers"))
+    brought = mails.groupBy("lead_id", "value").agg(F.min(F.struct("at", "source_id", "row_id")).alias("by"))
+    named = matched.select("lead_id", F.col("row_id").alias("value"), F.lit(True).alias("named")).distinct()
+    steps = brought.where(F.col("by.source_id") == RECEIVER).join(groups.where("receivers = 1"), "lead_id").join(named, ["lead_id", "value"], "left")
+    stop = F.min(F.when(F.col("named"), F.col("by.at")))
+    last = steps.groupBy("lead_id").agg(stop.alias("stop"), F.min_by("value", "by.at").alias("first"), F.collect_list(F.struct(F.col("by.at").alias("at"), "value")).alias("all"))
+    right = F.array_max(F.filter("all", lambda x: F.col("stop").isNull() | (x["at"] <= F.col("stop"))))["value"]
+    fix = last.select("lead_id", F.lit("email").alias("field"), F.col("first").alias("value"), right.alias("right"))
+    out = filled.join(fix, ["lead_id", "field", "value"], "left")
+    return out.select("lead_id", "field", F.coalesce("right", "value").alias("value"), "source_id", "derived")
+
+
+def _profile_urls(claims: DataFrame, asks: DataFrame, lines: DataFrame, held: DataFrame, stored: DataFrame, by_name: bool, unicode: bool) -> tuple[DataFrame, DataFrame]:
+    """(url, owner) of all URLs, and (entity, same) of the open entities that are another lead."""
+    has = held.select(F.col("owner").alias("entity"), "url").unionByName(stored.where("field = 'linkedin_url'").select("entity", F.col("value").alias("url"))).distinct()
+    several = claims.select("entity", "url").unionByName(has).distinct().groupBy("entity").count().where("count > 1").select("entity")
+    hard = materialize(several.unionByName(asks.where("asked IS NOT NULL").select("entity")).distinct(), "in-turn")
+    free = held.select("url").distinct()
+    if hard.isEmpty():
+        mine = claims.join(free, "url", "left_anti").groupBy("url").agg(F.min_by("entity", "at").alias("owner"))
+        owners = held.unionByName(mine)
+    else:
+        shared = claims.join(hard, "entity", "left_semi").select("url").distinct()
+        plain = claims.join(free, "url", "left_anti").join(shared, "url", "left_anti").groupBy("url").agg(F.min_by("entity", "at").alias("owner"))
+        if by_name:  # what the rows of these give their lead can make it the one that is asked for
+            hard = materialize(hard.unionByName(asks.join(shared, "url", "left_semi").select("entity")).distinct(), "in-turn")
+            settled = held.join(shared, "url", "left_anti").unionByName(plain).withColumnRenamed("owner", "lead")
+            joined = asks.join(hard, "entity", "left_anti").join(settled, "url").select("entity", "lead")
+            lines = lines.join(joined, "entity", "left").withColumn("entity", F.coalesce("lead", "entity"))
+        turns = claims.join(hard, "entity", "left_semi").select("entity", "url", "at")
+        others = claims.join(hard, "entity", "left_anti").join(shared, "url", "left_semi").groupBy("url").agg(F.min_by("entity", "at").alias("entity"), F.min("at").alias("at"))
+        none = F.lit(None).cast("string")
+        event = lambda what, df, key: df.select(F.lit(what).alias("what"), "entity", "at", F.col(key).alias("key"), none.alias("other"))
+        events = event("claim", turns, "url").unionByName(event("claim", others, "url"))
+        events = events.unionByName(asks.join(hard, "entity", "left_semi").select(F.lit("ask").alias("what"), "entity", "at", F.col("url").alias("key"), F.col("asked").alias("other")))
+        events = events.unionByName(event("held", held.join(shared, "url", "left_semi").select(F.col("owner").alias("entity"), F.lit("").alias("at"), "url"), "url"))
+        edges = events.where("key != ''").select(F.concat(F.lit("e:"), "entity").alias("a"), F.concat(F.lit("u:"), "key").alias("b"))
+        if by_name:
+            fields = stored.where("field IN ('company.domain', 'full_name')").select("entity", F.lit("").alias("at"), F.when(F.col("field") == "company.domain", "domain").otherwise("name").alias("what"), F.when(F.col("field") == "full_name", tx.normalize_name(F.col("value"), unicode)).otherwise(F.col("value")).alias("key"))
+            told = lines.select("entity", "at", F.explode(F.create_map(F.lit("domain"), "domain", F.lit("name"), "name")).alias("what", "key"))
+            told = told.unionByName(fields).where("key != ''").groupBy("entity", "what").agg(F.min_by("key", "at").alias("key"), F.min("at").alias("at"))
+            full = told.groupBy("entity").pivot("what", ["domain", "name"]).agg(F.first("key")).where("domain IS NOT NULL AND name IS NOT NULL").select("entity", F.concat_ws("\x1f", "domain", "name").alias("asked"))
+            asked = asks.where("asked IS NOT NULL").select("asked").distinct()
+            edges = edges.unionByName(full.join(asked, "asked", "left_semi").unionByName(asks.where("asked IS NOT NULL").select("entity", "asked")).select(F.concat(F.lit("e:"), "entity").alias("a"), F.concat(F.lit("n:"), "asked").alias("b")))
+            events = events.unionByName(told.select("what", "entity", "at", "key", none.alias("other")))
+        events = events.unionByName(event("has", has.withColumn("at", F.lit("")), "url"))
+        part = materialize(connected_components(edges), "turns")
+        of = part.where(part["node"].startswith("e:")).select(F.substring("node", 3, 1 << 20).alias("entity"), "component")
+        settled = materialize(events.join(of, "entity").groupBy("component").applyInPandas(_take_turns, "url string, owner string, entity string, same string"), "settled")
+        taken = settled.where("url IS NOT NULL").select("url", "owner")
+        owners = held.unionByName(plain).unionByName(taken.join(free, "url", "left_anti"))
+    owners = materialize(owners, "owners")
+    same = asks.join(hard, "entity", "left_anti").where("url != ''").join(owners, "url").where("owner != entity").select("entity", F.col("owner").alias("same"))
+    if not hard.isEmpty():
+        turned = settled.where("entity IS NOT NULL").select("entity", "same")
+        same = same.join(turned.select(F.col("entity").alias("same"), F.col("same").alias("further")), "same", "left").select("entity", F.coalesce("further", "same").alias("same")).unionByName(turned)
+    return owners, materialize(same, "same")
+
+
+def _take_turns(events: pd.DataFrame) -> pd.DataFrame:
+    """One component's events in order: who ends up with which URL, and which open entity is another lead.
+
+    ``held`` and ``has`` say what was stored; ``ask`` is the turn of an open entity (its URL, its company and name);
+    ``claim`` brings a URL; ``domain`` and ``name`` give an entity what it may have none of yet.
+    """
+    rank = {"held": 0, "has": 0, "ask": 1, "domain": 2, "name": 2, "claim": 3}
+    events = events.assign(rank=events["what"].map(rank)).sort_values(["at", "rank", "what", "entity", "key"])
+    owner, has, same, told, called = {}, set(), {}, {}, {}
+    new = []
+    for what, entity, key, other in zip(events["what"], events["entity"], events["key"], events["other"], strict=True):
+        if what == "ask":
+            found = {owner[key]} if key in owner else called.get(other, set())
+            if len(found) == 1:
+                same[entity] = next(iter(found))
+            continue
+        lead = same.get(entity, entity)
+        if what == "held":
+            owner[key] = lead
+            has.add(lead)
+        elif what == "has":
+            has.add(lead)
+        elif what == "claim":
+            if key not in owner and lead not in has:
+                owner[key] = lead
+                has.add(lead)
+                new.append((key, lead, None, None))
+        else:
+            mine = told.setdefault(lead, {})
+            if what not in mine:
+                mine[what] = key
+                if len(mine) == 2:
+                    called.setdefault(mine["domain"] + "\x1f" + mine["name"], set()).add(lead)
+    return pd.DataFrame([*new, *((None, None, a, b) for a, b in same.items())], columns=["url", "owner", "entity", "same"])
 
 
 # --- merged leads ---------------------------------------------------------------
 
 
-def live_leads(people: DataFrame, max_hops: int = 64) -> DataFrame:
+def live_leads(people: DataFrame) -> DataFrame:
     """``lead_id, live_id, cycle``: each lead's survivor through ``merged_into``.
 
-    Chains are kept one step deep, so one self-join settles nearly all; longer ones are doubled until none moves. A hand-made
-    cycle counts as its smallest id and is flagged; a missing target ends the chain.
+    Pointers are doubled until all stand on a lead that is not merged, or, where some never do, until each has gone further than there are
+    merged leads: those are in, or lead into, a cycle, which counts as its smallest id and is flagged. A missing target ends the chain.
     """
-    from tidewell.storage import materialize
-
     known = people.select(F.col("lead_id").alias("to"))
-    step = people.select("lead_id", F.nullif("merged_into", F.lit("")).alias("to")).join(known, "to", "left_semi")
-    hop = people.select("lead_id").join(step, "lead_id", "left").select("lead_id", F.coalesce("to", "lead_id").alias("live_id"), F.array("lead_id").alias("__seen"))
-    for _ in range(max(1, max_hops.bit_length())):
-        nxt = hop.select(F.col("lead_id").alias("live_id"), F.col("live_id").alias("__next"), F.col("__seen").alias("__more"))
-        hop = materialize(hop.join(nxt, "live_id").select("lead_id", F.col("__next").alias("live_id"), F.array_distinct(F.concat("__seen", "__more")).alias("__seen")), "live")
+    step = people.select("lead_id", F.nullif("merged_into", F.lit("")).alias("to")).where("to != lead_id").join(known, "to", "left_semi")
+    step = materialize(step.select("lead_id", "to"), "merges")
+    # ``least`` is the smallest of the leads that were passed, the first one included.
+    hop = people.select("lead_id").join(step, "lead_id", "left").select("lead_id", F.coalesce("to", "lead_id").alias("live_id"), F.col("lead_id").alias("least"))
+    merged, far = step.count(), 1
+    while merged and far <= merged:
+        further = hop.select(F.col("lead_id").alias("live_id"), F.col("live_id").alias("to"), F.col("least").alias("more"))
+        hop = materialize(hop.join(further, "live_id").select("lead_id", F.col("to").alias("live_id"), F.least("least", "more").alias("least")), "live")
+        far *= 2
         if hop.join(step.select(F.col("lead_id").alias("live_id")), "live_id", "left_semi").isEmpty():
             break
-    # Whoever still stands on a lead that is merged is in, or leads into, a cycle.
-    stuck = step.select(F.col("lead_id").alias("live_id"), F.lit(True).alias("__stuck"))
-    out = hop.join(stuck, "live_id", "left").withColumn("cycle", F.coalesce("__stuck", F.lit(False)))
-    return out.select("lead_id", F.when(F.col("cycle"), F.array_min("__seen")).otherwise(F.col("live_id")).alias("live_id"), "cycle")
+    stuck = step.select(F.col("lead_id").alias("live_id")).join(hop.select(F.col("lead_id").alias("live_id"), F.col("least").alias("round")), "live_id")
+    out = hop.join(stuck, "live_id", "left")
+    return out.select("lead_id", F.coalesce("round", "live_id").alias("live_id"), F.col("round").isNotNull().alias("cycle"))
 
 
 def namesakes(people: DataFrame, distinct_pairs: DataFrame | None = None, unicode: bool = True) -> DataFrame:
