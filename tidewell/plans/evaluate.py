@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewell.functions import text as tx
 from tidewell.functions.values import SPARK_TYPES, typed, unparsed
 from tidewell.plans.rubric import Derive, FieldType, Rollup, Rubric, ScoreRule, render, signed
+from tidewell.storage import materialize
 
 #: Columns of the leads frame besides ``lead_id``; any that is missing counts as null.
 LEAD_COLUMNS = {
@@ -119,6 +120,9 @@ def company_state(rubric: Rubric, leads: DataFrame, companies: DataFrame | None
     for d in rubric.detectors:
         if d.subject == "company" and f"d_{d.name}" not in cv.columns:
             cv = cv.withColumn(f"d_{d.name}", F.lit(False))
+    # Written tables, so that Spark can split the leads of a company that has a large part of them.
+    if company_detectors is not None:
+        cv = materialize(cv, "companies")
     seen = lv.where("domain IS NOT NULL").join(cv, "domain", "left").withColumn("c_domain", F.col("domain"))
     aggs = [_rollup(r) for r in rubric.rollups]
     state = (seen.groupBy("domain").agg(*aggs) if aggs else seen.select("domain").distinct()).join(cv, "domain", "left").withColumn("c_domain", F.col("domain"))
@@ -128,7 +132,7 @@ def company_state(rubric: Rubric, leads: DataFrame, companies: DataFrame | None
             state = state.withColumns({f"why_{d.name}": why, f"c_{d.name}": value})
     account, account_why = _half(rubric.account, "account")
     state = state.withColumns({"account_score": account, "account_why": F.array_compact(F.array(*account_why)) if account_why else F.array().cast("array<string>"), "has_company": F.lit(True)})
-    return lv, state
+    return lv, materialize(state, "company-state")
 
 
 def evaluate(rubric: Rubric, leads: DataFrame, companies: DataFrame | None = None, lead_detectors: DataFrame | None = None, company_detectors: DataFrame | None = None) -> DataFrame:
