@@ -230,7 +230,7 @@ def canonical_linkedin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'email has no domain suffix' WHEN 2 THEN 'email is empty' WHEN 3 THEN 'email is not an address' ELSE 'email carries more than one address' END AS fault,
+    SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'the host of the email has no dot' WHEN 2 THEN 'the email is blank' WHEN 3 THEN 'the email has not the form of an address' ELSE 'there are several addresses in the email' END AS fault,
            CASE WHEN c_custkey % 5 = 0 AND c_custkey % 10 <> 0 THEN 'n' || c_nationkey || '.example' END AS domain FROM customer""")
 def email_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("c_custkey"), F.col("c_custkey") % 5
@@ -443,6 +443,54 @@ def identity_email_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("source_id", "row_id", "lead_key").agg(F.count(F.lit(1)).alias("n"))
 
 
+_KEYS_SQL = """
+    c AS (SELECT c_custkey AS k, 'c' || c_custkey || '@n.example' AS email, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN c_custkey - 1 ELSE c_custkey END AS u FROM customer),
+    lead AS (SELECT k, email, u, CASE WHEN k % 5 = 0 THEN 'L' || k ELSE 'customers|' || email END AS lead_key FROM c),
+    own AS (SELECT u, arg_min(lead_key, k) AS lead_key FROM lead WHERE u IS NOT NULL GROUP BY u),
+    m AS (SELECT 'customers' AS source_id, l.email AS row_id, l.lead_key, l.u IS NOT NULL AND own.lead_key <> l.lead_key AS key_conflict FROM lead l LEFT JOIN own USING (u)
+          UNION ALL SELECT 'orders', 'linkedin.com/in/c' || o_custkey, coalesce(own.lead_key, 'orders|linkedin.com/in/c' || o_custkey), false FROM orders LEFT JOIN own ON own.u = o_custkey WHERE o_orderpriority = '1-URGENT'
+          UNION ALL SELECT 'orders', l.email, l.lead_key, false FROM orders JOIN lead l ON l.k = o_custkey WHERE o_orderpriority <> '1-URGENT')"""
+
+
+def _keyed_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(normalized rows, stored identities, earlier rows): customers bring an email and most a profile URL, some that of the one before; orders
+    come by email, urgent ones by profile URL alone. Every fifth customer's email is stored."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    mail = lambda k: F.concat(F.lit("c"), F.col(k).cast("string"), F.lit("@n.example"))
+    url = lambda k: F.concat(F.lit("https://www.linkedin.com/in/c"), k.cast("string"), F.lit("/"))
+    k, urgent = F.col("c_custkey"), F.col("o_orderpriority") == "1-URGENT"
+    mine = F.when(k % 7 == 0, "").when(k % 11 == 0, url(k - 1)).otherwise(url(k))
+    cells = lambda e, u, t: F.create_map(F.lit("email"), e, F.lit("LinkedIn URL"), u, F.lit("title"), t)
+    a = c.select(F.lit("customers").alias("source_id"), F.lit(0).alias("source_pos"), k.alias("ord"), cells(mail("c_custkey"), mine, F.lit("")).alias("cols"))
+    b = o.select(F.lit("orders").alias("source_id"), F.lit(1).alias("source_pos"), F.col("o_orderkey").alias("ord"), cells(F.when(urgent, "").otherwise(mail("o_custkey")), F.when(urgent, url(F.col("o_custkey"))).otherwise(""), F.col("o_orderstatus")).alias("cols"))
+    known = c.select(F.when(k % 5 == 0, mail("c_custkey")).alias("key"), F.lit("email").alias("kind"), F.when(k % 5 == 0, F.concat(F.lit("L"), k.cast("string"))).alias("lead_id"), F.lit("old").alias("source_id"))
+    applied = c.select(F.lit("customers").alias("source_id"), mail("c_custkey").alias("row_id"), F.when(k % 10 == 0, F.concat(F.lit("L"), k.cast("string"))).alias("lead_id"))
+    return rows.normalize(a.unionByName(b), ["email", "LinkedIn URL", "title"], unicode=False), known, applied
+
+
+@query(f"WITH {_KEYS_SQL} SELECT source_id, row_id, lead_key, key_conflict, count(*)::BIGINT AS n FROM m GROUP BY ALL")
+def identity_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, known, applied = _keyed_rows(spark, sf_dir)
+    m = identity.match_rows(r, known, applied, run_ms=1_706_659_200_000, unicode=False)
+    return m.groupBy("source_id", "row_id", "lead_key", "key_conflict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+    WITH {_KEYS_SQL}, t AS (SELECT coalesce(CASE WHEN o_orderpriority = '1-URGENT' THEN coalesce(own.lead_key, 'orders|linkedin.com/in/c' || o_custkey) END, lead.lead_key) AS lead_key, o_orderkey, o_orderstatus, o_orderpriority = '1-URGENT' AS urgent, o_custkey
+                             FROM orders LEFT JOIN own ON own.u = o_custkey JOIN lead ON lead.k = o_custkey),
+    g AS (SELECT *, min(o_orderkey) OVER (PARTITION BY urgent, o_custkey) AS turn FROM t)
+    SELECT lead_key, 'title' AS field, arg_min(o_orderstatus, (turn, o_orderkey)) AS value FROM g GROUP BY lead_key
+    UNION ALL SELECT lead_key, 'email', email FROM lead
+    UNION ALL SELECT lead_key, 'linkedin_url', 'linkedin.com/in/c' || u FROM own
+    UNION ALL SELECT DISTINCT 'orders|linkedin.com/in/c' || o_custkey, 'linkedin_url', 'linkedin.com/in/c' || o_custkey FROM orders LEFT JOIN own ON own.u = o_custkey WHERE o_orderpriority = '1-URGENT' AND own.u IS NULL
+    UNION ALL SELECT lead_key, 'company.domain', 'n.example' FROM lead""")
+def lead_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, known, applied = _keyed_rows(spark, sf_dir)
+    m = identity.match_rows(r, known, applied, run_ms=1_706_659_200_000, unicode=False)
+    keys = m.select("lead_id", "lead_key").distinct()
+    return identity.lead_fields(r, m).join(keys, "lead_id").select("lead_key", "field", "value")
+
+
 @query(f"""
     WITH {_PERSON_SQL}, s AS (SELECT * FROM p WHERE segment IS NOT NULL AND segment <> ''), k AS (SELECT email, arg_min(segment, (pos, ord)) AS kept, arg_min(source_id, (pos, ord)) AS kept_source FROM s GROUP BY email),
     x AS (SELECT email, count(DISTINCT segment) AS odd FROM s JOIN k USING (email) WHERE segment <> kept AND source_id <> kept_source GROUP BY email)
@@ -471,23 +519,23 @@ def leads_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.leads_seen(c.select(F.col("c_custkey").cast("string").alias("lead_id"), domain("c_nationkey").alias("domain"), F.when(F.col("c_custkey") % 11 == 0, "x").alias("merged_into")))
 
 
-@query("SELECT p_partkey::VARCHAR AS lead_id, CASE WHEN p_partkey % 100 < 90 AND p_partkey % 100 > 0 THEN (p_partkey - p_partkey % 10)::VARCHAR ELSE p_partkey::VARCHAR END AS live_id FROM part WHERE p_partkey >= 10 AND p_partkey % 100 >= 10")
+@query("""
+    SELECT p_partkey::VARCHAR AS lead_id, CASE WHEN p_partkey % 100 BETWEEN 95 AND 98 THEN p_partkey - p_partkey % 100 + 95 WHEN p_partkey % 100 < 90 THEN p_partkey - p_partkey % 10 ELSE p_partkey END::VARCHAR AS live_id,
+           p_partkey % 100 BETWEEN 95 AND 98 AS cycle FROM part""")
 def live_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of up to nine merges, each part into the one before it, back to the last multiple of ten."""
+    """Chains of up to nine merges, each part into the one before it, back to a multiple of ten; one a hundred names a part that is not there, three are a cycle, and one leads into it."""
     k = F.col("p_partkey")
-    into = F.when((k % 100 < 90) & (k % 10 != 0), (k - 1).cast("string"))
-    p = table(spark, sf_dir, "part").where((k >= 10) & (k % 100 >= 10)).select(k.cast("string").alias("lead_id"), into.alias("merged_into"))
-    return identity.live_leads(p).select("lead_id", "live_id")
+    into = F.when((k % 100 < 90) & (k % 10 != 0), k - 1).when(k % 100 == 91, F.lit(-1)).when((k % 100 == 95) | (k % 100 == 96), k + 1).when(k % 100 == 97, k - 2).when(k % 100 == 98, k - 3)
+    return identity.live_leads(table(spark, sf_dir, "part").select(k.cast("string").alias("lead_id"), into.cast("string").alias("merged_into")))
 
 
-@query("SELECT s_suppkey::VARCHAR AS lead_id, (s_suppkey - s_suppkey % 4)::VARCHAR AS merged_into FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey >= 4")
+@query("SELECT s_suppkey::VARCHAR AS lead_id, (s_suppkey - s_suppkey % 4)::VARCHAR AS merged_into FROM supplier WHERE s_suppkey % 4 <> 0")
 def same_as_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that tie each supplier to the next within fours; the oldest of each survives."""
+    """Rows that tie each supplier to the next within fours, and some that name nobody; the oldest of each four survives."""
     k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier").where(k >= 4)
+    s = table(spark, sf_dir, "supplier")
     people = s.select(k.cast("string").alias("lead_id"), F.timestamp_seconds(k).alias("created_at"), F.lit(None).cast("string").alias("merged_into"))
-    ties = s.where(k % 4 != 0).select(k.cast("string").alias("lead_id"), (k - 1).cast("string").alias("other_id"))
-    return identity.merge_edges(people, ties)
+    return identity.merge_edges(people, s.select(k.cast("string").alias("lead_id"), F.when(k % 4 != 0, (k - 1).cast("string")).alias("other_id")))
 
 
 @query("""
@@ -577,13 +625,24 @@ def deal_rule_company(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'n1.example' ELSE 'n' || o_custkey % 25 || '.example' END AS domain, arg_max(o_orderkey, o_orderkey)::VARCHAR AS deal_id FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1""")
+    WITH p AS (SELECT c_custkey AS k, 'n' || c_nationkey || '.example' AS domain FROM customer),
+    e AS (SELECT o_orderkey AS ord, o_custkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'n' || o_custkey % 25 || '.example' WHEN 1 THEN p.domain END AS domain, o_orderkey % 3 = 1 AS named, CASE o_orderstatus WHEN 'F' THEN 'lost' WHEN 'O' THEN 'open' ELSE 'won' END AS stage
+          FROM orders LEFT JOIN p ON p.k = o_custkey),
+    d AS (SELECT domain, max(ord) AS ord FROM e WHERE domain IS NOT NULL GROUP BY domain), i AS (SELECT k, max(ord) AS ord FROM e GROUP BY k), n AS (SELECT k, max(ord) AS ord FROM e WHERE named GROUP BY k),
+    r AS (SELECT p.k, greatest(d.ord, n.ord, CASE WHEN p.k % 2 = 0 THEN i.ord END) AS ord FROM p LEFT JOIN d USING (domain) LEFT JOIN i USING (k) LEFT JOIN n USING (k))
+    SELECT r.k::VARCHAR AS lead_id, 'd' || e.k AS deal_id, e.stage AS deal_stage FROM r JOIN e USING (ord)""")
 def deal_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last deal event at a company reaches all of its leads."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
-    e = o.select(F.col("o_orderkey").alias("ord"), F.lit("deal_open").alias("kind"), utc("o_orderdate").alias("at"), utc("o_orderdate").alias("received_at"), F.lit(None).cast("string").alias("lead_id"), F.lit("https://www.N1.example/").alias("domain"), F.create_map(F.lit("deal_id"), F.col("o_orderkey").cast("string")).alias("attrs"))
-    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("lead_id"), domain("c_nationkey").alias("domain"))
-    return ev.deals(e, people).join(people, "lead_id").select("domain", "deal_id").distinct()
+    """Each order is an event of its customer's deal: a third name a company, a third a lead, the rest only the deal, which every second customer has stored."""
+    k = F.col("o_orderkey")
+    stage = tx.lookup({"F": "deal_lost", "O": "Deal_Open"}, F.col("o_orderstatus"))
+    e = table(spark, sf_dir, "orders").select(
+        k.alias("ord"), F.coalesce(stage, F.lit("deal_won")).alias("kind"), utc("o_orderdate").alias("at"), utc("o_orderdate").alias("received_at"), F.when(k % 3 == 1, F.col("o_custkey").cast("string")).alias("lead_id"),
+        F.when(k % 3 == 0, F.concat(F.lit("https://www.N"), (F.col("o_custkey") % 25).cast("string"), F.lit(".example/"))).alias("domain"), F.create_map(F.lit("deal_id"), F.concat(F.lit("d"), F.col("o_custkey").cast("string"))).alias("attrs"),
+    )
+    c = table(spark, sf_dir, "customer")
+    people = c.select(F.col("c_custkey").cast("string").alias("lead_id"), domain("c_nationkey").alias("domain"))
+    old = c.select(F.col("c_custkey").cast("string").alias("lead_id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("d"), F.col("c_custkey").cast("string"))).alias("deal_id"))
+    return ev.deals(e, people, old).select("lead_id", "deal_id", "deal_stage")
 
 
 # --- routing and export -------------------------------------------------------------
@@ -613,12 +672,12 @@ def cold_once_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey").join(held, "o_orderkey", "left_semi")
 
 
-@query("SELECT c_custkey::VARCHAR AS lead_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) ORDER BY lead_id LIMIT 200")
+@query("SELECT c_custkey::VARCHAR AS lead_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') ORDER BY lead_id LIMIT 200")
 def unlisted_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 customers in id order that no list names yet."""
+    """The first 200 customers in id order that the list does not name yet; the others' orders are on it, or on another list."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     cand = c.select(F.lit("list").alias("lane_id"), F.lit(0).alias("lane_pos"), F.col("c_custkey").cast("string").alias("lead_id"), *(F.lit("").alias(n) for n in ("email", "linkedin_url", "full_name", "company_domain", "reasons")), F.lit(0.0).alias("score"))
-    listed = o.select(F.lit("list").alias("lane_id"), F.col("o_custkey").cast("string").alias("lead_id"))
+    listed = o.select(F.when(F.col("o_orderstatus") == "P", "list").otherwise("other").alias("lane_id"), F.col("o_custkey").cast("string").alias("lead_id"))
     live = c.select(F.col("c_custkey").cast("string").alias("lead_id"), F.col("c_custkey").cast("string").alias("live_id"))
     return export.newly_listed(cand, listed, live, 200, NOW).select("lead_id")
 
@@ -712,23 +771,23 @@ def fact_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.apply_facts(_facts(spark, sf_dir), new, "enrichment", NOW).select("domain", "value", "origin", "previous")
 
 
-@query("SELECT 's' || s_suppkey AS domain, CASE WHEN s_suppkey % 2 = 0 THEN 'r' || s_suppkey % 3 WHEN s_suppkey % 3 = 0 THEN 'new' END AS value, CASE WHEN s_suppkey % 2 = 1 THEN 'r' || s_suppkey % 3 END AS previous FROM supplier WHERE s_suppkey % 2 = 1 OR s_suppkey % 3 <> 0")
+@query("SELECT 's' || s_suppkey AS domain, CASE WHEN s_suppkey % 2 = 0 THEN 'r' || s_suppkey % 3 WHEN s_suppkey % 3 = 0 THEN 'new' END AS value, CASE WHEN s_suppkey % 2 = 1 THEN 'r' || s_suppkey % 3 END AS previous FROM supplier")
 def companies_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tab that kept every third odd company and changed it; what it dropped moves to previous."""
     k = F.col("s_suppkey")
     tab = table(spark, sf_dir, "supplier").where((k % 2 == 1) & (k % 3 == 0)).select(k.alias("row"), F.concat(F.lit("https://www.S"), k.cast("string"), F.lit("/")).alias("Website"), F.lit(" new ").alias("Country"))
     now = facts.apply_facts(_facts(spark, sf_dir), facts.tab_facts(tab, ["Website", "Country"]), "companies_tab", NOW, owns_missing=True)
-    return now.where("substring(domain, 2) % 2 = 1 OR substring(domain, 2) % 3 != 0").select("domain", "value", "previous")
+    return now.select("domain", "value", "previous")
 
 
 @query("""
-    WITH a AS (SELECT o_custkey % 200 AS k, max(o_orderdate) AS t FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1), d AS (SELECT DISTINCT c_custkey % 200 AS k FROM customer UNION SELECT k FROM a)
+    WITH a AS (SELECT o_custkey AS k, max(o_orderdate) FILTER (WHERE o_orderpriority <> '5-LOW') AS t FROM orders GROUP BY 1), d AS (SELECT c_custkey AS k FROM customer UNION SELECT k FROM a)
     SELECT 'd' || d.k || '.example' AS domain FROM d LEFT JOIN a USING (k) WHERE t IS NULL OR t <= TIMESTAMP '1998-07-01' ORDER BY t NULLS FIRST, 'd' || d.k || '.example' LIMIT 60""")
 def due_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next 60 companies to look up: the limit is the budget."""
-    name = lambda c: F.concat(F.lit("d"), (F.col(c) % 200).cast("string"), F.lit(".example"))
+    """The next 60 companies to look up: the limit is the budget. Attempts without a time do not count."""
+    name = lambda c: F.concat(F.lit("d"), F.col(c).cast("string"), F.lit(".example"))
     lead = table(spark, sf_dir, "customer").select(name("c_custkey").alias("domain"))
-    tried = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select(name("o_custkey").alias("domain"), utc("o_orderdate").alias("tried_at"))
+    tried = table(spark, sf_dir, "orders").select(name("o_custkey").alias("domain"), F.when(F.col("o_orderpriority") != "5-LOW", utc("o_orderdate")).alias("tried_at"))
     return facts.due_domains(lead, tried, datetime(1998, 7, 31, tzinfo=UTC), timedelta(days=30), 60).select("domain")
 
 
