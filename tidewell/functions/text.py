@@ -145,15 +145,15 @@ def email_fault(email: Column) -> Column:
     bare = rf'(?i)^(?:{atom}(?:\.{atom})*|"(?:[^"\\\r\n]|\\.)*")@{atom}(?:\.{atom})*$'
     marks = F.lit(None).cast("string")
     for m in reversed(TEMPLATE_MARKERS):
-        marks = F.when(F.contains(email, F.lit(m)), F.lit(f'email carries the template marker "{m}": the sending workflow emitted the variable instead of its value')).otherwise(marks)
+        marks = F.when(F.contains(email, F.lit(m)), F.lit(f'an unfilled placeholder ({m}) stands in the email')).otherwise(marks)
     return (
-        F.when(email.isNull() | (email == ""), F.lit("email is empty"))
-        .when(F.octet_length(email) > MAX_EMAIL, F.concat(F.lit("email is "), F.octet_length(email).cast("string"), F.lit(f" characters; the maximum is {MAX_EMAIL}")))
+        F.when(email.isNull() | (email == ""), F.lit("the email is blank"))
+        .when(F.octet_length(email) > MAX_EMAIL, F.concat(F.lit(f"an email has {MAX_EMAIL} bytes at most, this one "), F.octet_length(email).cast("string")))
         .when(marks.isNotNull(), marks)
-        .when(email.rlike(r"^[^,<>\"]*@[^,<>\"]*,"), F.lit("email carries more than one address"))
-        .when(email.rlike(r"^\s|\s$|<[^<>]*@[^<>]*>$"), F.lit("email is not a bare address"))
-        .when(~email.rlike(bare), F.lit("email is not an address"))
-        .when(~F.substring_index(email, "@", -1).contains("."), F.lit("email has no domain suffix"))
+        .when(email.rlike(r"^[^,<>\"]*@[^,<>\"]*,"), F.lit("there are several addresses in the email"))
+        .when(email.rlike(r"^\s|\s$|<[^<>]*@[^<>]*>$"), F.lit("something stands around the address"))
+        .when(~email.rlike(bare), F.lit("the email has not the form of an address"))
+        .when(~F.substring_index(email, "@", -1).contains("."), F.lit("the host of the email has no dot"))
     )
 
 

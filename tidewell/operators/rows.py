@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.functions import text as tx
+from tidewell.storage import materialize
 
 RECEIVER = "receiver"
 
@@ -52,7 +53,7 @@ def normalize(rows: DataFrame, headers: Sequence[str], aliases: Mapping[str, str
         .when((domain != "") & (name != ""), F.concat(domain, F.lit("|"), name))
         .otherwise(F.concat(F.lit("row:"), F.substring("row_hash", 1, 16)))
     )
-    reject = F.when(email != "", tx.email_fault(email)).when((li == "") & ((domain == "") | (name == "")), F.lit("no email, LinkedIn URL, or company domain and full name"))
+    reject = F.when(email != "", tx.email_fault(email)).when((li == "") & ((domain == "") | (name == "")), F.lit("nothing in the row says who it is"))
     return out.withColumns({"row_id": row_id, "reject": reject})
 
 
@@ -74,7 +75,8 @@ def chunk(grouped: DataFrame, most_rows: int, by: Sequence[str] = ("first_ord",)
     """
     if not by:
         raise ValueError("the order of the groups is needed")
-    parts = grouped.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
+    # Written, so that all readers see the same ranges.
+    parts = materialize(grouped.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "chunk")
     totals = parts.groupBy("__part").agg(F.sum("rows").alias("__n"))
     before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     running = Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)

@@ -29,10 +29,10 @@ def resolve_overrides(rows: DataFrame, identities: DataFrame, live: DataFrame, u
     names = live.select(F.col("lead_id").alias("k"), "live_id").unionByName(identities.join(live, "lead_id").select(F.col("key").alias("k"), "live_id"))
     o = o.join(names.withColumnsRenamed({"k": "person", "live_id": "lead_id"}), "person", "left").join(names.withColumnsRenamed({"k": "value", "live_id": "other_id"}), "value", "left")
     invalid = (
-        F.when((F.col("person") == "*") & (F.col("action") != "retry"), F.lit("person * is allowed only on a retry row"))
-        .when((F.col("action") == "status") & ~F.col("value").isin(*MANUAL_STATUSES, RESUBSCRIBE), F.lit("unknown status value"))
-        .when(pair & F.col("value").isin("", "*"), F.lit("the value must name the other person"))
-        .when(~F.col("action").isin("status", "same_as", "distinct", "retry"), F.lit("unknown action"))
+        F.when((F.col("person") == "*") & (F.col("action") != "retry"), F.lit("only a retry row may be about everyone (*)"))
+        .when((F.col("action") == "status") & ~F.col("value").isin(*MANUAL_STATUSES, RESUBSCRIBE), F.lit("no such status"))
+        .when(pair & F.col("value").isin("", "*"), F.lit("the value names nobody else"))
+        .when(~F.col("action").isin("status", "same_as", "distinct", "retry"), F.lit("no such action"))
     )
     return o.withColumns({"invalid": invalid, "other_id": F.when(pair, F.col("other_id"))})
 
@@ -47,7 +47,7 @@ def manual_status(overrides: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(is_status, F.col("row")))).alias("rows"),
     )
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ", ")
-    block = F.when(F.size("bad") > 0, F.concat(F.lit("unknown Overrides value in row "), text("bad"))).when(F.size("values") > 1, F.concat(F.lit("conflicting status rows "), text("rows")))
+    block = F.when(F.size("bad") > 0, F.concat(F.lit("Overrides rows that cannot be read: "), text("bad"))).when(F.size("values") > 1, F.concat(F.lit("Overrides rows that set different statuses: "), text("rows")))
     return g.select("lead_id", F.when(block.isNull() & (F.size("values") == 1), F.col("values")[0]).alias("manual_status"), block.alias("override_block"))
 
 
@@ -133,14 +133,16 @@ def repair_ledger(pushes: DataFrame, people: DataFrame, lanes: DataFrame, run_id
 def retries(pushes: DataFrame, overrides: DataFrame, applied: DataFrame, now: datetime) -> DataFrame:
     """Failed steps that a retry row names, which was not applied before, wait again; ``*`` names all leads, an empty lane all lanes."""
     rows = overrides.where("action = 'retry' AND invalid IS NULL AND (person = '*' OR lead_id IS NOT NULL)").join(applied.select(F.col("row_hash").alias("hash")), "hash", "left_anti")
-    every = rows.where("person = '*'").select(F.lower("value").alias("v")).distinct()
+    every = [r["v"] for r in rows.where("person = '*'").select(F.lower("value").alias("v")).distinct().collect()]
     named = rows.where("person != '*'").select("lead_id", F.lower("value").alias("v")).distinct()
-    p = pushes.withColumn("__k", F.monotonically_increasing_id())
-    hit = p.where("state = 'failed'").join(F.broadcast(every), (F.col("v") == "") | (F.col("v") == F.lower("lane_id")), "left_semi").select("__k")
-    hit = hit.unionByName(p.where("state = 'failed'").join(named, (p["lead_id"] == named["lead_id"]) & ((F.col("v") == "") | (F.col("v") == F.lower("lane_id"))), "left_semi").select("__k")).distinct().withColumn("__hit", F.lit(True))
-    again = F.coalesce("__hit", F.lit(False))
-    out = p.join(hit, "__k", "left")
-    return out.select(*(F.when(again, {"state": F.lit("pending"), "attempts": F.lit(0), "last_error": F.lit(""), "updated_at": F.lit(now)}[c]).otherwise(F.col(c)).alias(c) if c in ("state", "attempts", "last_error", "updated_at") else F.col(c) for c in pushes.columns))
+    # Lanes are few: what rows say of them is an array, so that each push stays one row.
+    mine = named.groupBy("lead_id").agg(F.collect_set("v").alias("__mine"))
+    out = pushes.join(mine, "lead_id", "left")
+    here = F.array(F.lit(""), F.lower("lane_id"))
+    named_here = F.coalesce(F.arrays_overlap("__mine", here), F.lit(False))
+    again = (F.col("state") == "failed") & (named_here | F.lit("" in every) | F.lower("lane_id").isin(every))
+    new = {"state": F.lit("pending"), "attempts": F.lit(0), "last_error": F.lit(""), "updated_at": F.lit(now)}
+    return out.select(*(F.when(again, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in pushes.columns))
 
 
 def resubscribe(outcomes: DataFrame, overrides: DataFrame, manual: DataFrame, applied: DataFrame, live: DataFrame) -> DataFrame:

@@ -26,13 +26,27 @@ def key_conflicts(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> Data
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows by key: new ones are added; of known ones only the columns that ``rows`` names change, nulls included."""
+    """Rows by key: new ones are added; of known ones only the columns that ``rows`` names change, nulls included.
+
+    Null keys are equal. Raises ``KeyConflict`` if a key comes twice in ``rows``.
+    """
+    if not rows.groupBy(*key).count().where("count > 1").isEmpty():
+        raise KeyConflict(f"two rows to write have the same {'/'.join(key)}")
     named = [c for c in rows.columns if c not in key]
-    new = rows.select(*key, *(F.col(c).alias(f"__{c}") for c in named), F.lit(True).alias("__new"))
-    j = table.join(new, list(key), "full_outer")
+    new = rows.select(*(F.col(c).alias(f"__new_{c}") for c in rows.columns), F.lit(True).alias("__is_new"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__new_{c}"))
+    j = table.withColumn("__is_old", F.lit(True)).join(new, same, "full_outer")
     cols = [*table.columns, *(c for c in named if c not in table.columns)]
-    pick = lambda c: F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c) if c in table.columns else F.lit(None)).alias(c)
-    return j.select(*(pick(c) if c in named else F.col(c) for c in cols))
+
+    def pick(c: str) -> Column:
+        if c in key:
+            return F.when(F.col("__is_old"), F.col(c)).otherwise(F.col(f"__new_{c}")).alias(c)
+        kept = F.col(c) if c in table.columns else F.lit(None)
+        return (F.when(F.col("__is_new"), F.col(f"__new_{c}")).otherwise(kept) if c in named else kept).alias(c)
+
+    return j.select(*map(pick, cols))
 
 
 def delete(table: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:

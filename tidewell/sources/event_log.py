@@ -87,15 +87,28 @@ class EventLog:
 
 
 def store_body(body: str) -> str:
-    """A body as it is stored: JSON as it came, anything else marked; too long ones keep their known fields only."""
+    """A body as it is stored: JSON as it came, anything else marked.
+
+    One above MAX_BODY loses its lists, then long texts their tails, then whole fields, the longest first, until it fits;
+    what is stored is JSON always.
+    """
     try:
         got = json.loads(body)
     except ValueError:
+        got = None
+    if not isinstance(got, dict):
         return json.dumps({"__not_json": True})
-    if len(body) <= MAX_BODY or not isinstance(got, dict):
-        return body[:MAX_BODY] if isinstance(got, dict) else json.dumps({"__not_json": True})
-    short = {k: v if not isinstance(v, str) else v[:1_000] for k, v in got.items() if not isinstance(v, list)}
-    return json.dumps(short)[:MAX_BODY]
+    if len(body) <= MAX_BODY:
+        return body
+    short = {k: v[:1_000] if isinstance(v, str) else v for k, v in got.items() if not isinstance(v, list)}
+    sizes = sorted(((len(json.dumps({k: v})), k) for k, v in short.items()), reverse=True)
+    left = sum(n for n, _ in sizes)
+    for n, k in sizes:
+        if left <= MAX_BODY:
+            break
+        del short[k]
+        left -= n
+    return json.dumps(short)
 
 
 def raw_frame(df: DataFrame) -> DataFrame:
