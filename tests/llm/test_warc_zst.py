@@ -104,3 +104,17 @@ def test_repeated_page_ids_with_other_payloads_lose_nothing(spark, tmp_path):
     got = w.read_archives(spark, f"file://{tmp_path}/w").collect()
     have = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, bytes(r["payload"] or b"").decode()) for r in got)
     assert have == [(1, "response", 0, "first"), (2, "response", 0, "second"), (5, "response", 0, "only here"), (5, "revisit", 1, ""), (5, "revisit", 2, "")]
+
+
+def test_only_files_of_the_manifest_are_read(spark, tmp_path):
+    """What an attempt left behind that did not count changes nothing; repeated ids and payloads stay one record each."""
+    folder = f"file://{tmp_path}/w"
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(3)
+    w.write_archives(pages, folder, target_bytes=2_000)
+    want = sorted(map(repr, w.read_archives(spark, folder).collect()))
+    first = sorted((tmp_path / "w").glob("*.warc.zst"))[0]
+    (tmp_path / "w" / "000000-000000-999999.warc.zst").write_bytes(first.read_bytes())
+    (tmp_path / "w" / "000001-000000-999998.warc.zst.draft").write_bytes(b"half a")
+    assert sorted(map(repr, w.read_archives(spark, folder).collect())) == want
+    named = {r["file"]: r["records"] for r in w.manifest(spark, folder).collect()}
+    assert sum(named.values()) == len(ROWS) and set(named) <= {f.name for f in (tmp_path / "w").iterdir()}

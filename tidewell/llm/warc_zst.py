@@ -13,7 +13,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.storage import mounted
+from tidewell.sources.store import Files
+from tidewell.storage import materialize, mounted
 
 #: Fixed by the format: magic number of the skippable frame that holds the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -22,6 +23,7 @@ FRAME_MAGIC, RAW_DICTIONARY_MAGIC = 0xFD2FB528, 0xEC30A437
 #: Fixed by the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANIFEST = "file string, records long"
 _NAMESPACE = uuid.UUID(int=0x5EED)
 _HEADERS = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
@@ -138,7 +140,9 @@ def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     p = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("b"))
     p = p.select("page_id", F.unhex(F.sha1("b")).alias("digest"), F.octet_length("b").alias("size")).where(F.col("size") >= least_bytes)
-    first = p.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = p.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # A written table, so that Spark sends it to all tasks where it is small and splits a hot payload's pages where not.
+    first = materialize(first, "payloads")
     return p.join(first, ["digest", "size"]).where("page_id != refers_to").select("page_id", "digest", "size", "refers_to").distinct()
 
 
@@ -150,11 +154,10 @@ def _write(folder: str, dictionary: bytes, target_bytes: int, date: str):
         def flush() -> None:
             nonlocal parts, size
             if parts:
-                name = f"{folder}/{task.partitionId():06d}-{len(done):06d}.warc.zst"
-                draft = f"{name}.{task.taskAttemptId()}.draft"
-                with open(draft, "wb") as f:
+                name = f"{task.partitionId():06d}-{len(done):06d}-{task.taskAttemptId()}.warc.zst"
+                with open(f"{folder}/{name}.draft", "wb") as f:
                     f.writelines([writer.head, *parts])
-                os.replace(draft, name)  # a retried task writes the same bytes to the same name
+                os.replace(f"{folder}/{name}.draft", f"{folder}/{name}")
                 done.append((name, len(parts)))
                 parts, size = [], 0
 
@@ -177,30 +180,46 @@ def _write(folder: str, dictionary: bytes, target_bytes: int, date: str):
                 if size >= target_bytes:
                     flush()
         flush()
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["file", "records"])
 
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, target_bytes: int = 8_000_000, sample_pages: int = 200, date: str = "2024-01-01T00:00:00Z") -> int:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, target_bytes: int = 8_000_000, sample_pages: int = 200, sample_chars: int = 65_536, date: str = "2024-01-01T00:00:00Z") -> int:
     """Write one record a row of ``pages`` (page_id, url, html) into ``.warc.zst`` files; returns the number of files.
 
     Records are responses, and revisits where ``plan_revisits`` says so; a revisit has no payload but names it by
-    digest, length and the record it refers to. The dictionary is trained on ``sample_pages`` pages (a
-    fixed bound) and stands at the head of each file. Files end at ``target_bytes``. ``folder`` must be in
-    the shared folder, mounted on the workers.
+    digest, length and the record it refers to. The dictionary is trained on ``sample_chars`` characters of
+    ``sample_pages`` pages (fixed bounds; the pages with the smallest hashes) and stands at the head of each file. Files end at
+    ``target_bytes``. ``folder`` must be in the shared folder, mounted on the workers.
+
+    Each attempt of a task writes files of its own; ``_manifest`` below ``folder`` names those of the attempts that counted, with their
+    number of records, so what a lost attempt left behind is never read.
 
     Nulls: a null html is empty, a null url is empty, a null page_id is a response with an empty
     id. Rows repeating a page_id are a record each, told apart by payload. Other columns are ignored; no rows give no files.
     """
-    sample = [(r["html"] or "").encode()[:65_536] for r in pages.select("html").limit(sample_pages).collect()]
+    whole = F.coalesce("html", F.lit(""))
+    sample = _sample(pages.select(F.substring(whole, 1, sample_chars).alias("html"), F.xxhash64("page_id", "url").alias("h")), sample_pages)
     local = mounted(folder)
     os.makedirs(local, exist_ok=True)
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    payload = F.encode(whole, "UTF-8")
     rows = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size"))
     rows = rows.join(plan_revisits(pages, least_bytes), ["page_id", "digest", "size"], "left").select("page_id", "url", "html", "refers_to")
-    out = rows.mapInArrow(_write(local, train_dictionary(sample), target_bytes, date), "path string, records long")
-    return int(out.agg(F.count("path")).first()[0])
+    rows.mapInArrow(_write(local, train_dictionary(sample), target_bytes, date), MANIFEST).write.parquet(f"{folder}/_manifest")
+    return manifest(pages.sparkSession, folder).count()
+
+
+def _sample(pages: DataFrame, rows: int) -> list[bytes]:
+    """The pages with the smallest hashes; only a share of the hashes that holds a few times as many is sorted."""
+    share = min(1.0, 8 * rows / max(pages.count(), 1))
+    few = pages.where(F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32)))
+    return [r["html"].encode() for r in few.orderBy("h", "html").limit(rows).collect()]
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, records`` of the archives in ``folder``."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +252,13 @@ def _batch(rows: Iterable[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of all ``.warc.zst`` files below ``path``, read through Spark from any store.
+    """One row a record of the ``.warc.zst`` files that the manifest of ``path`` names, read through Spark from any store; all of them where there is no manifest.
 
     ``page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload``; payloads are checked against
     digest and length. A folder without archives gives no rows.
     """
     files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    if Files(spark).exists(f"{path}/_manifest"):
+        named = manifest(spark, path).select("file")
+        files = files.withColumn("file", F.substring_index("path", "/", -1)).join(named, "file", "left_semi")
     return files.select("content").mapInArrow(_read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
