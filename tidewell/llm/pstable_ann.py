@@ -247,6 +247,7 @@ def nearest(
     probes: int = 200,
     slot_factor: float = 2.0,
     sample_rows: int = 1_000,
+    fit_rows: int = 200,
     shard_rows: int = 20_000,
     sure: float = 0.95,
     scan_queries: int = 4_000,
@@ -259,7 +260,7 @@ def nearest(
     Each vector is hashed into one bucket of each table; a query looks into ``probes`` buckets of each, its own first and then
     those across near borders in order of expected success. What the tables find is merged, and its Euclidean
     distance taken on the original vectors. Slots are ``slot_factor`` times the median distance to
-    the k-th neighbour within a sample of ``sample_rows`` rows (a fixed bound); every row is indexed.
+    the k-th neighbour of ``fit_rows`` rows within a sample of ``sample_rows`` rows (fixed bounds); every row is indexed.
 
     A query is settled when it has k rows and the k-th lies where its probes find a neighbour with a chance of ``sure``
     (see ``reach``). The others, in thin regions, go on to tables at doubled slot widths while more than
@@ -279,21 +280,24 @@ def nearest(
     asked = clean_vectors(queries, id_col, vec_col).withColumnsRenamed({"vec_id": "query_id", "v": "q"}).dropDuplicates(["query_id"])
     same = Window.partitionBy("v").orderBy("vec_id")
     kept = materialize(base.distinct().withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r"), "ann-base")
-    sample = kept.orderBy(F.xxhash64("vec_id")).limit(sample_rows).toArrow()
+    # The rows with the smallest id hashes, of a share of the hashes that holds a few times as many.
+    n = kept.count()
+    few = kept.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32))).where(F.col("h") < int(min(1.0, 8 * sample_rows / max(n, 1)) * (1 << 32)))
+    sample = few.orderBy("h", "vec_id").select("vec_id", "v").limit(sample_rows).toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:
         return vectors.sparkSession.createDataFrame([], schema)
     x = _matrix(sample["v"].combine_chunks())
-    far = [np.sort(distances(q, x))[min(k, len(x) - 1)] for q in x[:200]]
+    far = [np.sort(distances(q, x))[min(k, len(x) - 1)] for q in x[:fit_rows]]
     slot = max(slot_factor * float(np.median(far)), 1e-9)
-    shards = max(1, -(-kept.count() // shard_rows))
+    shards = max(1, -(-n // shard_rows))
     sets = perturbations(width, probes)
     open_, done = materialize(asked, "ann-asked"), None
     for level in range(most_levels):
         hashes = Hashes.drawn(x.shape[1], slot * 2**level, tables, width)
         found = materialize(_best(_level(kept, open_, k, hashes, sets, shards, shard_rows), k), f"ann-found-{level}")
         ends = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("end"))
-        settled = ends.where((F.col("n") >= k) & (F.col("end") <= reach(x[:200], hashes, sets, sure))).select("query_id")
+        settled = ends.where((F.col("n") >= k) & (F.col("end") <= reach(x[:fit_rows], hashes, sets, sure))).select("query_id")
         found = found.join(settled, "query_id", "left_semi")
         done = found if done is None else done.unionByName(found)
         open_ = materialize(open_.join(settled, "query_id", "left_anti"), f"ann-open-{level}")
