@@ -111,3 +111,12 @@ def test_numbers_and_signs_are_no_letters(spark, small):
     rows = [(1, "½ ² ③"), (2, "_ 7 \u0301"), (3, "42 é"), (4, "語")]
     got = li.identify(spark.createDataFrame(rows, "doc_id long, text string"), li.train(small)).collect()
     assert {r["doc_id"] for r in got if r["lang_pred"] == "und"} == {1, 2}
+
+
+def test_a_model_too_large_to_broadcast_is_refused(monkeypatch):
+    import numpy as np
+    from tidewell.llm import language_id as li
+
+    monkeypatch.setattr(li, "MOST_BYTES", 1_000)
+    with pytest.raises(ValueError, match="fewer sample_docs"):
+        li.build(["a"], {"a": (np.arange(50, dtype=np.int64) * 65_537, np.ones(50, np.int64))})

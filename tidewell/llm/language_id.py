@@ -71,6 +71,10 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
+#: The largest model that is broadcast.
+MOST_BYTES = 1 << 29
+
+
 def build(languages: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
     """Context trees from counts of four bytes, with escapes by the number of distinct followers.
 
@@ -100,6 +104,9 @@ def build(languages: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]])
         each = [_code(s[ORDER - k : ORDER], a) for s, _ in coded.values()]
         codes.append(np.unique(np.concatenate(each)) if each else np.zeros(0, np.int64))
     first = np.cumsum([0, *map(len, codes)])
+    size = int(first[-1]) * a * len(languages) * 4 + a**ORDER * 4
+    if size > MOST_BYTES:
+        raise ValueError(f"a model of {len(languages)} languages has {size} bytes; {MOST_BYTES} are sent to tasks at most: learn from fewer sample_docs, or in several models")
     bits = np.zeros((first[-1], a, len(languages)), np.float32)
     for j, lang in enumerate(languages):
         s, n = coded[lang]
