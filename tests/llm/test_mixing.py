@@ -51,3 +51,60 @@ def test_odd_rows(messy, messy_rows, nothing):
     assert {r["source"]: r["source_size"] for r in got.collect()} == sizes
     assert got.where("source IS NULL").count() == 3
     assert mix(nothing).count() == 0
+
+
+def slow_targets(sizes, weights, total):
+    """The level at which min(level * weight, 2 * size) adds up to the total, by bisection."""
+    if total >= 2 * sum(sizes):
+        return [2.0 * s for s in sizes]
+    lo, hi = 0.0, 4.0 * (total + 1)
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(level * w, 2 * s) for s, w in zip(sizes, weights)) < total else (lo, level)
+    return [min(hi * w, 2 * s) for s, w in zip(sizes, weights)]
+
+
+def slow_copies(rows, ratio, seed):
+    """The rule itself: two open fractions meet, mass moves one way or the other, until one of them is 0 or 1."""
+    done, open_ = {}, None
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for k, (i, size) in enumerate(order):
+        frac = ratio - int(ratio)
+        done[i] = int(ratio)
+        if not size or frac == 0:
+            continue
+        if open_ is None:
+            open_ = [i, size, frac, i]
+            continue
+        a, b = open_, [i, size, frac, i]
+        gain = min((1 - a[2]) * a[1], b[2] * b[1])
+        loss = min(a[2] * a[1], (1 - b[2]) * b[1])
+        moved = gain if chance(seed, a[0], i, k) * (gain + loss) < loss else -loss
+        left = []
+        for x, d in ((a, moved / a[1]), (b, -moved / b[1])):
+            x[2] += d
+            if min(abs(x[2]), abs(1 - x[2])) < 1e-9:
+                done[x[0]] += round(x[2])
+            else:
+                left.append(x)
+        open_ = left[0] if left else None
+    if open_:
+        done[open_[0]] += int(chance(seed, "last", open_[0]) < open_[2])
+    return done
+
+
+def test_equals_targets_and_rounding_by_hand(spark):
+    docs = [(k, ["web", "book", "code", None, "zoo"][k * k % 5], "w " * (k * 37 % 90 if k % 11 else 0)) for k in range(400)] + [(900 + k, "tiny", "x") for k in range(4)]
+    got = mix(spark.createDataFrame(docs, "doc_id long, source string, text string"), seed=9).collect()
+    names = sorted({s for _, s, _ in docs if s is not None}) + [None]
+    sizes = [sum(len(t.split()) for _, s, t in docs if s == n) for n in names]
+    targets = slow_targets(sizes, [[5, 2, 1][k % 3] for k in range(len(names))], 1.5 * sum(sizes))
+    for n, size, target in zip(names, sizes, targets):
+        mine = [(i, len(t.split())) for i, s, t in docs if s == n]
+        rows = [r for r in got if r["source"] == n]
+        assert all(r["source_size"] == size and r["target"] == pytest.approx(target, rel=1e-6) for r in rows)
+        if target / size < 2 - 1e-9:
+            assert {r["doc_id"]: r["copies"] for r in rows} == slow_copies(mine, rows[0]["target"] / size, 9)
+        else:
+            assert all(r["copies"] == 2 for r in rows)
+        assert abs(sum(r["taken"] for r in rows) - target) <= 90

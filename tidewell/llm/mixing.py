@@ -83,9 +83,10 @@ def pivot(ids: Iterable, sizes: Iterable[int], shares: Iterable[float], seed: in
 def _round(seed: int, last: bool, key: Sequence[str] = ()):
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id", *key], ascending=[False, True, *(True for _ in key)], kind="stable", ignore_index=True)
-        took, at, p = pivot(rows["doc_id"].tolist(), rows["size"].tolist(), rows["share"].tolist(), seed)
+        ids = rows["doc_id"].tolist()
+        took, at, p = pivot(ids, rows["size"].tolist(), rows["share"].tolist(), seed)
         if at >= 0 and last:
-            took[at] = int(chance(seed, "last", rows["doc_id"][at]) < p)
+            took[at] = int(chance(seed, "last", ids[at]) < p)
             at = -1
         rows["open"] = [k == at for k in range(len(rows))]
         if at >= 0:
