@@ -1,0 +1,112 @@
+"""Overrides edits, families, look-up answers and small columns."""
+
+import csv
+from datetime import UTC, datetime, timedelta
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+from tidewell.functions import text as tx, values
+from tidewell.operators import edits, events, export, facts, people, routing, status
+from tidewell.sources.schema import FIELD
+
+NOON = datetime(2024, 3, 1, 12, tzinfo=UTC)
+OVERRIDES = "row int, person string, action string, value string, note string"
+
+
+@pytest.fixture
+def world(spark):
+    live = spark.createDataFrame([("L1", "L1"), ("L2", "L1"), ("L3", "L3")], "lead_id string, live_id string")
+    keys = [("a@x.example", "email", "L1", NOON), ("b@x.example", "email", "L2", NOON - timedelta(days=9)), ("linkedin.com/in/c", "linkedin", "L3", NOON)]
+    identities = spark.createDataFrame(keys, "key string, kind string, lead_id string, first_seen_at timestamp")
+    fields = spark.createDataFrame([(i, {"email": (v, "s", NOON, False)} if v else {}) for i, v in (("L1", ""), ("L2", "b@x.example"), ("L3", "z@x.example"))], f"lead_id string, fields map<string,{FIELD}>")
+    return identities, live, people.primary_keys(fields, identities, live)
+
+
+def rows(df):
+    return sorted((r["person"], r["action"], r["value"]) for r in df.collect())
+
+
+def test_people_are_named_by_their_first_key(world):
+    identities, live, primary = world
+    assert edits.known_as(" B@x.example", primary, identities, live, unicode=False) == ("a@x.example", "L1")
+    assert edits.known_as("L3", primary, identities, live, unicode=False) == ("linkedin.com/in/c", "L3")
+    assert edits.known_as("new@y.example", primary, identities, live, unicode=False) == ("new@y.example", None)
+    for bad in ("", "*", "nobody", "x@localhost"):
+        with pytest.raises(edits.EditError):
+            edits.known_as(bad, primary, identities, live, unicode=False)
+
+
+def test_status_edits(spark, world):
+    identities, live, _ = world
+    table = spark.createDataFrame([(1, "b@x.example", "status", "blocked", ""), (2, "a@x.example", "status", "resubscribe", "t"), (3, "linkedin.com/in/c", "status", "blocked", "")], OVERRIDES)
+    said = status.resolve_overrides(table, identities, live, unicode=False)
+    put = lambda v: rows(edits.set_status(table, said, "a@x.example", "L1", v, NOON))
+    other = ("linkedin.com/in/c", "status", "blocked")
+    assert put(" Replied_Positive ") == [("a@x.example", "status", "replied_positive"), other]
+    assert put("none") == [("a@x.example", "status", "resubscribe"), other]
+    assert put("resubscribe") == [("a@x.example", "status", "resubscribe")] * 2 + [other]
+    with pytest.raises(edits.EditError):
+        put("sleepy")
+
+
+def test_pairs_and_retries(spark):
+    table = spark.createDataFrame([], OVERRIDES)
+    pair = edits.add_pair(table, "same_as", ("a@x.example", "L1"), ("c@x.example", "L3"))
+    assert rows(pair) == [("a@x.example", "same_as", "c@x.example")] == rows(edits.add_pair(pair, "same_as", ("a@x.example", "L1"), ("c@x.example", "L3")))
+    assert rows(edits.add_pair(table, "distinct", ("a@x.example", "L1"), ("new@x.example", None))) == [("a@x.example", "distinct", "new@x.example")]
+    for bad in (("same_as", ("a", "L1"), ("n", None)), ("distinct", ("a", "L1"), ("b", "L1")), ("hug", ("a", "L1"), ("c", "L3"))):
+        with pytest.raises(edits.EditError):
+            edits.add_pair(table, *bad)
+    twice = edits.add_retry(edits.add_retry(table, NOON, lane=" cold "), NOON + timedelta(minutes=1), lane="cold")
+    assert rows(twice) == [("*", "retry", "cold")] * 2 and [r["row"] for r in twice.orderBy("row").collect()] == [1, 2]
+
+
+def test_first_keys_of_families(world):
+    got = {r["lead_id"]: (r["email"], r["linkedin_url"]) for r in world[2].collect()}
+    assert got == {"L1": ("a@x.example", None), "L3": (None, "linkedin.com/in/c")}
+
+
+def test_survivors_take_what_they_lack(spark):
+    f = spark.createDataFrame([("keep", "title", "CEO"), ("old", "title", "CTO"), ("old", "city", "Rome"), ("older", "city", "Oslo")], "lead_id string, field string, v string")
+    merges = spark.createDataFrame([("old", "keep"), ("older", "keep")], "lead_id string, merged_into string")
+    born = spark.createDataFrame([("old", NOON), ("older", NOON - timedelta(days=1)), ("keep", NOON)], "lead_id string, created_at timestamp")
+    got = people.survivors_filled(f, merges, born).where("lead_id = 'keep'")
+    assert {r["field"]: r["v"] for r in got.collect()} == {"title": "CEO", "city": "Oslo"}
+
+
+def test_answers_of_lookups(spark):
+    old = [("x", "region", "EU", "input", NOON, None, None, None), ("x", "name", "Tab", "companies_tab", NOON, None, None, None), ("x", "stage", "seed", "enrichment", NOON, None, None, None), ("y", "region", "US", "input", NOON, None, None, None)]
+    found = [("x", False, "region", "Asia"), ("x", False, "name", "Other"), ("x", False, "company.stage", " "), ("x", False, "stage", "series_a"), ("x", False, "size", "9"), ("y", True, "region", "EU"), ("z", False, "domain", "q")]
+    later = NOON + timedelta(days=1)
+    got = facts.answers(spark.createDataFrame(old, facts.FACTS), spark.createDataFrame(found, "domain string, not_found boolean, fact string, value string"), later)
+    have = {(r["domain"], r["fact"]): (r["value"], r["origin"], r["previous"]) for r in got.collect()}
+    assert have == {("x", "region"): ("Asia", "enrichment", "EU"), ("x", "name"): ("Tab", "companies_tab", None), ("x", "stage"): (None, None, "seed"), ("x", "size"): ("9", "enrichment", None), ("y", "region"): ("US", "input", None)}
+
+
+def test_funding_columns(spark):
+    df = spark.createDataFrame([(" Series B ", "2024-02-30"), ("Seed", "2024-02-29"), ("Angel", "2024-02-29T23:30:00-02:00"), (None, None), ("series h", "soon")], "label string, day string")
+    got = [(r[0], r[1]) for r in df.select(values.funding_stage(F.col("label")), values.funding_date(F.col("day"))).collect()]
+    assert [(a, b or None) for a, b in got] == [("series_b", None), ("seed", "2024-02-29"), (None, "2024-03-01"), (None, None), ("series_d_plus", None)]
+
+
+def test_logs_hide_keys_and_people(spark):
+    text = "ada.l@x.example used Bearer abc.def ghp_1234 in /home/ada/x with sk-1"
+    assert spark.createDataFrame([(text,)], "t string").select(tx.redact(F.col("t"))).first()[0] == "a***@x.example used [hidden] [hidden] in ~/x with [hidden]"
+
+
+def test_suppressed_replies_and_ruled_out_pushes(spark):
+    e = spark.createDataFrame([("receiver", "replied"), ("receiver", "Replied_Positive"), ("receiver", "sent"), ("poll", "reply")], "origin string, kind string")
+    assert [r[0] for r in e.select(events.suppressed(True)).collect()] == [True, True, False, False]
+    assert not any(r[0] for r in e.select(events.suppressed(False)).collect())
+    p, seen = spark.createDataFrame([("a",), ("b",)], "lead_id string"), spark.createDataFrame([("b",), ("b",), ("c",)], "lead_id string")
+    assert [r[0] for r in routing.ruled_out(p, seen).collect()] == ["b"]
+
+
+def test_mirror_is_a_safe_copy(spark, tmp_path):
+    df = spark.createDataFrame([("a", {"k": "v"}, "=1+1", None)], "id string, m map<string,string>, cell string, n int")
+    for _ in range(2):
+        export.mirror({"ranked": df}, f"file://{tmp_path}/view")
+    files = list(Path(tmp_path, "view", "ranked").glob("*.csv"))
+    read = [r for f in files for r in csv.DictReader(f.open(encoding="utf-8"))]
+    assert read == [{"id": "a", "m": '{"k":"v"}', "cell": "'=1+1", "n": ""}]

@@ -7,6 +7,7 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, functions as F
 
+from tidewell.functions import text as tx
 from tidewell.functions.text import norm_text, present
 
 NUMBER = r"^[+-]?(\d[\d_]*\.?[\d_]*|\.\d[\d_]*)([eE][+-]?\d+)?$"
@@ -91,3 +92,20 @@ def duration(text: str) -> timedelta:
     if seconds > 100 * 366 * 86_400:
         raise ValueError(f'"{text}" is longer than 100 years')
     return timedelta(seconds=seconds)
+
+
+# Funding labels and the stages they stand for.
+FUNDING_STAGES = {"pre-seed": "pre_seed", "pre seed": "pre_seed", "seed": "seed"} | {f"series {c}": f"series_{c}" for c in "abc"} | {f"series {c}": "series_d_plus" for c in "defghij"}
+
+
+def funding_stage(label: Column) -> Column:
+    """The stage that a funding label stands for, null for any other label."""
+    return tx.lookup(FUNDING_STAGES, F.lower(tx.trim(label)))
+
+
+def funding_date(text: Column) -> Column:
+    """A day as YYYY-MM-DD from a day or a time with its zone (in UTC), null from anything else."""
+    t = tx.trim(text)
+    day = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(F.concat(t, F.lit("T00:00:00Z"))))
+    time = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(t))
+    return F.substring(tx.format_time(F.coalesce(day, time)), 1, 10)

@@ -87,3 +87,13 @@ def write_csv(listed: DataFrame, path: str) -> int:
     os.chmod(draft, 0o600)
     os.replace(draft, path)
     return n
+
+
+def mirror(tables: dict[str, DataFrame], folder: str) -> None:
+    """A copy of tables for readers, each replaced whole as CSV below ``folder``; cells are safe text, nested ones JSON.
+
+    The copy takes nothing back: it is written after a commit and may fail without harm to the store.
+    """
+    for name, df in tables.items():
+        plain = [csv_safe(F.coalesce(F.to_json(c) if t.startswith(("map", "array", "struct")) else F.col(c).cast("string"), F.lit(""))).alias(c) for c, t in df.dtypes]
+        df.select(*plain).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")

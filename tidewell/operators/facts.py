@@ -73,6 +73,24 @@ def apply_facts(current: DataFrame, new: DataFrame, origin: str, now: datetime,
     )
 
 
+def answers(current: DataFrame, found: DataFrame, now: datetime) -> DataFrame:
+    """``current`` after look-ups: ``found`` has domain, not_found, fact, value.
+
+    A company that was not found keeps what it has. A fact with a value is written unless the Companies tab says something; one
+    with an empty value is known to be unusable, so what was stored moves to ``previous``; a fact that is not named stays. A
+    fact named ``company.x`` wins over one named ``x``.
+    """
+    f = found.where("NOT not_found AND fact IS NOT NULL").select("domain", F.regexp_replace("fact", "^company\\.", "").alias("fact"), F.startswith("fact", F.lit("company.")).alias("exact"), F.coalesce(tx.trim(F.col("value")), F.lit("")).alias("value"))
+    f = f.where("fact NOT IN ('', 'domain')").groupBy("domain", "fact").agg(F.max_by("value", F.struct("exact", "value")).alias("value"))
+    out = apply_facts(current, f.where("value != ''"), "enrichment", now)
+    gone = f.where("value = ''").select("domain", "fact", F.lit(True).alias("__gone"))
+    j = out.join(gone, ["domain", "fact"], "left")
+    clear = F.coalesce("__gone", F.lit(False)) & F.col("value").isNotNull() & (F.col("origin") != "companies_tab")
+    moved = {f"previous{x}": F.when(clear, F.col(c)).otherwise(F.col(f"previous{x}")) for x, c in (("", "value"), ("_origin", "origin"), ("_at", "at"))}
+    emptied = {c: F.when(~clear, F.col(c)) for c in ("value", "origin", "at")}
+    return j.withColumns({**moved, **emptied}).select(*out.columns)
+
+
 def wide(facts: DataFrame) -> DataFrame:
     """One row a company for the rubric: ``domain, name, region, funding_stage, employees, extra``."""
     m = facts.where("value IS NOT NULL AND value != ''").groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("fact", "value"))).alias("extra"))

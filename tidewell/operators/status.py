@@ -80,12 +80,14 @@ def deal_holds(people: DataFrame, outcomes: DataFrame, pushes: DataFrame, live:
     mine = facts.groupBy("live_id").agg(F.bool_or("open").alias("f_open"), F.max("lost_at").alias("f_lost"))
     at = people.select(F.col("lead_id").alias("live_id"), F.nullif("domain", F.lit("")).alias("domain"))
     company = facts.join(at, "live_id").where("domain IS NOT NULL").groupBy("domain").agg(F.bool_or("open").alias("c_open"), F.max("lost_at").alias("c_lost"))
-    called_c = steps.join(at, "live_id").where("domain IS NOT NULL").groupBy("domain").agg(
-        F.max("called_at").alias("c_called"), F.max(F.when(F.col("lane_id") != except_lane, F.col("called_at"))).alias("c_called_other"), F.array_sort(F.collect_set(F.when(F.col("lane_id") == except_lane, F.struct("called_at", "lead_id")))).alias("c_lane"),
-    )
+    # Of the steps in ``except_lane`` a lead's own does not count: the last one, and the last of another lead than that one's, tell.
+    in_lane = steps.join(at, "live_id").where("domain IS NOT NULL").withColumn("mine", F.col("lane_id") == except_lane)
+    top = in_lane.groupBy("domain").agg(F.max(F.when(~F.col("mine"), F.col("called_at"))).alias("c_called_other"), F.max(F.when(F.col("mine"), F.struct("called_at", "lead_id"))).alias("c_lane"))
+    second = in_lane.where("mine").join(top.select("domain", F.col("c_lane.lead_id").alias("holder")), "domain").where("lead_id != holder").groupBy("domain").agg(F.max("called_at").alias("c_second"))
+    called_c = top.join(second, "domain", "left")
     called_f = steps.where((F.col("lane_id") != except_lane) | (F.col("lead_id") != F.col("live_id"))).groupBy("live_id").agg(F.max("called_at").alias("f_called"))
     j = at.join(mine, "live_id", "left").join(called_f, "live_id", "left").join(company, "domain", "left").join(called_c, "domain", "left")
-    others = F.array_max(F.transform(F.filter("c_lane", lambda s: s["lead_id"] != F.col("live_id")), lambda s: s["called_at"]))
+    others = F.when(F.col("c_lane.lead_id") != F.col("live_id"), F.col("c_lane.called_at")).otherwise(F.col("c_second"))
     lost = F.greatest("f_lost", "c_lost")
     called = F.greatest("f_called", "c_called_other", others)
     deal = F.coalesce(F.col("f_open"), F.lit(False)) | F.coalesce(F.col("c_open"), F.lit(False)) | F.coalesce(called.isNotNull() & (lost.isNull() | (lost <= called)), F.lit(False))

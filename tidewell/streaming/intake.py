@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.operators.events import RAW_SCHEMA, event_key, first_arrivals, normalize_keys, parse_raw
+from tidewell.operators.tables import trim
 from tidewell.sources.event_log import FILE_SCHEMA, raw_frame
+from tidewell.sources.schema import TABLES
+
+#: How long an event's key is remembered.
+MEMORY = TABLES["seen_events"].keep
 
 
 def raw_stream(spark: SparkSession, root: str, files_a_trigger: int = 1_000) -> DataFrame:
@@ -28,14 +33,6 @@ def rejects(raw: DataFrame) -> DataFrame:
     return parse_raw(raw).where("reject IS NOT NULL OR ignored IS NOT NULL").select("seq", "reject", "ignored")
 
 
-def without_redeliveries(events: DataFrame, memory: timedelta = timedelta(days=365)) -> DataFrame:
-    """Each key once within the memory, by arrival: late events keep their effects, only repeats go.
-
-    The state is one key an event for a year; it lives in the state store, sharded by key.
-    """
-    return events.withWatermark("received_at", f"{int(memory.total_seconds())} seconds").dropDuplicatesWithinWatermark(["event_key"])
-
-
 def run_stream(spark: SparkSession, root: str, checkpoint: str, apply_batch: Callable[[DataFrame, int], None], once: bool = True, every: str = "15 minutes", unicode: bool = True) -> StreamingQuery:
     """Feed each batch of new events to ``apply_batch(events, batch_id)``.
 
@@ -54,12 +51,12 @@ def run_stream(spark: SparkSession, root: str, checkpoint: str, apply_batch: Cal
 def apply_to(store, now_of: Callable[[], object], on_new: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
     """An ``apply_batch`` that commits new events' keys and effects together.
 
-    ``on_new(events)`` gives the tables to replace for events that were never seen. Keys and effects are one commit, so a repeat after a failure finds
+    Keys are forgotten after MEMORY. ``on_new(events)`` gives the tables to replace for events that were never seen. Keys and effects are one commit, so a repeat after a failure finds
     either both or neither.
     """
 
     def handle(events: DataFrame, batch_id: int) -> None:
-        seen = store.read("seen_events")
+        seen = trim(store.read("seen_events"), "first_received_at", F.lit(now_of() - MEMORY))
         new = events.join(seen.select("event_key"), "event_key", "left_anti")
         if new.isEmpty():
             return
@@ -76,4 +73,4 @@ def silent_kinds(last: DataFrame, watched: list[str], now, quiet: timedelta = ti
     return w.join(last, "kind", "left").where(F.col("last_received").isNull() | (F.col("last_received") < F.lit(now - quiet)))
 
 
-__all__ = ["RAW_SCHEMA", "apply_to", "keyed_events", "raw_stream", "rejects", "run_stream", "silent_kinds", "without_redeliveries"]
+__all__ = ["RAW_SCHEMA", "apply_to", "keyed_events", "raw_stream", "rejects", "run_stream", "silent_kinds"]
