@@ -94,7 +94,7 @@ def slow_copies(rows, ratio, seed):
 
 
 def test_equals_targets_and_rounding_by_hand(spark):
-    docs = [(k, ["web", "book", "code", None, "zoo"][k * k % 5], "w " * (k * 37 % 90 if k % 11 else 0)) for k in range(400)] + [(900 + k, "tiny", "x") for k in range(4)]
+    docs = [(k, ["web", "book", "code", None, "zoo"][k * 7 % 5], "w " * (k * 37 % 90 if k % 11 else 0)) for k in range(400)] + [(900 + k, "tiny", "x") for k in range(4)]
     got = mix(spark.createDataFrame(docs, "doc_id long, source string, text string"), seed=9).collect()
     names = sorted({s for _, s, _ in docs if s is not None}) + [None]
     sizes = [sum(len(t.split()) for _, s, t in docs if s == n) for n in names]
