@@ -62,6 +62,47 @@ def test_large_near_groups_lose_no_link(spark, block_docs):
     assert rows_of(hm.near_duplicates(df, 3, 85, block_docs=block_docs)) == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("slack", [-1.0, 0.0, 0.17, 1.0])
+def test_no_link_hangs_on_the_estimate(slack):
+    """Whatever the estimate says, from nothing is likely to all is, the same sets are tied."""
+    r = np.random.default_rng(6)
+    sets, want = [], {}
+    for family_ in range(12):
+        base = np.unique(r.integers(0, 2**63, int(r.integers(3, 300)), dtype=np.uint64))
+        for _ in range(int(r.integers(1, 9))):
+            other = np.unique(r.integers(0, 2**63, max(1, len(base) // 9), dtype=np.uint64))
+            sets.append(np.unique(np.concatenate([r.choice(base, max(1, int(len(base) * r.uniform(0.85, 1))), replace=False), other[: int(r.integers(0, len(other) + 1))]])))
+    near = [(i, j) for i, j in combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+    def tied(links):
+        root = list(range(len(sets)))
+        for i, j in links:
+            a, b = root[i], root[j]
+            root = [a if x == b else x for x in root]
+        return [root.index(x) for x in root]
+
+    got = hm.link_group(sets, 80, slack=slack)
+    assert set(got) <= set(near) and tied(got) == tied(near) and len(near) > 20
+    side = np.arange(len(sets)) % 2
+    assert tied(hm.link_group(sets, 80, side=side, slack=slack)) == tied([(i, j) for i, j in near if side[i] != side[j]])
+    label = np.array(tied(near[::2]))
+    assert tied([*near[::2], *hm.link_group(sets, 80, label=label, slack=slack)]) == tied(near)
+
+
+@pytest.mark.parametrize("blocks", [{"block_docs": 30}, {"block_hashes": 2_500}])
+def test_a_large_cluster_with_stragglers(spark, blocks):
+    """Most of a coarse component is near its smallest document; others near each other, or near one of its edge, are found too."""
+    r, base = np.random.default_rng(3), prose(8, 100).split()
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for at in r.integers(0, 100, 2 if i < 200 else int(r.integers(3, 14))):
+            w[at] = f"x{i % 37}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(hm.near_duplicates(df, 3, 85, **blocks)) == brute(rows, 3, 85)
+
+
 def test_no_rows(nothing):
     assert hm.near_duplicates(nothing).count() == 0
 
