@@ -80,6 +80,17 @@ ORACLE_SQL = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM told GROUP BY doc_id""",
+    "op6_hyperminhash": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SPACE}'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                     ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+        n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
+        e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n_shingles + y.n_shingles - c)),
+        u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a)
+        SELECT n.doc_id, n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n_shingles""",
     "op9_warc_zst": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         first AS (SELECT html, min(page_id) AS keep FROM p GROUP BY html),
