@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.functions import text as tx
-from tidewell.storage import materialize
+from tidewell.operators.prefix import running_sums
 
 RECEIVER = "receiver"
 
@@ -70,18 +70,12 @@ def pending(grouped: DataFrame, applied: DataFrame) -> DataFrame:
 def chunk(grouped: DataFrame, most_rows: int, by: Sequence[str] = ("first_ord",)) -> DataFrame:
     """Whole groups in order while their rows stay within ``most_rows``; the first is taken whatever its size.
 
-    Running sums are taken in two steps, within ranges of the order and over the ranges' totals, so no one task
-    sees all groups.
+    No one task sees all groups, see ``running_sums``.
     """
     if not by:
         raise ValueError("the order of the groups is needed")
-    # Written, so that all readers see the same ranges.
-    parts = materialize(grouped.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "chunk")
-    totals = parts.groupBy("__part").agg(F.sum("rows").alias("__n"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    running = Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("__upto", F.col("__before") + F.sum("rows").over(running))
-    return out.where((F.col("__upto") <= most_rows) | (F.col("__upto") == F.col("rows"))).drop("__part", "__before", "__upto")
+    upto = running_sums(grouped, by, ["rows"])
+    return upto.where((F.col("upto_rows") <= most_rows) | (F.col("upto_rows") == F.col("rows"))).drop("upto_rows")
 
 
 def fill_first(rows: DataFrame, key: str, fields: Sequence[str], order: Sequence[str]) -> DataFrame:
