@@ -2,14 +2,37 @@ import re
 from collections import defaultdict
 
 import pytest
-from tidewell.llm.mixing import chance, fill_targets, mix, pivot
+from tidewell.llm.mixing import chance, mix, pivot, targets
 
 
-def test_targets_share_again_what_a_full_source_cannot_take():
-    assert fill_targets([10, 10, 10], [5, 2, 1], 45) == [20, pytest.approx(50 / 3), pytest.approx(25 / 3)]
-    assert fill_targets([1, 100, 100], [5, 2, 1], 301.5)[0] == 2
-    assert sum(fill_targets([7, 0, 90], [5, 2, 1], 1.5 * 97)) == pytest.approx(1.5 * 97)
-    assert fill_targets([], [], 0) == []
+def targets_of(spark, sizes, weights=(5, 2, 1), times=1.5):
+    rows = [(f"s{k:04}", n) for k, n in enumerate(sizes)]
+    got = targets(spark.createDataFrame(rows, "source string, size long"), weights, times, 2.0).collect()
+    return [r["target"] for r in sorted(got, key=lambda r: r["source"])]
+
+
+def test_targets_share_again_what_a_full_source_cannot_take(spark):
+    assert targets_of(spark, [10, 10, 10]) == [20, pytest.approx(50 / 3), pytest.approx(25 / 3)]
+    assert targets_of(spark, [1, 100, 100])[0] == 2
+    assert sum(targets_of(spark, [7, 0, 90])) == pytest.approx(1.5 * 97)
+    assert targets_of(spark, [4, 4], times=3.0) == [8, 8]
+    assert targets_of(spark, []) == []
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    from tidewell.llm import mixing
+    from tidewell.operators import prefix
+
+    monkeypatch.setattr(mixing, "running_sums", lambda df, by, cols: prefix.running_sums(df, by, cols, range_rows=90))
+    sizes = [k * 7919 % 613 if k % 5 else 0 for k in range(700)]
+    want = slow_targets(sizes, [[5, 2, 1][k % 3] for k in range(700)], 1.5 * sum(sizes))
+    assert targets_of(spark, sizes) == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("bad", [{"most": 1.5}, {"weights": (1, 0)}])
+def test_odd_parameters_are_refused(messy, bad):
+    with pytest.raises(ValueError):
+        mix(messy, **bad)
 
 
 def test_pivot_keeps_the_mass():

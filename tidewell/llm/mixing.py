@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
@@ -10,30 +9,36 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidewell.llm.text import WORD, whole
+from tidewell.operators.prefix import running_sums
 from tidewell.storage import materialize
 
 ROWS = "doc_id long, source string, size long, floor int, share double, open boolean, copies int, bucket long"
 
 
-def fill_targets(sizes: Sequence[float], weights: Sequence[float], total: float, most: float = 2.0) -> list[float]:
-    """Targets in proportion to the weights, none above ``most`` times its size.
+def targets(sized: DataFrame, weights: Sequence[float], times: float, most: float) -> DataFrame:
+    """``source, source_size, rows, target`` of each source of (source, size).
 
-    What a source at its limit cannot take is shared again by weight among the others,
-    until none is above. If all are at their limit, the rest of ``total`` is lost.
+    Sources in code point order (null last) weigh ``weights``, repeated, and share ``times`` of all sizes; none gets more than
+    ``most`` times its own, and what it cannot take is shared again by weight among the others. In the order of
+    most * size / weight the full ones come first: a source is full if what is left for it and all behind it,
+    by weight, is as much as it can take. Both orders are running sums, so sources may be as many as rows.
+    If all are full, the rest is lost.
     """
-    target, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(total)
-    while open_:
-        weight = sum(weights[i] for i in sorted(open_))
-        full = {i for i in open_ if weight <= 0 or left * weights[i] / weight >= most * sizes[i]}
-        if not full:
-            for i in open_:
-                target[i] = left * weights[i] / weight
-            break
-        for i in sorted(full):
-            target[i] = most * sizes[i]
-            left -= target[i]
-        open_ -= full
-    return target
+    if min(weights) <= 0:
+        raise ValueError("weights must be above 0")
+    found = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    found = found.withColumns({"last": F.col("source").isNull(), "one": F.lit(1).cast("long")})
+    numbered = running_sums(found, ["last", "source"], ["one"])
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("upto_one") - 1, F.lit(len(weights))) + 1).cast("int"))
+    capped = numbered.withColumns({"weight": weight, "cap": F.col("source_size") * F.lit(float(most))}).withColumn("level", F.col("cap") / F.col("weight"))
+    summed = materialize(running_sums(capped.select("source", "last", "source_size", "rows", "weight", "cap", "level"), ["level", "last", "source"], ["cap", "weight"]), "mix-levels")
+    all_ = summed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    total = times * all_["size"]
+    full = (F.lit(total) - (F.col("upto_cap") - F.col("cap"))) >= F.col("level") * (F.lit(all_["weight"]) - (F.col("upto_weight") - F.col("weight")))
+    taken = summed.where(full).agg(F.coalesce(F.sum("cap"), F.lit(0.0)).alias("cap"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    left = all_["weight"] - taken["weight"]
+    level = (total - taken["cap"]) / left if left > 0 else 0.0
+    return summed.select("source", "source_size", "rows", F.when(full, F.col("cap")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
 def chance(seed: int, *parts: object) -> float:
@@ -102,21 +107,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), times: float = 1.
 
     Returns ``doc_id, size, source_size, target, taken, copies, source`` for every row; ``size`` counts
     words, ``taken`` is ``copies * size``. Sources in code point order (null last) weigh
-    ``weights``, repeated; they share ``times`` of all words, see ``fill_targets``.
+    ``weights``, repeated; they share ``times`` of all words, see ``targets``. ``most`` is a whole number.
 
     A source's copy number is target / size for each of its documents. Its
     whole part is taken; the fractions are rounded in buckets of about ``bucket_rows`` rows,
     and what a bucket leaves open goes up a reduction tree that joins ``fan_in``
     buckets a level, until a source has one row, which is drawn. A bucket depends on
     ids alone, so reruns and other partitionings agree, and a hot source is many buckets.
-    One row a source reaches the driver: a dimension, not data.
+    Targets are worked out in Spark, whatever the number of sources.
 
     Nulls: a null text has size 0 and a null source is a source; rows of size 0 take
     the whole part only. Rows repeating an id are rounded each for itself. No rows
     give no rows; other columns are ignored. ``row_key`` names a column of unique longs, fixed by being written,
     that is returned as well, so that a row finds its own copies where ids repeat or are null; it takes no part in the draw.
     """
-    spark = docs.sparkSession
+    if most != int(most):
+        raise ValueError("most must be a whole number")
     key = [] if row_key is None else [row_key]
     sized = docs.select(
         *(F.col(c).cast("long").alias(c) for c in key),
@@ -125,23 +131,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), times: float = 1.
         F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size"),
     )
     sized = materialize(sized, "mix-sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    targets = fill_targets([r["size"] for r in found], [weights[k % len(weights)] for k in range(len(found))], times * sum(r["size"] for r in found), most)
-    plan = []
-    for r, t in zip(found, targets, strict=True):
-        ratio = t / r["size"] if r["size"] else 0.0
-        floor = min(int(ratio), int(most))
-        share = 0.0 if floor >= most else ratio - floor
-        plan.append((r["source"], r["size"], float(t), floor, share, -(-r["rows"] // bucket_rows)))
-    plan_df = spark.createDataFrame(plan, "plan_source string, source_size long, target double, floor int, share double, buckets long")
-    plan_df = F.broadcast(plan_df) if len(plan) <= 10_000 else plan_df
+    plan = targets(sized, weights, times, most)
+    floor = F.least(F.floor("ratio"), F.lit(int(most))).cast("int")
+    plan = plan.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).select(
+        F.col("source").alias("plan_source"), "source_size", "target", floor.alias("floor"), F.when(floor >= most, 0.0).otherwise(F.col("ratio") - floor).alias("share"), F.ceil(F.col("rows") / bucket_rows).cast("long").alias("buckets")
+    )
+    plan_df = materialize(plan, "mix-plan")
+    told = plan_df.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.max("buckets"), F.lit(1)).alias("buckets")).first()
+    plan_df = F.broadcast(plan_df) if told["sources"] <= 10_000 else plan_df
     same = F.col("source").eqNullSafe(F.col("plan_source"))
     rows = sized.join(plan_df.drop("source_size", "target"), same, "left")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("buckets")))
     rows = rows.select(*key, "doc_id", "source", "size", "floor", "share", F.lit(True).alias("open"), F.lit(0).alias("copies"), "bucket")
     schema = "".join(f"`{c}` long, " for c in key) + ROWS
-    levels = 1 + max([math.ceil(math.log(b, fan_in)) if b > 1 else 0 for *_, b in plan], default=0)
+    levels = 1
+    while fan_in ** (levels - 1) < told["buckets"]:
+        levels += 1
     done = []
     for level in range(levels):
         out = rows.groupBy("source", "bucket").applyInPandas(_round(seed + level, level == levels - 1, key), schema)
