@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.llm.tokens import encoder, stretches
+from tidewell.operators.prefix import running_sums
 from tidewell.storage import delete, materialize
 
 #: Rolling hash over the last 16 ids; a cut where it is small.
@@ -195,25 +196,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, wid
     rows.write.option("compression", "zstd").partitionBy("chunk").parquet(f"{path}/staged")
     staged = spark.read.schema("doc_id long, n_tokens long, recipe binary, digest binary, payload binary, chunk boolean").parquet(f"{path}/staged")
     docs_only = staged.where("NOT chunk").select("doc_id", "n_tokens", "recipe", F.col("digest").alias("root"))
-    ranges = max(1, -(-docs_only.count() // range_docs))
-    docs_only = docs_only.repartitionByRange(ranges, "doc_id", "root").withColumn("range", F.spark_partition_id())
-    docs_only = materialize(docs_only, "recipes")
-    sums = docs_only.groupBy("range").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens")).collect()
-    bases, place, base = [], 0, 0
-    for r in sorted(sums, key=lambda r: r["range"]):
-        bases.append((r["range"], place, base))
-        place, base = place + r["documents"], base + r["tokens"]
-    before = F.broadcast(spark.createDataFrame(bases, "range int, place long, base long"))
-    running = Window.partitionBy("range").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = docs_only.join(before, "range").select(
-        "doc_id",
-        F.floor((F.col("place") + F.count(F.lit(1)).over(running) - 1) / FILE_DOCS).cast("long").alias("file"),
-        "n_tokens",
-        (F.col("base") + F.sum("n_tokens").over(running) - F.col("n_tokens")).alias("start"),
-        "root",
-        "recipe",
-    )
-    ordered.repartitionByRange(ranges, "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    placed = running_sums(docs_only.withColumn("one", F.lit(1).cast("long")), ["doc_id", "root"], ["n_tokens", "one"], range_docs)
+    ordered = placed.select("doc_id", F.floor((F.col("upto_one") - 1) / FILE_DOCS).cast("long").alias("file"), "n_tokens", (F.col("upto_n_tokens") - F.col("n_tokens")).alias("start"), "root", "recipe")
+    ordered = materialize(ordered, "recipes")
+    ordered.repartitionByRange(max(1, -(-ordered.count() // range_docs)), "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _files(recipes(spark, path)).write.parquet(f"{path}/manifest")
 
 
