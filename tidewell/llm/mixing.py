@@ -102,7 +102,7 @@ def _round(seed: int, last: bool, key: Sequence[str] = ()):
     return group
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), times: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 20_000, fan_in: int = 64, row_key: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), times: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 2_000, fan_in: int = 64, row_key: str | None = None) -> DataFrame:
     """How often each document enters a mix of its sources.
 
     Returns ``doc_id, size, source_size, target, taken, copies, source`` for every row; ``size`` counts
