@@ -256,7 +256,7 @@ def _link_large(sets: DataFrame, ties: DataFrame, percent: int, block_hashes: in
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, id_col: str = "doc_id", text_col: str = "text", block_hashes: int = 1_000_000, block_docs: int = 4_000
+    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, id_col: str = "doc_id", text_col: str = "text", block_hashes: int = 1_000_000, block_docs: int = 1_000
 ) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
