@@ -56,6 +56,30 @@ def test_pipeline_stages(spark, small):
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
 
 
+def test_stages_equal_brute_force(spark, small, messy, messy_rows):
+    from tidewell.llm import packing, queries
+
+    from .test_hyperminhash import brute as near
+    from .test_line_dedup import brute as lines
+    from .test_tokens import check_packed, ids_of
+
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs in (small, messy.select(*cols)):
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        out = queries.stage_line_dedup(spark, docs, SF).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == sorted(((i, kept) for i, _, _, kept in lines(rows)), key=repr)
+        assert all(r["n_chars"] == len(r["text"]) for r in out)
+        stay = {i for i, _, _, kept in near(rows, 5, 80) if kept}
+        got = queries.stage_near_dedup(spark, docs, SF).collect()
+        assert sorted((r["doc_id"] for r in got), key=repr) == sorted((i for i, _ in rows if i in stay), key=repr)
+        told = {r["doc_id"] for r in queries.stage_language_id(spark, docs, SF).collect()}
+        assert not told & {i for i, t in rows if i is not None and not any(map(str.isalpha, t or ""))}
+    docs = small.limit(60).coalesce(1)
+    expected = {r["doc_id"]: [*ids_of(r["text"]), 1] for r in docs.collect()}
+    packed = queries.stage_packing(spark, docs, SF).collect()
+    assert check_packed(packed, expected, packing.Limits())[0] < 2048
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 

@@ -112,21 +112,32 @@ ORACLE_SQL = {
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay, with ``lang`` as predicted; und goes."""
+    """Documents in a learned language stay, with ``lang`` as predicted; und goes.
+
+    A row with null or empty text, or without a letter, is und. Null ids and repeated rows are judged each for itself. Where no row has
+    a language to learn from, all go; no rows give no rows.
+    """
     model = language_id.train(docs)
     told = language_id.identify(docs, model).where("lang_pred != 'und' AND score >= 0.5")
     return told.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that three or more of them share, but in the last."""
+    """Documents without the lines that three or more of them share, but in the last.
+
+    All rows stay. A null text becomes empty, a row without an id keeps its lines, rows repeating an id count as one document and
+    lose the same lines; ``n_chars`` is that of the new text.
+    """
     kept = line_dedup.LineIndex.build(docs).apply(docs, min_docs=3)
     kept = kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays: five words, 0.8 or more."""
+    """One document of each component of near-duplicates stays: five words, 0.8 or more.
+
+    Documents without words and rows without an id stay; rows repeating an id stay or go together.
+    """
     gone = hyperminhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -134,7 +145,8 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as many times as the mix takes it, rows with a null or repeated id each for itself.
 
-    Rows are numbered in a written table before the mix, and its copies come back by that number.
+    Rows are numbered in a written table before the mix, and its copies come back by that number. Rows of size 0 are taken by the
+    whole part of their source's copy number only, so a source of empty texts gives none.
     """
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
     copies = mixing.mix(rows, row_key="__row").where("copies > 0").select("__row", "copies")
@@ -142,5 +154,5 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens; a null or empty text is its end id, ids may be null or repeat."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), end_id=1)
