@@ -108,6 +108,25 @@ def test_commits_are_whole_and_readers_keep_theirs(spark, tmp_path):
     assert store.generation() == 2
 
 
+def test_appends_keep_what_is_there_and_drop_what_is_too_old(spark, tmp_path, monkeypatch):
+    from tidewell.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 3)
+    s = Store(spark, str(tmp_path))
+    row = lambda k, days: spark.createDataFrame([(k, NOON + timedelta(days=days), "r")], TABLES["seen_events"].schema)
+    keys = lambda: sorted(r["event_key"] for r in s.read("seen_events").collect())
+    s.commit({"seen_events": row("whole", 0)})
+    s.commit({}, {"seen_events": row("a", 1)}, NOON)
+    s.commit({}, {"seen_events": row("b", 300)}, NOON + timedelta(days=300))
+    assert keys() == ["a", "b", "whole"] and len(s.manifest()["tables"]["seen_events"]) == 3
+    s.commit({}, {"seen_events": row("c", 400)}, NOON + timedelta(days=400))
+    assert keys() == ["b", "c", "whole"]
+    s.commit({}, {"seen_events": row("d", 401)}, NOON + timedelta(days=401))
+    assert keys() == ["b", "c", "d", "whole"] and len(s.manifest()["tables"]["seen_events"]) == 1
+    s.vacuum(1)
+    assert keys() == ["b", "c", "d", "whole"]
+
+
 def test_of_two_writers_one_fails(spark, tmp_path):
     a, b = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
     row = spark.createDataFrame([("k", "v")], TABLES["state"].schema)

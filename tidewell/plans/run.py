@@ -71,7 +71,10 @@ def run(store: Store, rubric_text: str, inputs: Sequence[Input], now: datetime,
     s.t["ranked"] = ranked(s, leads, verdicts, routed)
     keep_lists(s, leads, verdicts, routed, live)
     health(s, raw_events, leads, watched)
-    return store.commit({n: s.t[n].select(*s.spark.createDataFrame([], TABLES[n].schema).columns) for n in TABLES if n not in ("overrides", "applied_overrides", "events", "log", "state", "enrichment_tries", "pushes")})
+    untouched = ("overrides", "applied_overrides", "events", "log", "state", "enrichment_tries", "pushes", "seen_events")
+    writes = {n: s.t[n].select(*s.spark.createDataFrame([], TABLES[n].schema).columns) for n in TABLES if n not in untouched}
+    keys = new.select("event_key", F.lit(now).alias("first_received_at"), F.lit(s.run_id).alias("run_id"))
+    return store.commit(writes, {} if new.isEmpty() else {"seen_events": keys}, now)
 
 
 def take_events(s: State, raw: DataFrame | None) -> DataFrame:
@@ -79,7 +82,6 @@ def take_events(s: State, raw: DataFrame | None) -> DataFrame:
     raw = raw if raw is not None else s.t["events"]
     seen = tables.trim(s.t["seen_events"], "first_received_at", F.lit(s.now - TABLES["seen_events"].keep))
     new = materialize(ev.ordered(ev.first_arrivals(keyed_events(raw, s.unicode), seen), "received_at", "seq"), "run-events")
-    s.t["seen_events"] = seen.unionByName(new.select("event_key", F.lit(s.now).alias("first_received_at"), F.lit(s.run_id).alias("run_id")))
     return new
 
 

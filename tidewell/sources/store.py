@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from collections.abc import Mapping
+from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -61,8 +62,17 @@ class Files:
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+#: Appended parts of a table are written as one again at this number.
+MOST_PARTS = 100
+
+
+def _parts(entry) -> list[list]:
+    """A table's [path, newest time in seconds] in a manifest; a snapshot that was written whole has no time, which is 0."""
+    return [] if entry is None else [[entry, 0]] if isinstance(entry, str) else entry
+
+
 class Store:
-    """Tables of ``schema.TABLES`` as immutable Parquet snapshots.
+    """Tables of ``schema.TABLES`` as immutable Parquet snapshots, or as parts that were appended.
 
     A commit writes all its snapshots first and then one manifest ``manifest-<n>.json`` that may not exist yet. So a reader sees all of a
     commit or nothing, a broken run leaves only unnamed files, and of two writers one fails.
@@ -89,22 +99,40 @@ class Store:
         table = TABLES[name]
         at = self.manifest(generation)["tables"].get(name)
         empty = self.spark.createDataFrame([], table.schema)
-        if at is None:
+        if not _parts(at):
             return empty
-        got = self.spark.read.parquet(f"{self.root}/{at}")
+        got = self.spark.read.option("mergeSchema", len(_parts(at)) > 1).parquet(*(f"{self.root}/{p}" for p, _ in _parts(at)))
         missing = [f for f in empty.schema if f.name not in got.columns]
         return got.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
 
-    def commit(self, writes: Mapping[str, DataFrame]) -> int:
-        """Replace the named tables, all or none; returns the new generation."""
+    def _write(self, name: str, df: DataFrame, generation: int) -> str:
+        if name not in TABLES:
+            raise StoreError(f"unknown table {name}")
+        path = f"{name}/{generation}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
+        return path
+
+    def commit(self, writes: Mapping[str, DataFrame], appends: Mapping[str, DataFrame] | None = None, now: datetime | None = None) -> int:
+        """Replace and append to the named tables, all or none; returns the new generation.
+
+        An append writes only its rows. Of a table whose rows are kept for a time only, parts that are older as a whole are
+        dropped at ``now``; many small parts are written as one again.
+        """
         n = self.generation()
         tables = dict(self.manifest(n)["tables"])
         for name, df in writes.items():
-            if name not in TABLES:
-                raise StoreError(f"unknown table {name}")
-            path = f"{name}/{n + 1}-{uuid.uuid4().hex[:8]}"
-            df.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
-            tables[name] = path
+            tables[name] = self._write(name, df, n + 1)
+        for name, df in (appends or {}).items():
+            path, table = self._write(name, df, n + 1), TABLES.get(name)
+            newest = self.spark.read.parquet(f"{self.root}/{path}").agg(F.unix_seconds(F.max(table.time))).first()[0] if table.time else 0
+            parts = [*_parts(tables.get(name)), [path, newest or 0]]
+            if table.keep and now:
+                oldest = (now - table.keep).timestamp()
+                parts = [p for p in parts if not p[1] or p[1] >= oldest]
+            if len(parts) > MOST_PARTS:
+                whole = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.root}/{p}" for p, _ in parts))
+                parts = [[self._write(name, whole, n + 1), max(t for _, t in parts)]]
+            tables[name] = parts
         if not self.files.write(f"{self.root}/manifest-{n + 1}.json", json.dumps({"version": VERSION, "tables": tables}), overwrite=False):
             raise StoreError("another run has committed meanwhile; nothing of this commit counts")
         return n + 1
@@ -112,7 +140,7 @@ class Store:
     def vacuum(self, keep: int = 3) -> int:
         """Delete snapshots that none of the last ``keep`` commits names; returns how many."""
         n = self.generation()
-        named = {p for g in range(max(1, n - keep + 1), n + 1) for p in self.manifest(g)["tables"].values()}
+        named = {p for g in range(max(1, n - keep + 1), n + 1) for entry in self.manifest(g)["tables"].values() for p, _ in _parts(entry)}
         gone = 0
         for name in TABLES:
             for snap in self.files.names(f"{self.root}/{name}"):

@@ -56,12 +56,13 @@ def apply_to(store, now_of: Callable[[], object], on_new: Callable[[DataFrame],
     """
 
     def handle(events: DataFrame, batch_id: int) -> None:
-        seen = trim(store.read("seen_events"), "first_received_at", F.lit(now_of() - MEMORY))
+        now = now_of()
+        seen = trim(store.read("seen_events"), "first_received_at", F.lit(now - MEMORY))
         new = events.join(seen.select("event_key"), "event_key", "left_anti")
         if new.isEmpty():
             return
-        keys = new.select("event_key", F.lit(now_of()).cast("timestamp").alias("first_received_at"), F.lit(f"batch-{batch_id}").alias("run_id"))
-        store.commit({"seen_events": seen.select(keys.columns).unionByName(keys), **on_new(new)})
+        keys = new.select("event_key", F.lit(now).cast("timestamp").alias("first_received_at"), F.lit(f"batch-{batch_id}").alias("run_id"))
+        store.commit(on_new(new), {"seen_events": keys}, now)
 
     return handle
 
