@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidewell.llm.text import whole
+from tidewell.llm.text import slices, whole
 from tidewell.operators.components import connected_components
 from tidewell.storage import materialize
 
@@ -26,7 +26,7 @@ class _Words(dict):
     """word -> its 64-bit hash as 8 bytes; started anew when it has grown large."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_digest(word)
         return h
@@ -97,7 +97,7 @@ def _signatures(width: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         salt = _mix(np.arange(1, bands + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, keys = [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), words, width)
@@ -182,7 +182,7 @@ def _sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t.as_py(), words, width) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "component", "n", "hashes"]
@@ -207,7 +207,7 @@ def _alike(percent: int):
     """The rows (a, b, hashes of a, hashes of b) that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidewell.llm.text import SPACE_BYTES, whole
+from tidewell.llm.text import SPACE_BYTES, slices, whole
 from tidewell.storage import materialize, work_path
 
 SLOTS = 4
@@ -90,7 +90,7 @@ def _digest(key: bytes) -> bytes:
 
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, digests = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen = set()
@@ -239,7 +239,7 @@ class LineIndex:
 
 def _strip(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept, lines, dropped = [], [], []
             for text, lost in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
                 text, lost = text.as_py() or "", lost.as_py()
