@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.tokens import encoder, stretches
+from tidewell.llm.text import hand_back
+from tidewell.llm.tokens import Encoder, stretches
 
 
 @dataclass(frozen=True)
@@ -110,7 +111,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bin_ = encoder(tokenizer).encode, Bin(limits)
+        encode, bin_ = Encoder(tokenizer).encode, Bin(limits)
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
             for lo, texts in stretches(batch.column(1)):
@@ -137,6 +138,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
                         ],
                         ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "ids"],
                     )
+        del encode  # and the pieces it knows
+        hand_back()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, {_OUT}")
 

@@ -11,7 +11,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm.tokens import encoder, stretches
+from tidewell.llm.text import hand_back
+from tidewell.llm.tokens import Encoder, stretches
 from tidewell.operators.prefix import running_sums
 from tidewell.storage import delete, materialize
 
@@ -112,7 +113,7 @@ def _encode(tokenizer: str, end_id: int, width: int):
     """One row a document with its recipe, and one row a chunk that is new in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = Encoder(tokenizer).encode
         seen: set[bytes] = set()
         for batch in batches:
             for lo, texts in stretches(batch.column(1)):
@@ -153,6 +154,8 @@ def _encode(tokenizer: str, end_id: int, width: int):
                     ],
                     ["doc_id", "n_tokens", "recipe", "digest", "payload"],
                 )
+        del encode  # and the pieces it knows
+        hand_back()
 
     return run
 

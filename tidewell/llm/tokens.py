@@ -86,6 +86,14 @@ class _Pieces(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """The library's tokenizer, loaded once a process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """Ids of whole texts, each with an end id behind it.
 
@@ -96,9 +104,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, most: int = 250_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = re.compile("|".join(map(re.escape, contents))) if contents else None
         self.known = _Pieces(self.tokenizer.model.tokenize, most)
@@ -153,9 +159,3 @@ def stretches(texts: pa.Array, most_chars: int = 3_000_000) -> Iterator[tuple[in
         size += n
     if held:
         yield first, held
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The process's own encoder, kept with the pieces it knows from one task to the next."""
-    return Encoder(path)
