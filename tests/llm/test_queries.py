@@ -21,7 +21,7 @@ def test_ten_queries_and_the_pipeline_are_registered():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op3_line_dedup", "op6_hyperminhash", "op9_warc_zst", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op6_hyperminhash", "op9_warc_zst", "op10_exact_dedup", "op11_prefix_shards"])
 def test_oracles(spark, name):
     e = entry()
     con = duckdb.connect()

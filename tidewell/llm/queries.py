@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import exact_dedup, hyperminhash, kneser_ney, language_id, line_dedup, mixing, packing, pstable_ann, token_store, warc_zst
+from tidewell.llm import exact_dedup, hyperminhash, kneser_ney, language_id, line_dedup, mixing, packing, pstable_ann, sharding, token_store, warc_zst
 from tidewell.llm.text import documents
 from tidewell.storage import materialize, work_path
 
@@ -61,15 +61,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir), shards=40)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_store, op2_kneser_ney, op3_line_dedup, op4_language_id, op5_mixing, op6_hyperminhash, op7_multiprobe_ann, op8_vector_packing, op9_warc_zst, op10_exact_dedup)
+    for f in (op1_token_store, op2_kneser_ney, op3_line_dedup, op4_language_id, op5_mixing, op6_hyperminhash, op7_multiprobe_ann, op8_vector_packing, op9_warc_zst, op10_exact_dedup, op11_prefix_shards)
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+def _crc_table() -> list[int]:
+    """The remainders of all bytes by the polynomial of crc32."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1
+        out.append(n)
+    return out
+
+
+def _crc_sql(bytes_: str) -> str:
+    """DuckDB's crc32 of a list of byte values."""
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])))"
+
+
 #: DuckDB SQL over whole tables, where SQL can say it.
 ORACLE_SQL = {
     "op3_line_dedup": rf"""
@@ -105,6 +124,13 @@ ORACLE_SQL = {
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
+    "op11_prefix_shards": f"""
+        WITH b AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+        s AS (SELECT doc_id, size, {_crc_sql("bytes")} AS text_crc32 FROM b),
+        o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)::HUGEINT AS upto, sum(size) OVER ()::HUGEINT AS total FROM s),
+        p AS (SELECT *, least((2 * upto - size) * 40 // (2 * total), 39)::INT AS shard FROM o)
+        SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, NULL::INT AS grown_shard
+        FROM p""",
 }
 
 
