@@ -18,14 +18,14 @@ def entry():
 
 def test_ten_queries_and_the_pipeline_are_registered():
     names = set(entry().queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in (*range(1, 12), 13)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op3_line_dedup", "op6_hyperminhash", "op9_warc_zst", "op10_exact_dedup", "op11_prefix_shards"])
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op6_hyperminhash", "op9_warc_zst", "op10_exact_dedup", "op11_prefix_shards", "op13_hirschberg_repair"])
 def test_oracles(spark, name):
     e = entry()
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = e.queries()[name](spark, SF)
     want = con.execute(e.oracle_sql()[name])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import exact_dedup, hyperminhash, kneser_ney, language_id, line_dedup, mixing, packing, pstable_ann, sharding, token_store, warc_zst
+from tidewell.llm import exact_dedup, hyperminhash, kneser_ney, language_id, line_dedup, mixing, packing, pstable_ann, sharding, token_store, turn_repair, warc_zst
 from tidewell.llm.text import documents
 from tidewell.storage import materialize, work_path
 
@@ -65,9 +65,13 @@ def op11_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), shards=40)
 
 
+def op13_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"), damaged=True)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_store, op2_kneser_ney, op3_line_dedup, op4_language_id, op5_mixing, op6_hyperminhash, op7_multiprobe_ann, op8_vector_packing, op9_warc_zst, op10_exact_dedup, op11_prefix_shards)
+    for f in (op1_token_store, op2_kneser_ney, op3_line_dedup, op4_language_id, op5_mixing, op6_hyperminhash, op7_multiprobe_ann, op8_vector_packing, op9_warc_zst, op10_exact_dedup, op11_prefix_shards, op13_hirschberg_repair)
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -89,6 +93,12 @@ def _crc_sql(bytes_: str) -> str:
     return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])))"
 
 
+def _steps_sql() -> str:
+    """What a row can become, in SQL: kind of role, fault, state, next state, cost, edits."""
+    rows = [(c // 3, c % 3, a, z, *way) for c, table in enumerate(turn_repair.ROW) for a, row in enumerate(table) for z, way in enumerate(row) if way]
+    return ", ".join(map(str, rows))
+
+
 #: DuckDB SQL over whole tables, where SQL can say it.
 ORACLE_SQL = {
     "op3_line_dedup": rf"""
@@ -131,6 +141,32 @@ ORACLE_SQL = {
         p AS (SELECT *, least((2 * upto - size) * 40 // (2 * total), 39)::INT AS shard FROM o)
         SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, NULL::INT AS grown_shard
         FROM p""",
+    "op13_hirschberg_repair": rf"""
+        WITH RECURSIVE steps(kind, weight, state, next, cost, edits) AS (VALUES {_steps_sql()}),
+        c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        h AS (SELECT *, {_crc_sql("list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)")} % 20 AS d FROM c),
+        g AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE d <> 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM g),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+                     role[1] || lead(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS pair FROM n),
+        t AS (SELECT conv_id, pos, CASE role[1] WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS kind, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 1 ELSE 2 END AS weight FROM f),
+        s AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS pos FROM f GROUP BY conv_id),
+        w AS (SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS state, {{'cost': 0, 'audit': ''}} AS way FROM t
+              UNION ALL
+              SELECT t.conv_id, t.pos, x.next, min({{'cost': w.way.cost + x.cost, 'audit': w.way.audit || x.edits}})
+              FROM w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos + 1 JOIN steps x ON x.kind = t.kind AND x.weight = t.weight AND x.state = w.state GROUP BY 1, 2, 3),
+        b AS (SELECT s.*, best.cost, best.audit FROM s JOIN (SELECT w.conv_id, min({{'cost': w.way.cost + [0, 4, 2, 0][w.state + 1], 'audit': w.way.audit || ['', 'II', 'I', ''][w.state + 1]}}) AS best
+              FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.pos = w.pos GROUP BY w.conv_id) v ON v.conv_id IS NOT DISTINCT FROM s.conv_id),
+        e AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS i, audit FROM b),
+        m AS (SELECT *, audit[i] AS edit, length(replace(audit[1:i], 'I', '')) AS pos, length(replace(audit[i + 1:], 'D', '')) AS behind FROM e),
+        r AS (SELECT m.conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN f.role WHEN behind % 2 = 0 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY i)) AS sha
+              FROM m LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.pos = m.pos WHERE edit <> 'D' GROUP BY m.conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
 
 
