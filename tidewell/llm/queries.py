@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import exact_dedup, hyperminhash, kneser_ney, language_id, line_dedup, mixing, packing, pstable_ann, sharding, token_store, turn_repair, warc_zst
+from tidewell.llm import exact_dedup, hyperminhash, kneser_ney, language_id, line_dedup, mixing, packing, pstable_ann, sharding, token_alignment, token_store, turn_repair, warc_zst
 from tidewell.llm.text import documents
 from tidewell.storage import materialize, work_path
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +66,19 @@ def op11_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), shards=40)
 
 
+def op12_perfect_hash_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = token_alignment.align_corpus(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return made.documents().select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 def op13_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"), damaged=True)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_store, op2_kneser_ney, op3_line_dedup, op4_language_id, op5_mixing, op6_hyperminhash, op7_multiprobe_ann, op8_vector_packing, op9_warc_zst, op10_exact_dedup, op11_prefix_shards, op13_hirschberg_repair)
+    for f in (op1_token_store, op2_kneser_ney, op3_line_dedup, op4_language_id, op5_mixing, op6_hyperminhash, op7_multiprobe_ann, op8_vector_packing, op9_warc_zst, op10_exact_dedup, op11_prefix_shards, op12_perfect_hash_alignment, op13_hirschberg_repair)
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
