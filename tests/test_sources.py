@@ -65,6 +65,17 @@ def test_bodies_are_stored_bounded():
     assert json.loads(long)["event"] == "email_sent"
 
 
+def test_stored_bodies_hold_no_secret(spark, tmp_path):
+    sent = {"event": "email_sent", "Secret": "k", "deep": [{"SECRET": 1, "note": "it is hunter22, yes", "hunter22": 2}], "n": 1.50}
+    kept = json.loads(store_body(json.dumps(sent), ["hunter22", ""], ["secret"]))
+    assert kept == {"event": "email_sent", "deep": [{"note": "it is [hidden], yes", "[hidden]": 2}], "n": 1.5}
+    as_it_came = '{"event":  "email_sent", "n": 1.50}'
+    assert store_body(as_it_came, ["hunter22"], ["secret"]) == as_it_came
+    EventLog(str(tmp_path), ["hunter22"]).append([("apollo_reply", json.dumps(sent))], NOON)
+    body = EventLog(str(tmp_path)).read(spark).first()["body"]
+    assert "hunter22" not in body and "ecret" not in body
+
+
 def test_stream_applies_each_event_once(spark, tmp_path):
     log, store = EventLog(str(tmp_path / "log")), Store(spark, str(tmp_path / "store"))
     apply = intake.apply_to(store, lambda: NOON, lambda new: {})

@@ -7,7 +7,7 @@ Unicode normal form; pass ``unicode=False`` where the input is known to be compo
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -15,7 +15,7 @@ from pyspark.sql import Column, functions as F, types as T
 # White space as Unicode has it.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-# Providers of personal mailboxes, whose domain names no company.
+# Providers of personal mailboxes, whose domain names no company. A set in the order of the alphabet, which has no meaning.
 PERSONAL_PROVIDERS = (
     "126.com", "163.com", "aol.com", "fastmail.com", "gmail.com", "gmx.com", "gmx.net", "googlemail.com",
     "hey.com", "hotmail.co.uk", "hotmail.com", "icloud.com", "live.com", "mac.com", "mail.com", "me.com",
@@ -247,22 +247,46 @@ def clip(text: str, most: int = 500) -> str:
     return text.encode()[:most].decode(errors="ignore")
 
 
-# Shapes of keys and tokens.
-SECRETS = (
-    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----",
-    r"(?i)\bBearer\s+\S+",
-    r"\bAIza[0-9A-Za-z_\-]{20,}",
-    r"\bya29\.\S+",
-    r"\bgh[ops]_[A-Za-z0-9]+",
-    r"\bsk-[A-Za-z0-9_-]+",
-    r"\bxox[abp]-\S+",
-    r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
-)
-
-
-def redact(text: Column) -> Column:
-    """For logs: keys and tokens hidden, of an email its first character and host kept, home folders as ~."""
-    for p in SECRETS:
-        text = F.regexp_replace(text, p, "[hidden]")
-    text = F.regexp_replace(text, r"([a-zA-Z0-9])[a-zA-Z0-9._%+\-]*@([a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})", "$1***@$2")
-    return F.regexp_replace(text, r"/(Users|home)/[^/]+/", "~/")
+# How issuers say, in their public documentation, that their keys begin; what follows is letters, digits and joining signs.
+KEY_PREFIXES = {
+    "Amazon": ("AKIA", "ASIA"),
+    "GitHub": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),
+    "GitLab": ("glpat-",),
+    "Google": ("AIza", "ya29.", "GOCSPX-"),
+    "HubSpot": ("pat-",),
+    "OpenAI": ("sk-",),
+    "Slack": ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "xapp-"),
+    "Stripe": ("sk_live_", "sk_test_", "rk_live_", "whsec_"),
+}
+HIDDEN = "[hidden]"
+#: HubSpot's prefix is a word too: its tokens go on with a region and a UUID.
+_AFTER = {"pat-": r"[a-z]{2,}\d*-\p{XDigit}{8}(?:-\p{XDigit}{4}){3}-\p{XDigit}{12}"}
+
+
+def _key_shapes() -> str:
+    """One pattern for keys that tell themselves by their first letters, at the start of a word."""
+    ways = ["\\Q" + p + "\\E" + _AFTER.get(p, r"[\w.\-]{4,}") for found in KEY_PREFIXES.values() for p in found]
+    return r"(?<![\w-])(?:" + "|".join(ways) + ")"
+
+
+def _armored() -> str:
+    """A private key in text armor, from its first line through its last, or through the end of a text that was cut off."""
+    kind, dashes = r"[^-\r\n]*PRIVATE KEY[^-\r\n]*", "-{5}"
+    return f"(?s){dashes}BEGIN {kind}{dashes}.*?(?:{dashes}END {kind}{dashes}|\\z)"
+
+
+def redact(text: Column, secrets: Iterable[str] = ()) -> Column:
+    """For logs and stored reports: what opens a door is hidden, a person's address shortened, a home folder shown as ``~``.
+
+    Hidden are the given ``secrets`` wherever they stand, whole private keys, what follows an authorization scheme (Bearer, Basic), signed
+    web tokens (three base64url parts of which the first two are JSON objects) and keys of KEY_PREFIXES. Of an address the
+    first character and the host are kept. Null stays null.
+    """
+    for s in sorted({s for s in secrets if s}, key=len, reverse=True):
+        text = F.replace(text, F.lit(s), F.lit(HIDDEN))
+    part = r"[\w-]+"
+    token = rf"(?<![\w.-])eyJ{part}\.eyJ{part}\.{part}"
+    for shape in (_armored(), r"(?i)(?<=\b(?:Bearer|Basic) {1,8})(?!\[)[^\s\"',;]+", token, _key_shapes()):
+        text = F.regexp_replace(text, shape, HIDDEN)
+    text = F.regexp_replace(text, r"(?U)([^\s@<>()\[\],;:\"'])[^\s@<>()\[\],;:\"']*+@((?:[\w-]+\.)+\w{2,})", "$1***@$2")
+    return F.regexp_replace(text, r"/(?:home|Users)/[^/\s:]+", "~")

@@ -95,7 +95,12 @@ def duration(text: str) -> timedelta:
 
 
 # Funding labels and the stages they stand for.
-FUNDING_STAGES = {"pre-seed": "pre_seed", "pre seed": "pre_seed", "seed": "seed"} | {f"series {c}": f"series_{c}" for c in "abc"} | {f"series {c}": "series_d_plus" for c in "defghij"}
+FUNDING_STAGES = {
+    "pre-seed": "pre_seed", "pre seed": "pre_seed", "seed": "seed",
+    "series a": "series_a", "series b": "series_b", "series c": "series_c",
+    "series d": "series_d_plus", "series e": "series_d_plus", "series f": "series_d_plus", "series g": "series_d_plus",
+    "series h": "series_d_plus", "series i": "series_d_plus", "series j": "series_d_plus",
+}
 
 
 def funding_stage(label: Column) -> Column:

@@ -22,13 +22,13 @@ def do_not_contact_reason(cold_lanes: list[str]) -> Column:
     cold_match = F.try_element_at(F.filter("lanes", lambda x: x.isin(*cold_lanes)), F.lit(1)) if cold_lanes else F.lit(None).cast("string")
     return (
         F.when(blocked_reason().isNotNull(), blocked_reason())
-        .when(F.coalesce("deal", F.lit(False)), F.lit("the company has an open or won deal"))
-        .when(blocks_cold(F.col("status")), F.concat(F.lit("status "), "status"))
-        .when(blocks_cold(F.col("manual_status")), F.concat(F.lit("manual status "), "manual_status"))
-        .when(F.col("contacted_at").isNotNull(), F.lit("already contacted"))
-        .when(F.col("cold_held").isNotNull(), F.concat(F.lit("already cold-pushed in lane "), "cold_held"))
-        .when(F.col("cold_open").isNotNull(), F.concat(F.lit("an open cold push in lane "), "cold_open"))
-        .when(cold_match.isNotNull(), F.concat(F.lit("matches cold lane "), cold_match))
+        .when(F.coalesce("deal", F.lit(False)), F.lit("a deal at the company is running or won"))
+        .when(blocks_cold(F.col("status")), F.concat(F.lit("stands at "), "status"))
+        .when(blocks_cold(F.col("manual_status")), F.concat(F.lit("set by hand to "), "manual_status"))
+        .when(F.col("contacted_at").isNotNull(), F.lit("was written to before"))
+        .when(F.col("cold_held").isNotNull(), F.concat(F.lit("cold outreach went out in lane "), "cold_held"))
+        .when(F.col("cold_open").isNotNull(), F.concat(F.lit("cold outreach is due in lane "), "cold_open"))
+        .when(cold_match.isNotNull(), F.concat(F.lit("is for cold lane "), cold_match))
     )
 
 

@@ -122,9 +122,9 @@ def repair_ledger(pushes: DataFrame, people: DataFrame, lanes: DataFrame, run_id
     cold = F.when((F.col("__kind") == "cold"), F.lit("cold")).otherwise(F.col("lane_kind"))
     waits = F.col("state") == "pending"
     error = (
-        F.when(waits & F.col("__into").isNotNull() & uncalled, F.lit("the lead was merged into another lead"))
-        .when(waits & F.col("__kind").isNull(), F.lit("the lane was removed from the rubric"))
-        .when(waits & (F.col("__dest") != F.col("dest")) & ~uncalled, F.lit("the lane's destination changed after the step was called"))
+        F.when(waits & F.col("__into").isNotNull() & uncalled, F.lit("this lead became part of another"))
+        .when(waits & F.col("__kind").isNull(), F.lit("there is no such lane any more"))
+        .when(waits & (F.col("__dest") != F.col("dest")) & ~uncalled, F.lit("called already, and the lane now leads elsewhere"))
     )
     dest = F.when(waits & error.isNull() & (F.col("__dest") != F.col("dest")), F.col("__dest")).otherwise(F.col("dest"))
     changed = broken | error.isNotNull() | ~dest.eqNullSafe(F.col("dest")) | ~cold.eqNullSafe(F.col("lane_kind"))

@@ -277,6 +277,7 @@ def health(s: State, raw: DataFrame | None, leads: DataFrame, watched: Sequence[
         last = s.t["seen_events"].sparkSession.createDataFrame([], "kind string, last_received timestamp")
         got = ev.last_received(ev.parse_raw(raw).where("kind IS NOT NULL"), s.now)
         found = found.unionByName(row(silent_kinds(last.unionByName(got), list(watched), s.now), "silent", "kind", F.when(F.col("last_received").isNull(), "never").otherwise(tx.format_time(F.col("last_received")))))
+    found = found.withColumn("value", tx.redact(F.col("value")))  # errors of vendors and bodies may quote what must not be shown
     old = s.t["health"].select("kind", "key", F.col("value").alias("was"), "first_seen_at", F.col("updated_at").alias("then"))
     j = found.join(old, ["kind", "key"], "left")
     s.t["health"] = j.select("kind", "key", "value", F.coalesce("first_seen_at", F.lit(s.now)).alias("first_seen_at"), F.when(F.col("was").eqNullSafe(F.col("value")), F.coalesce("then", F.lit(s.now))).otherwise(F.lit(s.now)).alias("updated_at"))

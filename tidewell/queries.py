@@ -742,8 +742,8 @@ def pushes_today(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {_OUTCOMES_SQL}, s AS (SELECT c_custkey, c_nationkey, unsub, reply, contacted, CASE WHEN unsub IS NOT NULL THEN 'unsubscribed' WHEN c_custkey % 20 = 0 AND c_custkey % 40 <> 0 THEN 'blocked' WHEN c_custkey % 40 = 0 THEN 'replied_negative'
            WHEN c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey = 7 AND EXISTS (SELECT 1 FROM o WHERE lead_id = '7')) THEN 'deal' WHEN reply IS NOT NULL THEN reply WHEN contacted IS NOT NULL THEN 'contacted' ELSE 'new' END AS status,
            c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey = 7 AND EXISTS (SELECT 1 FROM o WHERE lead_id = '7')) AS deal FROM customer LEFT JOIN o ON o.lead_id = c_custkey::VARCHAR)
-    SELECT c_custkey::VARCHAR AS lead_id, CASE WHEN unsub IS NOT NULL THEN 'unsubscribed' WHEN c_custkey % 20 = 0 AND c_custkey % 40 <> 0 THEN 'blocked in Overrides: conflicting status rows 1, 2' WHEN status = 'blocked' THEN 'blocked in Overrides'
-           WHEN deal THEN 'the company has an open or won deal' WHEN status LIKE 'replied%' THEN 'status ' || status WHEN contacted IS NOT NULL THEN 'already contacted' WHEN c_custkey % 3 = 0 THEN 'matches cold lane cold-any' END AS why FROM s""")
+    SELECT c_custkey::VARCHAR AS lead_id, CASE WHEN unsub IS NOT NULL THEN 'has opted out' WHEN c_custkey % 20 = 0 AND c_custkey % 40 <> 0 THEN 'held back by hand: conflicting status rows 1, 2' WHEN status = 'blocked' THEN 'held back by hand'
+           WHEN deal THEN 'a deal at the company is running or won' WHEN status LIKE 'replied%' THEN 'stands at ' || status WHEN contacted IS NOT NULL THEN 'was written to before' WHEN c_custkey % 3 = 0 THEN 'is for cold lane cold-any' END AS why FROM s""")
 def do_not_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _statuses(spark, sf_dir).withColumns({"duplicate": F.lit(False), "blocked": F.lit(None).cast("string"), "cold_held": F.lit(None).cast("string"), "cold_open": F.lit(None).cast("string"), "lanes": F.when(F.col("lead_id").cast("long") % 3 == 0, F.array(F.lit("list"), F.lit("cold-any"))).otherwise(F.array(F.lit("list")))})
     return s.select("lead_id", export.do_not_contact_reason(["cold-rich", "cold-any"]).alias("why"))

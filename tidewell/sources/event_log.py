@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewell.functions.text import HIDDEN
 from tidewell.operators.events import RAW_SCHEMA
 
 FILE_SCHEMA = RAW_SCHEMA.replace("received_at timestamp", "received_at string")
@@ -26,8 +27,8 @@ class EventLog:
     The writer is one process, as the receiver is; readers are Spark jobs and streams.
     """
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, secrets: Iterable[str] = (), secret_fields: Iterable[str] = ("secret",)):
+        self.root, self.secrets, self.secret_fields = root, tuple(secrets), tuple(secret_fields)
 
     def last_seq(self) -> int:
         """The last number used, from the file names alone."""
@@ -45,7 +46,7 @@ class EventLog:
         rows = []
         for kind, body in bodies:
             seq += 1
-            rows.append({"seq": seq, "received_at": received.strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z", "kind": kind, "body": store_body(body)})
+            rows.append({"seq": seq, "received_at": received.strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z", "kind": kind, "body": store_body(body, self.secrets, self.secret_fields)})
         if not rows:
             return []
         text = "\n".join(json.dumps(r, ensure_ascii=False) for r in rows) + "\n"
@@ -86,9 +87,23 @@ class EventLog:
         return gone
 
 
-def store_body(body: str) -> str:
+def _scrubbed(value, secrets: Sequence[str], fields: frozenset[str]):
+    """A JSON value without the named fields, at any depth, and with secrets hidden in its texts and names."""
+    if isinstance(value, str):
+        for s in secrets:
+            value = value.replace(s, HIDDEN)
+        return value
+    if isinstance(value, dict):
+        return {_scrubbed(k, secrets, fields): _scrubbed(v, secrets, fields) for k, v in value.items() if k.lower() not in fields}
+    if isinstance(value, list):
+        return [_scrubbed(v, secrets, fields) for v in value]
+    return value
+
+
+def store_body(body: str, secrets: Iterable[str] = (), secret_fields: Iterable[str] = ()) -> str:
     """A body as it is stored: JSON as it came, anything else marked.
 
+    Fields named in ``secret_fields`` (in any case, at any depth) are left out and ``secrets`` hidden in all texts; a body with neither stays as it came.
     One above MAX_BODY loses its lists, then long texts their tails, then whole fields, the longest first, until it fits;
     what is stored is JSON always.
     """
@@ -98,6 +113,10 @@ def store_body(body: str) -> str:
         got = None
     if not isinstance(got, dict):
         return json.dumps({"__not_json": True})
+    hide = sorted({s for s in secrets if s}, key=len, reverse=True)
+    clean = _scrubbed(got, hide, frozenset(f.lower() for f in secret_fields))
+    if clean != got:
+        got, body = clean, json.dumps(clean)
     if len(body) <= MAX_BODY:
         return body
     short = {k: v[:1_000] if isinstance(v, str) else v for k, v in got.items() if not isinstance(v, list)}
