@@ -28,7 +28,7 @@ VECTOR = "bucket int, part int, counts binary"
 class PlainEncoder(tokens.Encoder):
     """Ids in which the strings of special tokens are plain text."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 50_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -352,7 +352,7 @@ class Alignment:
         return self.ids.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
 
 
-def align_corpus(docs: DataFrame, path_a: str, path_b: str, bucket_keys: int = 65_536, slice_keys: int = 16_000_000, fan: int = 16, most_chars: int = 1_000_000) -> Alignment:
+def align_corpus(docs: DataFrame, path_a: str, path_b: str, bucket_keys: int = 65_536, slice_keys: int = 16_000_000, fan: int = 16, most_chars: int = 400_000) -> Alignment:
     """Encode all texts of ``docs`` with both tokenizers, link tokens that end together, and count each pair of ids over the corpus.
 
     The ids are written once, and every later look at a document aligns it again from them. Different pairs are told apart within tasks first and
