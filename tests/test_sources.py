@@ -8,7 +8,7 @@ from tidewell.sources.event_log import MAX_BODY, EventLog, LogShrank, store_body
 from tidewell.sources.registry import Registry
 from tidewell.sources.schema import TABLES
 from tidewell.sources.store import Store, StoreError
-from tidewell.streaming import intake
+from tidewell.streaming import intake, stateful
 
 NOON = datetime(2024, 3, 1, 12, tzinfo=UTC)
 
@@ -78,8 +78,8 @@ def test_stored_bodies_hold_no_secret(spark, tmp_path):
 
 def test_stream_applies_each_event_once(spark, tmp_path):
     log, store = EventLog(str(tmp_path / "log")), Store(spark, str(tmp_path / "store"))
-    apply = intake.apply_to(store, lambda: NOON, lambda new: {})
-    batches = []
+    batches, effects = [], []
+    apply = intake.apply_to(store, lambda: NOON, lambda new: effects.append(sorted(r["email"] for r in new.collect())) or {})
 
     def counted(events, batch_id):
         batches.append(events.count())
@@ -87,14 +87,14 @@ def test_stream_applies_each_event_once(spark, tmp_path):
         apply(events, batch_id)  # a batch may be given again
 
     def run():
-        intake.run_stream(spark, str(tmp_path / "log"), str(tmp_path / "cursor"), counted, unicode=False).awaitTermination(120)
+        stateful.finish(intake.run_stream(spark, str(tmp_path / "log"), str(tmp_path / "cursor"), counted, unicode=False), 120)
 
     log.append([reply("a@x.example"), reply("A@x.example "), reply("b@x.example", "email_opened")], NOON)
     run()
-    log.append([reply("a@x.example"), reply("c@x.example")], NOON)
+    log.append([reply("a@x.example"), reply("c@x.example")], NOON + timedelta(hours=1))
     run()
-    assert batches == [1, 2]
-    assert store.read("seen_events").count() == 2
+    assert [n for n in batches if n] == [1, 1] and effects == [["a@x.example"], ["c@x.example"]]
+    assert store.read("state").where("key = 'batch-of-events'").count() == 1
 
 
 def test_silent_kinds(spark):

@@ -16,6 +16,8 @@ from tidewell.functions.values import typed
 from tidewell.operators import detectors, events as ev, export, facts, identity, routing, rows, status, tables
 from tidewell.plans.evaluate import company_state, evaluate
 from tidewell.plans.rubric import Detector, compile_rubric
+from tidewell.storage import work_path
+from tidewell.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(2024, 1, 31, tzinfo=UTC)
@@ -37,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table read as a stream of its files."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def domain(key: str) -> Column:
     return F.concat(F.lit("n"), F.col(key).cast("string"), F.lit(".example"))
 
@@ -395,6 +402,29 @@ def count_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.window_counts(user_events(spark, sf_dir), "lead_id", specs, NOW)
 
 
+@query("""
+    WITH d(detector, pattern, length, least) AS (VALUES ('buys', 'purchase', INTERVAL 14 DAY, 2), ('views', 'v%', INTERVAL 7 DAY, 3)),
+    e AS (SELECT user_id::VARCHAR AS subject, detector, ts, length, CASE least WHEN 2 THEN lag(ts, 1) OVER w ELSE lag(ts, 2) OVER w END AS oldest FROM events JOIN d ON lower(event_type) LIKE pattern WINDOW w AS (PARTITION BY user_id, detector ORDER BY ts)),
+    i AS (SELECT subject, detector, ts, oldest + length AS stop FROM e WHERE oldest > ts - length),
+    n AS (SELECT *, lag(stop) OVER w AS stop_before, lead(ts) OVER w AS ts_after FROM i WINDOW w AS (PARTITION BY subject, detector ORDER BY ts, stop)),
+    c AS (SELECT subject, detector, true AS "on", ts AS at FROM n WHERE stop_before IS NULL OR stop_before < ts UNION ALL SELECT subject, detector, false, stop FROM n WHERE ts_after IS NULL OR ts_after > stop)
+    SELECT subject, detector, "on", epoch_us(at) AS at_us FROM c WHERE at <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_window_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = [Detector("buys", "count_in_window", event="Purchase", window=timedelta(days=14), min=2), Detector("views", "count_in_window", event="v*", window=timedelta(days=7), min=3)]
+    e = stream(spark, sf_dir, "events").select(F.col("user_id").alias("lead_id"), F.col("event_type").alias("kind"), utc("ts").alias("at"))
+    path = work_path(spark, "window-changes")
+    stateful.to_table(stateful.window_changes(e, "lead_id", specs), f"{path}/rows", f"{path}/checkpoint")
+    return stateful.read_table(spark, f"{path}/rows", stateful.CHANGES).select("subject", "detector", "on", F.unix_micros("at").alias("at_us"))
+
+
+@query("SELECT DISTINCT user_id || '|' || event_type AS event_key FROM events")
+def stream_once_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = stream(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("event_key"), utc("ts").alias("received_at"))
+    path = work_path(spark, "once-by-key")
+    stateful.to_table(stateful.once_by_key(e, timedelta(days=365)), f"{path}/rows", f"{path}/checkpoint")
+    return stateful.read_table(spark, f"{path}/rows", "event_key string, received_at timestamp").select("event_key")
+
+
 @query("SELECT user_id::VARCHAR AS lead_id, coalesce(min(ts) FILTER (WHERE event_type = 'signup') > TIMESTAMP '2024-01-24' AND min(ts) FILTER (WHERE event_type = 'signup') <= TIMESTAMP '2024-01-31', false) AS d_new FROM events GROUP BY user_id")
 def first_seen_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = detectors.first_seen(user_events(spark, sf_dir), "lead_id")

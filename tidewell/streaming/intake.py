@@ -8,10 +8,10 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewell.operators.events import RAW_SCHEMA, event_key, first_arrivals, normalize_keys, parse_raw
-from tidewell.operators.tables import trim
+from tidewell.operators.events import RAW_SCHEMA, event_key, normalize_keys, parse_raw
 from tidewell.sources.event_log import FILE_SCHEMA, raw_frame
 from tidewell.sources.schema import TABLES
+from tidewell.streaming.stateful import once_by_key
 
 #: How long an event's key is remembered.
 MEMORY = TABLES["seen_events"].keep
@@ -33,36 +33,36 @@ def rejects(raw: DataFrame) -> DataFrame:
     return parse_raw(raw).where("reject IS NOT NULL OR ignored IS NOT NULL").select("seq", "reject", "ignored")
 
 
-def run_stream(spark: SparkSession, root: str, checkpoint: str, apply_batch: Callable[[DataFrame, int], None], once: bool = True, every: str = "15 minutes", unicode: bool = True) -> StreamingQuery:
-    """Feed each batch of new events to ``apply_batch(events, batch_id)``.
+def run_stream(spark: SparkSession, root: str, checkpoint: str, apply_batch: Callable[[DataFrame, int], None], once: bool = True, every: str = "15 minutes", unicode: bool = True, memory: timedelta = MEMORY) -> StreamingQuery:
+    """Feed each batch of new events to ``apply_batch(events, batch_id)``, an event key once in ``memory``.
 
-    Delivery is at least once: a batch that fails is given again with the same id and events, so ``apply_batch`` keeps what it has done by
-    ``event_key`` (see ``apply_to``), and effects happen once. ``once`` takes what is there and stops.
+    Keys are streaming state beside the cursor (``stateful.once_by_key``), so a batch meets the state of its own keys and no table of a year.
+    A batch that fails is given again with the same id and events, so ``apply_batch`` must know the batches it has applied
+    (see ``apply_to``), and effects happen once. ``once`` takes what is there and stops; end it with ``stateful.finish``.
     """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        # One row a key in a batch; across batches the seen table decides.
-        apply_batch(first_arrivals(keyed_events(batch, unicode)), batch_id)
-
-    out = raw_stream(spark, root).writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    events = once_by_key(keyed_events(raw_stream(spark, root), unicode), memory)
+    out = events.writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(apply_batch)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
-def apply_to(store, now_of: Callable[[], object], on_new: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
-    """An ``apply_batch`` that commits new events' keys and effects together.
+def apply_to(store, now_of: Callable[[], object], on_new: Callable[[DataFrame], dict[str, DataFrame]], stream: str = "events") -> Callable[[DataFrame, int], None]:
+    """An ``apply_batch`` that commits a batch's effects together with its number.
 
-    Keys are forgotten after MEMORY. ``on_new(events)`` gives the tables to replace for events that were never seen. Keys and effects are one commit, so a repeat after a failure finds
-    either both or neither.
+    ``on_new(events)`` gives the tables to replace. Number and effects are one commit, so a repeat after a failure finds
+    either both or neither, and passes over what is there. ``stream`` names the stream where a store has several; a stream that begins anew
+    with an empty checkpoint needs another name.
     """
+    key = f"batch-of-{stream}"
 
     def handle(events: DataFrame, batch_id: int) -> None:
-        now = now_of()
-        seen = trim(store.read("seen_events"), "first_received_at", F.lit(now - MEMORY))
-        new = events.join(seen.select("event_key"), "event_key", "left_anti")
-        if new.isEmpty():
+        state = store.read("state")
+        last = state.where(F.col("key") == key).head(1)
+        if (last and int(last[0]["value"]) >= batch_id) or events.isEmpty():
             return
-        keys = new.select("event_key", F.lit(now).cast("timestamp").alias("first_received_at"), F.lit(f"batch-{batch_id}").alias("run_id"))
-        store.commit(on_new(new), {"seen_events": keys}, now)
+        number = state.sparkSession.createDataFrame([(key, str(batch_id))], state.schema)
+        writes = on_new(events)
+        rest = writes.get("state", state).where(F.col("key") != key)
+        store.commit(writes | {"state": rest.unionByName(number)}, {}, now_of())
 
     return handle
 
