@@ -40,8 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table read as a stream of its files."""
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet")
+    """A table, one file or a folder of them, read as a stream of its files; a plain path would have to be a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def domain(key: str) -> Column:
@@ -407,8 +407,8 @@ def count_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     e AS (SELECT user_id::VARCHAR AS subject, detector, ts, length, CASE least WHEN 2 THEN lag(ts, 1) OVER w ELSE lag(ts, 2) OVER w END AS oldest FROM events JOIN d ON lower(event_type) LIKE pattern WINDOW w AS (PARTITION BY user_id, detector ORDER BY ts)),
     i AS (SELECT subject, detector, ts, oldest + length AS stop FROM e WHERE oldest > ts - length),
     n AS (SELECT *, lag(stop) OVER w AS stop_before, lead(ts) OVER w AS ts_after FROM i WINDOW w AS (PARTITION BY subject, detector ORDER BY ts, stop)),
-    c AS (SELECT subject, detector, true AS "on", ts AS at FROM n WHERE stop_before IS NULL OR stop_before < ts UNION ALL SELECT subject, detector, false, stop FROM n WHERE ts_after IS NULL OR ts_after > stop)
-    SELECT subject, detector, "on", epoch_us(at) AS at_us FROM c WHERE at <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+    c AS (SELECT subject, detector, true AS "on", ts AS t FROM n WHERE stop_before IS NULL OR stop_before < ts UNION ALL SELECT subject, detector, false, stop FROM n WHERE ts_after IS NULL OR ts_after > stop)
+    SELECT subject, detector, "on", epoch_us(t) AS at_us FROM c WHERE t <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def stream_window_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = [Detector("buys", "count_in_window", event="Purchase", window=timedelta(days=14), min=2), Detector("views", "count_in_window", event="v*", window=timedelta(days=7), min=3)]
     e = stream(spark, sf_dir, "events").select(F.col("user_id").alias("lead_id"), F.col("event_type").alias("kind"), utc("ts").alias("at"))
