@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.storage import materialize
 
@@ -159,22 +159,52 @@ def _nearest(k: int):
     return group
 
 
-def reach(x: np.ndarray, hashes: Hashes, sets: list[np.ndarray], sure: float, seed: int = 23) -> float:
-    """The distance up to which the probes of all tables find a neighbour with a chance of ``sure``, tried on points around ``x``."""
-    rng = np.random.default_rng(seed)
-    q = np.repeat(x, -(-400 // len(x)), axis=0)
-    away = rng.standard_normal(q.shape)
+#: Distances, in slots, at which the chance of a hit is tried.
+_TRIED = np.concatenate([[0.0], np.geomspace(0.01, 8, 60)])
+
+
+def chances(dim: int, tables: int, width: int, sets: list[np.ndarray], tries: int = 400, seed: int = 23) -> np.ndarray:
+    """The chance that the probes of all tables find a point, for each distance of _TRIED; only the ratio of distance and slot counts."""
+    rng, unit = np.random.default_rng(seed), Hashes.drawn(dim, 1.0, tables, width)
+    q, away = rng.standard_normal((2, tries, dim))
     away /= np.linalg.norm(away, axis=1, keepdims=True)
-    probed = [np.sort(probe_keys(q, hashes, t, sets), axis=1) for t in range(len(hashes.a))]
-    last = 0.0
-    for c in hashes.slot * np.geomspace(0.01, 4, 40):
-        hit = np.zeros(len(q), bool)
+    probed = [np.sort(probe_keys(q, unit, t, sets), axis=1) for t in range(tables)]
+    out = []
+    for c in _TRIED:
+        hit = np.zeros(tries, bool)
         for t, keys in enumerate(probed):
-            hit |= (keys == key_of(np.floor(hashes.slots(q + c * away, t)), t)[:, None]).any(1)
-        if hit.mean() < sure:
-            break
-        last = float(c)
-    return last
+            hit |= (keys == key_of(np.floor(unit.slots(q + c * away, t)), t)[:, None]).any(1)
+        out.append(hit.mean())
+    return np.minimum.accumulate(out)
+
+
+def near_distances(x: np.ndarray, k: int, fit_rows: int, n: int) -> np.ndarray:
+    """(fit rows, k) distances to the k nearest of ``n`` rows, estimated from the sample ``x`` of them.
+
+    The j-th nearest of a sample is further than that of all rows, by the local dimension, which the distances within the sample tell.
+    """
+    if len(x) < 2:
+        return np.zeros((1, 1))
+    k = min(k, len(x) - 1)
+    near = []
+    for i in range(min(fit_rows, len(x))):
+        d = distances(x[i], x)
+        d[i] = np.inf
+        near.append(np.sort(np.partition(d, k - 1)[:k]))
+    out = np.array(near)
+    steps = np.where(out[:, :-1] > 0, np.log(np.maximum(out[:, -1:], 1e-300)) - np.log(np.maximum(out[:, :-1], 1e-300)), 0.0)
+    if n > len(x) and (steps > 0).any():
+        out = out * (len(x) / n) ** steps[steps > 0].mean()
+    return out
+
+
+def fitted_slot(near: np.ndarray, chance: np.ndarray, recall: float) -> float:
+    """The narrowest slot at which the neighbours at these distances are found with a mean chance of ``recall``."""
+    lo, hi = 1e-9, max(1e-9, float(near.max())) * 1_000
+    for _ in range(60):
+        mid = (lo * hi) ** 0.5
+        lo, hi = (lo, mid) if np.interp(near / mid, _TRIED, chance, right=0.0).mean() >= recall else (mid, hi)
+    return hi
 
 
 def _scan(query_ids: np.ndarray, q: np.ndarray, k: int, block: int = 256):
@@ -243,15 +273,15 @@ def nearest(
     queries: DataFrame,
     k: int = 10,
     tables: int = 10,
-    width: int = 10,
-    probes: int = 200,
-    slot_factor: float = 2.0,
-    sample_rows: int = 1_000,
+    width: int = 16,
+    probes: int = 400,
+    recall: float = 0.9,
+    fit_recall: float = 0.95,
+    sample_rows: int = 4_000,
     fit_rows: int = 200,
     shard_rows: int = 20_000,
-    sure: float = 0.95,
-    scan_queries: int = 4_000,
-    most_levels: int = 6,
+    most_levels: int = 3,
+    scan_short: bool = True,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
@@ -259,13 +289,12 @@ def nearest(
 
     Each vector is hashed into one bucket of each table; a query looks into ``probes`` buckets of each, its own first and then
     those across near borders in order of expected success. What the tables find is merged, and its Euclidean
-    distance taken on the original vectors. Slots are ``slot_factor`` times the median distance to
-    the k-th neighbour of ``fit_rows`` rows within a sample of ``sample_rows`` rows (fixed bounds); every row is indexed.
+    distance taken on the original vectors. The slot is the narrowest at which neighbours as far as those of ``fit_rows`` rows, within a
+    sample of ``sample_rows`` rows (fixed bounds), are found with a mean chance of ``fit_recall``; every row is indexed.
 
-    A query is settled when it has k rows and the k-th lies where its probes find a neighbour with a chance of ``sure``
-    (see ``reach``). The others, in thin regions, go on to tables at doubled slot widths while more than
-    ``scan_queries`` are left, ``most_levels`` levels at most; what is left is compared with every row, exactly. So each query
-    gets k rows where there are as many others.
+    A query is settled when it has k rows that, at their distances, are found with a mean chance of ``recall``. The others, in thin
+    regions, look further in tables of doubled slots, ``most_levels`` levels in all, and what each level finds is merged with
+    what was found before. Only a query that has fewer than k rows then is compared with every row (``scan_short``), at every size of the table.
 
     Of vectors that are the same, the k + 1 smallest ids are enough for exact ties, so a vector that
     a third of all rows hold does not fill a bucket. Buckets are dealt to shards; one with more
@@ -274,40 +303,58 @@ def nearest(
 
     Rows without an id, and vectors that are null, empty, zero or hold null or non-finite parts, take no
     part; a query never finds its own id. Rows repeating an id with one vector count once. Other columns are ignored.
-    All vectors must have one length.
+    Vectors of different lengths are refused before anything is hashed.
     """
     base = clean_vectors(vectors, id_col, vec_col)
     asked = clean_vectors(queries, id_col, vec_col).withColumnsRenamed({"vec_id": "query_id", "v": "q"}).dropDuplicates(["query_id"])
     same = Window.partitionBy("v").orderBy("vec_id")
     kept = materialize(base.distinct().withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r"), "ann-base")
+    open_ = materialize(asked, "ann-asked")
+    sizes = lambda df, v: df.agg(F.count(F.lit(1)), F.min(F.size(v)), F.max(F.size(v))).first()
+    (n, *lengths), (_, *asked_lengths) = sizes(kept, "v"), sizes(open_, "q")
+    if len(set(lengths + asked_lengths) - {None}) > 1:
+        raise ValueError(f"vectors of {min(lengths)} to {max(lengths)} parts, queries of {asked_lengths}: they must be of one length")
     # The rows with the smallest id hashes, of a share of the hashes that holds a few times as many.
-    n = kept.count()
     few = kept.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32))).where(F.col("h") < int(min(1.0, 8 * sample_rows / max(n, 1)) * (1 << 32)))
     sample = few.orderBy("h", "vec_id").select("vec_id", "v").limit(sample_rows).toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:
         return vectors.sparkSession.createDataFrame([], schema)
     x = _matrix(sample["v"].combine_chunks())
-    far = [np.sort(distances(q, x))[min(k, len(x) - 1)] for q in x[:fit_rows]]
-    slot = max(slot_factor * float(np.median(far)), 1e-9)
-    shards = max(1, -(-n // shard_rows))
     sets = perturbations(width, probes)
-    open_, done = materialize(asked, "ann-asked"), None
+    chance = chances(x.shape[1], tables, width, sets)
+    slot = fitted_slot(near_distances(x, k, fit_rows, n), chance, fit_recall)
+    shards = max(1, -(-n // shard_rows))
+    done = None
     for level in range(most_levels):
         hashes = Hashes.drawn(x.shape[1], slot * 2**level, tables, width)
-        found = materialize(_best(_level(kept, open_, k, hashes, sets, shards, shard_rows), k), f"ann-found-{level}")
-        ends = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("end"))
-        settled = ends.where((F.col("n") >= k) & (F.col("end") <= reach(x[:fit_rows], hashes, sets, sure))).select("query_id")
-        found = found.join(settled, "query_id", "left_semi")
-        done = found if done is None else done.unionByName(found)
+        more = _level(kept, open_, k, hashes, sets, shards, shard_rows)
+        if done is not None:
+            more = more.unionByName(done.join(open_.select("query_id"), "query_id", "left_semi").select("query_id", "vec_id", "score"))
+        found = materialize(_best(more, k), f"ann-found-{level}")
+        done = found if done is None else done.join(open_.select("query_id"), "query_id", "left_anti").unionByName(found)
+        told = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg(_chance(F.col("score"), chance, hashes.slot)).alias("chance"))
+        settled = told.where((F.col("n") >= k) & (F.col("chance") >= recall)).select("query_id")
         open_ = materialize(open_.join(settled, "query_id", "left_anti"), f"ann-open-{level}")
-        if open_.count() <= scan_queries:
+        if open_.isEmpty():
             break
-    rest = scan(kept, open_, k)
-    done = done if rest is None else done.unionByName(rest)
+    if scan_short and not open_.isEmpty():
+        full = done.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+        short = materialize(open_.join(full, "query_id", "left_anti"), "ann-short")
+        rest = scan(kept, short, k)
+        if rest is not None:
+            done = done.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
     return done.select("query_id", "rank", "vec_id", "score")
 
 
+def _chance(distance: Column, chance: np.ndarray, slot: float) -> Column:
+    """``chances`` at a distance, as a step function that lies below it."""
+    out = F.lit(0.0)
+    for c, p in zip(_TRIED[::-1].tolist(), chance[::-1].tolist(), strict=True):
+        out = F.when(distance <= c * slot, F.lit(float(p))).otherwise(out) if p > 0 else out
+    return out
+
+
 def _level(kept: DataFrame, asked: DataFrame, k: int, hashes: Hashes, sets: list[np.ndarray], shards: int, shard_rows: int) -> DataFrame:
     """What one set of tables finds: ``query_id, vec_id, score``, k rows a task at most."""
     entries = kept.mapInArrow(_base(hashes, shards), "t int, shard long, bucket long, vec_id long, v array<double>")
