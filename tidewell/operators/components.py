@@ -40,3 +40,22 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def extend_components(labels: DataFrame, edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
+    """The labels that change, ``(node, component)``, when edges are added to a graph whose components are known.
+
+    ``labels`` is ``connected_components``'s result so far. New edges meet the labels of their own ends only and become edges between
+    components, which are far fewer; where components merge, the members of those that lose their label follow. A large component that
+    keeps its label is not rewritten, and labels that no new edge meets are not touched. Rows to put in place of, or add to, ``labels`` by node.
+    """
+    e = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a != b").distinct(), "new-edges")
+    ends = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
+    known = materialize(labels.select("node", "component").join(ends, "node", "left_semi"), "known-ends")
+    at = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+    lifted = e.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+    roots = materialize(connected_components(lifted), "new-roots")
+    fresh = ends.join(known, "node", "left_anti").join(roots, "node")
+    lost = roots.where("node != component").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    moved = labels.select("node", "component").join(lost, "component").select("node", F.col("into").alias("component"))
+    return moved.unionByName(fresh.select("node", "component"))

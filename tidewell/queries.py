@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tidewell.functions import text as tx
 from tidewell.functions.values import typed
 from tidewell.operators import detectors, events as ev, export, facts, identity, routing, rows, status, tables
+from tidewell.operators.components import connected_components, extend_components
 from tidewell.plans.evaluate import company_state, evaluate
+from tidewell.plans.incremental import Inputs, reached, rejudge
 from tidewell.plans.rubric import Detector, compile_rubric
-from tidewell.storage import work_path
+from tidewell.storage import materialize, work_path
 from tidewell.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +367,29 @@ def score_points_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(spark, sf_dir).select("lead_id", "account_score", "contact_score", "score")
 
 
+def _yesterday(leads: DataFrame) -> DataFrame:
+    """Leads before some changed: other segments, another company, some missing, some that are gone since."""
+    k = F.col("lead_id").try_cast("long")  # Spark may carry these conditions on to ids that are no numbers
+    old = leads.where(k % 211 != 0)
+    old = old.withColumn("fields", F.when(k % 97 == 0, F.map_concat(F.map_filter("fields", lambda n, _: n != "segment"), F.create_map(F.lit("segment"), F.lit("OTHER")))).otherwise(F.col("fields")))
+    old = old.withColumn("domain", F.when(k % 307 == 0, F.lit("n3.example")).otherwise(F.col("domain")))
+    gone = leads.where(k % 401 == 0).withColumn("lead_id", F.concat(F.lit("gone-"), "lead_id"))
+    return old.unionByName(gone)
+
+
+@query(f"{_VERDICTS_SQL} SELECT lead_id, account_score, contact_score, account_score + contact_score AS score FROM w")
+def incremental_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rubric = compile_rubric(RUBRIC, unicode=False)
+    e, now = user_events(spark, sf_dir), customers(spark, sf_dir)
+    signals = lambda subject, key: detectors.window_counts(e, key, [d for d in rubric.detectors if d.subject == subject], NOW)
+    after = Inputs(now, nations(spark, sf_dir), materialize(signals("lead", "lead_id"), "lead-signals"), materialize(signals("company", "domain"), "company-signals"))
+    before = Inputs(_yesterday(now), after.companies.where("region != 'ASIA'"), after.lead_signals, after.company_signals)
+    old = materialize(evaluate(rubric, before.leads, before.companies, before.lead_signals, before.company_signals), "verdicts")
+    delta = materialize(rejudge(rubric, old, after, reached(before, after)), "verdict-changes")
+    kept = old.join(delta.select("lead_id"), "lead_id", "left_anti")
+    return kept.unionByName(delta.where("change != 'delete'").select(*old.columns)).select("lead_id", "account_score", "contact_score", "score")
+
+
 @query(f"""{_VERDICTS_SQL}
     SELECT lead_id, concat_ws('; ',
         CASE WHEN has_company THEN 'size = ' || size || CASE size WHEN 'small' THEN ' (rule 1: company.employees < 300)' WHEN 'middle' THEN ' (rule 2: company.employees < 1500 and company.any_rich = true)' ELSE ' (else)' END END,
@@ -880,6 +905,17 @@ def tier_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.value_changes(old, new, "c_custkey", "c_mktsegment")
 
 
+@query("""
+    WITH n AS (SELECT c_custkey AS node FROM customer UNION SELECT c_custkey - c_custkey % 50 FROM customer UNION SELECT c_custkey - c_custkey % 10 FROM customer) SELECT node, node - node % 50 AS component FROM n""")
+def components_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"))
+    first = c.select("a", (F.col("a") - F.col("a") % 10).alias("b"))
+    labels = materialize(connected_components(first), "labels")
+    tens = first.select(F.col("b").alias("a")).distinct().select("a", (F.col("a") - F.col("a") % 50).alias("b"))
+    delta = materialize(extend_components(labels, tens), "labels-changed")
+    return labels.join(delta.select("node"), "node", "left_anti").unionByName(delta)
+
+
 @query("""
     WITH x AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'new' WHEN c_custkey % 3 = 1 THEN 'gone' WHEN c_custkey % 5 = 0 THEN 'changed' ELSE 'same' END AS change FROM customer) SELECT change, count(*)::BIGINT AS n FROM x GROUP BY change""")
 def dry_run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
