@@ -4,8 +4,9 @@ import json
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from tidewell.operators import status
-from tidewell.plans.run import Input, explain_person, push_health, run
+from tidewell.plans.run import EventFile, Input, dry_run, explain_person, push_health, run
 from tidewell.operators.events import RAW_SCHEMA
 from tidewell.operators.routing import PUSH_SCHEMA
 from tidewell.sources.schema import TABLES
@@ -150,3 +151,74 @@ def test_deal_steps_of_others_hold_a_company(spark):
     lost = spark.createDataFrame([("b", "lost", NOON + timedelta(hours=1.5))], none.schema)
     assert holds([step("a", "warm", 1)], "", lost) == set()
     assert holds([step("a", "warm", 1), step("b", "warm", 2)], "warm", lost) == {"a"}
+
+
+PUSHED = RUBRIC.replace("lanes:\n", "limits: { max_pushes_per_run: 2, max_pushes_per_day: 3 }\nlanes:\n  - { id: deal, kind: non-cold, priority: 8, push: \"hubspot:deals\", when: { field: title, eq: boss } }\n  - { id: first, kind: cold, priority: 5, push: \"apollo:sequence/A\", when: { field: title, ne: nobody } }\n")
+
+
+def people_rows(spark, n, title="Boss"):
+    rows = spark.createDataFrame([(f"{k:02}", f"p{k}@c{k // 2}.example", title) for k in range(n)], "Row string, Email string, Title string")
+    return [Input("sheet", rows, ["Email", "Title"], ["Row"])]
+
+
+def test_retries_and_resubscriptions_act_once_and_the_ledger_is_repaired(spark, store):
+    given = people_rows(spark, 3)
+    over = spark.createDataFrame([(1, "p2@c1.example", "status", "unsubscribed", "")], TABLES["overrides"].schema)
+    store.commit({"overrides": over})
+    run(store, PUSHED, given, NOON, unicode=False)
+    ids = {e: r["lead_id"] for e, r in ranked(store).items()}
+    a, b, c = (ids[f"p{k}@c{k // 2}.example"] for k in range(3))
+    outcome = lambda: {r["lead_id"]: r for r in store.read("outcomes").collect()}[c]
+    assert (outcome()["unsubscribed_origin"], outcome()["unsubscribed_at"] is not None) == ("manual", True) and ranked(store)["p2@c1.example"]["status"] == "unsubscribed"
+    step = lambda lead, lane, state, dest, intent="": (lead, lane, "s", "cold", dest, state, "", intent, None, NOON, 3, "no answer", NOON)
+    pushes = [step(a, "first", "failed", "sequence/A"), step(b, "gone", "pending", "x"), step(c, "first", "pending", "sequence/A", "run-of-old")]
+    over = spark.createDataFrame([(1, "*", "retry", "first", "t1"), (2, "p2@c1.example", "status", "resubscribe", "t1"), (3, "who@x.example", "retry", "", "t1")], TABLES["overrides"].schema)
+    store.commit({"overrides": over, "pushes": spark.createDataFrame(pushes, PUSH_SCHEMA)})
+    run(store, PUSHED, given, NOON + timedelta(hours=1), unicode=False)
+    ledger = lambda: {(r["lead_id"], r["lane_id"]): r for r in store.read("pushes").collect()}
+    now = ledger()
+    assert (now[a, "first"]["state"], now[a, "first"]["attempts"]) == ("pending", 0)
+    assert now[b, "gone"]["state"] == "cancelled" and now[c, "first"]["called_at"] == (NOON + timedelta(hours=1)).replace(tzinfo=None) and now[c, "first"]["intent_run"] == ""
+    assert outcome()["unsubscribed_at"] is None and ranked(store)["p2@c1.example"]["status"] != "unsubscribed"
+    assert store.read("applied_overrides").count() == 2  # nobody is called who@x.example
+    failed = store.read("pushes").withColumn("state", F.when(F.col("lead_id") == a, "failed").otherwise(F.col("state")))
+    opted = store.read("outcomes").withColumns({"unsubscribed_at": F.when(F.col("lead_id") == c, F.lit(NOON)).otherwise(F.col("unsubscribed_at")), "unsubscribed_origin": F.when(F.col("lead_id") == c, "manual").otherwise(F.col("unsubscribed_origin"))})
+    store.commit({"pushes": failed, "outcomes": opted})
+    run(store, PUSHED, given, NOON + timedelta(hours=2), unicode=False)
+    assert ledger()[a, "first"]["state"] == "failed" and outcome()["unsubscribed_at"] is not None and store.read("applied_overrides").count() == 2
+
+
+def test_a_plan_within_the_limits_and_a_dry_run_that_writes_nothing(spark, store):
+    given = people_rows(spark, 6)
+    dry = dry_run(store, PUSHED, given, NOON, unicode=False)
+    assert dry["ranked"].where("change = 'new'").count() == 6 and dry["push_plan"].where("change = 'new'").count() == 3
+    assert store.generation() == 0 and store.read("ranked").count() == 0
+    run(store, PUSHED, given, NOON, unicode=False)
+    got = store.read("push_plan").collect()
+    assert sorted(r["reserve"] for r in got) == [False, False, True] and {r["lane_id"] for r in got} == {"deal"} and not any(r["free"] for r in got)
+    assert {r["domain"] for r in store.read("enrichment_plan").collect()} == {"c0.example", "c1.example", "c2.example"}
+    # Two were begun today, one of them has a deal step without a result: the day leaves one, and a colleague's deal step waits.
+    ids = {e: r["lead_id"] for e, r in ranked(store).items()}
+    step = lambda lead, state, called: (lead, "deal", "deal", "non-cold", "deals", state, "", "", called, NOON, 0, "", NOON)
+    pushes = [step(ids["p0@c0.example"], "pending", NOON), step(ids["p2@c1.example"], "done", NOON)]
+    store.commit({"pushes": spark.createDataFrame(pushes, PUSH_SCHEMA)})
+    run(store, PUSHED, given, NOON + timedelta(hours=1), unicode=False)
+    got = {(r["lead_id"], r["lane_id"]): r for r in store.read("push_plan").collect()}
+    assert got[ids["p0@c0.example"], "deal"]["free"] and (ids["p1@c0.example"], "deal") not in got
+    assert sum(not r["free"] and not r["reserve"] for r in got.values()) == 1
+    assert {r["key"] for r in store.read("health").where("kind = 'deal_waits'").collect()} == {ids["p1@c0.example"]}
+
+
+def test_files_of_events_and_polled_replies(spark, store):
+    given = people_rows(spark, 2, "CEO")
+    rows = spark.createDataFrame([("visit_pricing", "2024-02-28", "p0@c0.example"), ("visit_pricing", "2024-02-29T10:00:00Z", "p0@c0.example"), ("sent", "2024-02-29", "p1@c0.example"), ("visit_pricing", "soon", "p1@c0.example")], "event string, at string, email string")
+    file = EventFile("visits", rows, ["event", "at", "email"])
+    events = raw(spark, [reply(1, "p1@c0.example")])
+    run(store, RUBRIC, given, NOON, events, unicode=False, event_files=[file], polling=True)
+    got = ranked(store)
+    assert got["p0@c0.example"]["contact_score"] == 7 and got["p0@c0.example"]["account_score"] == 15
+    assert got["p1@c0.example"]["status"] == "new"  # the reply is polled, and the file may not report a send
+    assert sorted(r["value"] for r in store.read("health").where("kind = 'event_rows_refused'").collect()) == ["1", "1"]
+    assert store.read("window_events").count() == 2
+    run(store, RUBRIC, given, NOON + timedelta(minutes=5), events, unicode=False, event_files=[file], polling=True)
+    assert store.read("window_events").count() == 2

@@ -155,3 +155,19 @@ def resubscribe(outcomes: DataFrame, overrides: DataFrame, manual: DataFrame, ap
     clear = F.coalesce("__free", F.lit(False)) & (F.col("unsubscribed_origin") == "manual")
     cleared = {"unsubscribed_at": F.when(~F.coalesce(clear, F.lit(False)), F.col("unsubscribed_at")), "unsubscribed_origin": F.when(~F.coalesce(clear, F.lit(False)), F.col("unsubscribed_origin"))}
     return outcomes.join(named, "lead_id", "left").withColumns(cleared).select(*outcomes.columns)
+
+
+def opt_outs_by_hand(outcomes: DataFrame, manual: DataFrame, now: datetime) -> DataFrame:
+    """``outcomes`` with an opt-out, of origin manual, for leads that a row sets to unsubscribed and that have none yet."""
+    named = manual.where("manual_status = 'unsubscribed'").select("lead_id", F.lit(True).alias("__by_hand")).distinct()
+    out = outcomes.join(named, "lead_id", "full_outer")
+    new = F.coalesce("__by_hand", F.lit(False)) & F.col("unsubscribed_at").isNull()
+    return out.withColumns({"unsubscribed_origin": F.when(new, "manual").otherwise(F.col("unsubscribed_origin")), "unsubscribed_at": F.when(new, F.lit(now)).otherwise(F.col("unsubscribed_at"))}).select(*outcomes.columns)
+
+
+def used_up(overrides: DataFrame, applied: DataFrame, run_id: str, now: datetime) -> DataFrame:
+    """``row_hash, applied_at, run_id`` of the retry and resubscribe rows that a run has acted on: each acts once, and one about somebody unknown waits."""
+    known = F.col("lead_id").isNotNull() | ((F.col("action") == "retry") & (F.col("person") == "*"))
+    once = (F.col("action") == "retry") | ((F.col("action") == "status") & (F.col("value") == RESUBSCRIBE))
+    done = overrides.where(F.col("invalid").isNull() & known & once).select(F.col("hash").alias("row_hash")).distinct()
+    return done.join(applied.select("row_hash"), "row_hash", "left_anti").select("row_hash", F.lit(now).alias("applied_at"), F.lit(run_id).alias("run_id"))

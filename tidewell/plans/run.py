@@ -52,37 +52,115 @@ class State:
         return self.store.spark
 
 
-def run(store: Store, rubric_text: str, inputs: Sequence[Input], now: datetime, raw_events: DataFrame | None = None, tab: tuple[DataFrame, list[str]] | None = None, most_rows: int = 2_000, watched: Sequence[str] = (), unicode: bool = True) -> int:
+@dataclass(frozen=True)
+class EventFile:
+    """Rows of a file that are events, see ``events.event_rows``."""
+
+    source_id: str
+    rows: DataFrame
+    headers: Sequence[str]
+
+
+def run(
+    store: Store, rubric_text: str, inputs: Sequence[Input], now: datetime, raw_events: DataFrame | None = None, tab: tuple[DataFrame, list[str]] | None = None, most_rows: int = 2_000, watched: Sequence[str] = (), unicode: bool = True,
+    event_files: Sequence[EventFile] = (), polling: bool = False, enrich_after: timedelta = timedelta(days=90), most_domains: int = 100,
+) -> int:
     """Take in rows and events, match people, judge all leads and commit everything at once; returns the generation.
 
-    ``raw_events`` has seq, received_at, kind and body; ``tab`` is the Companies tab with its headers. Row groups that were applied at
+    ``raw_events`` has seq, received_at, kind and body; ``event_files`` are events too; ``tab`` is the Companies tab with its headers. Row groups that were applied at
     their present hash and events that were seen are passed over, so a run again with the same input changes
     nothing but times. At most ``most_rows`` source rows are taken; the next run goes on. A run that fails commits nothing.
+
+    The ledger is repaired first, and retry and resubscribe rows act once. What is to be pushed and looked up is planned within the
+    rubric's limits (``push_plan``, ``enrichment_plan``: companies not looked up for ``enrich_after``); the calls are the driver's. With ``polling``, replies that the receiver tells do nothing.
+    """
+    s, new = work(store, rubric_text, inputs, now, raw_events, tab, most_rows, watched, unicode, event_files, polling, enrich_after, most_domains)
+    untouched = ("overrides", "applied_overrides", "events", "log", "state", "enrichment_tries", "seen_events")
+    writes = {n: s.t[n].select(*s.spark.createDataFrame([], TABLES[n].schema).columns) for n in TABLES if n not in untouched}
+    keys = new.select("event_key", F.lit(now).alias("first_received_at"), F.lit(s.run_id).alias("run_id"))
+    appends = {name: df for name, df in (("seen_events", keys), ("applied_overrides", s.used)) if not df.isEmpty()}
+    return store.commit(writes, appends, now)
+
+
+def dry_run(store: Store, rubric_text: str, inputs: Sequence[Input], now: datetime, *args, **options) -> dict[str, DataFrame]:
+    """What ``run`` would change, with its arguments, and nothing written to the store: ``ranked``, ``exports`` and ``push_plan``.
+
+    Each has its key, ``change`` (new, gone, changed, same) and both sides of the columns that matter.
     """
+    s, _ = work(store, rubric_text, inputs, now, *args, **options)
+    row = lambda df: df.withColumn("row", F.concat_ws("|", "lane_id", "lead_id"))
+    return {
+        "ranked": tables.difference(store.read("ranked"), s.t["ranked"], "lead_id", ["email", "score", "status", "lane"]),
+        "exports": tables.difference(row(store.read("exports")), row(s.t["exports"]), "row", ["email", "do_not_contact"]),
+        "push_plan": tables.difference(row(store.read("push_plan")), row(s.t["push_plan"]), "row", ["dest", "free", "reserve"]),
+    }
+
+
+def work(
+    store: Store, rubric_text: str, inputs: Sequence[Input], now: datetime, raw_events: DataFrame | None = None, tab: tuple[DataFrame, list[str]] | None = None, most_rows: int = 2_000, watched: Sequence[str] = (), unicode: bool = True,
+    event_files: Sequence[EventFile] = (), polling: bool = False, enrich_after: timedelta = timedelta(days=90), most_domains: int = 100,
+) -> tuple[State, DataFrame]:
+    """A run up to its commit: the tables as they will be, and the new events."""
     s = State(store, compile_rubric(rubric_text, unicode), now, f"run-{int(now.timestamp())}", unicode)
-    new = take_events(s, raw_events)
+    new = take_events(s, raw_events, event_files)
     picked, matched = take_rows(s, inputs, new, most_rows)
     keep_people(s, inputs, picked, matched)
     keep_company_facts(s, picked, matched, tab)
     live = identity.live_leads(s.t["people"])
     live = materialize(live, "live")
-    keep_outcomes(s, new, live)
+    keep_outcomes(s, new.where(~ev.suppressed(polling)), live)
+    keep_ledger(s, live)
     leads, verdicts, routed = judge(s, inputs, live)
     s.t["ranked"] = ranked(s, leads, verdicts, routed)
     keep_lists(s, leads, verdicts, routed, live)
-    health(s, raw_events, leads, watched)
-    untouched = ("overrides", "applied_overrides", "events", "log", "state", "enrichment_tries", "pushes", "seen_events")
-    writes = {n: s.t[n].select(*s.spark.createDataFrame([], TABLES[n].schema).columns) for n in TABLES if n not in untouched}
-    keys = new.select("event_key", F.lit(now).alias("first_received_at"), F.lit(s.run_id).alias("run_id"))
-    return store.commit(writes, {} if new.isEmpty() else {"seen_events": keys}, now)
+    plan(s, routed, live, enrich_after, most_domains)
+    health(s, raw_events, event_files, leads, watched)
+    return s, new
+
+
+def file_events(s: State, files: Sequence[EventFile], good: bool) -> list[DataFrame]:
+    """Events of files, or the rows that are none; they come after what the receiver took, in the order of their files."""
+    out = []
+    for k, f in enumerate(files, 1):
+        e = ev.event_rows(f.rows, f.source_id, f.headers, s.now).withColumn("seq", F.monotonically_increasing_id() + (k << 52))
+        if good:
+            e = ev.normalize_keys(e.where("reject IS NULL").drop("reject"), s.unicode)
+            out.append(e.withColumn("event_key", ev.event_key()))
+        else:
+            out.append(e.where("reject IS NOT NULL").select(F.concat(F.lit(f"{f.source_id}:"), "reject").alias("key")))
+    return out
 
 
-def take_events(s: State, raw: DataFrame | None) -> DataFrame:
+def take_events(s: State, raw: DataFrame | None, files: Sequence[EventFile] = ()) -> DataFrame:
     """New events in order (``ord``); their keys are remembered for a year."""
     raw = raw if raw is not None else s.t["events"]
     seen = tables.trim(s.t["seen_events"], "first_received_at", F.lit(s.now - TABLES["seen_events"].keep))
-    new = materialize(ev.ordered(ev.first_arrivals(keyed_events(raw, s.unicode), seen), "received_at", "seq"), "run-events")
-    return new
+    events = keyed_events(raw, s.unicode)
+    for f in file_events(s, files, True):
+        events = events.unionByName(f)
+    return materialize(ev.ordered(ev.first_arrivals(events, seen), "received_at", "seq"), "run-events")
+
+
+def keep_ledger(s: State, live: DataFrame) -> None:
+    """The ledger as the run finds it, what rows of Overrides ask for once, and opt-outs by hand."""
+    said = materialize(status_.resolve_overrides(s.t["overrides"], s.t["identities"], live, s.unicode), "run-said")
+    lanes = routing.lane_frame(s.spark, s.rubric.lanes)
+    repaired = status_.repair_ledger(s.t["pushes"], s.t["people"].select("lead_id", "merged_into"), lanes, s.run_id, s.now)
+    s.t["pushes"] = materialize(status_.retries(repaired, said, s.t["applied_overrides"], s.now), "run-pushes")
+    manual = status_.manual_status(said)
+    out = status_.resubscribe(s.t["outcomes"], said, manual, s.t["applied_overrides"], live)
+    s.t["outcomes"] = materialize(status_.opt_outs_by_hand(out, manual, s.now), "run-outcomes")
+    s.used = materialize(status_.used_up(said, s.t["applied_overrides"], s.run_id, s.now), "run-used")
+
+
+def plan(s: State, routed: DataFrame, live: DataFrame, enrich_after: timedelta, most_domains: int) -> None:
+    """What is to be pushed and which companies are to be looked up, within the limits."""
+    limits = s.rubric.limits
+    used = routing.pushes_today(s.t["pushes"], s.now, limits.timezone).first()["used"] or 0
+    people = lead_domains(s).join(live.where("lead_id = live_id").select("lead_id"), "lead_id", "left_semi")
+    s.waits = materialize(routing.deal_waits(s.t["pushes"], people, s.t["outcomes"], live), "run-waits")
+    s.t["push_plan"] = materialize(routing.push_plan(routed, s.waits, used, limits.max_pushes_per_run, limits.max_pushes_per_day), "run-plan")
+    s.t["enrichment_plan"] = facts_.due_domains(people, s.t["enrichment_tries"], s.now, enrich_after, most_domains)
 
 
 def take_rows(s: State, inputs: Sequence[Input], events: DataFrame, most_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +339,7 @@ def push_health(pushes: DataFrame, people: DataFrame, now: datetime, late: timed
     return failed.unionByName(waits.select(F.lit("push_pending").alias("kind"), F.lit("").alias("key"), F.concat(F.col("n").cast("string"), F.lit(" since "), tx.format_time(F.col("oldest"))).alias("value")))
 
 
-def health(s: State, raw: DataFrame | None, leads: DataFrame, watched: Sequence[str]) -> None:
+def health(s: State, raw: DataFrame | None, files: Sequence[EventFile], leads: DataFrame, watched: Sequence[str]) -> None:
     """What a person should look at, one row a thing; rows that were there keep the time they were first seen."""
     row = lambda df, kind, key, value: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), value.alias("value"))
     refused = s.t["applied_rows"].where("lead_id IS NULL")
@@ -273,6 +351,9 @@ def health(s: State, raw: DataFrame | None, leads: DataFrame, watched: Sequence[
     found = found.unionByName(push_health(s.t["pushes"], s.t["people"], s.now))
     raw = raw if raw is not None else s.t["events"]
     found = found.unionByName(row(rejects(raw).where("reject IS NOT NULL"), "event_refused", "seq", F.col("reject")))
+    for bad in file_events(s, files, False):
+        found = found.unionByName(row(bad.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "event_rows_refused", "key", F.col("n").cast("string")))
+    found = found.unionByName(row(s.waits, "deal_waits", "lead_id", F.lit("another lead at the company has a deal step without a result")))
     if watched:
         last = s.t["seen_events"].sparkSession.createDataFrame([], "kind string, last_received timestamp")
         got = ev.last_received(ev.parse_raw(raw).where("kind IS NOT NULL"), s.now)

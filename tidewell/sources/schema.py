@@ -33,6 +33,8 @@ _TABLES = (
     Table("outcomes", "lead_id string, status string, status_at timestamp, unsubscribed_at timestamp, unsubscribed_origin string, reply_status string, reply_at timestamp, contacted_at timestamp, held_at timestamp, deal_id string, deal_stage string, deal_checked_at timestamp", ("lead_id",)),
     Table("pushes", "lead_id string, lane_id string, step string, lane_kind string, dest string, state string, vendor_id string, intent_run string, called_at timestamp, first_started_at timestamp, attempts int, last_error string, updated_at timestamp", ("lead_id", "lane_id", "step")),
     Table("exports", "lane_id string, lead_id string, email string, linkedin_url string, full_name string, company_domain string, score double, status string, do_not_contact boolean, reasons string, first_listed_at timestamp, updated_at timestamp", ("lane_id", "lead_id")),
+    Table("push_plan", "lead_id string, lane_id string, kind string, sink string, dest string, score double, free boolean, reserve boolean", ("lead_id", "lane_id")),
+    Table("enrichment_plan", "domain string, tried_at timestamp", ("domain",)),
     Table("ranked", "lead_id string, email string, linkedin_url string, full_name string, company_domain string, derived map<string,string>, account_score double, contact_score double, score double, status string, lane string, reasons string, rubric_version string", ("lead_id",)),
     Table("log", "at timestamp, run_id string, level string, lead_id string, kind string, message string, rubric_version string", (), "at", timedelta(days=90)),
     Table("health", "kind string, key string, value string, first_seen_at timestamp, updated_at timestamp", ("kind", "key")),
