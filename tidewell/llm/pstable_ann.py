@@ -146,12 +146,18 @@ def _nearest(k: int):
         if len(base) and len(probes):
             base = base.sort_values("bucket", ignore_index=True)
             x, bucket, ids = _matrix(base["v"]), base["bucket"].to_numpy(), base["vec_id"].to_numpy()
+            x2 = (x**2).sum(1)
             for query, q, want in zip(probes["query_id"], probes["q"], probes["buckets"], strict=True):
                 lo, hi = np.searchsorted(bucket, want, "left"), np.searchsorted(bucket, want, "right")
                 at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True) if b > a] or [np.zeros(0, np.int64)])
                 at = at[ids[at] != query]
+                q = np.asarray(q, np.float64)
+                if len(at) > k:  # products rule rows out, differences decide
+                    near = x2[at] - 2 * (x[at] @ q)
+                    slack = 1e-9 * ((q**2).sum() + x2.max())  # far above the rounding of the products
+                    at = at[near <= np.partition(near, k - 1)[k - 1] + slack]
                 if len(at):
-                    d = distances(np.asarray(q, np.float64), x[at])
+                    d = distances(q, x[at])
                     best = np.lexsort((ids[at], d))[:k]
                     out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at[best]], "score": d[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
