@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions.text import norm_text
@@ -17,11 +19,79 @@ _CUSTOM: dict[str, Callable[[dict, datetime], Column]] = {}
 
 def register_detector(kind: str, factory: Callable[[dict, datetime], Column]) -> None:
     """Add a kind of detector: a boolean aggregate over the events of a subject."""
-    if not kind or factory is None or kind in BUILT_IN or kind in _CUSTOM:
+    if not kind or factory is None or kind in BUILT_IN or kind in _CUSTOM or kind in _SUBJECT:
         raise ValueError(f"detector kind {kind!r} is empty, taken, or has no factory")
     _CUSTOM[kind] = factory
 
 
+class SubjectDetector:
+    """A detector that reads all events of a subject in order of time; subclass it and register the subclass.
+
+    One object judges one subject: ``step`` is given its events in runs, kinds in lower case beside times in microseconds, and keeps what it needs;
+    ``fires`` is asked at the end. Equal times come in order of kind. Only small state belongs in it: a subject may have any number of events.
+    """
+
+    def __init__(self, params: dict, now: datetime):
+        self.params, self.now = params, now
+
+    def step(self, kinds: list[str], times: np.ndarray) -> None:
+        raise NotImplementedError
+
+    def fires(self) -> bool:
+        raise NotImplementedError
+
+
+_SUBJECT: dict[str, type[SubjectDetector]] = {}
+
+
+def register_subject_detector(kind: str, detector: type[SubjectDetector]) -> None:
+    """Add a kind of detector that is code over the ordered events of a subject."""
+    if not kind or kind in BUILT_IN or kind in _CUSTOM or kind in _SUBJECT or not (isinstance(detector, type) and issubclass(detector, SubjectDetector)):
+        raise ValueError(f"detector kind {kind!r} is empty, taken, or no SubjectDetector")
+    _SUBJECT[kind] = detector
+
+
+def subject_verdicts(events: DataFrame, entity: str, specs: Iterable[Detector], now: datetime) -> DataFrame:
+    """``entity, d_<name>``: what registered subject detectors say, one row a subject that has events.
+
+    Events are dealt by subject and sorted within tasks, and stream through them in batches, so a subject that has a third of all events is
+    read run by run and never held; only its order needs one task. Events without a subject, kind or time are left out.
+    """
+    made = {s.name: (_SUBJECT[s.kind], s.params) for s in specs}
+    kind = dict(events.dtypes)[entity]
+    rows = events.select(F.col(entity).alias("subject"), F.lower("kind").alias("kind"), F.unix_micros(F.col("at").cast("timestamp")).alias("t")).where("subject IS NOT NULL AND kind IS NOT NULL AND t IS NOT NULL")
+    rows = rows.where("subject != ''") if kind == "string" else rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subject, judges = None, {}
+
+        def verdict() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{entity: subject} | {f"d_{n}": bool(j.fires()) for n, j in judges.items()}], schema=pa.schema([(entity, batch_type), *((f"d_{n}", pa.bool_()) for n in made)]))
+
+        batch_type = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch_type = batch.column(0).type
+            names, kinds, times = batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.asarray(batch.column(2))
+            lo = 0
+            while lo < len(names):
+                hi = lo
+                while hi < len(names) and names[hi] == names[lo]:
+                    hi += 1
+                if names[lo] != subject:
+                    if judges:
+                        yield verdict()
+                    subject, judges = names[lo], {n: d(params, now) for n, (d, params) in made.items()}
+                for j in judges.values():
+                    j.step(kinds[lo:hi], times[lo:hi])
+                lo = hi
+        if judges:
+            yield verdict()
+
+    return rows.repartition("subject").sortWithinPartitions("subject", "t", "kind").mapInArrow(run, ", ".join([f"`{entity}` {kind}", *(f"d_{n} boolean" for n in made)]))
+
+
 def kind_matches(pattern: str, kind: Column) -> Column:
     """Equal, or starting with what stands before a last ``*``; case does not matter."""
     p, k = pattern.lower(), F.lower(kind)
@@ -92,7 +162,9 @@ def evaluate_detectors(specs: Iterable[Detector], events: DataFrame, seen: DataF
     """All detectors of one subject kind as one frame keyed by ``entity``; None if there are none."""
     specs = list(specs)
     parts = []
-    if counted := [s for s in specs if s.kind not in ("first_seen", "change")]:
+    if ordered := [s for s in specs if s.kind in _SUBJECT]:
+        parts.append(subject_verdicts(events, entity, ordered, now))
+    if counted := [s for s in specs if s.kind not in ("first_seen", "change") and s.kind not in _SUBJECT]:
         parts.append(window_counts(events, entity, counted, now))
     if firsts := [s for s in specs if s.kind == "first_seen"]:
         parts.append(first_seen_within(seen, entity, firsts, now))

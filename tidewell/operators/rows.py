@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions import text as tx
 from tidewell.operators.prefix import running_sums
+from tidewell.storage import materialize
 
 RECEIVER = "receiver"
 
@@ -15,12 +16,18 @@ RECEIVER = "receiver"
 def input_rows(df: DataFrame, source_id: str, headers: Sequence[str], order: Sequence[str] = (), source_pos: int = 0) -> DataFrame:
     """``source_id, source_pos, ord, cols``: the raw cells of a wide frame as a map of header to text.
 
-    Of repeated headers the first counts. ``ord`` is the row's place by ``order`` (or as read).
+    Of repeated headers the first counts. ``ord`` is the row's place by ``order``, ties as read, counted over ranges of the order so that no
+    one task sees all rows; without an order it grows as read.
     """
     names = list(dict.fromkeys(headers))
     pairs = [x for h in names for x in (F.lit(h), F.coalesce(F.col(f"`{h}`").cast("string"), F.lit("")))]
-    place = F.row_number().over(Window.orderBy(*order)) if order else F.monotonically_increasing_id() + 1
-    return df.select(F.lit(source_id).alias("source_id"), F.lit(source_pos).alias("source_pos"), place.cast("long").alias("ord"), F.create_map(*pairs).alias("cols"))
+    own = [F.lit(source_id).alias("source_id"), F.lit(source_pos).alias("source_pos")]
+    if not order:
+        return df.select(*own, (F.monotonically_increasing_id() + 1).alias("ord"), F.create_map(*pairs).alias("cols"))
+    by = [f"__by_{k}" for k in range(len(order))]
+    rows = df.select(F.create_map(*pairs).alias("cols"), *(F.col(f"`{c}`").alias(b) for c, b in zip(order, by, strict=True)), F.monotonically_increasing_id().alias("__read"), F.lit(1).cast("long").alias("__one"))
+    rows = materialize(rows, "input-rows")
+    return running_sums(rows, [*by, "__read"], ["__one"]).select(*own, F.col("upto___one").cast("long").alias("ord"), "cols")
 
 
 def normalize(rows: DataFrame, headers: Sequence[str], aliases: Mapping[str, str] | None = None, unicode: bool = True) -> DataFrame:
@@ -58,8 +65,11 @@ def normalize(rows: DataFrame, headers: Sequence[str], aliases: Mapping[str, str
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """``source_id, row_id, hash, first_ord, rows``: rows of one source that share an id are applied as one unit."""
-    return rows.groupBy("source_id", "row_id").agg(tx.group_hash(F.collect_list("row_hash")).alias("hash"), F.min(F.struct("source_pos", "ord")).alias("first_ord"), F.count(F.lit(1)).alias("rows"))
+    """``source_id, row_id, hash, first_ord, rows``: rows of one source that share an id are applied as one unit.
+
+    One aggregation of numbers (see ``text.group_hash``): an id that a large part of all rows have is combined before the shuffle, and no list of its rows is made.
+    """
+    return rows.groupBy("source_id", "row_id").agg(tx.group_hash(F.col("row_hash")).alias("hash"), F.min(F.struct("source_pos", "ord")).alias("first_ord"), F.count(F.lit(1)).alias("rows"))
 
 
 def pending(grouped: DataFrame, applied: DataFrame) -> DataFrame:

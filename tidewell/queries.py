@@ -450,6 +450,37 @@ def stream_once_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.read_table(spark, f"{path}/rows", "event_key string, received_at timestamp").select("event_key")
 
 
+class Sessions(detectors.SubjectDetector):
+    """Whether ``least`` events follow each other with gaps of at most ``gap`` seconds, none of them of the kind that ends a session."""
+
+    def __init__(self, params: dict, now: datetime):
+        super().__init__(params, now)
+        self.last, self.run, self.found = None, 0, False
+
+    def step(self, kinds, times) -> None:
+        for kind, t in zip(kinds, times.tolist(), strict=True):
+            near = self.last is not None and t - self.last <= self.params["gap"] * 1_000_000
+            self.run = 0 if kind == self.params["ends"] else self.run + 1 if near else 1
+            self.last = t
+            self.found |= self.run >= self.params["least"]
+
+    def fires(self) -> bool:
+        return self.found
+
+
+detectors.register_subject_detector("session", Sessions)
+
+
+@query("""
+    WITH e AS (SELECT user_id, lower(event_type) AS kind, ts, lag(ts) OVER w AS before, lag(lower(event_type)) OVER w AS kind_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, lower(event_type))),
+    s AS (SELECT *, sum(CASE WHEN kind = 'error' OR kind_before = 'error' OR before IS NULL OR ts - before > INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, kind ROWS UNBOUNDED PRECEDING) AS session FROM e),
+    n AS (SELECT user_id, session, count(*) FILTER (WHERE kind <> 'error') AS n FROM s GROUP BY ALL)
+    SELECT user_id::VARCHAR AS lead_id, max(n) >= 3 AS d_eager FROM n GROUP BY user_id""")
+def custom_session_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = Detector("eager", "session", params={"gap": 43_200, "ends": "error", "least": 3})
+    return detectors.evaluate_detectors([spec], user_events(spark, sf_dir), None, None, "lead_id", NOW)
+
+
 @query("SELECT user_id::VARCHAR AS lead_id, coalesce(min(ts) FILTER (WHERE event_type = 'signup') > TIMESTAMP '2024-01-24' AND min(ts) FILTER (WHERE event_type = 'signup') <= TIMESTAMP '2024-01-31', false) AS d_new FROM events GROUP BY user_id")
 def first_seen_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = detectors.first_seen(user_events(spark, sf_dir), "lead_id")
@@ -612,6 +643,22 @@ def ingest_chunk_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- events, outcomes, status -------------------------------------------------------
 
 
+@query("""
+    WITH e AS (SELECT event_type AS source_id, (user_id % 50)::VARCHAR AS row_id, sha256(event_id::VARCHAR) AS h, event_id FROM events)
+    SELECT source_id, row_id, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(concat_ws('|', count(*), sum(('0x' || h[1:16])::UBIGINT), sum(('0x' || h[17:32])::UBIGINT), sum(('0x' || h[33:48])::UBIGINT), sum(('0x' || h[49:64])::UBIGINT))) END AS hash, min(event_id) AS first, count(*)::BIGINT AS rows
+    FROM e GROUP BY source_id, row_id""")
+def row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id"), (F.col("user_id") % 50).cast("string").alias("row_id"), F.sha2(F.col("event_id").cast("string"), 256).alias("row_hash"), F.lit(0).alias("source_pos"), F.col("event_id").alias("ord"))
+    return rows.groups(e).select("source_id", "row_id", "hash", F.col("first_ord.ord").alias("first"), "rows")
+
+
+@query("""
+    SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS ord, s_name AS name FROM supplier""")
+def input_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return rows.input_rows(s, "suppliers", ["s_name"], ["s_acctbal", "s_suppkey"]).select("ord", F.col("cols")["s_name"].alias("name"))
+
+
 @query("""
     WITH e AS (SELECT event_id, ts, user_id || '|' || event_type AS event_key, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r, user_id FROM events)
     SELECT event_key, event_id FROM e WHERE r = 1 AND user_id % 5 <> 0""")
