@@ -172,3 +172,44 @@ def test_header_rows_to_leads(spark):
     raw = spark.createDataFrame(cells, "source_id string, source_pos int, ord long, cols map<string,string>")
     m = identity.match_rows(row_ops.normalize(raw, ["E-mail Address", "Segment"]), *empty(spark), 1)
     assert sorted((r["ord"], r["lead_key"]) for r in m.collect()) == [(k, f"web|p{k % 3}@x.example") for k in range(4)]
+
+
+def by_names(seed, n):
+    """Many rows of few names and companies, most of them without a key; two thirds of all have one name at one company."""
+    r, rows = random.Random(seed), []
+    for k in range(n):
+        hot = r.random() < 0.66
+        name, company_ = ("Ada  Lee", "x.example") if hot else (r.choice(["Bo", "Cy", "ada lee", ""]), r.choice(["x.example", "y.example", ""]))
+        f = {"full_name": name, "company.domain": company_}
+        if r.random() < 0.15:
+            f["email"] = f"p{r.randrange(40)}@{r.choice(['x', 'y'])}.example"
+        if r.random() < 0.06 and not hot:
+            f["linkedin_url"] = f"linkedin.com/in/{r.randrange(5)}"
+        f = {k_: v for k_, v in f.items() if v}
+        source = r.choice(["crm", "crm", "crm", "web"])
+        rows.append((source, 0 if source == "crm" else 1, k, f"id{r.randrange(n)}", f, None))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_names_equal_turn_by_turn(spark, seed):
+    table = by_names(seed, 120)
+    got = identity.match_rows(spark.createDataFrame(table, ROW).repartition(3), *empty(spark), run_ms=1, by_name_sources=BY_NAME)
+    assert as_table(got) == sorted(Book().apply(table))
+
+
+def test_a_hot_name_needs_no_turns(spark, monkeypatch):
+    """Rows of one name and company, a few leads that bring it with an email: none goes to the turn-by-turn task."""
+
+    def turns(events):
+        raise AssertionError("a name without URLs was settled in turn")
+
+    monkeypatch.setattr(identity, "_take_turns", turns)
+    people = {"full_name": "Ada Lee", "company.domain": "x.example"}
+    table = [("crm", 0, k, f"id{k}", dict(people), None) for k in range(600)]
+    for k in (0, 200, 400):  # once first to go by the name, then a second lead that does
+        table[k] = ("crm", 0, k, f"id{k}", people | {"email": f"p{k}@x.example"}, None)
+    got = identity.match_rows(spark.createDataFrame(table, ROW).repartition(4), *empty(spark), run_ms=1, by_name_sources=BY_NAME)
+    want = sorted(Book().apply(table))
+    assert as_table(got) == want
+    assert sum(w[3] == "crm|id0" for w in want) == 200

@@ -50,7 +50,8 @@ def match_rows(
 
     How. Emails and groups need no turn by turn work: who first brings an email is an aggregate, and a group points at the group that
     owns its first email, which is an earlier one. Profile URLs are an aggregate too where no lead brings two and nobody is matched by name.
-    Only leads that bring several URLs, and groups that are to be matched by name, are settled in turn (``_take_turns``), a
+    Names that nobody with a URL goes by are settled by aggregates as well (``_by_name_alone``).
+    Only leads that bring several URLs, and groups to be matched by a name that is tied to URLs, are settled in turn (``_take_turns``), a
     component of those that share URLs or names at a time, from one event a lead and key; of all others
     that bring one of their URLs only the first can matter. A URL or email that a large part of all rows hold is one event.
     A company and a name that a lead has from rows of different ids, tied by a URL that is settled in turn, are not asked for by name.
@@ -156,6 +157,11 @@ def lead_fields(rows: DataFrame, matched: DataFrame, known_fields: DataFrame | N
 
 def _profile_urls(claims: DataFrame, asks: DataFrame, lines: DataFrame, held: DataFrame, stored: DataFrame, by_name: bool, unicode: bool) -> tuple[DataFrame, DataFrame]:
     """(url, owner) of all URLs, and (entity, same) of the open entities that are another lead."""
+    by_aggregates = None
+    if by_name:
+        by_aggregates = _by_name_alone(claims, asks, lines, held, stored, unicode)
+        asks = asks.join(by_aggregates.select("entity", F.lit(True).alias("__settled")), "entity", "left").withColumn("asked", F.when(F.col("__settled").isNull(), F.col("asked"))).drop("__settled")
+        asks = materialize(asks, "name-asks-left")
     has = held.select(F.col("owner").alias("entity"), "url").unionByName(stored.where("field = 'linkedin_url'").select("entity", F.col("value").alias("url"))).distinct()
     several = claims.select("entity", "url").unionByName(has).distinct().groupBy("entity").count().where("count > 1").select("entity")
     hard = materialize(several.unionByName(asks.where("asked IS NOT NULL").select("entity")).distinct(), "in-turn")
@@ -198,9 +204,45 @@ def _profile_urls(claims: DataFrame, asks: DataFrame, lines: DataFrame, held: Da
     if not hard.isEmpty():
         turned = settled.where("entity IS NOT NULL").select("entity", "same")
         same = same.join(turned.select(F.col("entity").alias("same"), F.col("same").alias("further")), "same", "left").select("entity", F.coalesce("further", "same").alias("same")).unionByName(turned)
+    if by_aggregates is not None:
+        same = same.unionByName(by_aggregates.where("same IS NOT NULL").select("entity", "same"))
     return owners, materialize(same, "same")
 
 
+def _first_told(lines: DataFrame, stored: DataFrame, unicode: bool) -> DataFrame:
+    """``entity, asked, at``: the company and name that an entity was first given, and when it had both."""
+    fields = stored.where("field IN ('company.domain', 'full_name')").select("entity", F.lit("").alias("at"), F.when(F.col("field") == "company.domain", "domain").otherwise("name").alias("what"), F.when(F.col("field") == "full_name", tx.normalize_name(F.col("value"), unicode)).otherwise(F.col("value")).alias("key"))
+    told = lines.select("entity", "at", F.explode(F.create_map(F.lit("domain"), "domain", F.lit("name"), "name")).alias("what", "key")).unionByName(fields.select("entity", "at", "what", "key"))
+    first = lambda what: F.min(F.when((F.col("what") == what) & (F.col("key") != ""), F.struct("at", "key")))
+    both = told.groupBy("entity").agg(first("domain").alias("d"), first("name").alias("n")).where("d IS NOT NULL AND n IS NOT NULL")
+    return both.select("entity", F.concat_ws("\x1f", "d.key", "n.key").alias("asked"), F.greatest("d.at", "n.at").alias("at"))
+
+
+def _by_name_alone(claims: DataFrame, asks: DataFrame, lines: DataFrame, held: DataFrame, stored: DataFrame, unicode: bool) -> DataFrame:
+    """``entity, same`` of the open entities that only a name can settle, ``same`` null where they are new: no turns, aggregates a company and name.
+
+    A name that no entity with a profile URL goes by is touched by no URL, so who goes by it, and when, does not depend on the turns of others. Of a company and name
+    the first to go by it, or to ask for it, is the lead; who asks after that is this lead, until a second lead goes by it, and new from then on.
+    A name and company that a third of all rows have are a row here, and each of its rows meets this row in a join.
+    """
+    touched = claims.select("entity").unionByName(asks.where("url != ''").select("entity")).unionByName(held.select(F.col("owner").alias("entity"))).unionByName(stored.where("field = 'linkedin_url'").select("entity")).distinct()
+    named = lines.select("entity", "name").unionByName(stored.where("field = 'full_name'").select("entity", tx.normalize_name(F.col("value"), unicode).alias("name")))
+    urls = materialize(named.join(touched, "entity", "left_semi").select("name").distinct(), "names-with-urls")
+    mine = asks.where("asked IS NOT NULL").select("entity", "at", "asked", F.substring_index("asked", "\x1f", -1).alias("name")).join(urls, "name", "left_anti")
+    mine = materialize(mine.select("entity", "at", "asked"), "name-asks")
+    told = _first_told(lines, stored, unicode).join(mine.select("asked").distinct(), "asked", "left_semi").join(mine.select("entity"), "entity", "left_anti")
+    told = materialize(told, "name-calls")
+    first = materialize(told.groupBy("asked").agg(F.min(F.struct("at", "entity")).alias("call")), "name-first-calls")
+    second = told.join(first, "asked").where(F.col("entity") != F.col("call.entity")).groupBy("asked").agg(F.min("at").alias("second"))
+    opened = mine.groupBy("asked").agg(F.min(F.struct("at", "entity")).alias("ask"))
+    j = opened.join(first, "asked", "left").join(second, "asked", "left")
+    ask_first = F.col("call").isNull() | (F.col("ask.at") < F.col("call.at"))
+    lead = j.select("asked", F.when(ask_first, F.col("ask")).otherwise(F.col("call")).alias("lead"), F.when(ask_first, F.col("call.at")).otherwise(F.col("second")).alias("until"))
+    lead = materialize(lead, "name-leads")
+    joins = (F.col("at") > F.col("lead.at")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+    return materialize(mine.join(lead, "asked").select("entity", F.when(joins, F.col("lead.entity")).alias("same")), "name-settled")
+
+
 def _take_turns(events: pd.DataFrame) -> pd.DataFrame:
     """One component's events in order: who ends up with which URL, and which open entity is another lead.
 
