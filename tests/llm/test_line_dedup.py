@@ -107,3 +107,13 @@ def test_cuckoo_filter_holds_what_was_inserted():
 def test_a_filter_that_is_full_says_so():
     f = CuckooFilter.sized(10)
     assert not f.insert(np.random.default_rng(1).integers(0, 2**63, 1_000, dtype=np.uint64), rounds=50)
+
+
+def test_an_insertion_as_large_as_what_is_there_builds_no_filter_again(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    index = LineIndex.empty(spark, shards=16)
+    sizes = []
+    for part in (0, 1):
+        index = index.insert(docs.where(f"pmod(xxhash64(doc_id), 2) = {part}"))
+        sizes.append({r["shard"]: len(r["filter"]) for r in index.filters.collect()})
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 16

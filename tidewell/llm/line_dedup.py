@@ -14,6 +14,8 @@ from tidewell.llm.text import SPACE_BYTES, slices, whole
 from tidewell.storage import materialize, work_path
 
 SLOTS = 4
+#: A filter is built for this many times the digests that are there, so that insertions of as many more find room.
+GROWTH, MOST_LOAD = 2, 0.93
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,7 +127,7 @@ class LineIndex:
     one insertion alone never meets the exact table, and lines in many documents are those that are often
     within an insertion or came again. A deletion takes postings away, counts the digests of what it took anew, and
     removes the fingerprints of those that lost their last reference: the index returns to what it was.
-    A filter that runs full is built again from the exact table. Insertions append to postings and
+    A filter is built with room for as many digests again (GROWTH); one that runs full is built anew from the exact table, twice as large, which an insertion in proportion to what is there never needs. Insertions append to postings and
     refs; all tables are Parquet, and readers keep the versions they have.
     """
 
@@ -272,13 +274,13 @@ def _probe(asked: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 def _fill(new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     if not len(filters):
         return _build(new)
-    made = CuckooFilter.load(filters["filter"].iloc[0])
-    fits = made.insert(_key64(new["digest"]))
-    return pd.DataFrame({"shard": [filters["shard"].iloc[0]], "filter": [made.dump() if fits else None], "keys": [filters["keys"].iloc[0] + len(new)]})
+    made, keys = CuckooFilter.load(filters["filter"].iloc[0]), filters["keys"].iloc[0] + len(new)
+    fits = keys <= MOST_LOAD * made.table.size and made.insert(_key64(new["digest"]))  # no kicks where there is no room
+    return pd.DataFrame({"shard": [filters["shard"].iloc[0]], "filter": [made.dump() if fits else None], "keys": [keys]})
 
 
 def _build(digests: pd.DataFrame) -> pd.DataFrame:
-    size = len(digests)
+    size = GROWTH * len(digests)
     while not (made := CuckooFilter.sized(size)).insert(_key64(digests["digest"])):
         size *= 2
     return pd.DataFrame({"shard": [digests["shard"].iloc[0]], "filter": [made.dump()], "keys": [len(digests)]})
