@@ -1,3 +1,4 @@
+import csv
 import json
 from datetime import UTC, datetime, timedelta
 
@@ -189,6 +190,13 @@ def test_export_file_is_safe_sorted_and_private(spark, tmp_path):
     assert "'=HYPERLINK()" in lines[3]
     assert ",12.5," in lines[1]
     assert path.stat().st_mode & 0o777 == 0o600
+    long = spark.createDataFrame([row(f"p{k:04}", 'say "no",\nplease' if k % 2 else None, k % 7) for k in range(900)], export.TABLE_SCHEMA).repartition(6)
+    assert export.write_csv(long, str(path)) == 900 and not list(tmp_path.glob("*draft*"))
+    with path.open(newline="", encoding="utf-8") as f:
+        read = list(csv.DictReader(f))
+    assert [r["lead_id"] for r in read] == [f"p{k:04}" for k in sorted(range(900), key=lambda k: (k % 7, k))]
+    assert {r["full_name"] for r in read} == {'say "no",\nplease', ""}
+    assert export.write_csv(long.limit(0), str(path)) == 0 and path.read_text().strip() == ",".join(export.COLUMNS)
 
 
 def test_registry_takes_a_name_once():
