@@ -95,3 +95,29 @@ def test_detectors_of_users_read_hot_subjects_in_batches(spark):
     for name, least in (("three", 3), ("five", 5)):
         assert {k: x[f"d_{name}"] for k, x in got.items()} == slow(events, least)
     assert got["hot"]["d_any"] and not got["hot"]["d_three"]
+
+
+def test_rollups_over_leads_meet_no_company_first(spark):
+    from tidewell import queries
+    from tidewell.plans.evaluate import company_rollups, company_values, lead_values
+    from tidewell.plans.rubric import compile_rubric
+
+    rubric = compile_rubric(queries.RUBRIC, unicode=False)
+    sf = "/root/testdata/sf0.001"
+    lv = lead_values(rubric, queries.customers(spark, sf))
+    cv = company_values(rubric, queries.nations(spark, sf))
+    plan = plan_of(company_rollups(rubric, lv, cv))
+    assert "Join" not in plan and "partial_max" in plan
+    # A rollup that reads a fact of the company meets it, and is right.
+    text = queries.RUBRIC.replace("  richest: { max: acctbal }\n", "  richest: { max: acctbal }\n  near_rich: { count: { all: [ { field: company.region, eq: ASIA }, { field: acctbal, gte: 0 } ] } }\n", 1)
+    assert text != queries.RUBRIC
+    mixed = compile_rubric(text, unicode=False)
+    lv, cv = lead_values(mixed, queries.customers(spark, sf)), company_values(mixed, queries.nations(spark, sf))
+    got = {r["domain"]: r for r in company_rollups(mixed, lv, cv).collect()}
+    region = {r["domain"]: r["region"] for r in queries.nations(spark, sf).collect()}
+    want = {}
+    for r in queries.customers(spark, sf).collect():
+        if r["domain"]:
+            want[r["domain"]] = want.get(r["domain"], 0) + (region.get(r["domain"]) == "ASIA" and "acctbal" in r["fields"])
+    assert {d: r["c_near_rich"] for d, r in got.items()} == want and sum(want.values()) > 0
+    assert all(r["c_richest"] is not None for r in got.values())

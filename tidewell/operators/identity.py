@@ -341,7 +341,7 @@ def sources_seen(applied: DataFrame, identities: DataFrame, live: DataFrame, cha
     ``channels`` has source_id, channel; a source that is not listed is its own channel.
     """
     seen = applied.select("lead_id", "source_id").unionByName(identities.select("lead_id", "source_id")).where("lead_id IS NOT NULL").distinct()
-    seen = seen.join(live.select("lead_id", "live_id"), "lead_id").join(F.broadcast(channels), "source_id", "left")
+    seen = seen.join(live.select("lead_id", "live_id"), "lead_id").join(channels, "source_id", "left")
     return seen.groupBy(F.col("live_id").alias("lead_id")).agg(F.count_distinct(F.coalesce("channel", "source_id")).alias("sources_seen"), F.bool_and(F.col("source_id") == RECEIVER).alias("receiver_only"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions import text as tx
@@ -105,6 +106,29 @@ def _half(rules: list[ScoreRule], half: str) -> tuple[Column, list[Column]]:
     return total, reasons
 
 
+def _resolves(df: DataFrame, c: Column) -> bool:
+    """Whether an aggregate reads columns of ``df`` only."""
+    try:
+        return bool(df.agg(c).columns)
+    except AnalysisException:
+        return False
+
+
+def company_rollups(rubric: Rubric, lv: DataFrame, cv: DataFrame) -> DataFrame:
+    """``domain`` and a ``c_`` column a rollup, one row a company that has leads.
+
+    Rollups that read leads alone are aggregated before anything is joined, so that the leads of one company, were it a third of all, are combined
+    where they are read. Only those that read facts or signals of the company meet these first, lead by lead.
+    """
+    here = lv.where("domain IS NOT NULL").withColumn("c_domain", F.col("domain"))
+    alone = [r for r in rubric.rollups if _resolves(here, _rollup(r))]
+    rest = [r for r in rubric.rollups if r not in alone]
+    out = here.groupBy("domain").agg(*map(_rollup, alone)) if alone else here.select("domain").distinct()
+    if rest:
+        out = out.join(here.join(cv, "domain", "left").groupBy("domain").agg(*map(_rollup, rest)), "domain")
+    return out
+
+
 def company_state(rubric: Rubric, leads: DataFrame, companies: DataFrame | None = None, lead_detectors: DataFrame | None = None, company_detectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(typed leads, one row a company that has leads: facts, rollups and derived values as ``c_`` columns, ``account_score``, ``account_why``)."""
     lv = lead_values(rubric, leads)
@@ -123,9 +147,7 @@ def company_state(rubric: Rubric, leads: DataFrame, companies: DataFrame | None
     # Written tables, so that Spark can split the leads of a company that has a large part of them.
     if company_detectors is not None:
         cv = materialize(cv, "companies")
-    seen = lv.where("domain IS NOT NULL").join(cv, "domain", "left").withColumn("c_domain", F.col("domain"))
-    aggs = [_rollup(r) for r in rubric.rollups]
-    state = (seen.groupBy("domain").agg(*aggs) if aggs else seen.select("domain").distinct()).join(cv, "domain", "left").withColumn("c_domain", F.col("domain"))
+    state = company_rollups(rubric, lv, cv).join(cv, "domain", "left").withColumn("c_domain", F.col("domain"))
     for d in rubric.derive:
         if d.company:
             value, why = _derived(d)
@@ -140,10 +162,10 @@ def evaluate(rubric: Rubric, leads: DataFrame, companies: DataFrame | None = Non
     reasons, blocked, lanes, rubric_version``.
 
     ``leads`` has lead_id and any of LEAD_COLUMNS, ``companies`` domain and any of COMPANY_COLUMNS, the detector
-    frames their key and a boolean ``d_<name>`` each. Only the fields that the rubric reads leave the maps. All rollups
-    are one aggregation by domain; leads meet their company's facts before it and its state after it, both on
-    domain, so a cluster shuffles leads by domain once. A domain that holds a third of all leads is
-    pre-aggregated for the rollups and split by the adaptive skew join.
+    frames their key and a boolean ``d_<name>`` each. Only the fields that the rubric reads leave the maps. Rollups over leads
+    are one aggregation by domain, combined before the shuffle; those that read facts of the company as well meet these first, and there
+    a company is not split. Leads meet their company's state by domain, and a domain that holds a third of
+    all leads is split by the adaptive skew join.
 
     Nulls: an absent value makes each comparison false; a null or empty domain is no company, with account score 0
     and no company values. Lead ids should be unique; repeated ones are each given a verdict.
