@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewell.functions import text as tx
 from tidewell.operators import detectors, events as ev, export, facts as facts_, identity, routing, rows as rows_, status as status_, tables
+from tidewell.operators.lookup import find_person, person_keys
 from tidewell.operators.people import primary_keys, survivors_filled
 from tidewell.plans.evaluate import evaluate
 from tidewell.plans.rubric import Rubric, compile_rubric, render
@@ -108,6 +109,7 @@ def work(
     keep_company_facts(s, picked, matched, tab)
     live = identity.live_leads(s.t["people"])
     live = materialize(live, "live")
+    s.t["person_keys"] = person_keys(live, s.t["identities"])
     keep_outcomes(s, new.where(~ev.suppressed(polling)), live)
     keep_ledger(s, live)
     leads, verdicts, routed = judge(s, inputs, live)
@@ -365,15 +367,14 @@ def health(s: State, raw: DataFrame | None, files: Sequence[EventFile], leads: D
 
 
 def explain_person(store: Store, key: str, unicode: bool = True) -> list[str]:
-    """The ranked rows of whoever goes by ``key``: a lead id, an email or a profile URL; merged leads are followed."""
-    spark = store.spark
-    wanted = spark.createDataFrame([(key,)], "raw string").select(tx.normalize_person(F.col("raw"), unicode).alias("k"), "raw")
-    people, keys = store.read("people"), store.read("identities")
-    names = people.select(F.col("lead_id").alias("k"), "lead_id").unionByName(keys.select(F.col("key").alias("k"), "lead_id"))
-    hit = names.join(F.broadcast(wanted), (names["k"] == wanted["k"]) | (names["k"] == wanted["raw"])).select("lead_id")
-    live = identity.live_leads(people).join(hit, "lead_id", "left_semi").select(F.col("live_id").alias("lead_id")).distinct()
+    """The ranked rows of whoever goes by ``key``: a lead id, an email or a profile URL; merged leads are followed.
+
+    The key files and the ranked rows lie in ranges, so each is read where the key is. A store that was written without key files is scanned.
+    """
+    keys = store.read("person_keys") if "person_keys" in store.manifest()["tables"] else person_keys(identity.live_leads(store.read("people")), store.read("identities"))
+    live = find_person(keys, key, unicode)
     out = []
-    for r in store.read("ranked").join(live, "lead_id", "left_semi").orderBy("lead_id").collect():
+    for r in store.read("ranked").where(F.col("lead_id").isin(*live)).orderBy("lead_id").collect():
         lines = [f"{r['full_name'] or r['email'] or r['lead_id']} ({r['status']})", *(f"{k}: {v or render(None)}" for k, v in sorted(r["derived"].items()))]
         lines.append(f"score: {render(r['score'])} (account {render(r['account_score'])}, contact {render(r['contact_score'])})")
         out.append("\n".join([*lines, f"lane: {r['lane'] or 'none'}", *(f"  - {x}" for x in (r["reasons"] or "").split("; ") if x), f"rubric: {r['rubric_version']}"]))

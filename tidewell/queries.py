@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tidewell.functions import text as tx
 from tidewell.functions.values import typed
 from tidewell.operators import detectors, events as ev, export, facts, identity, routing, rows, status, tables
+from tidewell.operators.lookup import find_people, person_keys, write_by_key
 from tidewell.operators.components import connected_components, extend_components
 from tidewell.plans.evaluate import company_state, evaluate
 from tidewell.plans.incremental import Inputs, reached, rejudge
@@ -615,6 +616,23 @@ def live_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.live_leads(table(spark, sf_dir, "part").select(k.cast("string").alias("lead_id"), into.cast("string").alias("merged_into")))
 
 
+@query("""
+    SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN (CASE WHEN c_custkey % 5 = 0 AND p IS NOT NULL THEN p ELSE c_custkey END)::VARCHAR END AS lead_id
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT c_custkey AS p FROM customer) ON p = o_custkey - 1""")
+def person_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom each order names, by email, profile URL or id, over written key files; every fifth customer is merged into the one before, and orders of every seventh name nobody."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k.cast("string").alias("lead_id"), F.when(k % 5 == 0, (k - 1).cast("string")).alias("merged_into"))
+    email = c.select(F.concat(F.lit("c"), "lead_id", F.lit("@acme.example")).alias("key"), "lead_id")
+    url = c.select(F.concat(F.lit("linkedin.com/in/c"), "lead_id").alias("key"), "lead_id")
+    path = work_path(spark, "person-keys")
+    write_by_key(person_keys(materialize(identity.live_leads(c), "live"), email.unionByName(url)), path, "key")
+    who, n = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 3
+    raw = F.when(F.col("o_custkey") % 7 == 0, F.concat(F.lit("nobody"), who, F.lit("@acme.example")))
+    raw = raw.when(n == 0, F.concat(F.lit(" C"), who, F.lit("@Acme.example"))).when(n == 1, F.concat(F.lit("https://www.linkedin.com/in/C"), who, F.lit("/?trk=x"))).otherwise(who)
+    return find_people(spark.read.parquet(path), table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "raw", unicode=False).select("o_orderkey", "lead_id")
+
+
 @query("SELECT s_suppkey::VARCHAR AS lead_id, (s_suppkey - s_suppkey % 4)::VARCHAR AS merged_into FROM supplier WHERE s_suppkey % 4 <> 0")
 def same_as_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that tie each supplier to the next within fours, and some that name nobody; the oldest of each four survives."""

@@ -16,6 +16,8 @@ class Table:
     key: tuple[str, ...] = ()
     time: str = ""
     keep: timedelta | None = None
+    #: The column that readers seek single rows by.
+    sought: str = ""
 
 
 _TABLES = (
@@ -35,7 +37,8 @@ _TABLES = (
     Table("exports", "lane_id string, lead_id string, email string, linkedin_url string, full_name string, company_domain string, score double, status string, do_not_contact boolean, reasons string, first_listed_at timestamp, updated_at timestamp", ("lane_id", "lead_id")),
     Table("push_plan", "lead_id string, lane_id string, kind string, sink string, dest string, score double, free boolean, reserve boolean", ("lead_id", "lane_id")),
     Table("enrichment_plan", "domain string, tried_at timestamp", ("domain",)),
-    Table("ranked", "lead_id string, email string, linkedin_url string, full_name string, company_domain string, derived map<string,string>, account_score double, contact_score double, score double, status string, lane string, reasons string, rubric_version string", ("lead_id",)),
+    Table("ranked", "lead_id string, email string, linkedin_url string, full_name string, company_domain string, derived map<string,string>, account_score double, contact_score double, score double, status string, lane string, reasons string, rubric_version string", ("lead_id",), sought="lead_id"),
+    Table("person_keys", "key string, lead_id string", ("key",), sought="key"),
     Table("log", "at timestamp, run_id string, level string, lead_id string, kind string, message string, rubric_version string", (), "at", timedelta(days=90)),
     Table("health", "kind string, key string, value string, first_seen_at timestamp, updated_at timestamp", ("kind", "key")),
     Table("state", "key string, value string", ("key",)),

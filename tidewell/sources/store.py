@@ -11,6 +11,7 @@ from datetime import datetime
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewell.operators.lookup import write_by_key
 from tidewell.sources.schema import TABLES, VERSION
 
 
@@ -109,7 +110,10 @@ class Store:
         if name not in TABLES:
             raise StoreError(f"unknown table {name}")
         path = f"{name}/{generation}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
+        if TABLES[name].sought:
+            write_by_key(df, f"{self.root}/{path}", TABLES[name].sought)
+        else:
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
         return path
 
     def commit(self, writes: Mapping[str, DataFrame], appends: Mapping[str, DataFrame] | None = None, now: datetime | None = None) -> int:
