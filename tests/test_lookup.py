@@ -70,3 +70,19 @@ def test_many_people_keep_their_rows(spark, few):
     assert got == {k: lead for k, (_, lead) in enumerate([*CASES, *CASES])}
     assert lookup.find_people(few.limit(0), asked, "raw", unicode=False).where("lead_id IS NOT NULL").isEmpty()
     assert lookup.find_people(few, asked.limit(0), "raw", unicode=False).isEmpty()
+
+
+def test_rows_with_one_key_or_none_are_spread(spark, few):
+    """Nulls and rows without a second key do not meet in one task; what is joined is a hash of the row."""
+    asked = spark.range(4_000).select("id", F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("p"), F.col("id").cast("string"))).alias("raw"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        got = lookup.find_people(few, asked, "raw", unicode=False).withColumn("part", F.spark_partition_id())
+        found = got.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("lead_id"))  # without lead_id Spark leaves the joins out
+        sizes = [r["n"] for r in found.collect()]
+        assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+        assert sum(sizes) == 4_000 and max(sizes) < 1.3 * 4_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

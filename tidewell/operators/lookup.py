@@ -47,12 +47,16 @@ def find_people(keys: DataFrame, wanted: DataFrame, raw: str, unicode: bool = Tr
     """``wanted`` with ``lead_id``, the live lead whom column ``raw`` names, null if nobody goes by it.
 
     The lead's own key comes before an id as it stands; rows, nulls and repeated rows included, are kept as they are.
-    A row asks with two keys at most, which are joined one after the other, so no row is multiplied.
+    A row asks with two keys at most, which are joined one after the other, so no row is multiplied. Most rows have one key only, and
+    some none: these are spread by a hash of the row instead of meeting as nulls. Of a person whom many rows name, Spark may split the rows, as nothing is grouped.
     """
     one = keys.groupBy("key").agg(F.min("lead_id").alias("lead_id"))
     k = _reference(raw, unicode)
-    asked = wanted.drop("lead_id").withColumn("k", k)
-    first = one.select(F.col("key").alias("key1"), F.col("lead_id").alias("lead1"))
-    second = one.select(F.col("key").alias("key2"), F.col("lead_id").alias("lead2"))
-    got = asked.join(first, F.col("k")[0] == F.col("key1"), "left").join(second, F.try_element_at("k", F.lit(2)) == F.col("key2"), "left")
-    return got.withColumn("lead_id", F.coalesce("lead1", "lead2")).drop("k", "key1", "key2", "lead1", "lead2")
+    asked = wanted.drop("lead_id")
+    row = F.concat(F.lit("\x00"), F.xxhash64(*(c for c, kind in asked.dtypes if "map<" not in kind)).cast("string"))
+    for n in (1, 2):
+        asked = asked.withColumn(f"has{n}", F.try_element_at(k, F.lit(n)).isNotNull()).withColumn(f"k{n}", F.coalesce(F.try_element_at(k, F.lit(n)), row))
+    for n in (1, 2):
+        names = one.select(F.col("key").alias(f"key{n}"), F.col("lead_id").alias(f"lead{n}"))
+        asked = asked.join(names, F.col(f"has{n}") & (F.col(f"k{n}") == F.col(f"key{n}")), "left")
+    return asked.withColumn("lead_id", F.coalesce("lead1", "lead2")).drop(*(f"{c}{n}" for c in ("has", "k", "key", "lead") for n in (1, 2)))
