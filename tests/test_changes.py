@@ -1,6 +1,7 @@
 """Keyed tables, chunks, retries, deals and stored bodies on odd rows."""
 
 import json
+import random
 from datetime import UTC, datetime
 
 import pytest
@@ -49,6 +50,24 @@ def test_live_leads_over_long_chains_and_cycles(spark):
     assert got["self"] == ("self", False) and got["lost"] == ("lost", False) and got["free"] == ("free", False)
 
 
+def test_live_leads_are_joined_without_broadcasts_over_any_graph(spark):
+    r = random.Random(4)
+    for n in (1, 7, 60):
+        into = {f"p{k:02}": r.choice([None, "", "gone", *(f"p{j:02}" for j in range(n))]) if r.random() < 0.8 else None for k in range(n)}
+        into |= {f"t{k:02}": f"t{k + 1:02}" for k in range(20)} | {"t20": "z1", "z1": "z2", "z2": "z0", "z0": "z1"}  # a long way into a cycle
+        step = {a: b for a, b in into.items() if b in into and b != a}
+        want = {}
+        for a in into:
+            passed = [a]
+            while passed[-1] in step and step[passed[-1]] not in passed:
+                passed.append(step[passed[-1]])
+            round_ = passed[passed.index(step[passed[-1]]) :] if passed[-1] in step else []
+            want[a] = (min(round_), True) if round_ else (passed[-1], False)
+        out = identity.live_leads(spark.createDataFrame(list(into.items()), "lead_id string, merged_into string"))
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {x["lead_id"]: (x["live_id"], x["cycle"]) for x in out.collect()} == want
+
+
 def push(lead, lane, step="1", state="failed"):
     return (lead, lane, step, "cold", "d", state, "", "", None, None, 3, "bad", NOON)
 

@@ -285,24 +285,39 @@ def _take_turns(events: pd.DataFrame) -> pd.DataFrame:
 def live_leads(people: DataFrame) -> DataFrame:
     """``lead_id, live_id, cycle``: each lead's survivor through ``merged_into``.
 
-    Pointers are doubled until all stand on a lead that is not merged, or, where some never do, until each has gone further than there are
-    merged leads: those are in, or lead into, a cycle, which counts as its smallest id and is flagged. A missing target ends the chain.
+    Pointers of merged leads are doubled, and a lead whose pointer stands on one that is not merged is settled and left out from then on.
+    A round that settles none leaves only leads that are in, or lead into, a cycle, which counts as its smallest id and is flagged: they go on
+    until no smaller id is passed and the pointers stand on cycles alone, that is on no fewer leads than a round before. A missing target ends the chain.
+    The joins are told to merge: tables of ids are small as files and many times that once broadcast through the driver.
     """
     known = people.select(F.col("lead_id").alias("to"))
-    step = people.select("lead_id", F.nullif("merged_into", F.lit("")).alias("to")).where("to != lead_id").join(known, "to", "left_semi")
+    step = people.select("lead_id", F.nullif("merged_into", F.lit("")).alias("to")).where("to != lead_id").join(known.hint("merge"), "to", "left_semi")
     step = materialize(step.select("lead_id", "to"), "merges")
-    # ``least`` is the smallest of the leads that were passed, the first one included.
-    hop = people.select("lead_id").join(step, "lead_id", "left").select("lead_id", F.coalesce("to", "lead_id").alias("live_id"), F.col("lead_id").alias("least"))
-    merged, far = step.count(), 1
-    while merged and far <= merged:
-        further = hop.select(F.col("lead_id").alias("live_id"), F.col("live_id").alias("to"), F.col("least").alias("more"))
-        hop = materialize(hop.join(further, "live_id").select("lead_id", F.col("to").alias("live_id"), F.least("least", "more").alias("least")), "live")
-        far *= 2
-        if hop.join(step.select(F.col("lead_id").alias("live_id")), "live_id", "left_semi").isEmpty():
+    # ``least`` is the smallest of the leads that were passed, the first one included; ``open`` tells those that stand on a merged lead.
+    merged = step.select(F.col("lead_id").alias("to"), F.lit(True).alias("open"))
+    hop = step.join(merged.hint("merge"), "to", "left").select("lead_id", F.col("to").alias("live_id"), F.col("lead_id").alias("least"), F.coalesce("open", F.lit(False)).alias("open"))
+    hop = materialize(hop, "live")
+    settled, on, left = hop.where("NOT open"), hop.where("open"), hop.where("open").count()
+    whole, ends = hop, None
+    while left:
+        further = whole.select(F.col("lead_id").alias("live_id"), F.col("live_id").alias("to"), F.col("least").alias("more"), F.col("open").alias("still"))
+        new = on.join(further.hint("merge"), "live_id").select("lead_id", F.col("to").alias("live_id"), F.least("least", "more").alias("least"), F.col("still").alias("open"), (F.col("more") < F.col("least")).alias("lower"))
+        new = materialize(new, "live")
+        still, lower = new.agg(F.count_if("open"), F.count_if("lower")).first()
+        if still < left:
+            settled, on, left = settled.unionByName(new.where("NOT open").drop("lower")), new.where("open").drop("lower"), still
+            whole = settled.unionByName(on)
+            continue
+        on = whole = new.drop("lower")
+        before, ends = ends, on.select("live_id").distinct().count()
+        if not lower and ends == before:
             break
-    stuck = step.select(F.col("lead_id").alias("live_id")).join(hop.select(F.col("lead_id").alias("live_id"), F.col("least").alias("round")), "live_id")
-    out = hop.join(stuck, "live_id", "left")
-    return out.select("lead_id", F.coalesce("round", "live_id").alias("live_id"), F.col("round").isNotNull().alias("cycle"))
+    out = settled.select("lead_id", "live_id", F.lit(False).alias("cycle"))
+    if left:
+        least = on.select(F.col("lead_id").alias("live_id"), F.col("least").alias("round"))
+        out = out.unionByName(on.select("lead_id", "live_id").join(least.hint("merge"), "live_id").select("lead_id", F.col("round").alias("live_id"), F.lit(True).alias("cycle")))
+    out = people.select("lead_id").join(out.hint("merge"), "lead_id", "left")
+    return out.select("lead_id", F.coalesce("live_id", "lead_id").alias("live_id"), F.coalesce("cycle", F.lit(False)).alias("cycle"))
 
 
 def namesakes(people: DataFrame, distinct_pairs: DataFrame | None = None, unicode: bool = True) -> DataFrame:
