@@ -213,3 +213,15 @@ def test_a_hot_name_needs_no_turns(spark, monkeypatch):
     want = sorted(Book().apply(table))
     assert as_table(got) == want
     assert sum(w[3] == "crm|id0" for w in want) == 200
+
+
+def test_profile_urls_are_parted_once_and_blank_ones_not_at_all(spark):
+    from tidewell.functions import text as tx
+
+    odd = [None, "", "  ", "https://www.linkedin.com/in/Ada/?x=1", "//linkedin.com/in/bo", "linkedin.com:443/pub/a/b/c/d/e", "u@linkedin.com/in/%41+b", "linkedin.com/in/%zz", "linkedin.com/in/..", "linkedin.com/in", "evil.com/linkedin.com/in/x", "http://", "x.linkedin.com//in//q#f"]
+    want = [*[""] * 3, "linkedin.com/in/ada", "linkedin.com/in/bo", "linkedin.com/pub/a/b/c/d", "linkedin.com/in/a+b", "", "", "", "", "", "linkedin.com/in/q"]
+    df = spark.createDataFrame(list(enumerate(odd)), "k int, u string")
+    out = df.select("k", tx.canonical_linkedin(F.col("u"), False).alias("a"), tx.canonical_linkedin(F.col("u")).alias("b"))
+    assert [(r["a"], r["b"]) for r in out.orderBy("k").collect()] == [(w, w) for w in want]
+    plan = df.select(tx.canonical_linkedin(F.col("u"), False).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 2 and plan.count("try_url_decode") + plan.count("tryDecode") <= 2

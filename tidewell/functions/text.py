@@ -7,7 +7,7 @@ Unicode normal form; pass ``unicode=False`` where the input is known to be compo
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -157,30 +157,49 @@ def email_fault(email: Column) -> Column:
     )
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for a row, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def canonical_linkedin(text: Column, unicode: bool = True) -> Column:
-    """``linkedin.com/in/<slug>`` or ``linkedin.com/pub/...`` of a profile URL, empty for anything else."""
+    """``linkedin.com/in/<slug>`` or ``linkedin.com/pub/...`` of a profile URL, empty for anything else.
+
+    A blank text is told first, and the parts of a URL are taken once each: rows without a URL cost nothing.
+    """
+
+    def taken(s: Column) -> Column:
+        s = F.when(F.contains(s, F.lit("://")), s).otherwise(F.concat(F.lit("https://"), F.regexp_replace(s, "^//", "")))
+        return _once(F.regexp_extract(s, r"(?s)^[a-z][a-z0-9+.-]*://(.*)$", 1), parted)
+
+    def parted(rest: Column) -> Column:
+        authority = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
+        host = F.regexp_replace(F.substring_index(authority, "@", -1), r":\d*$", "")
+        path = F.regexp_replace(F.regexp_replace(rest, r"(?s)^[^/?#]*", ""), r"(?s)[?#].*$", "")
+        return F.struct(host.alias("host"), path.alias("path"))
+
+    def plain_of(path: Column) -> Column:
+        parts = F.filter(F.split(path, "/"), lambda p: p != "")
+        return F.transform(parts, lambda p: F.lower(trim(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))))))
+
+    def form(host: Column, path: Column, plain: Column, plain_ok: Column) -> Column:
+        odd = F.exists(plain, lambda p: p.isNull() | p.isin("", ".", "..") | p.contains("/")) | path.rlike("%(?![0-9a-f]{2})")
+        ours = (host == "linkedin.com") | host.endswith(".linkedin.com")
+        head = F.try_element_at(plain_ok, F.lit(1))
+        return (
+            F.when(~ours | F.coalesce(odd, F.lit(True)) | (F.size(plain) < 2), F.lit(""))
+            .when(head == "in", F.concat(F.lit("linkedin.com/in/"), F.try_element_at(plain_ok, F.lit(2))))
+            .when(head == "pub", F.concat(F.lit("linkedin.com/"), F.array_join(F.slice(plain_ok, 1, 5), "/")))
+        )
+
     s = F.lower(trim(text))
-    s = F.when(F.contains(s, F.lit("://")), s).otherwise(F.concat(F.lit("https://"), F.regexp_replace(s, "^//", "")))
-    rest = F.regexp_extract(s, r"(?s)^[a-z][a-z0-9+.-]*://(.*)$", 1)
-    authority = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
-    host = F.regexp_replace(F.substring_index(authority, "@", -1), r":\d*$", "")
-    path = F.regexp_replace(F.regexp_replace(rest, r"(?s)^[^/?#]*", ""), r"(?s)[?#].*$", "")
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    plain = F.transform(parts, lambda p: F.lower(trim(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))))))
+    url = _once(s, taken)
     if unicode:
-        joined = nfc(F.array_join(plain, "\x00"))
-        plain_ok = F.split(joined, "\x00")
+        plain = plain_of(url["path"])
+        made = form(url["host"], url["path"], plain, F.split(nfc(F.array_join(plain, "\x00")), "\x00"))
     else:
-        plain_ok = plain
-    odd = F.exists(plain, lambda p: p.isNull() | p.isin("", ".", "..") | p.contains("/")) | path.rlike("%(?![0-9a-f]{2})")
-    ours = (host == "linkedin.com") | host.endswith(".linkedin.com")
-    head = F.try_element_at(plain_ok, F.lit(1))
-    return F.coalesce(
-        F.when(~ours | F.coalesce(odd, F.lit(True)) | (F.size(plain) < 2), F.lit(""))
-        .when(head == "in", F.concat(F.lit("linkedin.com/in/"), F.try_element_at(plain_ok, F.lit(2))))
-        .when(head == "pub", F.concat(F.lit("linkedin.com/"), F.array_join(F.slice(plain_ok, 1, 5), "/"))),
-        F.lit(""),
-    )
+        made = _once(url, lambda u: _once(plain_of(u["path"]), lambda plain: form(u["host"], u["path"], plain, plain)))
+    return F.when(s == "", F.lit("")).otherwise(F.coalesce(made, F.lit("")))
 
 
 def normalize_person(text: Column, unicode: bool = True) -> Column:
