@@ -225,3 +225,14 @@ def test_profile_urls_are_parted_once_and_blank_ones_not_at_all(spark):
     assert [(r["a"], r["b"]) for r in out.orderBy("k").collect()] == [(w, w) for w in want]
     plan = df.select(tx.canonical_linkedin(F.col("u"), False).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") <= 2 and plan.count("try_url_decode") + plan.count("tryDecode") <= 2
+
+
+def test_lead_fields_joins_the_rows_once(spark, monkeypatch):
+    from tidewell import queries
+
+    wrote = []
+    monkeypatch.setattr(identity, "materialize", lambda df, tag, f=identity.materialize: (wrote.append(tag), f(df, tag))[1])
+    out = queries.lead_fields(spark, "/root/testdata/sf0.001")
+    assert wrote[-1] == "matched-fields"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_custkey" not in plan and "o_orderkey" not in plan  # the tables were read, normalized and matched before

@@ -131,7 +131,8 @@ def lead_fields(rows: DataFrame, matched: DataFrame, known_fields: DataFrame | N
     The receiver may correct the email it gave itself: the last email that its group brought counts, unless
     another group of the lead is the receiver's too or goes by an address that would be replaced.
     """
-    r = rows.select("source_id", "row_id", "ord", "fields").join(matched, ["source_id", "row_id", "ord"])
+    # A written table, as ``matched`` should be: rows are normalized and joined once, and not for each of the aggregates below.
+    r = materialize(rows.select("source_id", "row_id", "ord", "fields").join(matched, ["source_id", "row_id", "ord"]), "matched-fields")
     skip = lambda k: ((k == "email") & F.col("email_conflict")) | ((k == "linkedin_url") & F.col("url_conflict"))
     long = r.select("lead_id", "source_id", "row_id", "at", "email_conflict", F.explode(F.map_filter("fields", lambda k, v: ~skip(k))).alias("field", "value")).where("value != ''")
     work = r.select("lead_id", "source_id", "at", tx.company_domain_of(_field("email")).alias("value")).where("value IS NOT NULL")

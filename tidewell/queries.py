@@ -573,7 +573,7 @@ def identity_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT lead_key, 'company.domain', 'n.example' FROM lead""")
 def lead_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, known, applied = _keyed_rows(spark, sf_dir)
-    m = identity.match_rows(r, known, applied, run_ms=1_706_659_200_000, unicode=False)
+    m = materialize(identity.match_rows(r, known, applied, run_ms=1_706_659_200_000, unicode=False), "matches")
     keys = m.select("lead_id", "lead_key").distinct()
     return identity.lead_fields(r, m).join(keys, "lead_id").select("lead_key", "field", "value")
 
