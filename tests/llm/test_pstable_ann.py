@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from tidewell.llm import pstable_ann as ann
@@ -64,6 +66,24 @@ def test_hot_vectors_and_salts(spark):
         assert got == brute(rows, [i for i, _ in rows if i % 100 == 0], 10)
 
 
+def test_probes_of_hot_buckets_do_not_travel_through_the_driver(spark):
+    """Few queries make many probes; what a join with the salts broadcasts is read from the hot buckets."""
+    r = np.random.default_rng(4)
+    rows = [(k, [1.0, 2.0, 3.0, 4.0] if k % 3 == 0 else r.normal(size=4).tolist()) for k in range(600)]
+    kept = ann.materialize(spark.createDataFrame(rows, "vec_id long, v array<double>"), "test-base")
+    asked = ann.materialize(kept.where("vec_id % 20 = 0").withColumnsRenamed({"vec_id": "query_id", "v": "q"}), "test-asked")
+    out = ann._level(kept, asked, 10, ann.Hashes.drawn(4, 2.0, 2, 4), ann.perturbations(4, 20), 3, 40)
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(re.match(r"[\s:+|-]*", x)[0]) for x in plan]
+    sent = []
+    for i, x in enumerate(plan):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            sent.append("\n".join(plan[i:end]))
+    assert [x for x in sent if "MapInArrow" in x] == []
+    assert len(sent) == 2 and all("salts" in x for x in sent)
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, []), (None, [1.0, 1.0]), (7, [1.0, 0.5]), (7, [1.0, 0.5]), (100, [0.0, 0.0]), (200, [1.0, 0.0])]

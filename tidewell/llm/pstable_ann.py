@@ -362,17 +362,22 @@ def _chance(distance: Column, chance: np.ndarray, slot: float) -> Column:
 
 
 def _level(kept: DataFrame, asked: DataFrame, k: int, hashes: Hashes, sets: list[np.ndarray], shards: int, shard_rows: int) -> DataFrame:
-    """What one set of tables finds: ``query_id, vec_id, score``, k rows a task at most."""
+    """What one set of tables finds: ``query_id, vec_id, score``, k rows a task at most.
+
+    Of the joins only the hot buckets travel through the driver, a row for each ``shard_rows`` entries at most. Spark takes the
+    probes for as small as the queries that they are made from, and would broadcast them rather than the salts.
+    """
     entries = kept.mapInArrow(_base(hashes, shards), "t int, shard long, bucket long, vec_id long, v array<double>")
-    hot = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
-    hot = materialize(hot.select("bucket", F.ceil(F.col("n") / shard_rows).cast("long").alias("salts")), "ann-hot")
+    hot = entries.groupBy("t", "shard", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
+    hot = materialize(hot.select("t", "shard", "bucket", F.ceil(F.col("n") / shard_rows).cast("long").alias("salts")), "ann-hot")
     none = F.lit(1).cast("long")
-    entries = entries.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.coalesce("salts", none))).drop("salts")
+    entries = entries.join(F.broadcast(hot.drop("shard")), ["t", "bucket"], "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.coalesce("salts", none))).drop("salts")
     wanted = asked.mapInArrow(_probes(hashes, sets, shards), "t int, shard long, query_id long, q array<double>, buckets array<long>")
-    salts = entries.groupBy("t", "shard").agg(F.max("salt").alias("top")) if not hot.isEmpty() else None
-    if salts is None:
+    if hot.isEmpty():
         wanted = wanted.withColumn("salt", F.lit(0).cast("long"))
     else:
-        wanted = wanted.join(salts, ["t", "shard"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "top"))).drop("top")
+        most = F.broadcast(hot.groupBy("t", "shard").agg(F.max("salts").alias("most")))
+        salts = F.sequence(F.lit(0).cast("long"), F.coalesce("most", none) - 1)
+        wanted = wanted.join(most, ["t", "shard"], "left").withColumn("salt", F.explode(salts)).drop("most")
     key = ["t", "shard", "salt"]
     return entries.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
