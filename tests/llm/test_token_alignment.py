@@ -102,3 +102,54 @@ def test_nothing(spark, nothing):
     assert made.documents().count() == 0 and made.pairs().count() == 0
     only = spark.createDataFrame([(1, None), (2, ""), (None, "▁")], "doc_id long, text string")
     assert sorted(map(tuple, ta.align_corpus(only, A, B).documents().collect()), key=repr) == sorted([(i, 0, 0, 0, 0, 0, 0, "") for i in (1, 2, None)], key=repr)
+
+
+class Asked:
+    """A library's processor that counts the characters it is given to encode."""
+
+    def __init__(self, inner):
+        self.inner, self.chars = inner, 0
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def encode(self, texts, **options):
+        self.chars += len(texts) if isinstance(texts, str) else sum(map(len, texts))
+        return self.inner.encode(texts, **options)
+
+
+def test_words_that_come_again_are_not_encoded_again():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(r.choices(words, k=200)) for _ in range(100)]
+    pair = ta.Pair(A, B)
+    pair.b = Asked(pair.b)
+    told = [x for lo in range(0, 100, 20) for x in pair.encode(texts[lo : lo + 20])]
+    assert told == list(ta.Pair(A, B).encode(texts))
+    assert pair.b.chars < sum(map(len, texts)) / 20
+    assert list(pair.encode(["x" * 1_000 + " a"])) == [pair._whole("x" * 1_000 + " a")]
+    assert 250 < len(pair.known) < 310 and max(map(len, pair.known)) <= 4 * 64  # long ones are not kept
+
+
+def test_units_of_words_give_the_ids_of_whole_texts():
+    r = random.Random(6)
+    parts = ["a", "the ", " of", "  ", "   ", "\n", "\n\n", "\t", "\r\n", "\r", "'s", "'ll", "'", "don't", " 're", "é", "ñ", "12", " 3.5", "!!", "();", "/**", " {", "=>", "½", "µ", "…", "x" * 12, "ing", "Über", "\n    code", "<0x41>", "<unk>"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(3_000)]
+    a_lib, b_lib = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a_lib.encode_special_tokens = True
+    want = [(a_lib.encode(" " + t, add_special_tokens=False).ids, b_lib.encode(t)) for t in texts]
+    for most in (250_000, 40):  # the second forgets all the time
+        pair = ta.Pair(A, B, most)
+        whole, asked = pair._whole, []
+        pair._whole = lambda t: asked.append(t) or whole(t)  # noqa: B023
+        got = [x for lo in range(0, 3_000, 50) for x in pair.encode([*texts[lo : lo + 50], None, ""])]
+        assert [got.pop(k) for k in range(len(got) - 1, -1, -1) if k % 52 > 49] == [(b"", b"")] * 120
+        assert [(np.frombuffer(a, "<u4").tolist(), np.frombuffer(b, "<u4").tolist()) for a, b in got] == want
+        assert not asked
+
+
+def test_units_that_do_not_spell_their_text_leave_it_to_the_libraries():
+    pair = ta.Pair(A, B)
+    k = pair.b.encode("lamp")[-1]
+    pair.bytes_b[k] = b"?"
+    assert [bool(a) for a, _ in pair.encode(["a lamp", "a tree", "lamp. Tree", "\n lamp", "a"])] == [False, True, False, False, True]

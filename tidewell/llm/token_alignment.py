@@ -25,51 +25,157 @@ VECTOR = "bucket int, part int, counts binary"
 # --- two tokenizers ---------------------------------------------------------------
 
 
-class PlainEncoder(tokens.Encoder):
-    """Ids in which the strings of special tokens are plain text."""
-
-    def __init__(self, path: str, most: int = 50_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.marks = None
-        self.known = tokens._Pieces(self.tokenizer.model.tokenize, most)
+class Pair:
+    """A byte-level BPE (A) and a piece model with byte fallback (B), and the bytes of their entries.
 
+    Texts are cut into units where neither tokenizer reaches across: where a piece of A begins and no entry of B holds the two characters
+    on both sides, so that no merge of B can join them. The different units of a stretch of texts are found by arrays, and each library is asked
+    once for those that are not known, all in one text. Units are known by their characters, with a mark on each further piece of A that begins inside.
+    Texts with other characters than those that ``tokens`` sorts are encoded whole by the libraries, and so are all if B's normaliser changes one of these.
+    """
 
-class Pair:
-    """A byte-level BPE (A) and a piece model with byte fallback (B), and the bytes of their entries."""
+    MARK = 1 << 24
+    LONGEST = 64  # characters of a unit that is kept, so that memory is bounded
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, most: int = 200_000):
         from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
 
-        self.a = PlainEncoder(path_a)
+        self.a = Tokenizer.from_file(path_a)
+        self.a.encode_special_tokens = True  # the strings of special tokens are plain text
         self.b = SentencePieceProcessor(model_file=path_b)
-        back = {c: b for b, c in tokens._byte_chars().items()}
-        entries = self.a.tokenizer.get_vocab(with_added_tokens=True)
+        self.chars = tokens._byte_chars()
+        back = {c: b for b, c in self.chars.items()}
+        entries = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, k in entries.items():
             self.bytes_a[k] = b"".join(bytes([back[c]]) if c in back else c.encode() for c in entry)
-        piece = self.b.id_to_piece
-        self.bytes_b = [bytes([int(piece(k)[3:5], 16)]) if self.b.is_byte(k) else piece(k).replace("▁", " ").encode() for k in range(self.b.get_piece_size())]
+        pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        self.most, self.known, self.older = most, {}, {}
+        self.feed = self.b.encode("\n")  # B puts a space before it
+        sorted_ = [c for c in map(chr, range(1, tokens._TOP)) if tokens._KIND[ord(c)]]
+        self.number = np.zeros(tokens._TOP, np.int64)
+        self.number[[ord(c) for c in sorted_]] = np.arange(1, len(sorted_) + 1)
+        self.joined = np.zeros((len(sorted_) + 1,) * 2, bool)
+        for p in pieces:
+            at = [self.number[ord(c)] if ord(c) < tokens._TOP else 0 for c in p.replace("▁", " ")]
+            self.joined[at[:-1], at[1:]] = True
+        self.joined[0] = self.joined[:, 0] = False
+        some = "".join(["  ", *sorted_, "  "])
+        line = self.number[10]
+        self.by_units = self.b.normalize(some) == "▁" + some.replace(" ", "▁") and len(self.feed) == 2 and not (self.joined[line].any() or self.joined[:, line].any())
+
+    def _spelled(self, a: list[int], b: list[int], want: bytes) -> bool:
+        return b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
+
+    def _whole(self, text: str) -> tuple[bytes, bytes]:
+        """By the libraries alone."""
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        return (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if self._spelled(a, b, (" " + text).encode()) else (b"", b"")
+
+    def _unit(self, unit: bytes) -> bytes:
+        """One unit: the number of ids of A, these, and the ids of B; a 0 alone if they do not spell it."""
+        cp = np.frombuffer(unit, np.uint32)
+        parts = [x.tobytes().decode("utf-32-le") for x in np.split(cp & (self.MARK - 1), np.flatnonzero(cp >= self.MARK))]
+        a = [t.id for p in parts for t in self.a.model.tokenize(p.encode().decode("latin-1").translate(self.chars))]
+        b = self.b.encode("\n" + "".join(parts))[2:]
+        return np.array([len(a), *a, *b] if self._spelled(a, b, "".join(parts).encode()) else [0], "<u4").tobytes()
+
+    def _units(self, units: list[bytes]) -> Iterator[bytes]:
+        """Units that are one piece of A, not of white space alone. B gets many as lines of one text: it cuts before and after a line feed."""
+        text = b"\n\0\0\0".join(units).decode("utf-32-le")
+        tokenize, ids_a, n_a = self.a.model.tokenize, [], []
+        for piece in text.encode().decode("latin-1").translate(self.chars).split(self.chars[10]):
+            found = tokenize(piece)
+            n_a.append(len(found))
+            ids_a += [t.id for t in found]
+        lines, feed = text.split("\n"), self.feed[1]
+        ids_b = np.array([k for lo in range(0, len(lines), 256) for k in self.b.encode("\n" + "\n".join(lines[lo : lo + 256]))[1:]], "<u4")
+        cut = np.append(np.flatnonzero(ids_b == feed), len(ids_b))
+        if len(cut) != len(units) + 1 or not self._spelled(ids_a, ids_b[ids_b != feed].tolist(), text.replace("\n", "").encode()):
+            yield from map(self._unit, units)
+            return
+        n_a, n_b = np.array(n_a), np.diff(cut) - 1
+        size = 1 + n_a + n_b
+        first = np.cumsum(size) - size
+        out = np.empty(size.sum(), "<u4")
+        out[first] = n_a
+        out[_spread(first + 1, n_a)] = ids_a
+        out[_spread(first + 1 + n_a, n_b)] = ids_b[ids_b != feed]
+        flat, ends = out.tobytes(), (4 * np.cumsum(size)).tolist()
+        yield from (flat[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False))
+
+    def _look_up(self, units: np.ndarray) -> list[bytes]:
+        """Different units. At ``most`` entries the store becomes the older generation and a new one begins."""
+        found = [*map(self.known.get, units)]
+        left = [k for k, v in enumerate(found) if v is None]
+        if len(self.known) + len(left) > self.most:
+            self.older, self.known = self.known, {}
+        new = []
+        for k in left:
+            v = found[k] = self.older.get(units[k])
+            if v is None:
+                new.append(k)
+        if new:
+            flat = np.frombuffer(b"".join([units[k] for k in new]), np.uint32)
+            stop = np.cumsum(np.fromiter((len(units[k]) for k in new), np.int64, len(new)) // 4)
+            odd = np.logical_or.reduceat(flat >= self.MARK, np.concatenate([[0], stop[:-1]]))
+            last = flat[stop - 1] & (self.MARK - 1)
+            odd |= (tokens._KIND[last] == tokens._BLANK) | (last == 0)
+            plain = [k for k, o in zip(new, odd.tolist(), strict=True) if not o]
+            for k, v in zip(plain, self._units([units[k] for k in plain]) if plain else (), strict=True):
+                found[k] = v
+            for k in new:
+                if found[k] is None:
+                    found[k] = self._unit(units[k]) if units[k] != b"\0\0\0\0" else bytes(4)
+        self.known.update((units[k], found[k]) for k in left if len(units[k]) <= 4 * self.LONGEST)
+        return found
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of A and B of each text as little-endian 32-bit numbers; none where their bytes are not the text's, with a space before it."""
-        full = [" " + t if t else "" for t in texts]
-        stream, ends = self.a.encode(full, 0)
-        starts = np.concatenate([[0], ends[:-1]])
-        pieces = self.b.encode([t or "" for t in texts], num_threads=1)
-        for text, lo, hi, b in zip(full, starts, ends, pieces, strict=True):
-            a, want = stream[lo : hi - 1], text.encode()
-            if not text or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
-                yield b"", b""
-            else:
-                yield a.astype("<u4").tobytes(), np.array(b, "<u4").tobytes()
+        whole = [bool(t) and not (self.by_units and tokens._OTHER.search(t) is None) for t in texts]
+        data = "\0".join([*("" if w or not t else " " + t for t, w in zip(texts, whole, strict=True)), ""]).encode("utf-32-le")
+        cp = np.frombuffer(data, np.uint32)
+        if not len(cp):
+            return
+        at = tokens.starts_of_pieces(cp)
+        number = self.number[cp[at]]
+        inner = self.joined[self.number[cp[at - 1]], number]
+        inner[0] = False
+        if inner.any():
+            cp = cp.copy()
+            cp[at[inner]] |= self.MARK
+            at = at[~inner]
+        edges = np.append(at, len(cp)).astype(np.int64) * 4
+        units = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(cp)]).dictionary_encode()
+        ids = self._look_up(units.dictionary.to_numpy(zero_copy_only=False))
+        place, size = np.asarray(units.indices), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        first, end = np.cumsum(size) - size, cp[at] == 0
+        n_a = flat[first].astype(np.int64)
+        streams, stops = [], []
+        for start, n in ((first + 1, n_a), (first + 1 + n_a, size - 1 - n_a)):
+            count = n[place]
+            streams.append(flat[_spread(start[place], count)].tobytes())
+            stops.append((4 * np.cumsum(count)[end]).tolist())
+        bad = np.diff(np.cumsum((size == 1)[place])[end], prepend=0) > 1  # more than the text's end is without ids
+        for text, w, x, lo_a, hi_a, lo_b, hi_b in zip(texts, whole, bad.tolist(), [0, *stops[0]], stops[0], [0, *stops[1]], stops[1], strict=False):
+            yield self._whole(text) if w or x else (streams[0][lo_a:hi_a], streams[1][lo_b:hi_b])
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` numbers from each ``first`` on, in a row."""
+    stop = np.cumsum(n)
+    out = np.repeat(first - (stop - n), n)
+    out += np.arange(len(out))
+    return out
 
 
 @lru_cache(maxsize=1)
 def pair_of(path_a: str, path_b: str) -> Pair:
+    """One a worker; tasks of later stages, which encode nothing, let go of it."""
     return Pair(path_a, path_b)
 
 
@@ -218,6 +324,8 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray
 
 def _distinct(len_a: np.ndarray, len_b: np.ndarray, most_bytes: int, most_known: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair_of.cache_clear()
+        hand_back()
         known = np.zeros(0, np.int64)
         for batch in batches:
             for _, a, b in _lists(batch, most_bytes):
@@ -255,6 +363,7 @@ def _count(folder: str, buckets: int, lo: int, hi: int, len_a: np.ndarray, len_b
     """Dense counts of the buckets from ``lo`` to ``hi``: one vector a bucket that the task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair_of.cache_clear()
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for _, a, b in _lists(batch, most_bytes):
@@ -328,6 +437,7 @@ class Alignment:
         folder, n_buckets, top, len_a, len_b, most_bytes = self.folder, self.n_buckets, self.top, self.len_a, self.len_b, self.most_bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pair_of.cache_clear()
             words = [f"{k}{end}" for n, ends in ((len(len_a), ",|"), (len(len_b), ",;")) for end in ends for k in range(n)]
             for batch in batches:
                 for ids, a, b in _lists(batch, most_bytes):
