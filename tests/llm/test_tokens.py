@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -50,6 +51,50 @@ def test_known_pieces_are_bounded():
     for k in range(200):
         assert e.encode([f"word{k} and"], 0)[0].tolist() == [*ids_of(f"word{k} and"), 0]
     assert len(e.known) <= 50 and len(e.known.older) <= 50
+    text = " ".join(f"many{k}x" for k in range(200))
+    assert e.encode([text], 0)[0].tolist() == [*ids_of(text), 0]
+    assert len(e.known) <= 50 and len(e.known.older) <= 50
+
+
+def test_new_pieces_share_calls(monkeypatch):
+    calls = []
+    e = Encoder(PATH)
+    tokenize = e.known.tokenize
+    monkeypatch.setattr(e.known, "tokenize", lambda written: calls.append(written) or tokenize(written))
+    text = " ".join(f"déjà{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}—ÿ" for k in range(1_000))
+    assert e.encode([text, None, text], 0)[0].tolist() == [*ids_of(text), 0, 0, *ids_of(text), 0]
+    assert 1_000 < len(e.known) and len(calls) < 10
+    calls.clear()
+    assert e.encode([text], 0)[0].tolist() == [*ids_of(text), 0] and not calls
+
+
+def test_long_pieces_are_not_kept():
+    e = Encoder(PATH)
+    text = "short " + "long" * 100
+    assert e.encode([text, text], 0)[0].tolist() == [*ids_of(text), 0] * 2 and b"short" in e.known
+    assert max(map(len, e.known)) <= 64
+
+
+def test_pieces_are_known_to_later_tasks_until_the_next_stage():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words and", "more words"])], ["doc_id", "text"])
+    encode = token_store._encode(PATH, 0, 2)
+    first = [b.to_pylist() for b in encode(iter([batch]))]
+    kept = token_store._encoder(PATH)
+    kept.known.tokenize = None  # a second question would fail
+    assert [b.to_pylist() for b in encode(iter([batch]))] == first and b" words" in kept.known
+    assert [*token_store._first_of_each(iter([]))] == [] and token_store._encoder.cache_info().currsize == 0
+
+
+def test_pieces_are_asked_alone_where_an_entry_holds_the_parting_byte(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    vocab = {c: k for k, c in enumerate(["a", "b", "Ġ", "Ā", "ÿ", "aÿ"])}
+    made = Tokenizer(models.BPE(vocab, [("a", "ÿ")]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(path := str(tmp_path / "made.json"))
+    e = Encoder(path)
+    assert (e.known.asked, ENCODER.known.asked > 1) == (1, True)
+    assert e.encode(["a b a", "ba"], 9)[0].tolist() == [0, 2, 1, 2, 0, 9, 1, 0, 9]
 
 
 # --- packing ----------------------------------------------------------------------
@@ -143,6 +188,17 @@ def test_cuts_follow_the_content():
     assert token_store.cuts(np.zeros(10_000, "<u4"))[-1] == 10_000
 
 
+def test_the_first_of_each_chunk_over_batches():
+    names = ["doc_id", "n_tokens", "recipe", "digest", "payload", "chunk"]
+    # A document's root that is also a chunk's digest hides no chunk, and documents with one root all stay.
+    rows = [(b"a", False), (b"a", False), (b"b", False), (b"b", True), (b"b", True), (b"b", True), (b"c", True), (b"d", True), (b"d", True)]
+    for size in range(1, 10):
+        cut = [rows[k : k + size] for k in range(0, len(rows), size)] + [[]]
+        batches = [pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64())] * 2 + [pa.nulls(len(p), pa.binary()), pa.array([d for d, _ in p], pa.binary()), pa.nulls(len(p), pa.binary()), pa.array([c for _, c in p], pa.bool_())], names) for p in cut]
+        got = [(d, c) for b in token_store._first_of_each(iter(batches)) for d, c in zip(b.column(3).to_pylist(), b.column(5).to_pylist())]
+        assert got == [*rows[:3], (b"b", True), (b"c", True), (b"d", True)]
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     return f"file://{tmp_path}/store"

@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.llm.text import hand_back
@@ -109,11 +112,17 @@ def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 # --- writing --------------------------------------------------------------------
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str) -> Encoder:
+    """One for all tasks of the encoding that a worker gets, as about half the pieces of a task are new to it; the next stage lets it go."""
+    return Encoder(tokenizer, most=400_000)
+
+
 def _encode(tokenizer: str, end_id: int, width: int):
     """One row a document with its recipe, and one row a chunk that is new in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer).encode
+        encode = _encoder(tokenizer).encode
         seen: set[bytes] = set()
         for batch in batches:
             for lo, texts in stretches(batch.column(1)):
@@ -154,7 +163,6 @@ def _encode(tokenizer: str, end_id: int, width: int):
                     ],
                     ["doc_id", "n_tokens", "recipe", "digest", "payload"],
                 )
-        del encode  # and the pieces it knows
         hand_back()
 
     return run
@@ -162,15 +170,17 @@ def _encode(tokenizer: str, end_id: int, width: int):
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first row of each chunk digest in rows that lie sorted; all document rows."""
+    if _encoder.cache_info().currsize:
+        _encoder.cache_clear()
+        hand_back()
     last = None
     for batch in batches:
-        keep = []
-        for k, (d, chunk) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-            if not chunk or d != last:
-                keep.append(k)
-            if chunk:
-                last = d
-        yield batch.take(pa.array(keep, pa.int64()))
+        if not batch.num_rows:
+            continue
+        chunk = pc.if_else(batch.column(5), batch.column(3), None)
+        before = pa.concat_arrays([pa.array([last], chunk.type), chunk.slice(0, len(chunk) - 1)])
+        yield batch.filter(pc.fill_null(pc.not_equal(chunk, before), True))
+        last = chunk[-1].as_py()
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text", range_docs: int = 100_000) -> None:
@@ -257,13 +267,14 @@ def _steps(df: DataFrame) -> DataFrame:
 def _sums(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc, n = [], []
-            for d, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            digests, payloads = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for d, data in zip(digests, payloads, strict=True):
                 if hashlib.sha256(data).digest() != d:
                     raise ValueError(f"chunk {d.hex()} does not hold what its digest says")
-                ids = np.frombuffer(data, f"<u{width}").astype("<u4")
-                crc.append(zlib.crc32(ids.tobytes()))
-                n.append(len(ids))
+            ids = memoryview(np.frombuffer(b"".join(payloads), f"<u{width}").astype("<u4").tobytes())
+            n = [len(data) // width for data in payloads]
+            stop = [4 * x for x in accumulate(n)]
+            crc = [zlib.crc32(ids[lo:hi]) for lo, hi in zip([0, *stop], stop)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array(n, pa.int64())], ["digest", "crc", "n"])
 
     return run

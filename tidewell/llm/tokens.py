@@ -6,6 +6,8 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,11 @@ _SIGN = "!-/:-@\\[-`{-~¡-©«-±´¶·»¿×÷–—‘-„…"
 _OTHER = re.compile(f"[^{_WORD}{_NUMBER}{_SPACE}{_SIGN}]")
 _END, _W, _N, _S, _BLANK = range(5)
 _TOP = 0x2027
+_ID = attrgetter("id")
+#: Pieces that the library is asked for in one call.
+ASKED = 200
+#: Bytes of the longest pieces that stay known.
+LONGEST = 64
 
 
 def _kinds() -> np.ndarray:
@@ -64,25 +71,42 @@ def _byte_chars() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """piece (UTF-32) -> its ids as bytes, asked of the library once.
+    """piece (UTF-8) -> its ids as bytes, asked of the library once.
 
     At ``most`` entries the store becomes the older generation and a new one begins, so common
-    pieces stay known and memory is bounded by twice that.
+    pieces stay known and memory is bounded by twice that, of LONGEST bytes each.
     """
 
-    def __init__(self, tokenize, most: int):
+    def __init__(self, tokenize, most: int, parting: int | None):
         super().__init__()
-        self.tokenize, self.most, self.older, self.chars = tokenize, most, {}, _byte_chars()
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(piece)
-        if ids is None:
-            written = piece.decode("utf-32-le").encode().decode("latin-1").translate(self.chars)
-            ids = array("I", [t.id for t in self.tokenize(written)]).tobytes()
-        self[piece] = ids
+        self.tokenize, self.most, self.older, self.chars, self.parting = tokenize, most, {}, _byte_chars(), parting
+        self.asked = 1 if parting is None else ASKED
+
+    def _ask(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces in one call, parted by the byte that UTF-8 lacks: as no merge holds it, none reaches from piece to piece."""
+        written = b"\xff".join(pieces).decode("latin-1").translate(self.chars)
+        ids = array("I", map(_ID, self.tokenize(written)))
+        at = [] if len(pieces) == 1 else np.flatnonzero(np.frombuffer(ids, np.uint32) == self.parting).tolist()
+        data = ids.tobytes()
+        return [data[4 * lo : 4 * hi] for lo, hi in zip([0, *(k + 1 for k in at)], [*at, len(ids)], strict=True)]
+
+    def ids_of(self, pieces: np.ndarray) -> list[bytes]:
+        """The ids of different pieces."""
+        ids = [*map(self.get, pieces)]
+        places = [k for k, x in enumerate(ids) if x is None]
+        missing = pieces[places]
+        found = [*map(self.older.get, missing)]
+        new = [p for p, x in zip(missing, found) if x is None]
+        asked = chain.from_iterable(self._ask(new[lo : lo + self.asked]) for lo in range(0, len(new), self.asked))
+        for k, x in zip(places, found):
+            ids[k] = next(asked) if x is None else x
+        kept = [k for k in places if len(pieces[k]) <= LONGEST]
+        for lo in range(0, len(kept), self.most):
+            part = kept[lo : lo + self.most]
+            if len(self) + len(part) > self.most:
+                self.older = dict(self)
+                self.clear()
+            self.update((pieces[k], ids[k]) for k in part)
         return ids
 
 
@@ -94,6 +118,13 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _parting(path: str) -> int | None:
+    """The id of the byte 0xFF, if it is an entry and no other entry holds it."""
+    held = {t: i for t, i in _tokenizer(path).get_vocab(with_added_tokens=False).items() if "\xff" in t}
+    return held.get("\xff") if len(held) == 1 else None
+
+
 class Encoder:
     """Ids of whole texts, each with an end id behind it.
 
@@ -107,7 +138,7 @@ class Encoder:
         self.tokenizer = _tokenizer(path)
         contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = re.compile("|".join(map(re.escape, contents))) if contents else None
-        self.known = _Pieces(self.tokenizer.model.tokenize, most)
+        self.known = _Pieces(self.tokenizer.model.tokenize, most, _parting(path))
 
     def _by_library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -119,22 +150,21 @@ class Encoder:
         parts = texts if not whole else texts.copy()
         for k in whole:
             parts[k] = ""
-        data = "\0".join([*parts, ""]).encode("utf-32-le")
-        cp = np.frombuffer(data, np.uint32)
+        joined = "\0".join([*parts, ""])
+        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         if not len(cp):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         at = starts_of_pieces(cp)
-        edges = np.append(at, len(cp)).astype(np.int64) * 4
+        data = joined.encode()
+        edges = np.append(at, len(cp)).astype(np.int64)
+        if len(data) > len(cp):  # no sorted character takes more than three bytes
+            edges[1:] += np.cumsum(np.add.reduceat((cp >= 0x80).view(np.uint8) + (cp >= 0x800), at, dtype=np.int64))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
-        self.known[b"\0\0\0\0"] = np.array([end_id], np.uint32).tobytes()
-        ids = [*map(self.known.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False))]
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        place = np.asarray(pieces.indices)
-        count = n[place]
-        stop = np.cumsum(count)
-        source = np.repeat((np.cumsum(n) - n)[place] - (stop - count), count)
-        source += np.arange(len(source))
-        stream = np.frombuffer(b"".join(ids), np.uint32)[source]
+        ids = self.known.ids_of(pieces.dictionary.to_numpy(zero_copy_only=False))
+        ids[pieces.indices[-1].as_py()] = np.array([end_id], np.uint32).tobytes()
+        taken = pa.array(ids, pa.large_binary()).take(pieces.indices)
+        stop = np.frombuffer(taken.buffers()[1], np.int64)[1 : len(at) + 1] // 4
+        stream = np.frombuffer(taken.buffers()[2], np.uint32, stop[-1])
         ends = stop[cp[at] == 0]
         if not whole:
             return stream, ends
